@@ -13,6 +13,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Source files are wide rows: keep Arrow batches small in the parse stage.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
