@@ -174,6 +174,11 @@ def extract_facts(decoded: DataFrame) -> DataFrame:
     """One parse per Python file -> ast_facts (plus Module and __error__ rows)."""
     py = decoded.filter(F.col("utf8_ok") & (F.col("language") == "python")).select(
         "repo", "path", "text", "size_bytes", "content_hash")
+    # A big file table arrives in many scan partitions; only a few-partition input
+    # (a small table of large texts) is worth a shuffle to spread the parse.
+    want = py.sparkSession.sparkContext.defaultParallelism * 2
+    if py.rdd.getNumPartitions() < want:
+        py = py.repartition(want * 2, "repo", "path")
     return py.mapInPandas(_facts_batches, FACTS_SCHEMA)
 
 

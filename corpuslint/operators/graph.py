@@ -12,10 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuslint.functions.columns import path_key
-from corpuslint.session import cut_lineage
+from corpuslint.session import cut_lineage, share
 
 MAX_ROUNDS = 10_000
 
@@ -66,69 +65,109 @@ def file_edges(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes, ["repo", "target"], "left_semi").select("repo", "source", "target")
 
 
+class _Rounds:
+    """Round bookkeeping: every iterate is written once and read back, so a lost
+    executor never recomputes earlier rounds and each round plans from scratch."""
+
+    def __init__(self):
+        self.n = 0
+        self.held: list[DataFrame] = []
+
+    def settle(self, df: DataFrame, count_filter: str | None = None, cut: bool = True,
+               count: bool = True) -> tuple[DataFrame, int]:
+        """Materialise one iterate: written once to the shared folder (fresh plan, durable)."""
+        self.n += 1
+        if self.n > MAX_ROUNDS:
+            raise RuntimeError("graph iteration did not converge within MAX_ROUNDS")
+        df = cut_lineage(df)
+        if not count:
+            return df, -1
+        counted = df.filter(count_filter) if count_filter else df
+        return df, counted.count()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+
+
+def _with_self_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edge list plus one (v, v) edge per node, flagged: a propagation round then reads
+    the previous labels exactly once and still sees each node's own label."""
+    return (edges.select("repo", "src", "dst", F.lit(False).alias("is_self"))
+            .unionByName(nodes.select("repo", F.col("node").alias("src"), F.col("node").alias("dst"),
+                                      F.lit(True).alias("is_self"))))
+
+
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, node, comp) for every node in a non-trivial SCC (size > 1 or a self-loop)."""
+    """(repo, node, comp) for every node in a non-trivial SCC (size > 1 or a self-loop).
+
+    Forward: colour = smallest node name that reaches the node (min-label
+    propagation). Backward: inside each colour, the nodes that reach the colour's
+    root form the root's component. Found components leave; repeat on the rest.
+    """
     spark = nodes.sparkSession
-    e = cut_lineage(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
-    live = cut_lineage(nodes.select("repo", F.col("path").alias("node")))
+    r = _Rounds()
+    e, _ = r.settle(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")).distinct(),
+                    count=False)
+    live = nodes.select("repo", F.col("path").alias("node"))
     found = None
-    rounds = 0
     while True:
         le = (e.join(live.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
                 .join(live.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"))
         # Trim: a node without a live incoming or outgoing edge is alone in its component.
         live = (live.join(le.select("repo", F.col("src").alias("node")), ["repo", "node"], "left_semi")
                     .join(le.select("repo", F.col("dst").alias("node")), ["repo", "node"], "left_semi"))
-        live = cut_lineage(live)
-        if live.isEmpty():
+        live, n_live = r.settle(live, cut=True)
+        if n_live == 0:
             break
-        le = cut_lineage(le.join(live.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-                           .join(live.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"))
-        # Forward pass: colour = smallest node name that reaches this node.
+        le, _ = r.settle(le.join(live.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
+                           .join(live.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"), count=False)
+        fwd, _ = r.settle(_with_self_edges(le, live), count=False)
         colour = live.withColumn("colour", F.col("node"))
         while True:
-            rounds += 1
-            if rounds > MAX_ROUNDS:
-                raise RuntimeError("SCC did not converge within MAX_ROUNDS")
-            pushed = (le.join(colour.withColumnRenamed("node", "src"), ["repo", "src"])
-                        .groupBy("repo", F.col("dst").alias("node")).agg(F.min("colour").alias("cand")))
-            nxt = (colour.join(pushed, ["repo", "node"], "left")
-                   .select("repo", "node", F.least("colour", F.coalesce("cand", "colour")).alias("colour"),
-                           (F.col("cand") < F.col("colour")).alias("changed")))
-            nxt = cut_lineage(nxt)
-            if not nxt.filter("changed").take(1):
-                colour = nxt.drop("changed")
-                break
+            nxt = (fwd.join(colour.withColumnRenamed("node", "src"), ["repo", "src"])
+                      .groupBy("repo", F.col("dst").alias("node"))
+                      .agg(F.min("colour").alias("colour"),
+                           F.max(F.when(F.col("is_self"), F.col("colour"))).alias("own")))
+            nxt = nxt.select("repo", "node", "colour", (F.col("colour") < F.col("own")).alias("changed"))
+            nxt, n_changed = r.settle(nxt, "changed")
             colour = nxt.drop("changed")
-        # Backward pass inside each colour from its root (node == colour).
+            if n_changed == 0:
+                break
+        # Backward pass on reversed same-colour edges: reach = 1 once a node reaches its root.
         same = (le.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), ["repo", "src"])
                   .join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), ["repo", "dst"])
-                  .filter(F.col("cs") == F.col("cd")).select("repo", "src", "dst", F.col("cs").alias("colour")))
-        same = cut_lineage(same)
-        member = colour.filter(F.col("node") == F.col("colour")).select("repo", "node", "colour")
-        frontier = member
+                  .filter(F.col("cs") == F.col("cd"))
+                  .select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        bwd, _ = r.settle(_with_self_edges(same, live), count=False)
+        reach = colour.withColumn("reach", (F.col("node") == F.col("colour")).cast("int"))
         while True:
-            rounds += 1
-            if rounds > MAX_ROUNDS:
-                raise RuntimeError("SCC did not converge within MAX_ROUNDS")
-            step = (same.join(frontier.withColumnRenamed("node", "dst"), ["repo", "dst", "colour"])
-                        .select("repo", F.col("src").alias("node"), "colour").distinct()
-                        .join(member, ["repo", "node", "colour"], "left_anti"))
-            step = cut_lineage(step)
-            if not step.take(1):
+            nxt = (bwd.join(reach.withColumnRenamed("node", "src"), ["repo", "src"])
+                      .groupBy("repo", F.col("dst").alias("node"))
+                      .agg(F.max("reach").alias("reach"),
+                           F.max(F.when(F.col("is_self"), F.col("reach"))).alias("own"),
+                           F.max(F.when(F.col("is_self"), F.col("colour"))).alias("colour")))
+            nxt = nxt.select("repo", "node", "colour", "reach", (F.col("reach") > F.col("own")).alias("changed"))
+            nxt, n_changed = r.settle(nxt, "changed")
+            reach = nxt.drop("changed")
+            if n_changed == 0:
                 break
-            member = cut_lineage(member.unionByName(step))
-            frontier = step
-        found = member if found is None else cut_lineage(found.unionByName(member))
-        live = cut_lineage(live.join(member.select("repo", "node"), ["repo", "node"], "left_anti"))
+        member = reach.filter(F.col("reach") == 1).select("repo", "node", "colour")
+        found = member if found is None else found.unionByName(member)
+        found, _ = r.settle(found, count=False)
+        live, _ = r.settle(live.join(member.select("repo", "node"), ["repo", "node"], "left_anti"), count=False)
     if found is None:
+        r.release()
         return spark.createDataFrame([], "repo string, node string, comp string")
     found = found.withColumnRenamed("colour", "comp")
     # Keep components of size > 1, or a single node with a self-import.
     sizes = found.groupBy("repo", "comp").agg(F.count("*").alias("n"))
     self_loops = e.filter(F.col("src") == F.col("dst")).select("repo", F.col("src").alias("comp")).distinct()
     keep = sizes.filter("n > 1").select("repo", "comp").unionByName(self_loops).distinct()
-    return found.join(keep, ["repo", "comp"], "left_semi")
+    out = cut_lineage(found.join(keep, ["repo", "comp"], "left_semi"))
+    r.release()
+    return out
 
 
 def cycle_rows(parsed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -164,16 +203,26 @@ def list_rank(succ: DataFrame, start: DataFrame) -> DataFrame:
     Returns (repo, comp, node, pos) for nodes reached before the walk returns to
     a visited node; one join round per step, all components advance together.
     """
-    cur = start.select("repo", "comp", F.col("start").alias("node"), F.lit(0).cast("bigint").alias("pos"))
-    visited = cur
-    step = succ.select("repo", "comp", F.col("source").alias("node"), F.col("succ").alias("nxt"))
-    frontier = cur
+    r = _Rounds()
+    frontier, _ = r.settle(start.select("repo", "comp", F.col("start").alias("node"),
+                                        F.lit(0).cast("bigint").alias("pos")), count=False)
+    step, _ = r.settle(succ.select("repo", "comp", F.col("source").alias("node"), F.col("succ").alias("nxt")),
+                       count=False)
+    written = [frontier]
     while True:
+        visited = union_frames(written)
         nxt = (frontier.join(step, ["repo", "comp", "node"])
                        .select("repo", "comp", F.col("nxt").alias("node"), (F.col("pos") + 1).alias("pos"))
                        .join(visited.select("repo", "comp", "node"), ["repo", "comp", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
-        if not nxt.take(1):
+        nxt, n = r.settle(nxt)
+        if n == 0:
             return visited
-        visited = cut_lineage(visited.unionByName(nxt))
+        written.append(nxt)
         frontier = nxt
+
+
+def union_frames(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

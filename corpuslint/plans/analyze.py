@@ -81,10 +81,14 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
     if persist_facts:
         facts = share(facts)  # one parse per file, read by every rule branch
     parsed = extract.parsed_files(decoded, facts)
+    if persist_facts:
+        parsed = share(parsed)  # the hub table: graph, context and every family read it
     failed = union_all([scan.skipped_files(decisions).drop("skip_rule"),
                         extract.decode_failures(decoded),
                         extract.parse_failures(facts)])
     edges = build_edges(parsed)
+    if persist_facts:
+        edges = share(edges)
     file_contexts = parsed.join(dependencies_by_source(edges), ["repo", "path"], "left").withColumn(
         "dependencies", F.coalesce("dependencies", F.expr("cast(array() as array<string>)")))
     highlighted = ctx.first_paths(parsed.select("repo", "path"), cfg.structure_summary_max_paths)
