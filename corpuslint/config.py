@@ -128,6 +128,8 @@ class Settings:
     # "replace" overwrites them with the new issues' fingerprints (reference behaviour).
     history_mode: str = "union"
     families: tuple[str, ...] | None = None
+    # Spread the parse over this many tasks first (for few, large input partitions).
+    parse_partitions: int | None = None
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Settings":

@@ -170,15 +170,17 @@ def decode_failures(decoded: DataFrame) -> DataFrame:
     return bad.select("repo", "path", F.lit("content is null").alias("reason"), F.lit("parse").alias("stage"))
 
 
-def extract_facts(decoded: DataFrame) -> DataFrame:
-    """One parse per Python file -> ast_facts (plus Module and __error__ rows)."""
+def extract_facts(decoded: DataFrame, parse_partitions: int | None = None) -> DataFrame:
+    """One parse per Python file -> ast_facts (plus Module and __error__ rows).
+
+    A large file table arrives in many scan partitions and is parsed where it
+    lies (no content shuffle). ``parse_partitions`` spreads a small table of
+    large texts over more tasks first.
+    """
     py = decoded.filter(F.col("utf8_ok") & (F.col("language") == "python")).select(
         "repo", "path", "text", "size_bytes", "content_hash")
-    # A big file table arrives in many scan partitions; only a few-partition input
-    # (a small table of large texts) is worth a shuffle to spread the parse.
-    want = py.sparkSession.sparkContext.defaultParallelism * 2
-    if py.rdd.getNumPartitions() < want:
-        py = py.repartition(want * 2, "repo", "path")
+    if parse_partitions:
+        py = py.repartition(parse_partitions, "repo", "path")
     return py.mapInPandas(_facts_batches, FACTS_SCHEMA)
 
 

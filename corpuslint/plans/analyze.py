@@ -77,7 +77,7 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
     repos = files.select("repo").distinct()
     accepted = scan.accepted_files(files, decisions, cfg)
     decoded = extract.decode(accepted)
-    facts = extract.extract_facts(decoded)
+    facts = extract.extract_facts(decoded, cfg.parse_partitions)
     if persist_facts:
         facts = share(facts)  # one parse per file, read by every rule branch
     parsed = extract.parsed_files(decoded, facts)
