@@ -185,3 +185,14 @@ def execution_rollup(task_results: DataFrame) -> DataFrame:
     )
     return agg.withColumn("progress", F.when(F.col("total") == 0, F.lit(1.0))
                           .otherwise(F.col("done").cast("double") / F.col("total")))
+
+
+def run_metadata(t) -> DataFrame:
+    """Per repo, files scanned (accepted + skipped), parsed and failed."""
+    scanned = t.decisions.groupBy("repo").agg(F.count("*").alias("total_files_scanned"))
+    parsed = t.parsed.groupBy("repo").agg(F.count("*").alias("total_files_parsed"))
+    failed = t.failed.groupBy("repo").agg(F.count("*").alias("total_failed_files"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return (t.repos.join(scanned, ["repo"], "left").join(parsed, ["repo"], "left").join(failed, ["repo"], "left")
+            .select("repo", z("total_files_scanned"), z("total_files_parsed"), z("total_failed_files"),
+                    F.lit(",".join(t.cfg.active_families)).alias("executed_agents")))

@@ -77,6 +77,30 @@ def q_language_distribution(spark, sf):
                                                   F.col("total_files").cast("bigint"))
 
 
+def q_focus_paths(spark, sf):
+    t = corpus_tables(spark, sf)
+    return t.focus.select("repo", "path", F.col("rank").cast("bigint").alias("rank"))
+
+
+def q_highlighted(spark, sf):
+    t = corpus_tables(spark, sf)
+    return t.highlighted.select("repo", "path", F.col("rank").cast("bigint").alias("rank"))
+
+
+def q_budget(spark, sf):
+    t = corpus_tables(spark, sf)
+    return t.budget.select("repo", "estimated_tokens", F.col("budget_limit").cast("bigint").alias("budget_limit"))
+
+
+def q_run_metadata(spark, sf):
+    return rep.run_metadata(corpus_tables(spark, sf))
+
+
+def q_family_reports(spark, sf):
+    t = corpus_tables(spark, sf)
+    return rep.family_reports(t.raw_issues(), t.repos, C.FULL_FAMILIES)
+
+
 def q_all_issues(spark, sf):
     return issue_view(corpus_tables(spark, sf).raw_issues())
 
@@ -120,11 +144,13 @@ parsed AS (
   UNION ALL SELECT repo, 'tests/test_m' || k || '.py', 'python' FROM corpus WHERE k % 3 = 0
   UNION ALL SELECT repo, 'web/app' || k || '.js', 'javascript' FROM corpus WHERE k % 10 = 1),
 edges AS (
-  SELECT repo, path AS source, 'os' AS target, FALSE AS resolved, CAST(0.3 AS DOUBLE) AS resolution_confidence FROM m
+  SELECT repo, path AS source, 'os' AS target, FALSE AS resolved, CAST(0.3 AS DOUBLE) AS resolution_confidence,
+         'os' AS module FROM m
   UNION ALL
   SELECT m.repo, m.path,
          CASE WHEN t.k IS NOT NULL THEN 'pkg' || (m.j % 4) || '/m' || m.j || '.py' ELSE 'pkg' || (m.j % 4) || '.m' || m.j END,
-         t.k IS NOT NULL, CASE WHEN t.k IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END
+         t.k IS NOT NULL, CASE WHEN t.k IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END,
+         'pkg' || (m.j % 4) || '.m' || m.j
   FROM m LEFT JOIN okset t ON t.k = m.j WHERE m.j IS NOT NULL)
 """
 
@@ -245,11 +271,50 @@ _FAILURES_SQL = _BASE + "SELECT repo, path, 'parse' AS stage FROM corpus WHERE N
 
 _EDGES_SQL = _BASE + "SELECT repo, source, target, resolved, resolution_confidence FROM edges"
 
-_KEY_FILES_SQL = _BASE + """,
+_KEYS_CTE = """,
 ends AS (SELECT repo, source AS path FROM edges UNION ALL SELECT repo, target FROM edges WHERE resolved),
-deg AS (SELECT repo, path, count(*) AS score FROM ends GROUP BY 1, 2)
-SELECT repo, path, CAST(score AS BIGINT) AS score, 'high-degree' AS reason, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank FROM deg) WHERE rank <= 10"""
+deg AS (SELECT repo, path, count(*) AS score FROM ends GROUP BY 1, 2),
+keys AS (SELECT repo, path, score, 'high-degree' AS reason, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank FROM deg) WHERE rank <= 10),
+first_edges AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY string_split(source, '/'), module) AS edge_rank FROM edges)
+  WHERE edge_rank <= 100),
+touch AS (SELECT f.* FROM first_edges f WHERE EXISTS (
+  SELECT 1 FROM keys k WHERE k.repo = f.repo AND (k.path = f.source OR k.path = f.target))),
+ends2 AS (SELECT repo, source AS path, edge_rank, 0 AS e FROM touch UNION ALL SELECT repo, target, edge_rank, 1 FROM touch),
+focus AS (SELECT repo, path, rank FROM (
+  SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY min(edge_rank * 2 + e)) AS rank
+  FROM ends2 GROUP BY repo, path) WHERE rank <= 100),
+hl AS (SELECT * FROM (
+  SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY string_split(path, '/')) AS rank FROM parsed)
+  WHERE rank <= 20),
+nfiles AS (SELECT repo, count(*) AS n FROM parsed GROUP BY repo)
+"""
+
+_KEY_FILES_SQL = _BASE + _KEYS_CTE + """
+SELECT repo, path, CAST(score AS BIGINT) AS score, reason, CAST(rank AS BIGINT) AS rank FROM keys"""
+
+_FOCUS_SQL = _BASE + _KEYS_CTE + "SELECT repo, path, CAST(rank AS BIGINT) AS rank FROM focus"
+
+_HIGHLIGHT_SQL = _BASE + _KEYS_CTE + "SELECT repo, path, CAST(rank AS BIGINT) AS rank FROM hl"
+
+_BUDGET_SQL = _BASE + _KEYS_CTE + """
+SELECT n.repo,
+       CAST((SELECT sum(length(path)) FROM hl WHERE hl.repo = n.repo)
+            + coalesce((SELECT sum(length(path) + length(reason)) FROM keys k WHERE k.repo = n.repo), 0)
+            + coalesce((SELECT sum(length(path)) FROM focus f WHERE f.repo = n.repo), 0)
+            + 40 * n.n AS BIGINT) AS estimated_tokens,
+       CAST(12000 + 1000 * n.n AS BIGINT) AS budget_limit
+FROM nfiles n"""
+
+_RUN_META_SQL = _BASE + """
+SELECT c.repo, CAST(count(*) + sum(CASE WHEN c.k % 3 = 0 THEN 1 ELSE 0 END) + sum(CASE WHEN c.k % 10 = 1 THEN 1 ELSE 0 END)
+                    AS BIGINT) AS total_files_scanned,
+       CAST(sum(CASE WHEN c.ok THEN 1 ELSE 0 END) + sum(CASE WHEN c.k % 3 = 0 THEN 1 ELSE 0 END)
+            + sum(CASE WHEN c.k % 10 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS total_files_parsed,
+       CAST(sum(CASE WHEN c.ok THEN 0 ELSE 1 END) AS BIGINT) AS total_failed_files,
+       'structure,security,style,performance,test' AS executed_agents
+FROM corpus c GROUP BY c.repo"""
 
 _LANG_SQL = _BASE + """
 SELECT repo, language, CAST(count(*) AS BIGINT) AS file_count,
@@ -265,6 +330,16 @@ SELECT repo,
 FROM (SELECT repo, severity, split_part(rule_id, '.', 1) AS agent FROM iss)
 GROUP BY GROUPING SETS ((repo, severity), (repo, agent), (repo))"""
 
+_FAMILY_SQL = _BASE + f""",
+iss AS ({_union(ALL_RULES)}),
+fams AS (SELECT unnest(['structure', 'security', 'style', 'performance', 'test']) AS agent),
+grid AS (SELECT DISTINCT c.repo, f.agent FROM corpus c, fams f)
+SELECT g.repo, g.agent, CAST(count(i.rule_id) AS BIGINT) AS issue_count,
+       CASE WHEN count(i.rule_id) = 0 THEN 'info'
+            ELSE CASE g.agent WHEN 'security' THEN 'high' WHEN 'performance' THEN 'medium' ELSE 'low' END END AS severity
+FROM grid g LEFT JOIN iss i ON i.repo = g.repo AND split_part(i.rule_id, '.', 1) = g.agent
+GROUP BY g.repo, g.agent"""
+
 QUERIES = {
     "corpus_parse_failures": q_parse_failures,
     "corpus_parsed_files": q_parsed_files,
@@ -287,6 +362,11 @@ QUERIES = {
     "corpus_tests": q_tests,
     "corpus_all_issues": q_all_issues,
     "corpus_issue_summary": q_issue_summary,
+    "corpus_focus_paths": q_focus_paths,
+    "corpus_highlighted": q_highlighted,
+    "corpus_budget": q_budget,
+    "corpus_run_metadata": q_run_metadata,
+    "corpus_family_reports": q_family_reports,
 }
 
 ORACLES = {
@@ -312,4 +392,9 @@ ORACLES = {
     "corpus_tests": _single(FAMILY_RULES["test"]),
     "corpus_all_issues": _single(ALL_RULES),
     "corpus_issue_summary": _SUMMARY_SQL,
+    "corpus_focus_paths": _FOCUS_SQL,
+    "corpus_highlighted": _HIGHLIGHT_SQL,
+    "corpus_budget": _BUDGET_SQL,
+    "corpus_run_metadata": _RUN_META_SQL,
+    "corpus_family_reports": _FAMILY_SQL,
 }
