@@ -1,7 +1,7 @@
 """Parse and extract (B1-B9): one Spark job turns accepted files into flat facts.
 
 Strict UTF-8 decoding and hashing stay in the JVM. Python sources go through one
-``mapInPandas`` stage that parses each file once with the stdlib ``ast`` module
+``mapInArrow`` stage that parses each file once with the stdlib ``ast`` module
 and emits only the node kinds some rule reads, numbered so every later rule is a
 DataFrame join/aggregate:
 
@@ -122,17 +122,33 @@ def file_facts(repo: str, path: str, text: str, size_bytes: int, chash: str) ->
     return out
 
 
+_ARROW_TYPES = None
+
+
+def _arrow_schema():
+    import pyarrow as pa
+    global _ARROW_TYPES
+    if _ARROW_TYPES is None:
+        types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+        _ARROW_TYPES = pa.schema([(c.split()[0], types[c.split()[1]]) for c in FACTS_SCHEMA.split(", ")])
+    return _ARROW_TYPES
+
+
 def _facts_batches(batches):
-    for pdf in batches:
+    """Arrow in, Arrow out: columns go straight into Arrow arrays (no pandas frames)."""
+    import pyarrow as pa
+    schema = _arrow_schema()
+    for batch in batches:
+        cols = batch.to_pydict()
         rows: list[tuple] = []
-        for repo, path, text, size, chash in zip(pdf["repo"], pdf["path"], pdf["text"], pdf["size_bytes"], pdf["content_hash"]):
+        for repo, path, text, size, chash in zip(cols["repo"], cols["path"], cols["text"], cols["size_bytes"],
+                                                 cols["content_hash"]):
             rows.extend(file_facts(repo, path, text, int(size), chash))
-        frame = pd.DataFrame.from_records(rows, columns=FACT_COLUMNS)
-        for c in ("pre", "last", "bfs", "idx", "line", "end_line", "n_params"):
-            frame[c] = frame[c].astype("Int32")
-        frame["size_bytes"] = frame["size_bytes"].astype("Int64")
-        frame["shell_true"] = frame["shell_true"].astype("boolean")
-        yield frame
+        if not rows:
+            continue
+        columns = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[i], type=schema.field(i).type) for i in range(len(schema))], schema=schema)
 
 
 def decode(accepted: DataFrame) -> DataFrame:
@@ -181,7 +197,7 @@ def extract_facts(decoded: DataFrame, parse_partitions: int | None = None) -> Da
         "repo", "path", "text", "size_bytes", "content_hash")
     if parse_partitions:
         py = py.repartition(parse_partitions, "repo", "path")
-    return py.mapInPandas(_facts_batches, FACTS_SCHEMA)
+    return py.mapInArrow(_facts_batches, FACTS_SCHEMA)
 
 
 def parsed_files(decoded: DataFrame, facts: DataFrame) -> DataFrame:

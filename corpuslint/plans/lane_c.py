@@ -101,6 +101,26 @@ def q_family_reports(spark, sf):
     return rep.family_reports(t.raw_issues(), t.repos, C.FULL_FAMILIES)
 
 
+def _second_run(spark, sf):
+    """Run 1 over the corpus, then run 2 over it with every `pkg0/` module edited (one call appended)."""
+    from corpuslint.session import cut_lineage
+    part = read_table(spark, sf, "part")
+    files1 = corpus_files(part)
+    t1 = analyze(files1, None, CORPUS_SETTINGS)
+    history = cut_lineage(t1.next_history())  # the stored state between runs
+    edited = F.when(F.col("path").startswith("pkg0/"), F.concat("content", F.lit("eval('2')\n"))).otherwise(F.col("content"))
+    files2 = files1.withColumn("content", edited).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
+    return analyze(files2, history, CORPUS_SETTINGS)
+
+
+def q_incremental_changes(spark, sf):
+    return _second_run(spark, sf).changes.select("repo", "path", "status")
+
+
+def q_incremental_new_issues(spark, sf):
+    return issue_view(_second_run(spark, sf).issues())
+
+
 def q_all_issues(spark, sf):
     return issue_view(corpus_tables(spark, sf).raw_issues())
 
@@ -340,6 +360,16 @@ SELECT g.repo, g.agent, CAST(count(i.rule_id) AS BIGINT) AS issue_count,
 FROM grid g LEFT JOIN iss i ON i.repo = g.repo AND split_part(i.rule_id, '.', 1) = g.agent
 GROUP BY g.repo, g.agent"""
 
+_INCR_CHANGES_SQL = _BASE + """
+SELECT repo, path, CASE WHEN path LIKE 'pkg0/%' THEN 'changed' ELSE 'unchanged' END AS status FROM parsed"""
+
+# Run 2 adds one dynamic-execution issue per edited module; everything else carries a title the
+# file already had in run 1, so only edits in modules without an earlier eval are new.
+_INCR_NEW_SQL = _BASE + f"""
+SELECT repo, {_rc("security.dynamic-execution")}, path, CAST(l0 + 11 AS BIGINT) AS line,
+       {_conf("security.dynamic-execution")}, 'eval' AS evidence
+FROM m WHERE k % 4 = 0 AND k % 11 NOT IN (1, 7)"""
+
 QUERIES = {
     "corpus_parse_failures": q_parse_failures,
     "corpus_parsed_files": q_parsed_files,
@@ -367,6 +397,8 @@ QUERIES = {
     "corpus_budget": q_budget,
     "corpus_run_metadata": q_run_metadata,
     "corpus_family_reports": q_family_reports,
+    "corpus_incremental_changes": q_incremental_changes,
+    "corpus_incremental_new_issues": q_incremental_new_issues,
 }
 
 ORACLES = {
@@ -397,4 +429,6 @@ ORACLES = {
     "corpus_budget": _BUDGET_SQL,
     "corpus_run_metadata": _RUN_META_SQL,
     "corpus_family_reports": _FAMILY_SQL,
+    "corpus_incremental_changes": _INCR_CHANGES_SQL,
+    "corpus_incremental_new_issues": _INCR_NEW_SQL,
 }
