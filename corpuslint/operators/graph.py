@@ -174,7 +174,7 @@ def cycle_rows(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per cycle component: repo, path (first member in file order), evidence.
 
     The evidence walks the component from that member along its in-component
-    edges (smallest target first) back to the start: ``a -> b -> a`` for a
+    edges (string-smallest dependency first) back to the start: ``a -> b -> a`` for a
     simple cycle, as a depth-first search in file order reports it.
     """
     fe = file_edges(parsed, edges)
@@ -187,7 +187,7 @@ def cycle_rows(parsed: DataFrame, edges: DataFrame) -> DataFrame:
                .join(members.withColumnRenamed("path", "source"), ["repo", "source"])
                .join(members.withColumnRenamed("path", "target").withColumnRenamed("comp", "comp_t"), ["repo", "target"])
                .filter(F.col("comp") == F.col("comp_t"))
-               .groupBy("repo", "comp", "source").agg(F.min_by("target", path_key("target")).alias("succ")))
+               .groupBy("repo", "comp", "source").agg(F.min("target").alias("succ")))  # dependencies sort as strings
     walk = list_rank(inner, start)
     chain = walk.groupBy("repo", "comp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda s: s["node"]), " -> ")

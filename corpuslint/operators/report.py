@@ -196,3 +196,22 @@ def run_metadata(t) -> DataFrame:
     return (t.repos.join(scanned, ["repo"], "left").join(parsed, ["repo"], "left").join(failed, ["repo"], "left")
             .select("repo", z("total_files_scanned"), z("total_files_parsed"), z("total_failed_files"),
                     F.lit(",".join(t.cfg.active_families)).alias("executed_agents")))
+
+
+def feedback_record(t) -> DataFrame:
+    """K7: one feedback row per repo (targets, counts by file and by family, structure findings, verification)."""
+    issues, raw = t.issues(), t.raw_issues()
+    targets = t.targets.groupBy("repo").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.split("path", "/").alias("k"), F.col("path").alias("p")))),
+        lambda x: x["p"]).alias("target_file_paths"))
+    by_file = issue_counts_by_file(issues).groupBy("repo").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "n")))).alias("issue_count_by_file"))
+    by_agent = issue_counts_by_agent(raw).groupBy("repo").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent", "n")))).alias("agent_issue_counts"))
+    n_issues = issues.groupBy("repo").agg(F.count("*").alias("n_issues"))
+    ver = verification(t.repos.join(n_issues, ["repo"], "left"), t.cfg.self_verification_enabled)
+    ver = ver.groupBy("repo").agg(F.collect_list(F.struct("attempt", "action", "result", "detail")).alias(
+        "verification_attempts"))
+    return (t.repos.join(targets, ["repo"], "left").join(by_file, ["repo"], "left").join(by_agent, ["repo"], "left")
+            .join(structure_findings(issues), ["repo"], "left").join(ver, ["repo"], "left")
+            .withColumn("test_summary", F.create_map(F.lit("status"), F.lit("not_run"))))

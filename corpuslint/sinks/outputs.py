@@ -57,8 +57,12 @@ def sarif_documents(issues: DataFrame) -> DataFrame:
     return res.join(rules, ["repo"]).select("repo", F.to_json(doc).alias("sarif"))
 
 
-def json_reports(t, issues: DataFrame) -> DataFrame:
-    """One JSON document per repo (parsed files, graph, failures, issues, metadata)."""
+def json_reports(t, issues: DataFrame, opts=None) -> DataFrame:
+    """One JSON document per repo (parsed files, graph, failures, issues).
+
+    L9: sections switched off in ``opts`` are left out of the projection, so
+    their branches are never computed.
+    """
     pf = t.parsed.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct(
         F.split("path", "/").alias("k"), F.struct("path", "language", "parse_mode", "size_bytes", "content_hash",
                                                   "imports", "functions", "classes").alias("v")))),
@@ -71,9 +75,17 @@ def json_reports(t, issues: DataFrame) -> DataFrame:
     iss = issues.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct(
         "seq", F.struct("rule_id", "title", "description", "severity", "path", "line", "confidence", "evidence")
         .alias("v")))), lambda x: x["v"]).alias("issues"))
-    j = t.repos.join(pf, ["repo"], "left").join(ed, ["repo"], "left").join(ff, ["repo"], "left").join(iss, ["repo"], "left")
-    return j.select("repo", F.to_json(F.struct(
-        "parsed_files", F.struct("edges").alias("project_graph"), "failed_files", "issues")).alias("json"))
+    keep_pf = opts is None or opts.include_parsed_files
+    keep_graph = opts is None or opts.include_project_graph
+    j = t.repos.join(ff, ["repo"], "left").join(iss, ["repo"], "left")
+    fields = []
+    if keep_pf:
+        j = j.join(pf, ["repo"], "left")
+        fields.append(F.col("parsed_files"))
+    if keep_graph:
+        j = j.join(ed, ["repo"], "left")
+        fields.append(F.struct("edges").alias("project_graph"))
+    return j.select("repo", F.to_json(F.struct(*fields, "failed_files", "issues")).alias("json"))
 
 
 def markdown_lines(issues: DataFrame, failed: DataFrame) -> DataFrame:
