@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslint.functions.columns import path_key
-from corpuslint.session import cut_lineage, share
+from corpuslint.session import cut_lineage
 
 MAX_ROUNDS = 10_000
 
@@ -66,16 +66,20 @@ def file_edges(parsed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class _Rounds:
-    """Round bookkeeping: every iterate is written once and read back, so a lost
-    executor never recomputes earlier rounds and each round plans from scratch."""
+    """Round bookkeeping for iterative graph jobs.
+
+    Every iterate reads the previous one exactly once, so plans stay linear, and
+    every iterate is written once as a table under the shared checkpoint folder
+    and read back: one job per round, a fresh small plan for the next round, and
+    a lost executor never recomputes earlier rounds. (Persisting instead leaves a
+    growing set of cache entries that every later query is matched against.)
+    """
 
     def __init__(self):
         self.n = 0
-        self.held: list[DataFrame] = []
 
     def settle(self, df: DataFrame, count_filter: str | None = None, cut: bool = True,
                count: bool = True) -> tuple[DataFrame, int]:
-        """Materialise one iterate: written once to the shared folder (fresh plan, durable)."""
         self.n += 1
         if self.n > MAX_ROUNDS:
             raise RuntimeError("graph iteration did not converge within MAX_ROUNDS")
@@ -86,9 +90,7 @@ class _Rounds:
         return df, counted.count()
 
     def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
-        self.held.clear()
+        pass
 
 
 def _with_self_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     r = _Rounds()
     e, _ = r.settle(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")).distinct(),
-                    count=False)
+                    cut=True, count=False)
     live = nodes.select("repo", F.col("path").alias("node"))
     found = None
     while True:
@@ -118,11 +120,12 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # Trim: a node without a live incoming or outgoing edge is alone in its component.
         live = (live.join(le.select("repo", F.col("src").alias("node")), ["repo", "node"], "left_semi")
                     .join(le.select("repo", F.col("dst").alias("node")), ["repo", "node"], "left_semi"))
-        live, n_live = r.settle(live, cut=True)
+        live, n_live = r.settle(live)
         if n_live == 0:
             break
         le, _ = r.settle(le.join(live.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-                           .join(live.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"), count=False)
+                           .join(live.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"),
+                        count=False)
         fwd, _ = r.settle(_with_self_edges(le, live), count=False)
         colour = live.withColumn("colour", F.col("node"))
         while True:
@@ -155,8 +158,9 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 break
         member = reach.filter(F.col("reach") == 1).select("repo", "node", "colour")
         found = member if found is None else found.unionByName(member)
-        found, _ = r.settle(found, count=False)
-        live, _ = r.settle(live.join(member.select("repo", "node"), ["repo", "node"], "left_anti"), count=False)
+        found, _ = r.settle(found, cut=True, count=False)
+        live, _ = r.settle(live.join(member.select("repo", "node"), ["repo", "node"], "left_anti"), cut=True,
+                           count=False)  # carried into the next outer iteration: store it
     if found is None:
         r.release()
         return spark.createDataFrame([], "repo string, node string, comp string")
@@ -205,17 +209,18 @@ def list_rank(succ: DataFrame, start: DataFrame) -> DataFrame:
     """
     r = _Rounds()
     frontier, _ = r.settle(start.select("repo", "comp", F.col("start").alias("node"),
-                                        F.lit(0).cast("bigint").alias("pos")), count=False)
+                                        F.lit(0).cast("bigint").alias("pos")), cut=True, count=False)
     step, _ = r.settle(succ.select("repo", "comp", F.col("source").alias("node"), F.col("succ").alias("nxt")),
-                       count=False)
+                       cut=True, count=False)
     written = [frontier]
     while True:
         visited = union_frames(written)
         nxt = (frontier.join(step, ["repo", "comp", "node"])
                        .select("repo", "comp", F.col("nxt").alias("node"), (F.col("pos") + 1).alias("pos"))
                        .join(visited.select("repo", "comp", "node"), ["repo", "comp", "node"], "left_anti"))
-        nxt, n = r.settle(nxt)
+        nxt, n = r.settle(nxt, cut=True)  # frames are unioned later: keep each one's plan small
         if n == 0:
+            r.release()
             return visited
         written.append(nxt)
         frontier = nxt

@@ -21,7 +21,9 @@ def explode_symbols(parsed: DataFrame, kind: str) -> DataFrame:
 
 
 def circular_dependency(t, cfg: Settings) -> DataFrame:
-    cyc = cycle_rows(t.parsed, t.edges)
+    if "cycles" not in t.extra:  # iterative job: run once per analysis, reuse the written result
+        t.extra["cycles"] = cycle_rows(t.parsed, t.edges)
+    cyc = t.extra["cycles"]
     return make_issues(cyc, "structure.circular-dependency", path=F.col("path"), line=None,
                        evidence=F.array("evidence"), order=seq("structure", 0, F.col("path")))
 

@@ -69,6 +69,11 @@ class Tables:
     def next_history(self) -> DataFrame:
         return ctx.next_history(self.parsed, self.issues(), self.history, self.cfg)
 
+    def release(self) -> None:
+        """Drop the shared (persisted) tables of this run once its results are written."""
+        for df in self.extra.pop("persisted", []):
+            df.unpersist()
+
 
 def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings | None = None,
             persist_facts: bool = True) -> Tables:
@@ -78,17 +83,21 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
     accepted = scan.accepted_files(files, decisions, cfg)
     decoded = extract.decode(accepted)
     facts = extract.extract_facts(decoded, cfg.parse_partitions)
+    persisted = []
     if persist_facts:
         facts = share(facts)  # one parse per file, read by every rule branch
+        persisted.append(facts)
     parsed = extract.parsed_files(decoded, facts)
     if persist_facts:
         parsed = share(parsed)  # the hub table: graph, context and every family read it
+        persisted.append(parsed)
     failed = union_all([scan.skipped_files(decisions).drop("skip_rule"),
                         extract.decode_failures(decoded),
                         extract.parse_failures(facts)])
     edges = build_edges(parsed)
     if persist_facts:
         edges = share(edges)
+        persisted.append(edges)
     file_contexts = parsed.join(dependencies_by_source(edges), ["repo", "path"], "left").withColumn(
         "dependencies", F.coalesce("dependencies", F.expr("cast(array() as array<string>)")))
     highlighted = ctx.first_paths(parsed.select("repo", "path"), cfg.structure_summary_max_paths)
@@ -103,4 +112,5 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
         focus = focus.limit(0)
     return Tables(cfg=cfg, decisions=decisions, repos=repos, decoded=decoded, facts=facts, parsed=parsed,
                   failed=failed, edges=edges, file_contexts=file_contexts, highlighted=highlighted,
-                  key_files=keys, focus=focus, budget=bud, changes=changes, targets=targets, history=history)
+                  key_files=keys, focus=focus, budget=bud, changes=changes, targets=targets, history=history,
+                  extra={"persisted": persisted})

@@ -24,8 +24,16 @@ from corpuslint.sources.files import read_table
 CORPUS_SETTINGS = Settings(max_files=None, max_total_bytes=None)
 
 
+_LAST: list = []
+
+
 def corpus_tables(spark, sf, cfg: Settings = CORPUS_SETTINGS):
-    return analyze(corpus_files(read_table(spark, sf, "part")), None, cfg)
+    """A fresh analysis of the corpus; the previous query's shared tables are released first."""
+    while _LAST:
+        _LAST.pop().release()
+    t = analyze(corpus_files(read_table(spark, sf, "part")), None, cfg)
+    _LAST.append(t)
+    return t
 
 
 def issue_view(df: DataFrame) -> DataFrame:
@@ -106,11 +114,16 @@ def _second_run(spark, sf):
     from corpuslint.session import cut_lineage
     part = read_table(spark, sf, "part")
     files1 = corpus_files(part)
+    while _LAST:
+        _LAST.pop().release()
     t1 = analyze(files1, None, CORPUS_SETTINGS)
     history = cut_lineage(t1.next_history())  # the stored state between runs
+    t1.release()
     edited = F.when(F.col("path").startswith("pkg0/"), F.concat("content", F.lit("eval('2')\n"))).otherwise(F.col("content"))
     files2 = files1.withColumn("content", edited).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
-    return analyze(files2, history, CORPUS_SETTINGS)
+    t2 = analyze(files2, history, CORPUS_SETTINGS)
+    _LAST.append(t2)
+    return t2
 
 
 def q_incremental_changes(spark, sf):
