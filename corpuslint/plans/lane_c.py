@@ -24,16 +24,28 @@ from corpuslint.sources.files import read_table
 CORPUS_SETTINGS = Settings(max_files=None, max_total_bytes=None)
 
 
-_LAST: list = []
+_SHARED: dict = {}     # one shared analysis: (session, sf_dir, settings) -> Tables
+_TRANSIENT: list = []  # analyses built for a single query (the two-run queries)
+
+
+def _drop_transient() -> None:
+    while _TRANSIENT:
+        _TRANSIENT.pop().release()
 
 
 def corpus_tables(spark, sf, cfg: Settings = CORPUS_SETTINGS):
-    """A fresh analysis of the corpus; the previous query's shared tables are released first."""
-    while _LAST:
-        _LAST.pop().release()
-    t = analyze(corpus_files(read_table(spark, sf, "part")), None, cfg)
-    _LAST.append(t)
-    return t
+    """The corpus analysis shared by lane-C queries of one session: parse once, query many times.
+
+    Only one analysis is held; asking for another scale or settings releases it.
+    """
+    _drop_transient()
+    key = (id(spark), sf, repr(cfg))
+    if key not in _SHARED:
+        for t in _SHARED.values():
+            t.release()
+        _SHARED.clear()
+        _SHARED[key] = analyze(corpus_files(read_table(spark, sf, "part")), None, cfg)
+    return _SHARED[key]
 
 
 def issue_view(df: DataFrame) -> DataFrame:
@@ -114,15 +126,14 @@ def _second_run(spark, sf):
     from corpuslint.session import cut_lineage
     part = read_table(spark, sf, "part")
     files1 = corpus_files(part)
-    while _LAST:
-        _LAST.pop().release()
+    _drop_transient()
     t1 = analyze(files1, None, CORPUS_SETTINGS)
     history = cut_lineage(t1.next_history())  # the stored state between runs
     t1.release()
     edited = F.when(F.col("path").startswith("pkg0/"), F.concat("content", F.lit("eval('2')\n"))).otherwise(F.col("content"))
     files2 = files1.withColumn("content", edited).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
     t2 = analyze(files2, history, CORPUS_SETTINGS)
-    _LAST.append(t2)
+    _TRANSIENT.append(t2)
     return t2
 
 
