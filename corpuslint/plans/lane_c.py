@@ -176,11 +176,6 @@ def _conf(rule_id: str) -> str:
     return f"CAST({C.RULES[rule_id][3]} AS DOUBLE) AS confidence"
 
 
-def _iss(rule_id: str, src: str, path: str, line: str, evidence: str, where: str = "TRUE") -> str:
-    return (f"SELECT repo, {_rc(rule_id)}, {path} AS path, CAST({line} AS BIGINT) AS line, {_conf(rule_id)}, "
-            f"{evidence} AS evidence FROM {src} WHERE {where}")
-
-
 _BASE = "WITH " + corpus_oracle_cte().strip() + """,
 m AS (SELECT * FROM corpus WHERE ok),
 parsed AS (

@@ -31,7 +31,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("CORPUSLINT_DRIVER_MEMORY", "8g"))
+    builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("CORPUSLINT_DRIVER_MEMORY", "4g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
