@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OUTCOME_SCHEMA = (
     "key string, event_id bigint, ts_us bigint, failed boolean, allowed boolean, status string, "
@@ -50,10 +51,11 @@ def step(state: tuple[str, int, int | None], ts: int, failed: bool, threshold: i
 
 def _fold(threshold: int, reset_us: int):
     def run(batches):
-        key, state = None, ("closed", 0, None)
+        group, state = None, ("closed", 0, None)
         for pdf in batches:
             n = len(pdf)
             keys = pdf["key"].to_numpy()
+            segs = pdf["seg"].to_numpy() if "seg" in pdf.columns else None
             tss = pdf["ts_us"].to_numpy()
             fails = pdf["failed"].to_numpy()
             allowed = np.empty(n, dtype=bool)
@@ -61,8 +63,9 @@ def _fold(threshold: int, reset_us: int):
             count = np.empty(n, dtype=np.int32)
             opened = np.empty(n, dtype=object)
             for i in range(n):
-                if keys[i] != key:
-                    key, state = keys[i], ("closed", 0, None)
+                g = (keys[i], segs[i]) if segs is not None else keys[i]
+                if g != group:  # every segment starts from the closed state
+                    group, state = g, ("closed", 0, None)
                 ok, state = step(state, int(tss[i]), bool(fails[i]), threshold, reset_us)
                 allowed[i] = ok
                 status[i], count[i], opened[i] = state
@@ -76,11 +79,49 @@ def _fold(threshold: int, reset_us: int):
     return run
 
 
+def segments(outcomes: DataFrame, reset_us: int) -> DataFrame:
+    """Cut each key's stream at "safe" successes so the pieces fold independently.
+
+    A success is always allowed when no failure of its key precedes it within
+    the reset window (the breaker can only have opened at a failure), and an
+    allowed success closes the breaker, so every piece starts closed. Finding
+    them needs only the latest earlier failure: inside a (key, reset-wide time
+    bucket) window, or the previous bucket's latest failure - never pairs of
+    events. Segment numbers are a two-level prefix count (within the bucket,
+    then over per-bucket counts), so a hot key is spread over its buckets.
+    """
+    ev = outcomes.withColumn("bucket", F.floor(F.col("ts_us") / F.lit(reset_us)).cast("bigint"))
+    in_bucket = Window.partitionBy("key", "bucket").orderBy("ts_us", "event_id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    fail_ts = F.when(F.col("failed"), F.col("ts_us"))
+    ev = ev.withColumn("last_fail_here", F.max(fail_ts).over(in_bucket))
+    per_bucket = ev.groupBy("key", "bucket").agg(F.max(fail_ts).alias("bucket_last_fail"))
+    prev = per_bucket.select("key", (F.col("bucket") + 1).alias("bucket"), F.col("bucket_last_fail").alias("prev_last_fail"))
+    ev = ev.join(prev, ["key", "bucket"], "left")
+    last_fail = F.greatest("last_fail_here", "prev_last_fail")
+    safe = ~F.col("failed") & (last_fail.isNull() | (last_fail <= F.col("ts_us") - F.lit(reset_us)))
+    ev = ev.withColumn("safe", safe.cast("int"))
+    ev = ev.withColumn("safe_before_here", F.coalesce(F.sum("safe").over(in_bucket), F.lit(0)))
+    counts = ev.groupBy("key", "bucket").agg(F.sum("safe").alias("n_safe"))
+    over_buckets = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("key", "bucket", F.coalesce(F.sum("n_safe").over(over_buckets), F.lit(0)).alias("safe_before"))
+    ev = ev.join(counts, ["key", "bucket"])
+    return ev.select("key", (F.col("safe_before") + F.col("safe_before_here")).cast("bigint").alias("seg"),
+                     "event_id", "ts_us", "failed")
+
+
 def breaker_states(outcomes: DataFrame, threshold: int, reset_seconds: int) -> DataFrame:
-    """M1/M2: one row per outcome with the state after it. Input: key, event_id, ts_us, failed."""
-    rows = (outcomes.select(F.col("key").cast("string"), "event_id", "ts_us", "failed")
-            .repartition("key").sortWithinPartitions("key", "ts_us", "event_id"))
-    return rows.mapInPandas(_fold(threshold, reset_seconds * 1_000_000), OUTCOME_SCHEMA)
+    """M1/M2: one row per outcome with the state after it. Input: key, event_id, ts_us, failed.
+
+    Independent segments (see ``segments``) are folded in parallel: rows are
+    hash-partitioned by (key, segment), sorted by time inside partitions and
+    streamed through a small Python fold; a segment, not a whole key, is the unit.
+    """
+    reset_us = reset_seconds * 1_000_000
+    base = outcomes.select(F.col("key").cast("string").alias("key"), "event_id", "ts_us", "failed")
+    rows = (segments(base, reset_us).repartition("key", "seg")
+            .sortWithinPartitions("key", "seg", "ts_us", "event_id"))
+    return rows.mapInPandas(_fold(threshold, reset_us), OUTCOME_SCHEMA)
 
 
 def recovery_events(states: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from corpuslint.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", 4, app="corpuslint-tests")
+    s = build_session("local[4]", 2, app="corpuslint-tests")
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslint-test-ckpt-"))
     yield s
     s.stop()
