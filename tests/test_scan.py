@@ -66,3 +66,18 @@ def test_reference_helpers(spark):
                                   ("remote branch x not found",), ("weird",)], "m string")
     cats = [r.c for r in msgs.select(classify_error(F.col("m")).alias("c")).collect()]
     assert cats == ["repository_not_found", "permission_denied", "repository_not_found", "unknown"]
+
+
+def test_directory_source(spark, tmp_path):
+    from corpuslint.sources.files import list_directory, read_directory
+    for repo, rel, text in [("r1", "main.py", "x = 1\n"), ("r1", "pkg/a.py", "y = 2\n"), ("r2", "b.js", "z\n"),
+                            ("r2", "big.py", "#" * 500 + "\n")]:
+        p = tmp_path / repo / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    rows = {(r.repo, r.path): r.size_bytes for r in read_directory(spark, str(tmp_path), max_file_bytes=100).collect()}
+    assert rows == {("r1", "main.py"): 6, ("r1", "pkg/a.py"): 6, ("r2", "b.js"): 2}
+    listed = {(r.repo, r.path) for r in list_directory(spark, str(tmp_path)).collect()}
+    assert ("r2", "big.py") in listed
+    one = {r.path for r in read_directory(spark, str(tmp_path / "r1"), repo="solo").collect()}
+    assert one == {"main.py", "pkg/a.py"}
