@@ -67,12 +67,22 @@ def admit(files: DataFrame, cfg: Settings) -> DataFrame:
     decided = base.withColumn("skip_rule", rule)
     if needs_fold(cfg):
         early = decided.filter(F.col("skip_rule").isNotNull())
-        candidates = (decided.filter(F.col("skip_rule").isNull())
-                      .select("repo", "path", "size_bytes")
-                      .repartition("repo")
-                      .sortWithinPartitions("repo", path_key("path")))
-        folded = candidates.mapInPandas(_budget_fold(cfg.max_files, cfg.max_total_bytes), DECISION_SCHEMA)
-        decided = early.unionByName(folded)
+        candidates = decided.filter(F.col("skip_rule").isNull()).select("repo", "path", "size_bytes")
+        # A repo whose admissible files fit entirely accepts them all (sizes are >= 0, so every
+        # prefix fits too): only overflowing repos need the ordered fold. Totals combine map-side.
+        totals = candidates.groupBy("repo").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+        fits = F.lit(True)
+        if cfg.max_files is not None:
+            fits = fits & (F.col("n") <= cfg.max_files)
+        if cfg.max_total_bytes is not None:
+            fits = fits & (F.col("b") <= cfg.max_total_bytes)
+        fitting = totals.filter(fits).select("repo")
+        whole = candidates.join(fitting, ["repo"], "left_semi").withColumn("skip_rule", F.lit(None).cast("string"))
+        overflowing = (candidates.join(fitting, ["repo"], "left_anti")
+                       .repartition("repo")
+                       .sortWithinPartitions("repo", path_key("path")))
+        folded = overflowing.mapInPandas(_budget_fold(cfg.max_files, cfg.max_total_bytes), DECISION_SCHEMA)
+        decided = early.unionByName(whole).unionByName(folded)
     return decided.withColumn("language", language_of(path))
 
 

@@ -81,3 +81,11 @@ def test_directory_source(spark, tmp_path):
     assert ("r2", "big.py") in listed
     one = {r.path for r in read_directory(spark, str(tmp_path / "r1"), repo="solo").collect()}
     assert one == {"main.py", "pkg/a.py"}
+
+
+def test_fitting_repo_skips_fold_overflowing_repo_folds(spark):
+    rows = [("small", "a.py", 2), ("small", "b.py", 2), ("big", "a.py", 3), ("big", "b.py", 9), ("big", "c.py", 2)]
+    df = spark.createDataFrame(rows, "repo string, path string, size_bytes bigint")
+    out = {(r.repo, r.path): r.skip_rule for r in admit(df, Settings(max_total_bytes=6)).collect()}
+    assert out == {("small", "a.py"): None, ("small", "b.py"): None,
+                   ("big", "a.py"): None, ("big", "b.py"): "max_total_bytes", ("big", "c.py"): None}
