@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from corpuslint.llm import op1_quality_rules as op1
+from corpuslint.llm import op10_ngram_join as op10
 from corpuslint.llm import op2_mixing as op2
 from corpuslint.llm import op3_license_scan as op3
 from corpuslint.llm import op5_toxicity as op5
 from corpuslint.llm import op7_quality_model as op7
 from corpuslint.llm import op8_packing as op8
+from corpuslint.llm import op9_embedding_dups as op9
 
 QUERIES = {
     "op1_quality_rules": op1.query,
@@ -16,5 +18,7 @@ QUERIES = {
     "op5_toxicity": op5.query,
     "op7_quality_model": op7.query,
     "op8_packing": op8.query,
+    "op9_embedding_dups": op9.query,
+    "op10_ngram_join": op10.query,
 }
 ORACLES: dict[str, str] = {}
