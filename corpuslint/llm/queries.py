@@ -6,6 +6,7 @@ from corpuslint.llm import op1_quality_rules as op1
 from corpuslint.llm import op10_ngram_join as op10
 from corpuslint.llm import op2_mixing as op2
 from corpuslint.llm import op3_license_scan as op3
+from corpuslint.llm import op4_lm_scoring as op4
 from corpuslint.llm import op5_toxicity as op5
 from corpuslint.llm import op7_quality_model as op7
 from corpuslint.llm import op8_packing as op8
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality_rules": op1.query,
     "op2_mixing": op2.query,
     "op3_license_scan": op3.query,
+    "op4_lm_scoring": op4.query,
     "op5_toxicity": op5.query,
     "op7_quality_model": op7.query,
     "op8_packing": op8.query,
