@@ -225,12 +225,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The input's rows without near copies: of each group the row with the smallest id, and all rows without words."""
     c = Scratch(docs.sparkSession, "ngram-classes").keep(classes(docs))
     best = c.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("x"))
-    keep = best.select(F.col("x.doc_id").alias("_d"), F.col("x.tk").alias("_t"), F.lit(True).alias("_w"))
-    empty = c.where("group is null").select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), F.lit(False).alias("_w")).distinct()
-    rows = docs.withColumn("_k", F.xxhash64("text")).join(keep.union(empty), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("_k"))
-    one = rows.where("_w").withColumn("_n", copy).where("_n = 1").drop("_n")
-    return one.unionByName(rows.where("not _w")).select(*docs.columns)
+    keep = best.select(F.col("x.doc_id").alias("d"), F.col("x.tk").alias("t"), F.lit(True).alias("worded"))
+    empty = c.where("group is null").select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), F.lit(False).alias("worded")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("k"))
+    rows = rows.join(keep.union(empty), F.col("id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("t")))
+    copy = F.row_number().over(Window.partitionBy("id", "k").orderBy("k"))
+    one = rows.where("worded").withColumn("n", copy).where("n = 1")
+    return one.select("row.*").unionByName(rows.where("not worded").select("row.*"))
 
 
 def query(spark, sf_dir):

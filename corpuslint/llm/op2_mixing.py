@@ -171,7 +171,7 @@ def placed(docs: DataFrame, sources: list[Source], carry: list[str], seed: int =
     w = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = (d.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
             .select(F.col("sid").alias("sid2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("top")))
-    inner = Window.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size", *carry[:1]).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size", *[F.xxhash64(c) for c in carry]).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     return d.join(tops, (F.col("sid") == F.col("sid2")) & (F.col("bucket") == F.col("bucket2"))).select(
         "sid", (F.col("top") + F.col("before")).alias("pos"), "doc_id", "size", *carry)
@@ -212,22 +212,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken words stand in order, one space apart. Documents without words go.
     """
     spark = docs.sparkSession
-    names = docs.columns
+    names, kinds = docs.columns, dict(docs.dtypes)
     scratch = Scratch(spark, "mixed")
-    carry = [c for c in names if c not in ("doc_id",)]
-    d = sized(docs, *[c for c in carry if c != "source"])
     sources = plan(sized(docs))
-    where = scratch.keep(placed(d, sources, carry))
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    where = scratch.keep(placed(sized(rows, "row"), sources, ["row"]))
     ranges = (pieces(where).join(slots(spark, sources), ["sid", "block"]).groupBy("sid", "pos", "epoch")
               .agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("parts")))
-    rows = where.join(ranges, ["sid", "pos"]).withColumn("got", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["z"] - p["a"]))
+    rows = where.where("size > 0").join(ranges, ["sid", "pos"]).withColumn("got", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["z"] - p["a"]))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("w"), (p["a"] + 1).cast("int"), (p["z"] - p["a"]).cast("int")))), " ")
-    rows = rows.withColumn("w", F.when(F.col("got") < F.col("size"), words(F.col("text"))))
-    text = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some)
-    out = rows.withColumn("text", text)
+    rows = rows.withColumn("w", F.when(F.col("got") < F.col("size"), words(F.col("row.text"))))
+    rows = rows.withColumn("new", F.when(F.col("got") == F.col("size"), F.col("row.text")).otherwise(some))
+    out = {"text": F.col("new")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+        out["n_chars"] = F.length("new").cast(kinds["n_chars"])
+    return rows.select(*[out.get(n, F.col("row")[n]).alias(n) for n in names])
 
 
 def query(spark, sf_dir):

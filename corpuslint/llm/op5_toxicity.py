@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndarray
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """Per document p_<category> and `toxic`; with `keep`, the input's columns and `toxic` instead."""
+    """Per document p_<category> and `toxic`; with `keep`, the input's rows that are not toxic instead."""
     keys, chain = fit(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +189,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, k
             row, col = presence(b.column("text"), keys)
             p = chain_probabilities(row, col, b.num_rows, chain, len(keys)) if chain else np.zeros((b.num_rows, len(CATEGORIES)))
             if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[:, -1] >= threshold)], [*b.schema.names, "is_toxic"])
+                yield b.filter(pa.array(p[:, -1] < threshold))
             else:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= threshold)],
                                                  ["doc_id", *[f"p_{c}" for c in CATEGORIES], "toxic"])
 
     if keep:
-        fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-        return docs.mapInArrow(score, f"{fields}, is_toxic boolean")
+        return docs.mapInArrow(score, docs.schema)
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
 
 

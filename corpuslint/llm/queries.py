@@ -8,6 +8,7 @@ from corpuslint.llm import op2_mixing as op2
 from corpuslint.llm import op3_license_scan as op3
 from corpuslint.llm import op4_lm_scoring as op4
 from corpuslint.llm import op5_toxicity as op5
+from corpuslint.llm import op6_pseudonyms as op6
 from corpuslint.llm import op7_quality_model as op7
 from corpuslint.llm import op8_packing as op8
 from corpuslint.llm import op9_embedding_dups as op9
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_license_scan": op3.query,
     "op4_lm_scoring": op4.query,
     "op5_toxicity": op5.query,
+    "op6_pseudonyms": op6.query,
     "op7_quality_model": op7.query,
     "op8_packing": op8.query,
     "op9_embedding_dups": op9.query,
