@@ -7,6 +7,8 @@ works on single characters, so a text's ids are those of its words in order.
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from corpuslint.llm.textnp import LOWER, column_bytes
 #: Words a worker remembers; beyond that it starts over (more work, same ids).
 REMEMBERED = 1_000_000
 _LOWER = bytes(LOWER)
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r])")
 
 
 class Subwords:
@@ -35,31 +38,28 @@ class Subwords:
         self.used = 0
 
     def _add(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"\x01" not in w]
-        groups = [plain[k: k + 64] for k in range(0, len(plain), 64)]
-        found: list[tuple[bytes, np.ndarray]] = []
-        texts = [" \x01 ".join(w.decode("utf-8", "replace") for w in g) for g in groups]
+        """Learn the ids of new words: many words in one call, a mark after each."""
+        odd = [w for w in words if b"\x01" in w] if len(self.mark) == 1 else words
+        plain = [w for w in words if b"\x01" not in w] if len(self.mark) == 1 else []
+        texts = [b" \x01 ".join(plain[k: k + 64]).decode("utf-8", "replace") + " \x01" for k in range(0, len(plain), 64)]
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for g, e in zip(groups, many(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, np.int64)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            parts = np.split(ids, cuts) if len(self.mark) == 1 and len(cuts) == len(g) - 1 else None
-            if parts is None:
-                found += [(w, self._one(w)) for w in g]
-            else:
-                found += [(w, p[1:] if k else p) for k, (w, p) in enumerate(zip(g, parts))]
-        found += [(w, self._one(w)) for w in words if b"\x01" in w]
-        more = sum(len(p) for _, p in found)
-        if self.used + more > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(more, len(self.ids)), self.ids.dtype)])
-        if len(self.known) + len(found) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(max(len(found) + 1, len(self.start)), np.int64)])
-        for w, p in found:
-            k = len(self.known)
-            self.known[w] = k
-            self.ids[self.used: self.used + len(p)] = p
-            self.used += len(p)
-            self.start[k + 1] = self.used
+        ids = np.fromiter(chain.from_iterable(e.ids for e in many(texts, add_special_tokens=False)), np.int64)
+        marks = np.flatnonzero(ids == self.mark[0])
+        if len(marks) != len(plain):  # cannot tell the words apart
+            odd, plain, ids, marks = words, [], ids[:0], marks[:0]
+        length = np.diff(marks, prepend=-1) - 1
+        own = [self._one(w) for w in odd]
+        ids = np.concatenate([ids[ids != self.mark[0]], *own])
+        length = np.concatenate([length, [len(p) for p in own]]).astype(np.int64)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), self.ids.dtype)])
+        k = len(self.known)
+        if k + len(length) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(max(len(length) + 1, len(self.start)), np.int64)])
+        self.ids[self.used: self.used + len(ids)] = ids
+        self.start[k + 1: k + 1 + len(length)] = self.used + np.cumsum(length)
+        self.used += len(ids)
+        self.known.update(zip(chain(plain, odd), range(k, k + len(length))))
 
     def _one(self, word: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
@@ -72,17 +72,15 @@ class Subwords:
         raw = data.tobytes()
         if b"<|" not in raw:  # else a special token's name in capitals would come to count as one
             raw = raw.translate(_LOWER)
-        rows = [raw[off[i]: off[i + 1]].split() for i in range(len(off) - 1)]
-        flat = [w for r in rows for w in r]
-        get = self.known.get
-        at = [get(w, -1) for w in flat]
-        if -1 in at:
-            missing = {w for w, k in zip(flat, at) if k < 0}
+        # a stop or comma after a letter and before white space is a piece of its own
+        rows = [_STOP.sub(rb" \1", raw[off[i]: off[i + 1]]).split() for i in range(len(off) - 1)]
+        flat = list(chain.from_iterable(rows))
+        missing = set(flat).difference(self.known)
+        if missing:
             self._add(sorted(missing))
-            at = [get(w) for w in flat]
-        at = np.array(at, np.int64)
-        begin = self.start[at] if len(at) else at
-        length = (self.start[at + 1] - begin) if len(at) else at
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        begin = self.start[at]
+        length = self.start[at + 1] - begin
         total = np.concatenate([[0], np.cumsum(length)])
         source = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
         words = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
