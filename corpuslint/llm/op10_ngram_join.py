@@ -16,8 +16,9 @@ decided by cost:
 
 Sets with an equal entry are candidates. An entry's sets are not expanded into
 pairs: they are first compared with two of them (the smallest and the largest id),
-and the links found give components. Entries whose sets then still lie in several
-components are resolved exactly: up to SMALL sets by the pairs across components,
+and the links found give components. Where an entry's sets then still lie in several
+components, STAR_ROUNDS further rounds compare them with one of them, another one in
+each entry. What is left after that is resolved exactly: up to SMALL sets by the pairs across components,
 larger ones by a prefix filter in frequency order among their sets. Every link
 reported is verified on the whole sets. Equal sets are one class from the start.
 
@@ -44,7 +45,8 @@ from corpuslint.llm.textnp import NON_SPACE, U, column_bytes, mix, row_bounds, s
 SHINGLE = 4
 PERCENT = 85
 GROWTH = 1.4
-SMALL = 64
+SMALL = 16
+STAR_ROUNDS = 4
 
 
 def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
@@ -170,20 +172,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _across(members: DataFrame, key: str) -> DataFrame:
-    """Pairs a < b of members of one key that lie in different components."""
-    other = members.select(key, F.col("cid").alias("b"), F.col("comp").alias("comp2"))
-    return (members.select(key, F.col("cid").alias("a"), "comp").join(other, key)
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs a < b of sets of one entry that lie in different components."""
+    other = members.select("sig", F.col("cid").alias("b"), F.col("comp").alias("comp2"))
+    return (members.select("sig", F.col("cid").alias("a"), "comp").join(other, "sig")
             .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2"))).select("a", "b").distinct())
 
 
-def _rare_prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(token, cid, comp): the rarest n - ceil(t n) + 1 shingles of each member's set, rare among the members."""
+def _across_prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a < b across components that share a shingle among the n - ceil(t n) + 1 of each that are rarest among the members, early enough."""
     tokens = members.select("cid", "comp").distinct().join(sets, "cid").select("cid", "comp", F.size("sh").alias("n"), F.explode("sh").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("often", "token"))
     ranked = tokens.join(often.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("often > 1").select("token", "cid", "comp")
+    ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("often > 1")
+    other = ranked.select("token", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"))
+    # the first shared shingle of a linked pair leaves room for all they must share
+    room = F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + 1
+    return (ranked.join(other, "token")
+            .where((F.col("cid") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (room * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))))
+            .select(F.col("cid").alias("a"), "b").distinct())
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, cid, comp, n): the sets of entries whose sets lie in several components; n of them."""
+    placed = members.select("sig", "cid").join(comps, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
+    several = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    return placed.join(several.select("sig", "n"), "sig")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -199,14 +214,29 @@ def classes(docs: DataFrame) -> DataFrame:
     links = scratch.keep(verified(first, sets))
     comps = scratch.keep(connected_components(scratch, links))
 
-    placed = members.select("sig", "cid").join(comps, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("sig", "n")
-    rest = scratch.keep(placed.join(open_, "sig"))
-    more = _across(rest.where(F.col("n") <= SMALL), "sig")
+    tested, rest = first, None
+    for turn in range(STAR_ROUNDS + 1):
+        if rest is not None:
+            scratch.drop(rest)
+        rest = scratch.keep(_open(members, comps))
+        if turn == STAR_ROUNDS or rest.isEmpty():
+            break
+        order = F.xxhash64("cid", "sig", F.lit(turn))
+        pivot = rest.groupBy("sig").agg(F.min_by(F.struct("cid", "comp"), order).alias("p"))
+        pairs = (rest.join(pivot, "sig").where("comp <> p.comp")
+                 .select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct())
+        new = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = scratch.keep(verified(new, sets))
+        tested = tested.union(new)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        comps = scratch.keep(connected_components(scratch, links))
+    more = _across(rest.where(F.col("n") <= SMALL))
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
-        more = more.union(_across(_rare_prefixes(many, sets), "token")).distinct()
-    late = scratch.keep(verified(more.join(first, ["a", "b"], "left_anti"), sets))
+        more = more.union(_across_prefixes(many, sets)).distinct()
+    late = scratch.keep(verified(more.join(tested, ["a", "b"], "left_anti"), sets))
     if not late.isEmpty():
         comps = scratch.keep(connected_components(scratch, links.union(late)))
     scratch.drop(shared, members, first, sets, rest)
