@@ -1,0 +1,297 @@
+"""The training-data operators against brute force and on odd inputs."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from corpuslint.llm import op1_quality_rules as op1
+from corpuslint.llm import op2_mixing as op2
+from corpuslint.llm import op3_license_scan as op3
+from corpuslint.llm import op4_lm_scoring as op4
+from corpuslint.llm import op5_toxicity as op5
+from corpuslint.llm import op6_pseudonyms as op6
+from corpuslint.llm import op7_quality_model as op7
+from corpuslint.llm import op8_packing as op8
+from corpuslint.llm import op9_embedding_dups as op9
+from corpuslint.llm import op10_ngram_join as op10
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sid int, size string, sig string"
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def _texts():
+    r = np.random.default_rng(1)
+    out = [None, "", "one", "a b c", "\n\n \t", "This work is licensed under the GNU General Public License, version 3.\nMIT License mit license"]
+    base = [" ".join(r.choice(WORDS, 120)) for _ in range(8)]
+    for b in base:
+        w = b.split()
+        out += [b, " ".join(w[:-2]), " ".join(w[:60] + ["x"] + w[60:]), " ".join(w[:40])]
+    out += ["the the the the the the the the the the the the the", " ".join(r.choice(WORDS, 6000)), base[0], base[0]]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 3 else None, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t) if t else None, 1, "x", None) for i, t in enumerate(_texts())]
+    rows.append(rows[8])  # a repeated row
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def test_quality_rules_base(docs, nothing):
+    for r in op1.quality_rules(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        c = Counter(tuple(w[k: k + 5]) for k in range(len(w) - 4))
+        cover = {j for k in range(len(w) - 4) if c[tuple(w[k: k + 5])] > 1 for j in range(k, k + 5)}
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
+        assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
+        assert not (r.kept and r.base_failed) and 0 <= r.quality <= 1
+    assert op1.quality_rules(nothing).count() == 0
+
+
+def test_targets_and_mix(docs, nothing):
+    got = op2.targets([("b", 100), (None, 1000), ("a", 10)])
+    assert [g[0] for g in got] == ["a", "b", None]
+    assert got[0][2] == 20 and got[1][2] == 200 and math.isclose(sum(g[2] for g in got), 1.5 * 1110)
+    rows = op2.taken(docs).collect()
+    again = op2.taken(docs).collect()
+    assert len(rows) == docs.count() and sorted(map(str, rows)) == sorted(map(str, again))
+    assert all(r.taken <= 2 * r.size for r in rows)
+    by = {}
+    for r in rows:
+        t = by.setdefault((r.source_size, r.target), [0])
+        t[0] += r.taken
+    assert all(abs(t[0] - target) <= 2 * op2.BLOCK_WORDS for (_, target), t in by.items())
+    mixed = op2.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in rows)
+    assert op2.taken(nothing).count() == 0
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 7, 1000):
+        assert sorted(op2.permuted(np.arange(n), n, 5)) == list(range(n))
+
+
+def test_license_scan(docs, nothing):
+    phrases = {p: label for p, label in op3.PHRASES}
+    for r in op3.license_scan(docs).where("doc_id is not null").dropDuplicates(["doc_id"]).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(j, label) for p, label in phrases.items() for j in range(len(w)) if w[j: j + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base) == (len(w), len(places))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(r.base_labels.split(",")) <= set(r.labels.split(","))
+        expected = set()
+        for number, line in enumerate(low.split("\n")):
+            have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+            for label, text in op3.TEMPLATES:
+                t = {x.decode() for x in op3.template_words(text)}
+                if len(t & have) >= 0.8 * len(t) - 1e-9:
+                    expected.add((number, label))
+        assert {(m.line, m.label) for m in r.matches} == expected
+    assert op3.license_scan(nothing).count() == 0
+
+
+def test_lm_base_and_model(docs, nothing):
+    rows = op4.lm_scores(docs).collect()
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    c = Counter(x for i, t in texts if not held(i) for x in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(i), len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens(t)), 6)) for i, t in texts)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == want
+    assert all(r.train_tokens == n and r.score < 0 for r in rows)
+    assert op4.lm_scores(nothing).count() == 0
+
+
+def test_attention_gradient():
+    r = np.random.default_rng(0)
+    net = {k: (x + 0.05 * r.normal(size=x.shape)).astype(np.float64) for k, x in op4.start_weights().items()}
+    x, y, first = op4.laid_out(r.integers(0, 50, 70), np.array([0, 30, 70]), np.arange(100), 99)
+    y = np.where(y >= 0, y % op4.CLASSES, -1)
+    blocks = np.setdiff1d(np.arange(1, len(x)), first[:-1])
+    table = np.zeros((op4.SLOTS + 2, op4.CLASSES))
+
+    def loss():
+        logits, _ = op4.attended(x, net, table, blocks)
+        t = y[blocks].ravel()
+        return -op4.log_probabilities(logits.astype(np.float64), np.maximum(t, 0))[t >= 0].mean()
+
+    g = op4.gradients(x, y, net, table, blocks)
+    for k, at in (("q", (3, 4)), ("k", (1, 2)), ("v", (5, 5)), ("u", (0, 1)), ("o", (2, 3)), ("r", (1,))):
+        keep, e = net[k][at], 1e-4
+        net[k][at] = keep + e
+        up = loss()
+        net[k][at] = keep - e
+        down = loss()
+        net[k][at] = keep
+        assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4
+
+
+def test_toxicity_learns(spark, nothing):
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join([*r.choice(WORDS, 30), *(["vilewort"] if i % 4 == 0 else [])])) for i in range(200)] + [(None, None), (500, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)], "doc_id long, toxic int")
+    got = {x.doc_id: x.toxic for x in op5.toxicity(d, labels).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(200)) and not got[None] and not got[500]
+    kept = op5.toxicity(d, labels, keep=True)
+    assert kept.columns == d.columns and kept.count() == 152
+    assert op5.toxicity(d, labels.limit(0)).where("toxic").count() == 0
+
+
+def test_pseudonyms(spark, nothing, docs):
+    text = "mail jo.doe7@example.org card 4539 1488 0343 6467 bad 4539148803436468 ip 10.2.3.44. on 2024-02-29 or 2024-02-30 call +1 (626) 555-5759 token = \"ab12cd34ef56\""
+    d = spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (5, "plain 12")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in op6.pseudonymised(d, "k").collect()}
+    new = out[1]
+    assert new == out[2] and out[3] is None and out[4] == "" and out[5] == "plain 12"
+    for gone in ("jo.doe7", "0343 6467", "10.2.3.44", "2024-02-29", "555-5759", "ab12cd34ef56"):
+        assert gone not in new
+    for kept in ("@example.org", "4539148803436468", "2024-02-30", "+1 ("):
+        assert kept in new
+    card = re.search(r"card ([0-9 ]+) bad", new)[1].replace(" ", "")
+    digits = [int(c) for c in card]
+    assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits[::-1])) % 10 == 0
+    assert op6.pseudonymised(docs).columns == docs.columns and op6.pseudonymised(nothing).count() == 0
+    three = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
+    assert three.select(op6.permuted(F.col("t"), "x", "k").alias("p")).distinct().count() == 1000
+    pair = spark.range(21).select(op6.permuted_pair(F.floor(F.col("id") / 7), F.col("id") % 7, 3, 7, "x", "k").alias("p"))
+    assert pair.distinct().count() == 21
+
+
+def test_quality_model(spark, nothing):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(w + ("%%%" if i % 2 else "") for w in r.choice(WORDS, 80))) for i in range(300)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)], "doc_id long, quality int")
+    got = op7.quality_scores(d, labels).collect()
+    right = [x.predicted == 1 - x.doc_id % 2 for x in got if x.held_out and x.doc_id < 300]
+    assert np.mean(right) > 0.9 and all(0 <= x.score <= 1 for x in got) and len(got) == 302
+    assert op7.quality_scores(d, labels.limit(0)).count() == 302
+
+
+def test_packing(docs, nothing):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(op8.tokenizer_path())
+    pieces = op8.pack(docs.where("doc_id is not null and doc_id <> 8")).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for i, t in texts.items():
+        if i is None or i == 8:
+            continue
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        own = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
+        assert [p.start for p in own] == list(np.cumsum([0] + [p.length for p in own])[:-1]) and sum(p.length for p in own) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.start: p.start + p.length], "<u4").tobytes()) for p in own)
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == list(np.cumsum([0] + [n for _, n in s])[:-1]) and sum(n for _, n in s) <= op8.LENGTH
+    assert op8.pack(nothing).count() == 0
+
+
+def test_cut_is_optimal():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        pos = np.concatenate([[0], np.cumsum(r.integers(1, 9, 25))])
+        pen = r.integers(0, 6, 26)
+        best = [0] + [10**9] * 25
+        for j in range(1, 26):
+            best[j] = min(best[i] + 16 - (pos[j] - pos[i]) + pen[j] for i in range(j) if pos[j] - pos[i] <= 16)
+        at = [0, *op8.cut(pos, pen, 16)]
+        assert sum(16 - (pos[z] - pos[a]) + pen[z] for a, z in zip(at, at[1:])) == best[25]
+
+
+def _components(n, edges):
+    p = list(range(n))
+
+    def find(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in edges:
+        p[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+def test_embedding_duplicates(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 16))
+    x = np.concatenate([x, x[:20] + 0.12 * r.normal(size=(20, 16)), np.repeat(x[:1], 10, 0) + 0.03 * r.normal(size=(10, 16)), x[:2]])
+    label = [i % 2 for i in range(60)] + [i % 2 for i in range(20)] + [0] * 10 + [0, 1]
+    rows = [(i, [float(c) for c in v], lab) for i, (v, lab) in enumerate(zip(x, label))]
+    odd = [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, rows[0][1], None), (204, [1.0, 2.0], 0), (205, [2.0, 4.0], 0)]
+    got = {g.vec_id: g for g in op9.near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    edges = [(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if label[i] == label[j] and u[i] @ u[j] >= 0.93]
+    comps = _components(len(u), edges)
+    links = Counter(k for e in edges for k in e)
+    right = sum(got[i].n_links == links[i] and got[i].component_id == comps[i] for i in range(len(u)))
+    assert right >= 0.9 * len(u) and sum(got[i].n_links for i in range(len(u))) <= 2 * len(edges)
+    assert all(got[i].n_links == 0 and got[i].kept for i in (200, 201, 202, 203)) and got[205].component_id == 204
+
+
+def test_ngram_join(docs, nothing):
+    rows = docs.select("doc_id", "text").collect()
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets.append({tuple(w[i: i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set())
+    edges = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    comps = _components(len(sets), edges)
+    least = {}
+    for c, r in zip(comps, rows):
+        if r.doc_id is not None:
+            least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    want = sorted((str(r.doc_id), len(s), str(least.get(c))) for r, s, c in zip(rows, sets, comps))
+    assert sorted((str(g.doc_id), g.n_shingles, str(g.component_id)) for g in op10.ngram_join(docs).collect()) == want
+    kept = op10.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(comps))
+    assert op10.ngram_join(nothing).count() == 0
+
+
+def test_index_entries_meet_every_pair():
+    """Any two sets over the threshold share an entry: planted pairs at the threshold, small to large."""
+    r = np.random.default_rng(6)
+    table = op10.bands(4096)
+    for n in [*range(6, 60), 100, 333, 1000]:
+        for _ in range(6):
+            pool = np.unique(r.integers(0, 2**63, 3 * n).astype(np.uint64))
+            r.shuffle(pool)
+            drop = int(r.integers(0, max(1, n // 6) + 1))
+            add = 0
+            a = set(pool[:n].tolist())
+            b = set(pool[drop:n].tolist())
+            while 100 * len(a & (b | set(pool[n: n + add + 1].tolist()))) >= 85 * len(a | b | set(pool[n: n + add + 1].tolist())):
+                add += 1
+            b |= set(pool[n: n + add].tolist())
+            if a == b or 100 * len(a & b) < 85 * len(a | b):
+                continue
+            ea, eb = (set(op10.entries(np.array(sorted(s), np.uint64), table).tolist()) for s in (a, b))
+            assert ea & eb
+
+
+def test_words_across_blocks(monkeypatch):
+    from corpuslint.llm import textnp
+
+    text = ["aa bb  cc" * 3, "", None, "x" * 50 + " y", "tail"]
+    whole = textnp.word_table(*textnp.column_bytes(pa.array(text)), textnp.NON_SPACE)
+    monkeypatch.setattr(textnp, "BLOCK", 7)
+    parts = textnp.word_table(*textnp.column_bytes(pa.array(text)), textnp.NON_SPACE)
+    assert all((a == b).all() for a, b in zip(whole, parts))
