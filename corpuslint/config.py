@@ -96,18 +96,19 @@ GITHUB_HTTP_PREFIXES = ("https://github.com/", "http://github.com/")
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds and switches of one analysis run (defaults mirror the reference)."""
+    """Thresholds and switches of one analysis run (defaults mirror the reference, except that no cap is set)."""
 
     include_globs: tuple[str, ...] = DEFAULT_INCLUDE_GLOBS
     exclude_globs: tuple[str, ...] = DEFAULT_EXCLUDE_GLOBS
     history_file_path: str = ".code-review-history.json"
-    max_files: int | None = 500
-    max_file_bytes: int | None = 200_000
-    max_total_bytes: int | None = 5_000_000
+    # Caps are options: by default no file is dropped and no history row is forgotten.
+    max_files: int | None = None
+    max_file_bytes: int | None = None
+    max_total_bytes: int | None = None
     structure_summary_max_paths: int = 20
     dependency_edge_cap: int = 100
     key_files_cap: int = 10
-    history_max_entries: int = 5000
+    history_max_entries: int | None = None
     tokenizer_name: str = "simple-char-budget"
     structure_summary_cap: int = 4000
     key_files_token_cap: int = 4000

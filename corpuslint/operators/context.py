@@ -164,4 +164,6 @@ def next_history(parsed: DataFrame, issues: DataFrame, history: DataFrame | None
         base = base.join(old, ["repo", "path"], "left")
         fp = F.array_distinct(F.concat(F.coalesce("old_fps", F.expr("cast(array() as array<string>)")), fp))
     out = base.select("repo", "path", "content_hash", fp.alias("issue_fingerprints"))
+    if cfg.history_max_entries is None:
+        return out
     return first_paths(out, cfg.history_max_entries, "rank").drop("rank")

@@ -119,6 +119,10 @@ def file_facts(repo: str, path: str, text: str, size_bytes: int, chash: str) ->
             out.append(row("AddOp", p, l, b, line=node.lineno))
         elif kind is ast.Constant and isinstance(node.value, str):
             out.append(row("Str", p, l, b, line=node.lineno, txt=node.value))
+    try:  # a literal may hold what no text column can (a lone surrogate)
+        "".join(v for r in out for v in r if isinstance(v, str)).encode("utf-8")
+    except UnicodeEncodeError as exc:
+        return [row("__error__", txt=str(exc), size=size_bytes, h=chash)]
     return out
 
 
@@ -143,7 +147,7 @@ def _facts_batches(batches):
         rows: list[tuple] = []
         for repo, path, text, size, chash in zip(cols["repo"], cols["path"], cols["text"], cols["size_bytes"],
                                                  cols["content_hash"]):
-            rows.extend(file_facts(repo, path, text, int(size), chash))
+            rows.extend(file_facts(repo, path, text, None if size is None else int(size), chash))
         if not rows:
             continue
         columns = list(zip(*rows))

@@ -156,7 +156,7 @@ def test_summary(task_results: DataFrame) -> DataFrame:
         F.col("tag").startswith(C.TEST_RESULT_PREFIX))
     first = tags.groupBy("repo").agg(F.min_by("tag", F.struct("task_order", "pos")).alias("tag"))
     parts = F.split(F.expr(f"substring(tag, {len(C.TEST_RESULT_PREFIX) + 1})"), ":", 2)
-    found = first.select("repo", parts[0].alias("status"), F.coalesce(parts[1], F.lit("")).alias("detail"))
+    found = first.select("repo", parts[0].alias("status"), F.coalesce(F.get(parts, 1), F.lit("")).alias("detail"))
     repos = task_results.select("repo").distinct()
     return repos.join(found, ["repo"], "left").select(
         "repo", F.coalesce("status", F.lit("not_run")).alias("status"), "detail")

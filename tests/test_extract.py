@@ -60,3 +60,9 @@ def test_call_name_unknown_base():
     assert call_name(ast.parse("df.eval(x)").body[0].value.func) == "df.eval"
     assert call_name(ast.parse("a.b.c()").body[0].value.func) == "a.b.c"
     assert call_name(ast.parse("(lambda: 1)()").body[0].value.func) is None
+
+
+def test_surrogate_literal_fails_alone(files_df):
+    t = run(files_df({"good.py": "x = 1\n", "odd.py": "x = '\\ud800'\n"}))
+    assert [r.path for r in t.parsed.collect()] == ["good.py"]
+    assert [(r.path, r.stage) for r in t.failed.collect()] == [("odd.py", "parse")]

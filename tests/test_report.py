@@ -86,3 +86,5 @@ def test_test_summary_tag(spark):
                                "repo string, task_order int, agent_name string, evidence array<string>")
     got = {r.repo: (r.status, r.detail) for r in rep.test_summary(tr).collect()}
     assert got == {"r": ("skipped", "execution_disabled"), "q": ("not_run", None)}
+    bare = spark.createDataFrame([("r", 0, "test", ["test-result:passed"])], tr.schema)
+    assert [(r.status, r.detail) for r in rep.test_summary(bare).collect()] == [("passed", "")]

@@ -37,7 +37,7 @@ def test_globs_are_root_anchored_and_star_crosses_slash(spark):
 def test_size_cap_and_language(spark):
     df = spark.createDataFrame([("r", "big.py", 300_000), ("r", "A.java", 5), ("r", "x.PY", 5)],
                                "repo string, path string, size_bytes bigint")
-    out = {r.path: (r.skip_rule, r.language) for r in admit(df, Settings(include_globs=("**/*",))).collect()}
+    out = {r.path: (r.skip_rule, r.language) for r in admit(df, Settings(include_globs=("**/*",), max_file_bytes=200_000)).collect()}
     assert out["big.py"] == ("max_file_bytes", "python")
     assert out["A.java"] == (None, "java")
     assert out["x.PY"] == (None, "text")  # suffix lookup is case-sensitive
@@ -89,3 +89,8 @@ def test_fitting_repo_skips_fold_overflowing_repo_folds(spark):
     out = {(r.repo, r.path): r.skip_rule for r in admit(df, Settings(max_total_bytes=6)).collect()}
     assert out == {("small", "a.py"): None, ("small", "b.py"): None,
                    ("big", "a.py"): None, ("big", "b.py"): "max_total_bytes", ("big", "c.py"): None}
+
+
+def test_nothing_is_dropped_by_default(spark):
+    df = spark.createDataFrame([("r", f"m{i}.py", 300_000) for i in range(600)], "repo string, path string, size_bytes bigint")
+    assert admit(df, Settings()).where("skip_rule is null").count() == 600
