@@ -19,8 +19,10 @@ pairs: they are first compared with two of them (the smallest and the largest id
 and the links found give components. Where an entry's sets then still lie in several
 components, STAR_ROUNDS further rounds compare them with one of them, another one in
 each entry. What is left after that is resolved exactly: up to SMALL sets by the pairs across components,
-larger ones by a prefix filter in frequency order among their sets. Every link
-reported is verified on the whole sets. Equal sets are one class from the start.
+larger ones by a prefix filter in frequency order among their sets. In these rounds a
+pair is formed only if its sets' histograms (shingles counted into BUCKETS by hash)
+allow the threshold: the sum of the smaller counts bounds the intersection from above,
+so no link is lost. Every link reported is verified on the whole sets. Equal sets are one class from the start.
 
 Shingles are 64-bit hashes of their words; a class is a 64-bit hash of its set.
 
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslint.llm.common import Scratch, connected_components
@@ -47,6 +49,8 @@ PERCENT = 85
 GROWTH = 1.4
 SMALL = 16
 STAR_ROUNDS = 4
+BUCKETS = 64
+FULL = 127  # a bucket's count stops here and then bounds nothing
 
 
 def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
@@ -150,7 +154,7 @@ def indexed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cid, sh): the whole sets of the needed classes, from one text of each."""
+    """(cid, sh, size, hist): the whole sets of the needed classes, from one text of each; hist counts their shingles by bucket."""
     one = index.join(needed, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "tk")).alias("x")).select("cid", F.col("x.doc_id").alias("d"), F.col("x.tk").alias("t"))
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tk", F.xxhash64("text"))
              .join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))).groupBy("cid").agg(F.first("text").alias("text")))
@@ -159,9 +163,20 @@ def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             row, v = shingles(b.column("text"))
             ends = row_bounds(row, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(v)))], ["cid", "sh"])
+            at = row.astype(np.int64) * BUCKETS + (v % U(BUCKETS)).astype(np.int64)
+            count = np.minimum(np.bincount(at, minlength=b.num_rows * BUCKETS), FULL).astype(np.int8)
+            hist = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BUCKETS, pa.int32()), pa.array(count))
+            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(v)))
+            yield pa.RecordBatch.from_arrays([b.column("cid"), sets, pa.array(np.diff(ends).astype(np.int64)), hist], ["cid", "sh", "size", "hist"])
 
-    return texts.mapInArrow(work, "cid long, sh array<long>")
+    return texts.mapInArrow(work, "cid long, sh array<long>, size long, hist array<tinyint>")
+
+
+def _may_link(size: Column, hist: Column, size2: Column, hist2: Column) -> Column:
+    """False only where the histograms rule the threshold out."""
+    add = lambda total, x: total + F.when(x == FULL, F.lit(1 << 40)).otherwise(x.cast("long"))
+    most = F.aggregate(F.zip_with(hist, hist2, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), add)
+    return (100 + PERCENT) * most >= PERCENT * (size + size2)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,10 +188,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs a < b of sets of one entry that lie in different components."""
-    other = members.select("sig", F.col("cid").alias("b"), F.col("comp").alias("comp2"))
-    return (members.select("sig", F.col("cid").alias("a"), "comp").join(other, "sig")
-            .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2"))).select("a", "b").distinct())
+    """Pairs a < b of sets of one entry that lie in different components and may link."""
+    other = members.select("sig", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("hist").alias("hist2"))
+    may = _may_link(F.col("size"), F.col("hist"), F.col("size2"), F.col("hist2"))
+    mine = members.select("sig", F.col("cid").alias("a"), "comp", "size", "hist")
+    return mine.join(other, (mine.sig == other.sig) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & may).select("a", "b").distinct()
 
 
 def _across_prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,11 +210,11 @@ def _across_prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
             .select(F.col("cid").alias("a"), "b").distinct())
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(sig, cid, comp, n): the sets of entries whose sets lie in several components; n of them."""
+def _open(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, sig, comp, n, size, hist): the sets of entries whose sets lie in several components; n of them."""
     placed = members.select("sig", "cid").join(comps, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
     several = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    return placed.join(several.select("sig", "n"), "sig")
+    return placed.join(several.select("sig", "n"), "sig").join(sets.select("cid", "size", "hist"), "cid")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -218,12 +234,13 @@ def classes(docs: DataFrame) -> DataFrame:
     for turn in range(STAR_ROUNDS + 1):
         if rest is not None:
             scratch.drop(rest)
-        rest = scratch.keep(_open(members, comps))
+        rest = scratch.keep(_open(members, comps, sets))
         if turn == STAR_ROUNDS or rest.isEmpty():
             break
         order = F.xxhash64("cid", "sig", F.lit(turn))
-        pivot = rest.groupBy("sig").agg(F.min_by(F.struct("cid", "comp"), order).alias("p"))
-        pairs = (rest.join(pivot, "sig").where("comp <> p.comp")
+        pivot = rest.groupBy("sig").agg(F.min_by(F.struct("cid", "comp", "size", "hist"), order).alias("p"))
+        may = _may_link(F.col("size"), F.col("hist"), F.col("p.size"), F.col("p.hist"))
+        pairs = (rest.join(pivot, (rest.sig == pivot.sig) & (F.col("comp") != F.col("p.comp")) & may)
                  .select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct())
         new = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
         found = scratch.keep(verified(new, sets))
