@@ -20,7 +20,7 @@ DEFAULT_EXCLUDE_GLOBS = (".git/**", "node_modules/**", "__pycache__/**", ".venv/
 ENTRYPOINT_NAMES = ("main.py", "app.py", "manage.py", "index.ts", "index.js")
 CONFIG_NAMES = ("pyproject.toml", "package.json", "tsconfig.json", "requirements.txt")
 
-SECRET_KEYWORDS = ("password", "secret", "token", "api_key")
+SECRET_KEYWORDS = "(password|secret|token|api_key)"
 SQL_KEYWORDS = ("SELECT ", "INSERT ", "UPDATE ", "DELETE ")
 SNAKE_CASE = r"^[a-z_][a-z0-9_]*$"
 PASCAL_CASE = r"^[A-Z][A-Za-z0-9]+$"

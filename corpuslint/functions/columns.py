@@ -14,7 +14,7 @@ SPLITLINES_REGEX = "[\\n\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 # Python's str.isspace() set, spelled out so \s means the same in every engine.
 PY_WHITESPACE_CLASS = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 SECRET_REGEX = (
-    "(?iu)(" + "|".join(C.SECRET_KEYWORDS) + ")" + PY_WHITESPACE_CLASS + "*=" + PY_WHITESPACE_CLASS + "*['\"][^'\"]+['\"]"
+    "(?iu)" + C.SECRET_KEYWORDS + PY_WHITESPACE_CLASS + "*=" + PY_WHITESPACE_CLASS + "*['\"][^'\"]+['\"]"
 )
 
 

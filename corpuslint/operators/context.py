@@ -120,8 +120,8 @@ def target_files(changes: DataFrame, cfg: Settings) -> DataFrame:
     """The changed files if the switch is on and any file changed, else every file."""
     if not cfg.review_changed_files_only:
         return changes.select("repo", "path")
-    any_changed = F.max((F.col("status") == "changed").cast("int")).over(Window.partitionBy("repo"))
-    return (changes.withColumn("any_changed", any_changed)
+    per_repo = changes.groupBy("repo").agg(F.max((F.col("status") == "changed").cast("int")).alias("any_changed"))
+    return (changes.join(per_repo, ["repo"])
                    .filter((F.col("any_changed") == 0) | (F.col("status") == "changed"))
                    .select("repo", "path"))
 

@@ -159,7 +159,7 @@ def decode(accepted: DataFrame) -> DataFrame:
     """B1/B2: strict UTF-8 decode, newline-normalised text and SHA-1; invalid rows keep text null."""
     content = F.col("content")
     if isinstance(accepted.schema["content"].dataType, BinaryType):
-        valid = F.is_valid_utf8(content.cast("string"))
+        valid = F.coalesce(F.is_valid_utf8(content.cast("string")), F.lit(False))
         text = F.when(valid, content.cast("string"))
     else:
         valid = content.isNotNull()
@@ -173,6 +173,9 @@ def _decode_error_messages(batches):
     for pdf in batches:
         msgs = []
         for raw in pdf["content"]:
+            if raw is None:
+                msgs.append("content is null")
+                continue
             try:
                 bytes(raw).decode("utf-8")
                 msgs.append("invalid utf-8")

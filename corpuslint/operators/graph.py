@@ -14,9 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslint.functions.columns import path_key
-from corpuslint.session import cut_lineage
-
-MAX_ROUNDS = 10_000
+from corpuslint.session import cut_lineage, delete_tables, write_table
 
 
 def module_index(parsed: DataFrame) -> DataFrame:
@@ -48,11 +46,6 @@ def build_edges(parsed: DataFrame) -> DataFrame:
     )
 
 
-def with_edge_order(edges: DataFrame) -> DataFrame:
-    """Edge order = source files in path order, imports sorted within a file."""
-    return edges.withColumn("edge_key", F.struct(path_key("source").alias("pk"), F.col("module").alias("m")))
-
-
 def dependencies_by_source(edges: DataFrame) -> DataFrame:
     """C4: per-file adjacency, targets sorted, duplicates kept."""
     return edges.groupBy("repo", F.col("source").alias("path")).agg(
@@ -66,31 +59,31 @@ def file_edges(parsed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class _Rounds:
-    """Round bookkeeping for iterative graph jobs.
+    """Tables of an iterative graph job.
 
     Every iterate reads the previous one exactly once, so plans stay linear, and
     every iterate is written once as a table under the shared checkpoint folder
     and read back: one job per round, a fresh small plan for the next round, and
     a lost executor never recomputes earlier rounds. (Persisting instead leaves a
     growing set of cache entries that every later query is matched against.)
+    `release` deletes the tables once the job's result is written.
     """
 
-    def __init__(self):
-        self.n = 0
+    def __init__(self, spark):
+        self.spark = spark
+        self.paths: list[str] = []
 
-    def settle(self, df: DataFrame, count_filter: str | None = None, cut: bool = True,
-               count: bool = True) -> tuple[DataFrame, int]:
-        self.n += 1
-        if self.n > MAX_ROUNDS:
-            raise RuntimeError("graph iteration did not converge within MAX_ROUNDS")
-        df = cut_lineage(df)
+    def settle(self, df: DataFrame, count_filter: str | None = None, count: bool = True) -> tuple[DataFrame, int]:
+        df, path = write_table(df)
+        self.paths.append(path)
         if not count:
             return df, -1
         counted = df.filter(count_filter) if count_filter else df
         return df, counted.count()
 
     def release(self) -> None:
-        pass
+        delete_tables(self.spark, self.paths)
+        self.paths = []
 
 
 def _with_self_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -109,9 +102,9 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     root form the root's component. Found components leave; repeat on the rest.
     """
     spark = nodes.sparkSession
-    r = _Rounds()
+    r = _Rounds(spark)
     e, _ = r.settle(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")).distinct(),
-                    cut=True, count=False)
+                    count=False)
     live = nodes.select("repo", F.col("path").alias("node"))
     found = None
     while True:
@@ -158,8 +151,8 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 break
         member = reach.filter(F.col("reach") == 1).select("repo", "node", "colour")
         found = member if found is None else found.unionByName(member)
-        found, _ = r.settle(found, cut=True, count=False)
-        live, _ = r.settle(live.join(member.select("repo", "node"), ["repo", "node"], "left_anti"), cut=True,
+        found, _ = r.settle(found, count=False)
+        live, _ = r.settle(live.join(member.select("repo", "node"), ["repo", "node"], "left_anti"),
                            count=False)  # carried into the next outer iteration: store it
     if found is None:
         r.release()
@@ -175,55 +168,52 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cycle_rows(parsed: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per cycle component: repo, path (first member in file order), evidence.
+    """One row per cycle component: repo, path (first member in file order), evidence, n (members).
 
-    The evidence walks the component from that member along its in-component
-    edges (string-smallest dependency first) back to the start: ``a -> b -> a`` for a
-    simple cycle, as a depth-first search in file order reports it.
+    The evidence is a shortest cycle through that member, ``a -> b -> a``; every
+    printed hop is an import. Of several shortest ones the string-smallest is named.
     """
     fe = file_edges(parsed, edges)
     comps = strongly_connected(parsed.select("repo", "path"), fe)
     members = comps.select("repo", F.col("node").alias("path"), "comp")
     start = members.groupBy("repo", "comp").agg(F.min_by("path", path_key("path")).alias("start"),
                                                 F.count("*").alias("n"))
-    # Successor inside the component: smallest target (path order) among in-component edges.
     inner = (fe.distinct()
                .join(members.withColumnRenamed("path", "source"), ["repo", "source"])
                .join(members.withColumnRenamed("path", "target").withColumnRenamed("comp", "comp_t"), ["repo", "target"])
                .filter(F.col("comp") == F.col("comp_t"))
-               .groupBy("repo", "comp", "source").agg(F.min("target").alias("succ")))  # dependencies sort as strings
-    walk = list_rank(inner, start)
-    chain = walk.groupBy("repo", "comp").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda s: s["node"]), " -> ")
-        .alias("ring"))
-    return (start.join(chain, ["repo", "comp"])
-            .select("repo", F.col("start").alias("path"),
-                    F.concat("ring", F.lit(" -> "), "start").alias("evidence"), "n"))
+               .select("repo", "comp", "source", "target"))
+    return (start.join(shortest_cycles(inner, start), ["repo", "comp"])
+            .select("repo", F.col("start").alias("path"), F.array_join("ring", " -> ").alias("evidence"), "n"))
 
 
-def list_rank(succ: DataFrame, start: DataFrame) -> DataFrame:
-    """Positions along the successor walk from each component's start.
+def shortest_cycles(inner: DataFrame, start: DataFrame) -> DataFrame:
+    """(repo, comp, ring): a shortest cycle from each component's start back to it.
 
-    Returns (repo, comp, node, pos) for nodes reached before the walk returns to
-    a visited node; one join round per step, all components advance together.
+    Breadth-first over the in-component edges, all components together: a round
+    advances every open component by one hop and keeps one ring prefix per reached
+    node; a component leaves in the round that reaches its start again.
     """
-    r = _Rounds()
-    frontier, _ = r.settle(start.select("repo", "comp", F.col("start").alias("node"),
-                                        F.lit(0).cast("bigint").alias("pos")), cut=True, count=False)
-    step, _ = r.settle(succ.select("repo", "comp", F.col("source").alias("node"), F.col("succ").alias("nxt")),
-                       cut=True, count=False)
-    written = [frontier]
+    r = _Rounds(inner.sparkSession)
+    step, _ = r.settle(inner.select("repo", "comp", F.col("source").alias("node"), F.col("target").alias("nxt")), count=False)
+    frontier, _ = r.settle(start.select("repo", "comp", "start", F.col("start").alias("node"), F.array("start").alias("ring")),
+                           count=False)
+    written, closed = [], []
     while True:
-        visited = union_frames(written)
-        nxt = (frontier.join(step, ["repo", "comp", "node"])
-                       .select("repo", "comp", F.col("nxt").alias("node"), (F.col("pos") + 1).alias("pos"))
-                       .join(visited.select("repo", "comp", "node"), ["repo", "comp", "node"], "left_anti"))
-        nxt, n = r.settle(nxt, cut=True)  # frames are unioned later: keep each one's plan small
-        if n == 0:
-            r.release()
-            return visited
+        ring = F.concat(F.col("ring"), F.array(F.col("nxt")))
+        nxt = (frontier.join(step, ["repo", "comp", "node"]).withColumn("ring", ring)
+                       .groupBy("repo", "comp", "start", F.col("nxt").alias("node")).agg(F.min("ring").alias("ring")))
+        if written:
+            nxt = nxt.join(union_frames(written).select("repo", "comp", "node"), ["repo", "comp", "node"], "left_anti")
+        nxt, _ = r.settle(nxt.select("repo", "comp", "start", "node", "ring"), count=False)
+        closed.append(nxt.filter("node = start").select("repo", "comp", "ring"))
         written.append(nxt)
-        frontier = nxt
+        frontier = nxt.filter("node <> start").join(closed[-1].select("repo", "comp"), ["repo", "comp"], "left_anti")
+        if frontier.isEmpty():
+            break
+    out = cut_lineage(union_frames(closed))
+    r.release()
+    return out
 
 
 def union_frames(frames: list[DataFrame]) -> DataFrame:

@@ -68,10 +68,11 @@ def query_issues(issues: DataFrame, opts: QueryOptions, tie: str = "seq") -> Dat
 
     The page is a ranking-window range, so with a limit Catalyst keeps only the
     top rows per repo on the map side (WindowGroupLimit) before the shuffle.
+    With a sort but no page every row is kept and `page_pos` is its position.
     """
     out = filter_issues(issues, opts)
     start = opts.offset or 0
-    if opts.limit is None and start == 0:
+    if opts.limit is None and start == 0 and opts.sort_by is None:
         return out
     w = Window.partitionBy("repo").orderBy(*sort_columns(opts, tie))
     ranked = out.withColumn("page_pos", F.row_number().over(w))
@@ -195,11 +196,12 @@ def run_metadata(t) -> DataFrame:
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return (t.repos.join(scanned, ["repo"], "left").join(parsed, ["repo"], "left").join(failed, ["repo"], "left")
             .select("repo", z("total_files_scanned"), z("total_files_parsed"), z("total_failed_files"),
-                    F.lit(",".join(t.cfg.active_families)).alias("executed_agents")))
+                    F.lit(",".join(sorted(t.cfg.active_families, key=C.FAMILY_RANK.get))).alias("executed_agents")))
 
 
-def feedback_record(t) -> DataFrame:
-    """K7: one feedback row per repo (targets, counts by file and by family, structure findings, verification)."""
+def feedback_record(t, task_results: DataFrame | None = None) -> DataFrame:
+    """K7: one feedback row per repo (targets, counts by file and by family, structure findings, test
+    summary of the given task results, verification)."""
     issues, raw = t.issues(), t.raw_issues()
     targets = t.targets.groupBy("repo").agg(F.transform(
         F.array_sort(F.collect_list(F.struct(F.split("path", "/").alias("k"), F.col("path").alias("p")))),
@@ -212,6 +214,14 @@ def feedback_record(t) -> DataFrame:
     ver = verification(t.repos.join(n_issues, ["repo"], "left"), t.cfg.self_verification_enabled)
     ver = ver.groupBy("repo").agg(F.collect_list(F.struct("attempt", "action", "result", "detail")).alias(
         "verification_attempts"))
+    not_run = F.create_map(F.lit("status"), F.lit("not_run"))
+    if task_results is None:
+        tests = t.repos.select("repo", not_run.alias("test_summary"))
+    else:
+        # only a tag has a detail, an empty one included
+        tagged = F.create_map(F.lit("status"), F.col("status"), F.lit("detail"), F.col("detail"))
+        tests = test_summary(task_results).select(
+            "repo", F.when(F.col("detail").isNull(), not_run).otherwise(tagged).alias("test_summary"))
     return (t.repos.join(targets, ["repo"], "left").join(by_file, ["repo"], "left").join(by_agent, ["repo"], "left")
             .join(structure_findings(issues), ["repo"], "left").join(ver, ["repo"], "left")
-            .withColumn("test_summary", F.create_map(F.lit("status"), F.lit("not_run"))))
+            .join(tests, ["repo"], "left").withColumn("test_summary", F.coalesce("test_summary", not_run)))

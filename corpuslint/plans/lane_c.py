@@ -39,10 +39,12 @@ def corpus_tables(spark, sf, cfg: Settings = CORPUS_SETTINGS):
     Only one analysis is held; asking for another scale or settings releases it.
     """
     _drop_transient()
-    key = (id(spark), sf, repr(cfg))
+    app = spark.sparkContext.applicationId
+    key = (app, sf, repr(cfg))
     if key not in _SHARED:
-        for t in _SHARED.values():
-            t.release()
+        for (owner, *_), t in _SHARED.items():
+            if owner == app:  # a stopped session's tables are gone with it
+                t.release()
         _SHARED.clear()
         _SHARED[key] = analyze(corpus_files(read_table(spark, sf, "part")), None, cfg)
     return _SHARED[key]
@@ -352,7 +354,7 @@ SELECT c.repo, CAST(count(*) + sum(CASE WHEN c.k % 3 = 0 THEN 1 ELSE 0 END) + su
        CAST(sum(CASE WHEN c.ok THEN 1 ELSE 0 END) + sum(CASE WHEN c.k % 3 = 0 THEN 1 ELSE 0 END)
             + sum(CASE WHEN c.k % 10 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS total_files_parsed,
        CAST(sum(CASE WHEN c.ok THEN 0 ELSE 1 END) AS BIGINT) AS total_failed_files,
-       'structure,security,style,performance,test' AS executed_agents
+       'structure,performance,security,style,test' AS executed_agents
 FROM corpus c GROUP BY c.repo"""
 
 _LANG_SQL = _BASE + """

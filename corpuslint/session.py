@@ -61,10 +61,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     One job (``Dataset.checkpoint`` would compute the plan twice), a fresh small
     plan for the next round, and the data survives the loss of any executor.
     """
+    return write_table(df)[0]
+
+
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table under the shared checkpoint folder with the rows of ``df``, and its path."""
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/corpuslint-tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def share(df: DataFrame) -> DataFrame:

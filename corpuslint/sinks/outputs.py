@@ -7,11 +7,13 @@ are assembled with ``to_json``/``array_join`` over that repo's rows only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslint import config as C
-from corpuslint.functions.columns import sarif_level
+from corpuslint.functions.columns import path_key, sarif_level
+from corpuslint.operators import report as rep
+from corpuslint.operators.issues import SEQ_TYPE, union_all
 
 TOOL_NAME = "corpuslint"
 
@@ -44,78 +46,134 @@ def sarif_rules(issues: DataFrame) -> DataFrame:
     return first.select("repo", "seq", rule.alias("rule"))
 
 
-def sarif_documents(issues: DataFrame) -> DataFrame:
-    """SARIF 2.1.0 text per repo: repo, sarif."""
+def sarif_documents(issues: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """SARIF 2.1.0 text per repo: repo, sarif. Of the given repos a clean one has an empty run."""
     res = sarif_results(issues).groupBy("repo").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "result"))), lambda x: x["result"]).alias("results"))
     rules = sarif_rules(issues).groupBy("repo").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "rule"))), lambda x: x["rule"]).alias("rules"))
+    repos = issues.select("repo").distinct() if repos is None else repos.select("repo")
+    j = repos.join(res, ["repo"], "left").join(rules, ["repo"], "left")
     doc = F.struct(
         F.lit(C.SARIF_SCHEMA).alias("$schema"), F.lit(C.SARIF_VERSION).alias("version"),
-        F.array(F.struct(F.struct(F.struct(F.lit(TOOL_NAME).alias("name"), F.col("rules")).alias("driver")).alias("tool"),
-                         F.col("results"))).alias("runs"))
-    return res.join(rules, ["repo"]).select("repo", F.to_json(doc).alias("sarif"))
+        F.array(F.struct(F.struct(F.struct(F.lit(TOOL_NAME).alias("name"), _or_empty(j, "rules")).alias("driver")).alias("tool"),
+                         _or_empty(j, "results"))).alias("runs"))
+    return j.select("repo", F.to_json(doc).alias("sarif"))
+
+
+def _or_empty(df: DataFrame, name: str) -> Column:
+    """An array column of ``df`` with an empty array in place of null."""
+    return F.coalesce(F.col(name), F.array().cast(df.schema[name].dataType)).alias(name)
+
+
+def _listed(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """(repo, name): the values of each repo in order."""
+    keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
+    return df.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct(*keys, value.alias("v")))),
+                                              lambda x: x["v"]).alias(name))
 
 
 def json_reports(t, issues: DataFrame, opts=None) -> DataFrame:
-    """One JSON document per repo (parsed files, graph, failures, issues).
+    """One JSON document per repo; a section without rows is an empty array.
 
     L9: sections switched off in ``opts`` are left out of the projection, so
     their branches are never computed.
     """
-    pf = t.parsed.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        F.split("path", "/").alias("k"), F.struct("path", "language", "parse_mode", "size_bytes", "content_hash",
-                                                  "imports", "functions", "classes").alias("v")))),
-        lambda x: x["v"]).alias("parsed_files"))
-    ed = t.edges.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        F.split("source", "/").alias("k"), F.col("module").alias("m"),
-        F.struct("source", "target", "edge_type", "resolution_confidence", "resolved").alias("v")))),
-        lambda x: x["v"]).alias("edges"))
-    ff = t.failed.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("path", "reason", "stage"))).alias("failed_files"))
-    iss = issues.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        "seq", F.struct("rule_id", "title", "description", "severity", "path", "line", "confidence", "evidence")
-        .alias("v")))), lambda x: x["v"]).alias("issues"))
-    keep_pf = opts is None or opts.include_parsed_files
-    keep_graph = opts is None or opts.include_project_graph
-    j = t.repos.join(ff, ["repo"], "left").join(iss, ["repo"], "left")
-    fields = []
-    if keep_pf:
-        j = j.join(pf, ["repo"], "left")
-        fields.append(F.col("parsed_files"))
-    if keep_graph:
-        j = j.join(ed, ["repo"], "left")
-        fields.append(F.struct("edges").alias("project_graph"))
-    return j.select("repo", F.to_json(F.struct(*fields, "failed_files", "issues")).alias("json"))
-
-
-def markdown_lines(issues: DataFrame, failed: DataFrame) -> DataFrame:
-    """N4 body lines as rows (section, order, text), unioned in fixed section order."""
-    il = issues.select("repo", F.lit(7).alias("section"), F.col("seq").cast("string").alias("o"),
-                       F.concat(F.lit("- `"), "rule_id", F.lit("` "), "severity", F.lit(" `"), "path",
-                                F.lit("` "), "title").alias("text"))
-    fl = failed.select("repo", F.lit(8).alias("section"), F.col("path").alias("o"),
-                       F.concat(F.lit("- `"), "path", F.lit("` ["), "stage", F.lit("] "), "reason").alias("text"))
-    return il.unionByName(fl)
+    opts = opts or rep.QueryOptions()
+    metadata = rep.run_metadata(t).select("repo", F.struct(
+        F.col("repo").alias("repo_path"), "total_files_scanned", "total_files_parsed", "total_failed_files",
+        F.split("executed_agents", ",").alias("executed_agents")).alias("metadata"))
+    failed = _listed(t.failed, [F.col("path")], F.struct("path", "reason", "stage"), "failed_files")
+    listed = _listed(issues, [F.col("seq")], F.struct("rule_id", "title", "description", "severity", "path", "line",
+                                                      "confidence", "evidence"), "issues")
+    summary = rep.summary_record(issues, t.parsed, t.targets, t.repos).select("repo", F.struct(
+        F.col("repo").alias("repo_path"), "total_issues", "total_files_parsed", "target_files", "severity_counts",
+        "agent_counts").alias("summary"))
+    j = t.repos.join(metadata, ["repo"], "left").join(failed, ["repo"], "left").join(listed, ["repo"], "left").join(
+        summary, ["repo"], "left")
+    fields = [F.col("metadata"), _or_empty(j, "failed_files"), _or_empty(j, "issues"), F.col("summary")]
+    if opts.include_parsed_files:
+        j = j.join(_listed(t.parsed, [path_key("path")], F.struct(
+            "path", "language", "parse_mode", "size_bytes", "content_hash", "imports", "functions", "classes"),
+            "parsed_files"), ["repo"], "left")
+        fields.append(_or_empty(j, "parsed_files"))
+    if opts.include_project_graph:
+        j = j.join(_listed(t.parsed, [path_key("path")], F.col("path"), "nodes"), ["repo"], "left").join(
+            _listed(t.edges, [path_key("source"), F.col("module")], F.struct(
+                "source", "target", "edge_type", "resolution_confidence", "resolved"), "edges"), ["repo"], "left")
+        fields.append(F.struct(_or_empty(j, "nodes"), _or_empty(j, "edges")).alias("project_graph"))
+    if opts.include_review_context:
+        j = j.join(_context_counts(t), ["repo"], "left").join(
+            _listed(t.key_files, [F.col("rank")], F.struct("path", "score", "reason"), "key_files"), ["repo"], "left").join(
+            _listed(t.changes.filter("status = 'changed'"), [path_key("path")], F.col("path"), "changed_files"), ["repo"], "left")
+        fields.append(F.struct("total_files", "estimated_tokens", "within_budget", _or_empty(j, "key_files"),
+                               _or_empty(j, "changed_files")).alias("review_context"))
+    if opts.include_feedback:
+        fb = rep.feedback_record(t)
+        j = j.join(fb.select("repo", F.struct(*[c for c in fb.columns if c != "repo"]).alias("feedback")), ["repo"], "left")
+        fields.append(F.col("feedback"))
+    return j.select("repo", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def _context_counts(t) -> DataFrame:
+    """(repo, total_files, key_count, changed_count, estimated_tokens, within_budget)."""
+    count = lambda df, name: df.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
+    z = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
+    return (t.budget.select("repo", "estimated_tokens", "within_budget").join(count(t.parsed, "total_files"), ["repo"], "left")
+            .join(count(t.key_files, "key_count"), ["repo"], "left")
+            .join(count(t.changes.filter("status = 'changed'"), "changed_count"), ["repo"], "left")
+            .select("repo", z("total_files"), z("key_count"), z("changed_count"), "estimated_tokens", "within_budget"))
+
+
+def markdown_lines(t, issues: DataFrame) -> DataFrame:
+    """N4 as rows: repo, pos, text; a report is its repo's lines in the order of `pos`.
+
+    Every line is a row that is written in parallel. Sections without rows are left
+    out, but for the parsed files and the edges.
+    """
+    def order(section: int, part: int, c: Column | None = None, d=0, f: Column | None = None, seq: Column | None = None) -> Column:
+        none = F.expr("cast(array() as array<string>)")
+        own = F.struct(F.lit(0), F.lit(0), c if c is not None else none, F.lit(d), F.lit(0), f if f is not None else F.lit(""))
+        return F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"),
+                        (seq if seq is not None else own).cast(SEQ_TYPE).alias("seq")).alias("pos")
+
+    def several(df: DataFrame, section: int, part: int, *texts) -> list[DataFrame]:
+        return [df.select("repo", order(section, part, d=i).alias("pos"), F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in text]).alias("text"))
+                for i, text in enumerate(texts)]
+
+    def heading(df: DataFrame, section: int, title: str) -> list[DataFrame]:
+        return several(df.select("repo").distinct(), section, 0, ("",), (f"## {title}",), ("",))
+
+    def body(df: DataFrame, pos: Column, *parts) -> DataFrame:
+        return df.select("repo", pos, F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts]).alias("text"))
+
+    meta, col = rep.run_metadata(t), F.col
+    text = lambda name: F.col(name).cast("string")
+    targets = _listed(t.targets, [path_key("path")], F.col("path"), "targets")
+    feedback = t.repos.join(targets, ["repo"], "left").withColumn("names", F.coalesce(F.array_join("targets", ", "), F.lit("")))
+    frames = several(meta, 1, 0, ("# Code Review Report",), ("",), ("- Repo: `", col("repo"), "`"),
+                     ("- Parsed files: `", text("total_files_parsed"), "`"), ("- Failed files: `", text("total_failed_files"), "`"))
+    frames += heading(t.repos, 2, "Parsed Files")
+    frames.append(body(t.parsed, order(2, 1, path_key("path")), "- `", col("path"), "` (", col("language"), ", ", col("parse_mode"), ")"))
+    frames += heading(t.repos, 3, "Dependency Edges")
+    frames.append(body(t.edges, order(3, 1, path_key("source"), f=col("module")), "- `", col("source"), "` -> `", col("target"),
+                       "` confidence=", F.format_string("%.1f", "resolution_confidence")))
+    frames += heading(t.repos, 4, "Review Context")
+    frames += several(_context_counts(t), 4, 1, ("- Total files: `", text("total_files"), "`"), ("- Key files: `", text("key_count"), "`"),
+                      ("- Changed files: `", text("changed_count"), "`"), ("- Estimated tokens: `", text("estimated_tokens"), "`"))
+    frames += heading(t.repos, 6, "Feedback")
+    frames += several(feedback, 6, 1, ("- Target files: `", col("names"), "`"), ("- Verification attempts: `1`",))
+    frames += heading(issues, 7, "Issues")
+    frames.append(body(issues, order(7, 1, seq=col("seq")), "- `", col("rule_id"), "` ", col("severity"), " `", col("path"), "` ", col("title")))
+    frames += heading(t.failed, 8, "Failed Files")
+    frames.append(body(t.failed, order(8, 1, path_key("path"), f=col("stage")), "- `", col("path"), "` [", col("stage"), "] ", col("reason")))
+    return union_all(frames)
 
 
 def markdown_documents(t, issues: DataFrame) -> DataFrame:
-    """Markdown report per repo; empty optional sections are omitted."""
-    lines = markdown_lines(issues, t.failed)
-    heads = {7: "## Issues", 8: "## Failed Files"}
-    body = lines.groupBy("repo", "section").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]), "\n").alias("b"))
-    body = body.withColumn("b", F.concat(F.when(F.col("section") == 7, F.lit(heads[7])).otherwise(F.lit(heads[8])),
-                                         F.lit("\n\n"), "b"))
-    sections = body.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "b"))),
-                                                                 lambda x: x["b"]), "\n\n").alias("tail"))
-    n_parsed = t.parsed.groupBy("repo").agg(F.count("*").alias("np"))
-    n_failed = t.failed.groupBy("repo").agg(F.count("*").alias("nf"))
-    head = t.repos.join(n_parsed, ["repo"], "left").join(n_failed, ["repo"], "left").select(
-        "repo", F.concat(F.lit("# Code Review Report\n\n- Repo: `"), "repo", F.lit("`\n- Parsed files: `"),
-                         F.coalesce("np", F.lit(0)).cast("string"), F.lit("`\n- Failed files: `"),
-                         F.coalesce("nf", F.lit(0)).cast("string"), F.lit("`")).alias("head"))
-    return head.join(sections, ["repo"], "left").select(
-        "repo", F.concat_ws("\n\n", "head", "tail").alias("markdown"))
+    """Markdown report per repo, assembled from its lines."""
+    lines = _listed(markdown_lines(t, issues), [F.col("pos")], F.col("text"), "lines")
+    return lines.select("repo", F.array_join("lines", "\n").alias("markdown"))
 
 
 # ---------------------------------------------------------------- history

@@ -1,4 +1,4 @@
-"""`files` sources: a directory tree (binaryFile), a table, or a driver table renamed.
+"""`files` sources: a directory tree, a table, or a driver table renamed.
 
 A `files` DataFrame has columns ``repo, path, content, size_bytes``; content is
 BINARY (raw bytes, decoded strictly later) or STRING (already text).
@@ -6,6 +6,11 @@ BINARY (raw bytes, decoded strictly later) or STRING (already text).
 
 from __future__ import annotations
 
+import os
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,49 +21,86 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_directory(spark: SparkSession, root: str, repo: str | None = None,
                    max_file_bytes: int | None = None) -> DataFrame:
-    """Recursive directory source (regular files, relative POSIX path).
+    """Recursive directory source: every regular file, names beginning with `_` or `.` too (relative POSIX path).
 
-    With ``repo=None`` every first-level folder under ``root`` is one repository.
-    The size cap is a pushed-down filter on ``length``, so oversize files are not
-    read; the caller still sees them through :func:`list_directory`.
+    With ``repo=None`` every first-level folder under ``root`` is one repository, and
+    the files directly under ``root`` are the repository ``.``. Files over the size
+    cap are not read: their row has its size and null content, and admission under
+    the same cap reports it as skipped.
     """
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    if max_file_bytes is not None:
-        df = df.filter(F.col("length") <= max_file_bytes)
-    return _relativise(df, root, repo).select("repo", "path", "content", F.col("length").alias("size_bytes"))
+    listed = list_directory(spark, root, repo)
+    read = partial(_read_files, root, max_file_bytes)
+    return (listed.repartition(_tasks(spark), "rel")
+            .mapInArrow(read, "repo string, path string, content binary, size_bytes bigint"))
 
 
 def list_directory(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """Same listing without content (binaryFile does not read bytes when content is pruned)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return _relativise(df, root, repo).select("repo", "path", F.col("length").alias("size_bytes"))
-
+    """The same files without content: repo, path, size_bytes, rel (path below ``root``).
 
-def _relativise(df: DataFrame, root: str, repo: str | None) -> DataFrame:
-    root_clean = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + _rx_escape(root_clean.lstrip("/")) + "/", "")
+    Spark's own file sources hide names beginning with `_` or `.`, so folders are
+    listed in tasks through ``pyarrow.fs`` (local paths and the stores it knows by
+    URI): two levels one after the other, spread over tasks, then each folder below
+    them is walked by one task, holding one folder's names at a time.
+    """
+    found = spark.createDataFrame([("", None)], "rel string, size_bytes bigint")
+    for deep in (False, False, True):
+        found = found.mapInArrow(partial(_list_folders, root, deep), "rel string, size_bytes bigint")
+        if not deep:
+            found = found.repartition(_tasks(spark), "rel")
+    files = found.filter("size_bytes is not null")
     if repo is not None:
-        return df.withColumn("repo", F.lit(repo)).withColumn("path", rel)
-    return (df.withColumn("_rel", rel)
-              .withColumn("repo", F.substring_index("_rel", "/", 1))
-              .withColumn("path", F.expr("substring(_rel, length(repo) + 2)"))
-              .drop("_rel"))
-
-
-def _rx_escape(s: str) -> str:
-    out = []
-    for ch in s:
-        out.append("\\" + ch if ch in ".^$|?*+()[]{}\\" else ch)
-    return "".join(out)
-
-
-def documents_as_files(docs: DataFrame) -> DataFrame:
-    """Driver `documents` as a files table: repo=source, path=doc_id, content=text."""
-    return docs.select(
-        F.col("source").alias("repo"),
-        F.col("doc_id").cast("string").alias("path"),
-        F.col("text").alias("content"),
-        F.col("n_chars").alias("size_bytes"),
-        F.col("lang"),
-        F.col("doc_id"),
-    )
+        return files.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "size_bytes", "rel")
+    nested = F.col("rel").contains("/")
+    return files.select(F.when(nested, F.substring_index("rel", "/", 1)).otherwise(F.lit(".")).alias("repo"),
+                        F.when(nested, F.expr("substring(rel, instr(rel, '/') + 1)")).otherwise(F.col("rel")).alias("path"),
+                        "size_bytes", "rel")
+
+
+def _tasks(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def _store(root: str):
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
+
+
+def _list_folders(root: str, deep: bool, batches):
+    """Folders (size null) become their entries, all levels of them if deep; files pass."""
+    store, base = _store(root)
+    for batch in batches:
+        entries = batch.to_pydict()
+        for rel, size in zip(entries["rel"], entries["size_bytes"]):
+            if size is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([rel], pa.string()), pa.array([size], pa.int64())], ["rel", "size_bytes"])
+                continue
+            folders = [rel]
+            while folders:
+                at = folders.pop()
+                names, sizes = [], []
+                for info in store.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/"))):
+                    name = f"{at}/{info.base_name}".lstrip("/")
+                    if info.type == fs.FileType.File:
+                        names.append(name)
+                        sizes.append(info.size)
+                    elif info.type == fs.FileType.Directory and not os.path.islink(info.path):
+                        if deep:
+                            folders.append(name)
+                        else:
+                            names.append(name)
+                            sizes.append(None)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["rel", "size_bytes"])
+
+
+def _read_files(root: str, max_file_bytes: int | None, batches):
+    store, base = _store(root)
+    names = ["repo", "path", "content", "size_bytes"]
+    for batch in batches:
+        for row in batch.to_pylist():
+            content = None
+            if max_file_bytes is None or row["size_bytes"] <= max_file_bytes:
+                with store.open_input_stream(f"{base}/{row['rel']}") as stream:
+                    content = stream.read()
+            yield pa.RecordBatch.from_arrays([pa.array([row["repo"]], pa.string()), pa.array([row["path"]], pa.string()),
+                                              pa.array([content], pa.binary()), pa.array([row["size_bytes"]], pa.int64())], names)

@@ -39,3 +39,21 @@ def test_scc_matches_brute_force(spark):
     for r in strongly_connected(nd, ed).collect():
         got.setdefault((r.repo, r.comp), set()).add(r.node)
     assert {(repo, frozenset(m)) for (repo, _), m in got.items()} == expected
+
+
+def test_cycle_evidence_has_only_real_hops(spark):
+    from corpuslint.operators.graph import cycle_rows
+    rnd = random.Random(11)
+    graphs = {"v": {("a.py", "b.py"), ("b.py", "c.py"), ("c.py", "b.py"), ("c.py", "d.py"), ("d.py", "a.py")}}
+    for g in range(5):
+        nodes = [f"n{i}.py" for i in range(rnd.randint(2, 6))]
+        graphs[f"g{g}"] = {(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(2 * len(nodes))}
+    nd = spark.createDataFrame([(g, v) for g, es in graphs.items() for v in {x for e in es for x in e}], "repo string, path string")
+    ed = spark.createDataFrame([(g, a, b) for g, es in graphs.items() for a, b in es], "repo string, source string, target string")
+    rows = cycle_rows(nd, ed).collect()
+    assert len(rows) == sum(len(brute_scc({x for e in es for x in e}, es)) for es in graphs.values())
+    for r in rows:
+        ring = r.evidence.split(" -> ")
+        assert ring[0] == ring[-1] == r.path and len(set(ring)) == len(ring) - 1
+        assert all(hop in graphs[r.repo] for hop in zip(ring, ring[1:]))
+    assert {r.evidence for r in rows if r.repo == "v"} == {"a.py -> b.py -> c.py -> d.py -> a.py"}

@@ -76,13 +76,26 @@ def test_directory_source(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     rows = {(r.repo, r.path): r.size_bytes for r in read_directory(spark, str(tmp_path), max_file_bytes=100).collect()}
-    assert rows == {("r1", "main.py"): 6, ("r1", "pkg/a.py"): 6, ("r2", "b.js"): 2}
+    assert rows == {("r1", "main.py"): 6, ("r1", "pkg/a.py"): 6, ("r2", "b.js"): 2, ("r2", "big.py"): 501}
+    big = read_directory(spark, str(tmp_path), max_file_bytes=100).where("path = 'big.py'").collect()[0]
+    assert big.content is None  # its bytes are not read; admission reports it
     listed = {(r.repo, r.path) for r in list_directory(spark, str(tmp_path)).collect()}
     assert ("r2", "big.py") in listed
     one = {r.path for r in read_directory(spark, str(tmp_path / "r1"), repo="solo").collect()}
     assert one == {"main.py", "pkg/a.py"}
 
 
+def test_directory_source_keeps_every_name(spark, tmp_path):
+    from corpuslint.sources.files import read_directory
+    names = ["r/main.py", "r/app/__init__.py", "r/app/h.py", "r/app/_util.py", "r/_priv/a.py", "r/.x/deep/er/b.py", "top.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {(r.repo, r.path): bytes(r.content).decode() for r in read_directory(spark, root).collect()}
+        assert got == {((".", n) if "/" not in n else tuple(n.split("/", 1))): f"# {n}\n" for n in names}
+
+
 def test_fitting_repo_skips_fold_overflowing_repo_folds(spark):
     rows = [("small", "a.py", 2), ("small", "b.py", 2), ("big", "a.py", 3), ("big", "b.py", 9), ("big", "c.py", 2)]
     df = spark.createDataFrame(rows, "repo string, path string, size_bytes bigint")

@@ -32,6 +32,45 @@ def test_markdown_sections(files_df):
     assert "- `bad.py` [parse]" in md
 
 
+def test_documents_of_a_clean_repo(spark):
+    from corpuslint.sinks.outputs import sarif_documents
+    t = run(spark.createDataFrame([("clean", "a.txt", "x", 1)], "repo string, path string, content string, size_bytes bigint"))
+    none = t.issues().where("false")
+    sarif = json.loads(sarif_documents(none, t.repos).collect()[0].sarif)
+    assert sarif["runs"][0]["results"] == [] and sarif["runs"][0]["tool"]["driver"]["rules"] == []
+    doc = json.loads(json_reports(t, none).collect()[0].json)
+    assert doc["issues"] == [] and doc["parsed_files"] == [] and doc["project_graph"] == {"nodes": [], "edges": []}
+    assert doc["metadata"]["executed_agents"] == ["structure", "performance", "security", "style", "test"]
+    trimmed = json.loads(json_reports(t, none, rep.QueryOptions(include_review_context=False, include_feedback=False)).collect()[0].json)
+    assert "review_context" not in trimmed and "feedback" not in trimmed and "review_context" in doc
+
+
+def test_markdown_keeps_issue_order_and_sections(files_df):
+    t = run(files_df({"main.py": "import os\n" + "password = 'x'\n" * 12 + "def BadName():\n    pass\n"}))
+    md = markdown_documents(t, t.issues()).collect()[0].markdown
+    issues = [r for r in t.issues().orderBy("seq").collect()]
+    listed = md.split("## Issues\n\n")[1].split("\n")
+    assert listed == [f"- `{r.rule_id}` {r.severity} `{r.path}` {r.title}" for r in issues]
+    assert md.index("## Parsed Files") < md.index("## Dependency Edges") < md.index("## Review Context") < md.index("## Feedback")
+    assert "- `main.py` -> `os` confidence=0.3" in md and "- Total files: `1`" in md
+
+
+def test_feedback_reads_the_test_result(files_df, spark):
+    t = run(files_df(TREE))
+    repo = t.repos.collect()[0].repo
+    tasks = spark.createDataFrame([(repo, 4, "test", ["x", "test-result:failed:2 of 3"])],
+                                  "repo string, task_order int, agent_name string, evidence array<string>")
+    assert rep.feedback_record(t, tasks).collect()[0].test_summary == {"status": "failed", "detail": "2 of 3"}
+    assert rep.feedback_record(t).collect()[0].test_summary == {"status": "not_run"}
+
+
+def test_sort_without_a_page(files_df):
+    t = run(files_df(TREE))
+    rows = rep.query_issues(t.issues(), rep.QueryOptions(sort_by="severity")).orderBy("page_pos").collect()
+    rank = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+    assert [rank[r.severity] for r in rows] == sorted(rank[r.severity] for r in rows) and len(rows) == t.issues().count()
+
+
 def test_issue_lists_and_feedback(files_df):
     t = run(files_df(TREE))
     per_file = {r.path: r for r in ctx.issues_per_file(t.issues()).collect()}
