@@ -8,13 +8,22 @@ from corpuslint.operators import context as ctx
 from corpuslint.operators import report as rep
 from corpuslint.sinks.outputs import (json_reports, markdown_documents, read_history, read_history_json,
                                       write_history)
+from corpuslint.session import cut_lineage
 from tests.helpers import run
 
+
+def reviewed(files, **options):
+    """A run whose issues are written once, for the several documents read from them."""
+    t = run(files, **options)
+    t.extra["raw_issues"] = cut_lineage(t.raw_issues())
+    return t
+
+
 TREE = {"main.py": "import os\npassword = 'x'\n\ndef BadName():\n    pass\n", "bad.py": "def broken(:\n"}
 
 
 def test_json_report_and_trim(files_df):
-    t = run(files_df(TREE))
+    t = reviewed(files_df(TREE))
     doc = json.loads(json_reports(t, t.issues()).collect()[0].json)
     assert [p["path"] for p in doc["parsed_files"]] == ["main.py"]
     assert doc["failed_files"][0]["stage"] == "parse"
@@ -25,7 +34,7 @@ def test_json_report_and_trim(files_df):
 
 
 def test_markdown_sections(files_df):
-    t = run(files_df(TREE))
+    t = reviewed(files_df(TREE))
     md = markdown_documents(t, t.issues()).collect()[0].markdown
     assert md.startswith("# Code Review Report")
     assert md.index("## Issues") < md.index("## Failed Files")
@@ -34,7 +43,7 @@ def test_markdown_sections(files_df):
 
 def test_documents_of_a_clean_repo(spark):
     from corpuslint.sinks.outputs import sarif_documents
-    t = run(spark.createDataFrame([("clean", "a.txt", "x", 1)], "repo string, path string, content string, size_bytes bigint"))
+    t = reviewed(spark.createDataFrame([("clean", "a.txt", "x", 1)], "repo string, path string, content string, size_bytes bigint"))
     none = t.issues().where("false")
     sarif = json.loads(sarif_documents(none, t.repos).collect()[0].sarif)
     assert sarif["runs"][0]["results"] == [] and sarif["runs"][0]["tool"]["driver"]["rules"] == []
@@ -46,7 +55,7 @@ def test_documents_of_a_clean_repo(spark):
 
 
 def test_markdown_keeps_issue_order_and_sections(files_df):
-    t = run(files_df({"main.py": "import os\n" + "password = 'x'\n" * 12 + "def BadName():\n    pass\n"}))
+    t = reviewed(files_df({"main.py": "import os\n" + "password = 'x'\n" * 12 + "def BadName():\n    pass\n"}))
     md = markdown_documents(t, t.issues()).collect()[0].markdown
     issues = [r for r in t.issues().orderBy("seq").collect()]
     listed = md.split("## Issues\n\n")[1].split("\n")
@@ -56,7 +65,7 @@ def test_markdown_keeps_issue_order_and_sections(files_df):
 
 
 def test_feedback_reads_the_test_result(files_df, spark):
-    t = run(files_df(TREE))
+    t = reviewed(files_df(TREE))
     repo = t.repos.collect()[0].repo
     tasks = spark.createDataFrame([(repo, 4, "test", ["x", "test-result:failed:2 of 3"])],
                                   "repo string, task_order int, agent_name string, evidence array<string>")
@@ -65,14 +74,14 @@ def test_feedback_reads_the_test_result(files_df, spark):
 
 
 def test_sort_without_a_page(files_df):
-    t = run(files_df(TREE))
+    t = reviewed(files_df(TREE))
     rows = rep.query_issues(t.issues(), rep.QueryOptions(sort_by="severity")).orderBy("page_pos").collect()
     rank = {"critical": 0, "high": 1, "medium": 2, "low": 3}
     assert [rank[r.severity] for r in rows] == sorted(rank[r.severity] for r in rows) and len(rows) == t.issues().count()
 
 
 def test_issue_lists_and_feedback(files_df):
-    t = run(files_df(TREE))
+    t = reviewed(files_df(TREE))
     per_file = {r.path: r for r in ctx.issues_per_file(t.issues()).collect()}
     assert "Hardcoded secret detected" in per_file["main.py"].suggestions
     fb = rep.feedback_record(t).collect()[0]
@@ -84,11 +93,11 @@ def test_issue_lists_and_feedback(files_df):
 def test_versioned_history_round_trip(files_df, spark):
     base = os.path.join(tempfile.mkdtemp(prefix="corpuslint-hist-"), "history")
     assert read_history(spark, base) is None
-    t = run(files_df(TREE))
+    t = reviewed(files_df(TREE))
     assert write_history(t.next_history(), base) == 1
     h = read_history(spark, base)
     assert {r.path for r in h.collect()} == {"main.py"}
-    t2 = run(files_df(TREE), history=h)
+    t2 = reviewed(files_df(TREE), history=h)
     assert t2.issues().count() == 0  # everything was reported last time
     assert write_history(t2.next_history(), base) == 2  # written beside the version it read
 
