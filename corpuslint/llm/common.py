@@ -80,14 +80,14 @@ def released_shuffles(spark: SparkSession):
 def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
-    Large-star and small-star steps alternate until nothing changes. Every step is
-    a minimum per node (combined map-side) and a join on the node, which adaptive
-    execution splits when one node has very many edges. Each step is written once.
+    Large-star and small-star steps alternate until every component is a star.
+    Every step is a minimum per node (combined map-side) and a join on the node,
+    which adaptive execution splits when one node has very many edges. Each step
+    is written once.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     cur = scratch.keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    while not _stars(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -98,11 +98,26 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
         small = (joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(joined.select("u", F.col("m").alias("v"))).distinct())
         small = scratch.keep(small)
-        mark = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(cur, large)
         cur = small
-        if mark == before:
-            break
-        before = mark
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v), u > v, is its u's only one and leads to a node without a smaller neighbour."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or (up = 1 and down = 1)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def merged_components(scratch: Scratch, comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """`comps` (node, component) after further edges (a, b): the components are joined, not searched anew."""
+    of_a = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = (edges.join(of_a, "a", "left").join(of_b, "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    top = connected_components(scratch, between)
+    up = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = comps.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return old.union(top.join(comps, "node", "left_anti"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslint.llm.common import Scratch, connected_components
+from corpuslint.llm.common import Scratch, connected_components, merged_components
 from corpuslint.llm.textnp import NON_SPACE, U, column_bytes, mix, row_bounds, signed, slices, word_table
 
 SHINGLE = 4
@@ -227,8 +227,7 @@ def classes(docs: DataFrame) -> DataFrame:
     first = scratch.keep(members.select(F.col("lo").alias("p"), "cid").union(members.select(F.col("hi").alias("p"), "cid")).where("p <> cid")
                          .select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
     sets = scratch.keep(sets_of(docs, index, members.select("cid").distinct()))
-    links = scratch.keep(verified(first, sets))
-    comps = scratch.keep(connected_components(scratch, links))
+    comps = scratch.keep(connected_components(scratch, verified(first, sets)))
 
     tested, rest = first, None
     for turn in range(STAR_ROUNDS + 1):
@@ -247,15 +246,14 @@ def classes(docs: DataFrame) -> DataFrame:
         tested = tested.union(new)
         if found.isEmpty():
             break
-        links = links.union(found)
-        comps = scratch.keep(connected_components(scratch, links))
+        comps = scratch.keep(merged_components(scratch, comps, found))
     more = _across(rest.where(F.col("n") <= SMALL))
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
         more = more.union(_across_prefixes(many, sets)).distinct()
     late = scratch.keep(verified(more.join(tested, ["a", "b"], "left_anti"), sets))
     if not late.isEmpty():
-        comps = scratch.keep(connected_components(scratch, links.union(late)))
+        comps = scratch.keep(merged_components(scratch, comps, late))
     scratch.drop(shared, members, first, sets, rest)
     return (index.drop("sigs").join(comps, F.col("cid") == F.col("node"), "left")
             .select("doc_id", "tk", "n_shingles", "cid", F.coalesce("component", "cid").alias("group")))

@@ -295,3 +295,26 @@ def test_words_across_blocks(monkeypatch):
     monkeypatch.setattr(textnp, "BLOCK", 7)
     parts = textnp.word_table(*textnp.column_bytes(pa.array(text)), textnp.NON_SPACE)
     assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_components_against_union_find(spark):
+    from corpuslint.llm.common import Scratch, connected_components, merged_components
+
+    r = np.random.default_rng(4)
+    first, late = r.integers(0, 120, (50, 2)).tolist(), r.integers(0, 120, (40, 2)).tolist()
+    ring = [[200 + k, 200 + (k + 1) % 9] for k in range(9)]
+
+    def expected(edges):
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+        for u, v in edges * len(root):
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+        return root
+
+    scratch = Scratch(spark, "components")
+    frame = lambda edges: spark.createDataFrame([tuple(e) for e in edges], "a long, b long")
+    comps = connected_components(scratch, frame(first + ring))
+    assert dict(map(tuple, comps.collect())) == expected(first + ring)
+    both = merged_components(scratch, comps, frame(late)).collect()
+    assert dict(map(tuple, both)) == expected(first + ring + late) and len(both) == len(expected(first + ring + late))
+    assert connected_components(scratch, frame(first).limit(0)).count() == 0
