@@ -318,3 +318,13 @@ def test_components_against_union_find(spark):
     both = merged_components(scratch, comps, frame(late)).collect()
     assert dict(map(tuple, both)) == expected(first + ring + late) and len(both) == len(expected(first + ring + late))
     assert connected_components(scratch, frame(first).limit(0)).count() == 0
+
+
+def test_stops_stand_apart_inside_their_text():
+    from corpuslint.llm.subwords import _apart
+
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        rows = [bytes(r.choice(list(b"ab.,. \t\n3\xc3"), r.integers(0, 12)).astype(np.uint8)) for _ in range(r.integers(0, 5))]
+        raw, off = _apart(b"".join(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64))
+        assert [raw[a:z] for a, z in zip(off, off[1:])] == [re.sub(rb"(?<=[a-z])([.,])(?=[ \t-\r])", rb" \1", x) for x in rows]
