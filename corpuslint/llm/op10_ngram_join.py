@@ -133,14 +133,15 @@ def entries(s: np.ndarray, table: list[tuple[int, int, int, int]]) -> np.ndarray
 def indexed(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, n_shingles, cid, sigs): size, class and index entries of every document; tk names the text."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bands(1 << 16)
+        table = bands((1 << 16) * 100 // PERCENT + 1)
         with np.errstate(over="ignore"):
             for b in slices(batches, "text"):
                 row, v = shingles(b.column("text"))
                 bounds = row_bounds(row, b.num_rows)
                 size = np.diff(bounds)
-                if size.max(initial=0) > table[-1][1]:
-                    table = bands(int(size.max()))
+                reach = int(size.max(initial=0)) * 100 // PERCENT + 1  # the largest set also stands in the bands of larger partners
+                if reach > table[-1][1]:
+                    table = bands(reach)
                 total = np.concatenate([np.zeros(1, U), np.cumsum(mix(v ^ _SET))])
                 cid = mix((total[bounds[1:]] - total[bounds[:-1]]) + size.astype(U))
                 own = [entries(v[a:z], table) if z > a else np.zeros(0, U) for a, z in zip(bounds, bounds[1:])]

@@ -287,6 +287,18 @@ def test_index_entries_meet_every_pair():
             assert ea & eb
 
 
+@pytest.mark.parametrize("small, large", [(66000, 68000), (93000, 94500)])
+def test_large_pairs_meet_from_separate_tasks(spark, small, large):
+    """Near copies on both sides of a band's border, each indexed without sight of the other."""
+    text = lambda n: " ".join(f"v{i}" for i in range(n + op10.SHINGLE - 1))
+    found = []
+    for i, n in enumerate((small, large)):
+        r = op10.indexed(spark.createDataFrame([(i, text(n))], "doc_id long, text string")).first()
+        assert r.n_shingles == n
+        found.append(set(r.sigs))
+    assert found[0] & found[1]
+
+
 def test_words_across_blocks(monkeypatch):
     from corpuslint.llm import textnp
 
