@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return op10_ngram_join.one_of_each(docs)
+    """One document of each group of near copies: Jaccard from 0.8 on, of shingles of five words."""
+    return op10_ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

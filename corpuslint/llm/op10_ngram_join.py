@@ -1,6 +1,7 @@
 """N-gram Jaccard join by universe partition and the pigeonhole principle.
 
-Sets of 4-word shingles fall into size bands. For a band, the universe of shingle
+Sets of word shingles (of SHINGLE words and for PERCENT by default; both are
+parameters) fall into size bands. For a band, the universe of shingle
 hashes is cut into m segments, where two sets that reach the threshold differ in at
 most H shingles and m > H: so at least m - H segments of such a pair are equal, and
 a set is indexed by the contents of its segments. An empty segment is worth
@@ -27,7 +28,7 @@ so no link is lost. Every link reported is verified on the whole sets. Equal set
 Shingles are 64-bit hashes of their words; a class is a 64-bit hash of its set.
 
 Defined cases: a null text or one without words has an empty set and links with
-nothing; fewer than four words are one shingle; repeated rows fall into one class;
+nothing; fewer words than a shingle has are one shingle; repeated rows fall into one class;
 a null id takes part (components are named by the smallest id that is not null); an
 empty table gives no rows; other columns are ignored.
 """
@@ -98,7 +99,7 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return r[new], v[new]
 
 
-def entries(s: np.ndarray, table: list[tuple[int, int, int, int]]) -> np.ndarray:
+def entries(s: np.ndarray, table: list[tuple[int, int, int, int]], percent: int = PERCENT) -> np.ndarray:
     """Index entries of one set, given as its sorted distinct hashes."""
     n, out, prefix = len(s), [], False
     own = next(k for k, b in enumerate(table) if b[0] <= n <= b[1])
@@ -106,7 +107,7 @@ def entries(s: np.ndarray, table: list[tuple[int, int, int, int]]) -> np.ndarray
     with np.errstate(over="ignore"):
         for k in range(own, len(table)):
             low, _, most, m = table[k]
-            if 100 * n < PERCENT * low and k > own:
+            if 100 * n < percent * low and k > own:
                 break
             if most == 0:  # only equal sets, which are one class
                 continue
@@ -126,25 +127,25 @@ def entries(s: np.ndarray, table: list[tuple[int, int, int, int]]) -> np.ndarray
                 out.append(mix((total[each] - inner)[keep] ^ more[each][keep]))
                 prefix |= len(first) + len(wide) < most + 1
         if prefix:
-            out.append(mix(s[: n - -(-PERCENT * n // 100) + 1] ^ _PRE))
+            out.append(mix(s[: n - -(-percent * n // 100) + 1] ^ _PRE))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def indexed(docs: DataFrame) -> DataFrame:
+def indexed(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tk, n_shingles, cid, sigs): size, class and index entries of every document; tk names the text."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bands((1 << 16) * 100 // PERCENT + 1)
+        table = bands((1 << 16) * 100 // percent + 1, percent)
         with np.errstate(over="ignore"):
             for b in slices(batches, "text"):
-                row, v = shingles(b.column("text"))
+                row, v = shingles(b.column("text"), words)
                 bounds = row_bounds(row, b.num_rows)
                 size = np.diff(bounds)
-                reach = int(size.max(initial=0)) * 100 // PERCENT + 1  # the largest set also stands in the bands of larger partners
+                reach = int(size.max(initial=0)) * 100 // percent + 1  # the largest set also stands in the bands of larger partners
                 if reach > table[-1][1]:
-                    table = bands(reach)
+                    table = bands(reach, percent)
                 total = np.concatenate([np.zeros(1, U), np.cumsum(mix(v ^ _SET))])
                 cid = mix((total[bounds[1:]] - total[bounds[:-1]]) + size.astype(U))
-                own = [entries(v[a:z], table) if z > a else np.zeros(0, U) for a, z in zip(bounds, bounds[1:])]
+                own = [entries(v[a:z], table, percent) if z > a else np.zeros(0, U) for a, z in zip(bounds, bounds[1:])]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
                 sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(own))))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), pa.array(size.astype(np.int64)), pa.array(signed(cid), mask=size == 0), sigs],
@@ -154,7 +155,7 @@ def indexed(docs: DataFrame) -> DataFrame:
         work, "doc_id long, tk long, n_shingles long, cid long, sigs array<long>")
 
 
-def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(cid, sh, size, hist): the whole sets of the needed classes, from one text of each; hist counts their shingles by bucket."""
     one = index.join(needed, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "tk")).alias("x")).select("cid", F.col("x.doc_id").alias("d"), F.col("x.tk").alias("t"))
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tk", F.xxhash64("text"))
@@ -162,7 +163,7 @@ def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            row, v = shingles(b.column("text"))
+            row, v = shingles(b.column("text"), words)
             ends = row_bounds(row, b.num_rows)
             at = row.astype(np.int64) * BUCKETS + (v % U(BUCKETS)).astype(np.int64)
             count = np.minimum(np.bincount(at, minlength=b.num_rows * BUCKETS), FULL).astype(np.int8)
@@ -173,41 +174,41 @@ def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "cid long, sh array<long>, size long, hist array<tinyint>")
 
 
-def _may_link(size: Column, hist: Column, size2: Column, hist2: Column) -> Column:
+def _may_link(size: Column, hist: Column, size2: Column, hist2: Column, percent: int) -> Column:
     """False only where the histograms rule the threshold out."""
     add = lambda total, x: total + F.when(x == FULL, F.lit(1 << 40)).otherwise(x.cast("long"))
     most = F.aggregate(F.zip_with(hist, hist2, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), add)
-    return (100 + PERCENT) * most >= PERCENT * (size + size2)
+    return (100 + percent) * most >= percent * (size + size2)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, compared as whole sets."""
     left = sets.select(F.col("cid").alias("a"), F.col("sh").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("sh").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of sets of one entry that lie in different components and may link."""
     other = members.select("sig", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("hist").alias("hist2"))
-    may = _may_link(F.col("size"), F.col("hist"), F.col("size2"), F.col("hist2"))
+    may = _may_link(F.col("size"), F.col("hist"), F.col("size2"), F.col("hist2"), percent)
     mine = members.select("sig", F.col("cid").alias("a"), "comp", "size", "hist")
     return mine.join(other, (mine.sig == other.sig) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & may).select("a", "b").distinct()
 
 
-def _across_prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _across_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b across components that share a shingle among the n - ceil(t n) + 1 of each that are rarest among the members, early enough."""
     tokens = members.select("cid", "comp").distinct().join(sets, "cid").select("cid", "comp", F.size("sh").alias("n"), F.explode("sh").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("often", "token"))
     ranked = tokens.join(often.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
-    ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("often > 1")
+    ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
     other = ranked.select("token", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"))
     # the first shared shingle of a linked pair leaves room for all they must share
     room = F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + 1
     return (ranked.join(other, "token")
-            .where((F.col("cid") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (room * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("n2"))))
+            .where((F.col("cid") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (room * (100 + percent) >= percent * (F.col("n") + F.col("n2"))))
             .select(F.col("cid").alias("a"), "b").distinct())
 
 
@@ -218,17 +219,17 @@ def _open(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.join(several.select("sig", "n"), "sig").join(sets.select("cid", "size", "hist"), "cid")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tk, n_shingles, cid, group): `group` names the component of the document's class, null without words."""
     scratch = Scratch(docs.sparkSession, "ngrams")
-    index = scratch.keep(indexed(docs))
+    index = scratch.keep(indexed(docs, words, percent))
     entry = index.where("cid is not null").select("cid", F.explode("sigs").alias("sig"))
     shared = scratch.keep(entry.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi"))
     members = scratch.keep(entry.join(shared.hint("shuffle_hash"), "sig").distinct())
     first = scratch.keep(members.select(F.col("lo").alias("p"), "cid").union(members.select(F.col("hi").alias("p"), "cid")).where("p <> cid")
                          .select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
-    sets = scratch.keep(sets_of(docs, index, members.select("cid").distinct()))
-    comps = scratch.keep(connected_components(scratch, verified(first, sets)))
+    sets = scratch.keep(sets_of(docs, index, members.select("cid").distinct(), words))
+    comps = scratch.keep(connected_components(scratch, verified(first, sets, percent)))
 
     tested, rest = first, None
     for turn in range(STAR_ROUNDS + 1):
@@ -239,20 +240,20 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         order = F.xxhash64("cid", "sig", F.lit(turn))
         pivot = rest.groupBy("sig").agg(F.min_by(F.struct("cid", "comp", "size", "hist"), order).alias("p"))
-        may = _may_link(F.col("size"), F.col("hist"), F.col("p.size"), F.col("p.hist"))
+        may = _may_link(F.col("size"), F.col("hist"), F.col("p.size"), F.col("p.hist"), percent)
         pairs = (rest.join(pivot, (rest.sig == pivot.sig) & (F.col("comp") != F.col("p.comp")) & may)
                  .select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct())
         new = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = scratch.keep(verified(new, sets))
+        found = scratch.keep(verified(new, sets, percent))
         tested = tested.union(new)
         if found.isEmpty():
             break
         comps = scratch.keep(merged_components(scratch, comps, found))
-    more = _across(rest.where(F.col("n") <= SMALL))
+    more = _across(rest.where(F.col("n") <= SMALL), percent)
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
-        more = more.union(_across_prefixes(many, sets)).distinct()
-    late = scratch.keep(verified(more.join(tested, ["a", "b"], "left_anti"), sets))
+        more = more.union(_across_prefixes(many, sets, percent)).distinct()
+    late = scratch.keep(verified(more.join(tested, ["a", "b"], "left_anti"), sets, percent))
     if not late.isEmpty():
         comps = scratch.keep(merged_components(scratch, comps, late))
     scratch.drop(shared, members, first, sets, rest)
@@ -267,9 +268,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     return c.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The input's rows without near copies: of each group the row with the smallest id, and all rows without words."""
-    c = Scratch(docs.sparkSession, "ngram-classes").keep(classes(docs))
+    c = Scratch(docs.sparkSession, "ngram-classes").keep(classes(docs, words, percent))
     best = c.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("x"))
     keep = best.select(F.col("x.doc_id").alias("d"), F.col("x.tk").alias("t"), F.lit(True).alias("worded"))
     empty = c.where("group is null").select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), F.lit(False).alias("worded")).distinct()

@@ -299,6 +299,40 @@ def test_large_pairs_meet_from_separate_tasks(spark, small, large):
     assert found[0] & found[1]
 
 
+def test_pipeline_joins_five_words_from_eighty_percent(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(7)
+    texts = []
+    for cut in (0, 20, 30, 44, 46, 60):  # shares of the shingles below, at and beyond the thresholds
+        w = [f"{cut}x{i}" for i in r.permutation(204)]
+        texts += [" ".join(w), " ".join(w[: len(w) - cut] + ["y"] * (cut > 0))]
+    long = [f"l{i}" for i in range(904)]
+    texts += [" ".join(long), " ".join(long[:450] + [f"p{i}" for i in range(200)] + long[450:])]
+    scattered = [f"s{i}" for i in range(1000)]
+    texts += [" ".join(scattered), " ".join("z" if i % 50 == 25 else x for i, x in enumerate(scattered))]
+    sets = [{tuple(w[i: i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    comps = _components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near(sets[i], sets[j])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(d.doc_id for d in corpus_pipeline.ngram_join(spark, docs, "").collect()) == sorted(set(comps))
+
+
+def test_index_entries_meet_every_pair_at_eighty_percent():
+    r = np.random.default_rng(8)
+    table = op10.bands(4096, 80)
+    for n in [*range(5, 60), 100, 333, 1000]:
+        for _ in range(6):
+            pool = np.unique(r.integers(0, 2**63, 3 * n).astype(np.uint64))
+            r.shuffle(pool)
+            drop = int(r.integers(0, n // 5 + 1))
+            add = max(0, 100 * (n - drop) // 80 - n)  # the most that may be added at the threshold
+            a, b = pool[:n], pool[drop: n + add]
+            if drop + add and 100 * (n - drop) >= 80 * (n + add):
+                ea, eb = (set(op10.entries(np.sort(x), table, 80).tolist()) for x in (a, b))
+                assert ea & eb
+
+
 def test_words_across_blocks(monkeypatch):
     from corpuslint.llm import textnp
 
