@@ -6,8 +6,11 @@ shard draws how many of its slots go to each source from a multinomial with the
 target shares, seeded by the shard's number; slots drawn beyond a source's number
 of slots are handed to sources that drew too few, so that totals are exact. The
 k-th slot of a source takes block perm(k mod blocks) - a keyed permutation of the
-source's block numbers - in pass k div blocks. Slots and documents meet by block
-number.
+source's block numbers - in pass k div blocks. A source's slots are its whole
+passes and, of one pass more, as many blocks as the rest of its target needs: the
+blocks of full length by a permutation of their own, then the short last one; the
+last block taken gives only the words still needed. So every source gives its
+target, rounded to a word. Slots and documents meet by block number.
 
 Only the list of sources (name and size, one row each) comes to the driver.
 
@@ -33,6 +36,7 @@ RATIO = 1.5
 MOST_TIMES = 2
 BLOCK_WORDS = 128
 SHARD_SLOTS = 16384
+FULL_BLOCK = 1 << 40  # a slot that takes all of its block
 SEED = 20
 DOCS_PER_BUCKET = 20_000
 #: Up to so many sources their table is sent to every executor; beyond that they meet by a shuffle.
@@ -47,6 +51,9 @@ class Source:
     target: float
     blocks: int
     slots: int
+    whole: int  #: whole passes
+    full: int  #: blocks that are not short
+    cut: int  #: words of the last slot
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, ratio: float = RATIO, most: float = MOST_TIMES) -> list[tuple[str | None, int, float]]:
@@ -94,13 +101,16 @@ def plan(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, block_words: in
     rows = docs.groupBy("source").agg(F.sum("size").alias("n")).collect()  # one row per source
     out = []
     for sid, (name, size, target) in enumerate(targets([(r["source"], r["n"]) for r in rows], weights, ratio)):
-        blocks = -(-size // block_words)
-        out.append(Source(sid, name, size, target, blocks, min(MOST_TIMES * blocks, round(target / block_words))))
+        blocks, full = -(-size // block_words), size // block_words
+        whole, rest = divmod(min(round(target), MOST_TIMES * size), max(1, size))
+        more = min(-(-rest // block_words), full + 1)
+        cut = rest - (more - 1) * block_words if more else block_words
+        out.append(Source(sid, name, size, target, blocks, whole * blocks + more, whole, full, cut))
     return out
 
 
 def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, sid, epoch, block): the whole mix, one row per slot."""
+    """(shard, sid, epoch, block, cut): the whole mix, one row per slot; it takes the first `cut` words of its block."""
     total = sum(s.slots for s in sources)
     shards = -(-total // shard_slots)
     share = np.array([s.slots for s in sources], float) / max(1, total)
@@ -136,19 +146,25 @@ def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: in
                 .select((F.col("off") + F.col("i")).alias("g"), F.col("to").alias("sid"), (F.col("have") + F.col("i")).alias("rank")))
         moved = each.where("rank >= held").select("shard", (F.col("off") + F.col("rank") - F.col("held")).alias("g"))
         kept = kept.unionByName(moved.join(free, "g").select("shard", "sid", "rank"))
-    blocks = np.array([s.blocks for s in sources] or [0], np.int64)
+    per = np.array([(s.blocks, s.slots, s.whole, s.full, s.cut) for s in sources] or [(0, 0, 0, 0, 0)], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sid, rank = b.column("sid").to_numpy(zero_copy_only=False), b.column("rank").to_numpy(zero_copy_only=False)
-            n = blocks[sid]
-            block = np.zeros(len(sid), np.int64)
-            for s in np.unique(sid):
-                at = np.flatnonzero(sid == s)
-                block[at] = permuted(rank[at] % n[at[0]], int(n[at[0]]), seed * 1_000_003 + int(s))
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("sid"), pa.array((rank // n).astype(np.int32)), pa.array(block)], ["shard", "sid", "epoch", "block"])
-
-    return kept.mapInArrow(place, "shard long, sid int, epoch int, block long")
+            n, most, whole, full, last = per[sid].T
+            epoch, at = rank // n, rank % n
+            block = at.copy()  # where no permutation applies: the short block after the full ones
+            rest = epoch >= whole
+            by = np.argsort(sid, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(sid[by])) + 1) if len(by) else []:
+                s = int(sid[own[0]])
+                a, z = own[~rest[own]], own[rest[own] & (at[own] < full[own])]
+                block[a] = permuted(at[a], int(per[s, 0]), seed * 1_000_003 + s)
+                block[z] = permuted(at[z], int(per[s, 3]), seed * 1_000_003 + s)
+            cut = np.where(rest & (rank == most - 1), last, FULL_BLOCK)
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("sid"), pa.array(epoch.astype(np.int32)), pa.array(block), pa.array(cut)], ["shard", "sid", "epoch", "block", "cut"])
+
+    return kept.mapInArrow(place, "shard long, sid int, epoch int, block long, cut long")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -186,6 +202,12 @@ def pieces(where: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     F.least(F.col("size"), (F.col("block") + 1) * b - F.col("pos")).alias("z"))
 
 
+def mixed_pieces(where: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The pieces of all slots: the words a..z-1 of a document that a slot takes, with the slot's columns."""
+    end = F.col("block") * F.lit(block_words) + F.col("cut") - F.col("pos")
+    return pieces(where, block_words).join(slots, ["sid", "block"]).withColumn("z", F.least("z", end)).where("z > a").drop("cut")
+
+
 def sized(docs: DataFrame, *carry: str) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), *carry)
 
@@ -197,9 +219,7 @@ def taken(docs: DataFrame) -> DataFrame:
     d = scratch.keep(sized(docs))
     sources = plan(d)
     where = scratch.keep(placed(d, sources, []))
-    takes = slots(spark, sources).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    got = (pieces(where).join(takes, ["sid", "block"]).groupBy("sid", "pos")
-           .agg(F.sum((F.col("z") - F.col("a")) * F.col("times")).alias("got")))
+    got = mixed_pieces(where, slots(spark, sources)).groupBy("sid", "pos").agg(F.sum(F.col("z") - F.col("a")).alias("got"))
     per = spark.createDataFrame([(s.sid, s.size, s.target) for s in sources], "sid int, source_size long, target double")
     full = where.where("size > 0").join(got, ["sid", "pos"], "left").unionByName(where.where("size = 0").withColumn("got", F.lit(0).cast("long")))
     return full.join(_small(per, len(sources)), "sid").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
@@ -217,7 +237,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sources = plan(sized(docs))
     rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     where = scratch.keep(placed(sized(rows, "row"), sources, ["row"]))
-    ranges = (pieces(where).join(slots(spark, sources), ["sid", "block"]).groupBy("sid", "pos", "epoch")
+    ranges = (mixed_pieces(where, slots(spark, sources)).groupBy("sid", "pos", "epoch")
               .agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("parts")))
     rows = where.where("size > 0").join(ranges, ["sid", "pos"]).withColumn("got", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["z"] - p["a"]))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("w"), (p["a"] + 1).cast("int"), (p["z"] - p["a"]).cast("int")))), " ")

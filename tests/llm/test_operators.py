@@ -78,6 +78,29 @@ def test_targets_and_mix(docs, nothing):
     assert op2.taken(nothing).count() == 0
 
 
+def test_every_source_gives_its_target(spark):
+    """Sources of 1 to 300 words, of one or several documents, to the word."""
+    sizes = [1, 2, 5, 31, 32, 33, 64, 95, 100, 127, 128, 129, 192, 200, 255, 256, 257, 300]
+    rows = []
+    for n in sizes:
+        rows += [(10 * n + k, " ".join(f"{n}w{i}" for i in range(a, z)), f"s{n:03}") for k, (a, z) in enumerate(((0, n // 3), (n // 3, n)))]
+    d = spark.createDataFrame([*rows, (9000, " ".join(["big"] * 4000), "t"), (9001, "", "none")], "doc_id long, text string, source string")
+    want = {name: target for name, _, target in op2.targets([*((f"s{n:03}", n) for n in sizes), ("t", 4000), ("none", 0)])}
+    assert len({target / n for n in sizes for target in [want[f"s{n:03}"]]}) == 1
+    for weights, ratio in (((5, 2, 1), 1.5), ((1, 1, 20), 0.3)):
+        want = {name: target for name, _, target in op2.targets([*((f"s{n:03}", n) for n in sizes), ("t", 4000), ("none", 0)], weights, ratio)}
+        where = op2.placed(op2.sized(d), sources := op2.plan(op2.sized(d), weights, ratio), []).cache()
+        got = op2.mixed_pieces(where, op2.slots(spark, sources, shard_slots=16))
+        words = {r.sid: r.n for r in got.groupBy("sid").agg(F.sum(F.col("z") - F.col("a")).alias("n")).collect()}
+        assert {s.name: words.get(s.sid, 0) for s in sources} == {name: round(t) for name, t in want.items()}
+        times = got.select("sid", "epoch", F.explode(F.sequence(F.col("pos") + F.col("a"), F.col("pos") + F.col("z") - 1)).alias("w"))
+        assert times.count() == times.distinct().count()  # no word twice in a pass
+    by = Counter()
+    for r in op2.taken(d).join(d.select("doc_id", "source"), "doc_id").collect():
+        by[r.source] += r.taken
+    assert all(by[f"s{n:03}"] == 2 * n for n in sizes)
+
+
 def test_permutation_is_one():
     for n in (1, 2, 7, 1000):
         assert sorted(op2.permuted(np.arange(n), n, 5)) == list(range(n))
