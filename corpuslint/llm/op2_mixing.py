@@ -10,7 +10,8 @@ source's block numbers - in pass k div blocks. A source's slots are its whole
 passes and, of one pass more, as many blocks as the rest of its target needs: the
 blocks of full length by a permutation of their own, then the short last one; the
 last block taken gives only the words still needed. So every source gives its
-target, rounded to a word. Slots and documents meet by block number.
+target, rounded to a word. Slots and documents meet by block number. A shard's slots
+stand in it at the places of a keyed permutation; `mixed_blocks` gives their texts.
 
 Only the list of sources (name and size, one row each) comes to the driver.
 
@@ -110,7 +111,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, block_words: in
 
 
 def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, sid, epoch, block, cut): the whole mix, one row per slot; it takes the first `cut` words of its block."""
+    """(shard, place, sid, epoch, block, cut): the whole mix, one row per slot; it takes the first `cut` words of its block."""
     total = sum(s.slots for s in sources)
     shards = -(-total // shard_slots)
     share = np.array([s.slots for s in sources], float) / max(1, total)
@@ -120,10 +121,11 @@ def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: in
             for shard in b.column(0).to_pylist():
                 n = min(shard_slots, total - shard * shard_slots)
                 got = np.random.default_rng([seed, shard]).multinomial(n, share)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), shard, np.int64)), pa.array(np.arange(len(got), dtype=np.int32)), pa.array(got.astype(np.int64))], ["shard", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), shard, np.int64)), pa.array(np.arange(len(got), dtype=np.int32)), pa.array(got.astype(np.int64)), pa.array(np.cumsum(got) - got)],
+                                                 ["shard", "sid", "n", "start"])
 
     scratch = Scratch(spark, "mix")
-    drawn = scratch.keep(spark.range(shards).mapInArrow(draw, "shard long, sid int, n long").where("n > 0"))
+    drawn = scratch.keep(spark.range(shards).mapInArrow(draw, "shard long, sid int, n long, start long").where("n > 0"))
     got = {r["sid"]: r["n"] for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).collect()}  # one row per source
     over, short, a, z = [], [], 0, 0
     for s in sources:
@@ -136,16 +138,17 @@ def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: in
             z -= d
     first = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     each = (drawn.withColumn("first", F.coalesce(F.sum("n").over(first), F.lit(0)))
-            .select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank")))
+            .select("shard", "sid", "first", "start", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
+            .select("shard", "sid", "rank", (F.col("start") + F.col("rank") - F.col("first")).alias("number")))  # of the slot in its shard
     lim = spark.createDataFrame(over or [(-1, 0, 0)], "sid int, held long, off long")
     each = each.join(_small(lim, len(over)), "sid", "left")
-    kept = each.where("held is null or rank < held").select("shard", "sid", "rank")
+    kept = each.where("held is null or rank < held").select("shard", "sid", "rank", "number")
     if over:
         free = (spark.createDataFrame(short, "to int, have long, off long, d long")
                 .select("to", "have", "off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)).alias("i"))
                 .select((F.col("off") + F.col("i")).alias("g"), F.col("to").alias("sid"), (F.col("have") + F.col("i")).alias("rank")))
-        moved = each.where("rank >= held").select("shard", (F.col("off") + F.col("rank") - F.col("held")).alias("g"))
-        kept = kept.unionByName(moved.join(free, "g").select("shard", "sid", "rank"))
+        moved = each.where("rank >= held").select("shard", "number", (F.col("off") + F.col("rank") - F.col("held")).alias("g"))
+        kept = kept.unionByName(moved.join(free, "g").select("shard", "sid", "rank", "number"))
     per = np.array([(s.blocks, s.slots, s.whole, s.full, s.cut) for s in sources] or [(0, 0, 0, 0, 0)], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +158,26 @@ def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: in
             epoch, at = rank // n, rank % n
             block = at.copy()  # where no permutation applies: the short block after the full ones
             rest = epoch >= whole
-            by = np.argsort(sid, kind="stable")
-            for own in np.split(by, np.flatnonzero(np.diff(sid[by])) + 1) if len(by) else []:
+            for own in _groups(sid):
                 s = int(sid[own[0]])
                 a, z = own[~rest[own]], own[rest[own] & (at[own] < full[own])]
                 block[a] = permuted(at[a], int(per[s, 0]), seed * 1_000_003 + s)
                 block[z] = permuted(at[z], int(per[s, 3]), seed * 1_000_003 + s)
             cut = np.where(rest & (rank == most - 1), last, FULL_BLOCK)
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("sid"), pa.array(epoch.astype(np.int32)), pa.array(block), pa.array(cut)], ["shard", "sid", "epoch", "block", "cut"])
+            shard, number = b.column("shard").to_numpy(zero_copy_only=False), b.column("number").to_numpy(zero_copy_only=False)
+            spot = number.copy()
+            for own in _groups(shard):
+                k = int(shard[own[0]])
+                spot[own] = permuted(number[own], min(shard_slots, total - k * shard_slots), seed * 1_000_033 + k)
+            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(spot), b.column("sid"), pa.array(epoch.astype(np.int32)), pa.array(block), pa.array(cut)], ["shard", "place", "sid", "epoch", "block", "cut"])
 
-    return kept.mapInArrow(place, "shard long, sid int, epoch int, block long, cut long")
+    return kept.mapInArrow(place, "shard long, place long, sid int, epoch int, block long, cut long")
+
+
+def _groups(keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each value."""
+    by = np.argsort(keys, kind="stable")
+    return np.split(by, np.flatnonzero(np.diff(keys[by])) + 1) if len(by) else []
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -225,10 +238,24 @@ def taken(docs: DataFrame) -> DataFrame:
     return full.join(_small(per, len(sources)), "sid").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """(shard, place, sid, text): the mix as blocks in their output shards; a block's words stand one space apart."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixed")
+    sources = plan(sized(docs))
+    where = scratch.keep(placed(sized(docs, "text"), sources, ["text"]))
+    part = F.array_join(F.slice(words(F.col("text")), (F.col("a") + 1).cast("int"), (F.col("z") - F.col("a")).cast("int")), " ")
+    texts = (mixed_pieces(where, slots(spark, sources)).join(where.where("size > 0").select("sid", "pos", "text"), ["sid", "pos"])
+             .select("shard", "place", "sid", F.struct("pos", part.alias("t")).alias("piece")))
+    return texts.groupBy("shard", "place", "sid").agg(F.sort_array(F.collect_list("piece")).alias("p")).select(
+        "shard", "place", "sid", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each pass over a document, a row with its words the mix takes in that pass.
 
-    A pass that takes the whole document keeps its text as it is; otherwise the
+    Rows stand in the order of the mix, by shard and place of the slot that holds
+    the first of their words, so each stretch of them has the drawn mix. A pass that takes the whole document keeps its text as it is; otherwise the
     taken words stand in order, one space apart. Documents without words go.
     """
     spark = docs.sparkSession
@@ -238,8 +265,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     where = scratch.keep(placed(sized(rows, "row"), sources, ["row"]))
     ranges = (mixed_pieces(where, slots(spark, sources)).groupBy("sid", "pos", "epoch")
-              .agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("parts")))
+              .agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("parts"), F.min(F.struct("a", "shard", "place")).alias("at")))
     rows = where.where("size > 0").join(ranges, ["sid", "pos"]).withColumn("got", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["z"] - p["a"]))
+    rows = rows.withColumns({"shard": F.col("at.shard"), "place": F.col("at.place")}).drop("at")
+    rows = rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "pos")
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("w"), (p["a"] + 1).cast("int"), (p["z"] - p["a"]).cast("int")))), " ")
     rows = rows.withColumn("w", F.when(F.col("got") < F.col("size"), words(F.col("row.text"))))
     rows = rows.withColumn("new", F.when(F.col("got") == F.col("size"), F.col("row.text")).otherwise(some))

@@ -101,6 +101,26 @@ def test_every_source_gives_its_target(spark):
     assert all(by[f"s{n:03}"] == 2 * n for n in sizes)
 
 
+def test_mix_stands_in_drawn_order(spark, docs, monkeypatch):
+    """Blocks by shard and place; documents of one block each stand in that order."""
+    monkeypatch.setattr(op2.slots, "__defaults__", (32, op2.SEED))
+    rows = [(k, " ".join(f"{k}w{i}" for i in range(op2.BLOCK_WORDS)), "hot" if k % 6 else "rare") for k in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks = op2.mixed_blocks(d).orderBy("shard", "place").collect()
+    of = {"hot": 0, "rare": 1}
+    assert {b.shard for b in blocks} == set(range(-(-len(blocks) // 32)))
+    assert [b.shard * 32 + b.place for b in blocks] == list(range(len(blocks)))
+    source = {t: s for _, t, s in rows}
+    assert all(of[source[b.text]] == b.sid for b in blocks)
+    mixed = op2.mixed_documents(d).collect()
+    assert [m.text for m in mixed] == [b.text for b in blocks]
+    assert all(len({b.sid for b in blocks if b.shard == k}) == 2 for k in range(3))
+    taken = Counter(m.doc_id for m in mixed)
+    assert {r.doc_id: r.taken for r in op2.taken(d).collect()} == {k: taken[k] * op2.BLOCK_WORDS for k in range(150)}
+    # documents of any length: the blocks hold the words the mix takes
+    assert sum(len(b.text.split()) for b in op2.mixed_blocks(docs).collect()) == sum(r.taken for r in op2.taken(docs).collect())
+
+
 def test_permutation_is_one():
     for n in (1, 2, 7, 1000):
         assert sorted(op2.permuted(np.arange(n), n, 5)) == list(range(n))
