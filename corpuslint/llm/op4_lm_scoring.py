@@ -6,10 +6,11 @@ windows of 32 ids, of which the last 16 are scored: windows overlap by half, eve
 id is scored once, with 16 to 31 ids of context, in batches of masked attention.
 Beside the attention stands a table of class counts after the last id.
 
-Learning reads all texts outside the held-out tenth: word counts, id counts and
-class counts after an id cover every training text. The attention's weights come
-from gradient steps on one training text in GRADIENT_SHARE (by hash, whole texts):
-trainers start from the same weights and their results are averaged, ROUNDS times.
+Learning reads all texts outside the held-out tenth: word counts, id counts (which
+also give the input slots and output classes) and class counts after an id cover
+every training text, and so do the gradient steps that give the attention's weights:
+each task is a trainer over its whole texts; trainers start from the same weights
+and their results are averaged, ROUNDS times. Texts are cut into ids once.
 
 The base score needs each word's count. The FREQUENT most frequent words are sent
 to every task (a fixed number); the others meet their counts by a join on the word's
@@ -36,7 +37,7 @@ from corpuslint.llm.textnp import NON_SPACE, column_bytes, row_bounds, signed, s
 HELD_OUT = 0
 FREQUENT = 1 << 18
 SLOTS, CLASSES, DIM, HALF = 1024, 64, 16, 16
-ASSIGN_SHARE, GRADIENT_SHARE, ROUNDS = 64, 16, 2
+ROUNDS = 2
 END_HASH = np.uint64(0x5BD1E9955BD1E995)
 PENDING = 1 << 21
 
@@ -52,8 +53,23 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == HELD_OUT, F.lit(False))
 
 
-def in_share(n: int):
-    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(n)) == 0
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text, held_out, ids): the ids as two bytes each."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = subwords(path)
+        for b in slices(batches, "text"):
+            ids, bounds = words.encode(b.column("text"))
+            ids = ids.astype(np.uint16)
+            own = pa.array([ids[a:z].tobytes() for a, z in zip(bounds, bounds[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text"), b.column("held_out"), own], ["doc_id", "text", "held_out", "ids"])
+
+    return docs.mapInArrow(work, "doc_id long, text string, held_out boolean, ids binary")
+
+
+def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows, where each row's begin and the last end)."""
+    off, data = column_bytes(column)
+    return np.frombuffer(data.tobytes(), np.uint16), off // 2
 
 
 def assigned(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,33 +193,30 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def id_counts(docs: DataFrame, path: str) -> np.ndarray:
+def id_counts(docs: DataFrame, end: int) -> np.ndarray:
     """Counts of all ids and of the end (one row per id that occurs)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = subwords(path)
-        total = np.zeros(words.size + 1, np.int64)
-        for b in slices(batches, "text"):
-            total += np.bincount(words.encode(b.column("text"))[0], minlength=len(total))
+        total = np.zeros(end + 1, np.int64)
+        for b in slices(batches, "ids"):
+            total += np.bincount(ids_of(b.column("ids"))[0], minlength=len(total))
             total[-1] += b.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = docs.select("text").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(subwords(path).size + 1)
+    rows = docs.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(end + 1)
     for r in rows:
         out[r["id"]] = r["n"]
     return out
 
 
-WORD, ID, AFTER = 0, 1, 2
+WORD, AFTER = 0, 1
 
 
-def gathered(docs: DataFrame, path: str, slot: np.ndarray, cls: np.ndarray) -> DataFrame:
-    """(kind, key, n) over all training texts: counts of words (by hash), of ids, and of classes after a slot."""
+def gathered(docs: DataFrame, end: int, slot: np.ndarray, cls: np.ndarray) -> DataFrame:
+    """(kind, key, n) over all training texts: counts of words (by hash) and of classes after a slot."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = subwords(path)
-        end = words.size
-        ids_seen, after = np.zeros(end + 1, np.int64), np.zeros((SLOTS + 2) * CLASSES, np.int64)
+        after = np.zeros((SLOTS + 2) * CLASSES, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -223,42 +236,36 @@ def gathered(docs: DataFrame, path: str, slot: np.ndarray, cls: np.ndarray) -> D
                 if held > PENDING // 2:
                     yield from out(WORD, signed(key), n)
                     parts, held = [], 0
-            ids, bounds = words.encode(b.column("text"))
-            x, y, _ = laid_out(ids, bounds, slot, end)
+            x, y, _ = laid_out(*ids_of(b.column("ids")), slot, end)
             real = y >= 0
-            ids_seen += np.bincount(y[real], minlength=end + 1)
             after += np.bincount(x[real] * CLASSES + cls[y[real]], minlength=len(after))
         if parts:
             key, n = _merged(parts)
             yield from out(WORD, signed(key), n)
-        for kind, total in ((ID, ids_seen), (AFTER, after)):
-            at = np.flatnonzero(total)
-            yield from out(kind, at, total[at])
+        at = np.flatnonzero(after)
+        yield from out(AFTER, at, after[at])
 
-    return docs.select("text").mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "ids").mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, path: str, slot: np.ndarray, cls: np.ndarray, table: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights after `rounds` rounds of trainers on the sampled texts; a round's results are averaged by weight."""
+def trained(docs: DataFrame, end: int, slot: np.ndarray, cls: np.ndarray, table: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights after `rounds` rounds of trainers on all the texts; a round's results are averaged by blocks seen."""
     net = start_weights()
     names, shapes = list(net), [net[k].shape for k in net]
-    chosen = Scratch(docs.sparkSession, "lm-train").keep(docs.where(in_share(GRADIENT_SHARE)).select("doc_id", "text").repartition("doc_id"))
     for turn in range(rounds):
         now, rate = net, 0.02 / (turn + 1)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = subwords(path)
             own = Trainer(now, table, rate)
-            for b in slices(batches, "text", 1 << 17):
-                ids, bounds = words.encode(b.column("text"))
-                x, y, first = laid_out(ids, bounds, slot, words.size)
+            for b in slices(batches, "ids", 1 << 17):
+                x, y, first = laid_out(*ids_of(b.column("ids")), slot, end)
                 own.step(x, np.where(y >= 0, cls[y], -1), first)
             flat = np.concatenate([own.net[k].ravel() for k in names]).astype(np.float64)
             if own.seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.full(len(flat), float(own.seen))), pa.array(flat)], ["i", "w", "x"])
 
         mean = F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 9)
-        rows = chosen.mapInArrow(work, "i int, w double, x double").groupBy("i").agg(mean.alias("x")).collect()  # one row per weight
+        rows = docs.select("ids").mapInArrow(work, "i int, w double, x double").groupBy("i").agg(mean.alias("x")).collect()  # one row per weight
         if rows:
             flat = np.zeros(sum(int(np.prod(s)) for s in shapes), np.float32)
             flat[[r["i"] for r in rows]] = [r["x"] for r in rows]
@@ -272,25 +279,23 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    d = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    end = subwords(path).size
+    d = scratch.keep(tokenized(docs.select("doc_id", "text").withColumn("held_out", held_out()), path))
     learn = d.where(~F.col("held_out"))
-    slot, cls = assigned(id_counts(learn.where(in_share(ASSIGN_SHARE)), path))
-    counts = scratch.keep(gathered(learn, path, slot, cls))
+    ids = id_counts(learn, end)
+    slot, cls = assigned(ids)
+    counts = scratch.keep(gathered(learn, end, slot, cls))
     word = counts.where(F.col("kind") == WORD).select(F.col("key").alias("h"), F.col("n").alias("c"))
     totals = word.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, below = int(totals["n"]), float(np.log10(totals["n"] + 0.1 * (totals["v"] + 1)))
-    ids = np.zeros(len(slot))
     after = np.zeros((SLOTS + 2, CLASSES))
-    for r in counts.where(F.col("kind") != WORD).collect():  # at most one row per id and per cell of the table
-        if r["kind"] == ID:
-            ids[r["key"]] = r["n"]
-        else:
-            after[r["key"] // CLASSES, r["key"] % CLASSES] = r["n"]
+    for r in counts.where(F.col("kind") == AFTER).collect():  # at most one row per cell of the table
+        after[r["key"] // CLASSES, r["key"] % CLASSES] = r["n"]
     of_class = np.bincount(cls, ids + 0.5, CLASSES)
     inside = np.log((ids + 0.5) / of_class[cls]).astype(np.float32)
     share = of_class / of_class.sum()
     table = np.log((after + 20 * share) / (after.sum(1, keepdims=True) + 20)).astype(np.float32)
-    net = trained(learn, path, slot, cls, table)
+    net = trained(learn, end, slot, cls, table)
     often = word.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()  # at most FREQUENT rows
     keys = often["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(keys)
@@ -299,7 +304,6 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = subwords(path)
         known, logs = sent.value
         rid = TaskContext.get().partitionId() << 40
         for b in slices(batches, "text", 1 << 18):
@@ -316,8 +320,7 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1])])) if len(rest) else np.zeros(0, np.int64)
             often_there = np.diff(np.append(new, len(rest)))
             ends = row_bounds(rest_row[new], n)
-            ids, bounds = words.encode(b.column("text"))
-            x, y, first = laid_out(ids, bounds, slot, words.size)
+            x, y, first = laid_out(*ids_of(b.column("ids")), slot, end)
             blocks = np.setdiff1d(np.arange(1, len(x)), first[:-1])
             logp = np.zeros(len(x))
             for a in range(0, len(blocks), 2048):

@@ -158,6 +158,22 @@ def test_lm_base_and_model(docs, nothing):
     assert op4.lm_scores(nothing).count() == 0
 
 
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    """Slots come from all training texts, and each of them moves the weights."""
+    seen, nets = [], []
+    assigned, trained = op4.assigned, op4.trained
+    monkeypatch.setattr(op4, "assigned", lambda counts: seen.append(counts) or assigned(counts))
+    monkeypatch.setattr(op4, "trained", lambda *a, **b: nets.append(trained(*a, **b)) or nets[-1])
+    words = op4.subwords(op4.tokenizer_path())
+    texts = [(i, f"word{i} lorem {'ipsum ' * (i % 3)}") for i in range(30) if zlib.crc32(str(i).encode()) % 10][:4]
+    for some in (texts, *([t] for t in texts)):
+        op4.lm_scores(spark.createDataFrame(some, "doc_id long, text string")).count()
+        counts = seen[-1]
+        ids = np.concatenate([words.encode(pa.array([t]))[0] for _, t in some])
+        assert (counts[:-1] == np.bincount(ids, minlength=len(counts) - 1)).all() and counts[-1] == len(some)
+        assert any((nets[-1][k] != x).any() for k, x in op4.start_weights().items())
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     net = {k: (x + 0.05 * r.normal(size=x.shape)).astype(np.float64) for k, x in op4.start_weights().items()}
