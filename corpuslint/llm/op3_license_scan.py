@@ -8,6 +8,12 @@ least `need` words (length filter) and has enough template words left from the
 first shared one on (positional filter); the rest are counted exactly. Templates
 are a fixed list, so each task holds their index.
 
+A notice wrapped over several lines is found in runs of words: a run half as long
+again as the template that goes over the end of a line and holds THRESHOLD of the
+template's distinct words matches too, under the same prefix and length filters,
+unless one of its lines matches by itself. Comment marks are no words. Runs that
+overlap are one match, at the line where the best (the first of equals) begins.
+
 Beside that the places of fixed licence phrases are counted over the words of the
 whole text; hits found by hash are compared byte by byte.
 
@@ -79,7 +85,33 @@ def block_words(column: pa.Array, keys: np.ndarray, rank: np.ndarray):
     k[k == len(keys)] = 0
     hit = np.flatnonzero(keys[k] == h) if len(h) else np.zeros(0, np.int64)
     pair = np.unique(line[hit] * len(keys) + rank[k[hit]]) if len(hit) else np.zeros(0, np.int64)
-    return off, data, start, row, h, line, breaks, pair // len(keys), pair % len(keys)
+    return off, data, start, row, h, line, breaks, hit, rank[k[hit]], pair // len(keys), pair % len(keys)
+
+
+def wrapped(at: np.ndarray, word: np.ndarray, row: np.ndarray, line: np.ndarray, ranks: list[int], need: int, length: int, matched: set[int]) -> list[tuple[int, int]]:
+    """(first template word's place, words held) of the runs over line ends that match; `at` and `word` are the places of template words."""
+    own = np.isin(word, ranks)
+    at, word = at[own], word[own]
+    rows = row[at]
+    hits = np.flatnonzero(np.isin(word, ranks[: len(ranks) - need + 1]))
+    low, high = np.searchsorted(at, at[hits] - length, "right"), np.searchsorted(at, at[hits] + length, "left")
+    out, last = [], -1
+    starts = {s for f, a, z in zip(hits.tolist(), low.tolist(), high.tolist()) if z - a >= need and int(line[at[f]]) not in matched for s in range(a, f + 1)}
+    for s in sorted(starts):
+        z = min(int(np.searchsorted(at, at[s] + length, "left")), int(np.searchsorted(rows, rows[s], "right")))
+        held = len(set(word[s:z].tolist()))
+        if held < need:
+            continue
+        lines = range(int(line[at[s]]), int(line[at[z - 1]]) + 1)
+        if len(lines) < 2 or not matched.isdisjoint(lines):
+            continue
+        if out and at[s] <= last:  # overlaps the run before
+            if held > out[-1][1]:
+                out[-1] = (int(at[s]), held)
+        else:
+            out.append((int(at[s]), held))
+        last = int(at[z - 1])
+    return out
 
 
 def frequencies(docs: DataFrame) -> dict[int, int]:
@@ -101,7 +133,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hashes = {w: int(h) for w, h in zip(VOCABULARY, hash_of(VOCABULARY).view(np.int64))}
     order = sorted(VOCABULARY, key=lambda w: (seen.get(hashes[w], 0), w))  # rarest first
     place = {w: i for i, w in enumerate(order)}
-    templates = [(label, sorted({place[w] for w in template_words(text)})) for label, text in TEMPLATES]
+    templates = [(label, sorted({place[w] for w in template_words(text)}), len(template_words(text)) * 3 // 2) for label, text in TEMPLATES]
     schema = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
               "score double, matches array<struct<line:long,label:string,containment:double>>")
 
@@ -111,7 +143,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         keys, rank = own[by], by
         phrases = [(template_words(p), hash_of(template_words(p)), label) for p, label in PHRASES]
         for b in slices(batches, "text"):
-            off, data, start, row, h, line, breaks, block, word = block_words(b.column("text"), keys, rank)
+            off, data, start, row, h, line, breaks, at_word, which_word, block, word = block_words(b.column("text"), keys, rank)
             n = b.num_rows
             bounds = row_bounds(row, n)
             base, labels, places = [set() for _ in range(n)], [set() for _ in range(n)], [[] for _ in range(n)]
@@ -131,7 +163,14 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             found = [[] for _ in range(n)]
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
             lines, stops = block[starts] if len(block) else block, np.append(starts[1:], len(block))
-            for label, ranks in templates:
+            def add(label: str, ranks: list[int], at: int, both: int) -> None:
+                r = int(row[at])
+                number = int(line[at]) - r - int(np.searchsorted(breaks, off[r]))
+                found[r].append({"line": number, "label": label, "containment": both / len(ranks)})
+                labels[r].add(label)
+
+            for label, ranks, length in templates:
+                matched = set()
                 need = math.ceil(threshold * len(ranks) - 1e-9)
                 prefix = ranks[: len(ranks) - need + 1]
                 hits = np.flatnonzero(np.isin(word, prefix))
@@ -143,10 +182,10 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                         continue
                     both = len(set(ranks).intersection(word[starts[g]: stops[g]].tolist()))
                     if both >= need:
-                        r = int(row[np.searchsorted(line, lines[g], "left")])
-                        number = int(lines[g]) - r - int(np.searchsorted(breaks, off[r]))
-                        found[r].append({"line": number, "label": label, "containment": both / len(ranks)})
-                        labels[r].add(label)
+                        matched.add(int(lines[g]))
+                        add(label, ranks, int(np.searchsorted(line, lines[g], "left")), both)
+                for at, both in wrapped(at_word, which_word, row, line, ranks, need, length, matched):
+                    add(label, ranks, at, both)
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array([len(p) for p in places], pa.int64()),
                 pa.array([min(p) if p else None for p in places], pa.int64()), pa.array([max(p) if p else None for p in places], pa.int64()),

@@ -145,6 +145,27 @@ def test_license_scan(docs, nothing):
     assert op3.license_scan(nothing).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    wrap = lambda text, n, mark: "\n".join(mark + " ".join(text.split()[a: a + n]) for a in range(0, len(text.split()), n))
+    texts, expected = [], []
+    for label, text in op3.TEMPLATES:
+        for n, mark in ((len(text.split()) // 2 + 1, " * "), (2, "# "), (1, "// ")):
+            texts.append(f"some words before\n\n{wrap(text, n, mark)}\nother words behind it")
+            expected.append((2, label))
+    texts += ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not distributed",
+              "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "all\nrights", "rights reserved\nby all"]
+    expected += [(0, "mpl-2.0"), (0, "bsd-3-clause"), None, (0, "all-rights-reserved")]
+    rows = op3.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, want in zip(rows, expected):
+        got = [(m.line, m.label) for m in r.matches]
+        assert len(got) == len(set(got)) and (want in got if want else not got)
+        assert not want or want[1] in r.labels.split(",") and r.score >= 0.8
+    # a text after another, or beside a line that matches by itself, adds nothing
+    apart = [(0, "All rights"), (1, "reserved"), (2, "x\nAll rights reserved\nall")]
+    rows = op3.license_scan(spark.createDataFrame(apart, "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [[(m.line, m.label) for m in r.matches] for r in rows] == [[], [], [(1, "all-rights-reserved")]]
+
+
 def test_lm_base_and_model(docs, nothing):
     rows = op4.lm_scores(docs).collect()
     texts = [(r.doc_id, r.text) for r in docs.collect()]
