@@ -7,8 +7,8 @@ hidden layer; the hidden values' largest and mean over all chunks give one
 probability by a logistic unit.
 
 The network is trained on about SAMPLE labelled rows outside the held-out fold,
-drawn by hash, up to TRAIN_BLOCKS blocks each, spread over the whole text. Scoring
-reads every byte of every text.
+drawn by hash, each with all its blocks; where these hold more than TRAIN_BYTES, fewer
+rows are drawn (by hash, whatever their length). Scoring reads every byte of every text.
 
 Defined cases: a null or empty text is one empty block and gets a score like any
 other; repeated rows give a row each; of repeated labels the largest counts; an
@@ -31,7 +31,8 @@ from corpuslint.llm.textnp import column_bytes, slices
 BLOCK_BYTES = 256
 WIDTH, STEP, DIM, FILTERS, HIDDEN = 8, 2, 4, 16, 12
 SAMPLE = 5000
-TRAIN_BLOCKS = 24
+TRAIN_BYTES = 1 << 25
+PIECE = 4096  # blocks that are convolved at once
 EPOCHS = 12
 BATCH = 64
 THRESHOLD = 0.7
@@ -68,6 +69,18 @@ def convolved(raw: np.ndarray, net: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
+def tops(raw: np.ndarray, blocks: int, net: dict[str, np.ndarray], places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each filter's largest value in each block and, if asked for, its step; piece by piece."""
+    top, at = [], []
+    for a in range(0, blocks, PIECE):
+        z = min(blocks, a + PIECE)
+        conv = convolved(raw[a * BLOCK_BYTES: z * BLOCK_BYTES + WIDTH], net).reshape(-1, BLOCK_BYTES // STEP, FILTERS)
+        top.append(conv.max(axis=1))
+        if places:
+            at.append(conv.argmax(axis=1))
+    return np.concatenate(top), np.concatenate(at) if places else None
+
+
 def chunk_pairs(first: np.ndarray) -> np.ndarray:
     """For each block, the other block of its chunk: the next of the same row, or itself at the end."""
     other = np.arange(1, first[-1] + 1)
@@ -76,8 +89,7 @@ def chunk_pairs(first: np.ndarray) -> np.ndarray:
 
 
 def forward(raw: np.ndarray, first: np.ndarray, net: dict[str, np.ndarray], train: bool = False):
-    conv = convolved(raw, net).reshape(-1, BLOCK_BYTES // STEP, FILTERS)
-    top = conv.max(axis=1)
+    top, at = tops(raw, int(first[-1]), net, train)
     other = chunk_pairs(first)
     c = np.maximum(np.maximum(top, top[other]) + net["b"], 0)
     h = np.maximum(c @ net["w2"] + net["b2"], 0)
@@ -85,11 +97,11 @@ def forward(raw: np.ndarray, first: np.ndarray, net: dict[str, np.ndarray], trai
     most, mean = np.maximum.reduceat(h, first[:-1]), np.add.reduceat(h, first[:-1]) / np.diff(first)[:, None]
     z = np.concatenate([most, mean], axis=1)
     p = 1 / (1 + np.exp(-np.clip(z @ net["w3"] + net["b3"], -30, 30)))
-    return (p, conv, top, other, c, h, most, z, rows) if train else p
+    return (p, at, top, other, c, h, most, z, rows) if train else p
 
 
 def gradients(raw: np.ndarray, first: np.ndarray, y: np.ndarray, net: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    p, conv, top, other, c, h, most, z, rows = forward(raw, first, net, True)
+    p, step, top, other, c, h, most, z, rows = forward(raw, first, net, True)
     size = np.diff(first)
     row = np.repeat(np.arange(rows), size)
     d = ((p - y) / rows).astype(np.float32)
@@ -104,17 +116,19 @@ def gradients(raw: np.ndarray, first: np.ndarray, y: np.ndarray, net: dict[str,
     block = np.where(top >= top[other], np.arange(len(top))[:, None], other[:, None])
     dtop = np.zeros_like(top)
     np.add.at(dtop, (block, np.arange(FILTERS)[None, :]), dc)
-    at = conv.argmax(axis=1) * STEP + np.arange(len(top))[:, None] * BLOCK_BYTES
+    at = step * STEP + np.arange(len(top))[:, None] * BLOCK_BYTES
     used = np.flatnonzero(np.abs(dtop).ravel() > 0)
-    f, pos, val = used % FILTERS, at.ravel()[used], dtop.ravel()[used]
-    seen = raw[pos[:, None] + np.arange(WIDTH)]
-    emb = net["e"][seen].reshape(len(used), -1)
-    g["w"] = np.zeros_like(net["w"])
-    for k in range(FILTERS):
-        m = f == k
-        g["w"][:, k] = emb[m].T @ val[m]
-    back = (net["w"].T[f] * val[:, None]).reshape(-1, DIM)
-    g["e"] = np.stack([np.bincount(seen.ravel(), back[:, k], 256) for k in range(DIM)], axis=1).astype(np.float32)
+    g["w"], g["e"] = np.zeros_like(net["w"]), np.zeros_like(net["e"])
+    for a in range(0, len(used), PIECE * FILTERS):
+        some = used[a: a + PIECE * FILTERS]
+        f, pos, val = some % FILTERS, at.ravel()[some], dtop.ravel()[some]
+        seen = raw[pos[:, None] + np.arange(WIDTH)]
+        emb = net["e"][seen].reshape(len(some), -1)
+        for k in range(FILTERS):
+            m = f == k
+            g["w"][:, k] += emb[m].T @ val[m]
+        back = (net["w"].T[f] * val[:, None]).reshape(-1, DIM)
+        g["e"] += np.stack([np.bincount(seen.ravel(), back[:, k], 256) for k in range(DIM)], axis=1).astype(np.float32)
     return g
 
 
@@ -150,13 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict[str, np.
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             raw, first = laid_out(b.column("text"))
-            whole = raw[: first[-1] * BLOCK_BYTES].reshape(-1, BLOCK_BYTES)
-            ids = b.column("doc_id").to_pylist()
-            out = []
-            for k, doc_id in enumerate(ids):
-                n = int(first[k + 1] - first[k])
-                at = np.sort(np.random.default_rng([7, doc_id & (2**63 - 1)]).permutation(n)[:TRAIN_BLOCKS])
-                out.append(whole[first[k] + at].tobytes())
+            out = [raw[a * BLOCK_BYTES: z * BLOCK_BYTES].tobytes() for a, z in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.binary())], ["doc_id", "y", "blocks"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict[str, np.
 
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(blocks, "doc_id long, y int, blocks binary")
     rows = Scratch(docs.sparkSession, "quality-model").keep(rows)
-    # about SAMPLE rows of at most TRAIN_BLOCKS blocks meet in the one task that trains
+    all_of = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("blocks")), F.lit(0)).alias("bytes")).first()
+    if all_of["bytes"] > TRAIN_BYTES:
+        share = max(TRAIN_BYTES / all_of["bytes"], BATCH / all_of["n"])
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # about SAMPLE rows of TRAIN_BYTES together, or BATCH longer ones, meet in the one task that trains
     got = {r["name"]: np.array(r["value"], np.float32) for r in rows.repartition(1).mapInArrow(learn, "name string, value array<float>").collect()}
     return {k: got[k].reshape(x.shape) for k, x in start_weights().items()}
 
@@ -181,12 +193,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             raw, first = laid_out(b.column("text"))
-            top = []
-            for a in range(0, int(first[-1]), 4096):  # a very long text is convolved piece by piece
-                z = min(int(first[-1]), a + 4096)
-                piece = raw[a * BLOCK_BYTES: z * BLOCK_BYTES + WIDTH]
-                top.append(convolved(piece, net).reshape(-1, BLOCK_BYTES // STEP, FILTERS).max(axis=1))
-            top = np.concatenate(top)
+            top, _ = tops(raw, int(first[-1]), net)
             c = np.maximum(np.maximum(top, top[chunk_pairs(first)]) + net["b"], 0)
             h = np.maximum(c @ net["w2"] + net["b2"], 0)
             z = np.concatenate([np.maximum.reduceat(h, first[:-1]), np.add.reduceat(h, first[:-1]) / np.diff(first)[:, None]], axis=1)

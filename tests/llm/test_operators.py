@@ -281,6 +281,29 @@ def test_quality_model(spark, nothing):
     assert op7.quality_scores(d, labels.limit(0)).count() == 302
 
 
+def test_quality_model_trains_on_whole_texts(spark, monkeypatch):
+    """Every block of a long text has a part in the weights; pieces give the gradients of the whole."""
+    r = np.random.default_rng(9)
+    texts = [" ".join(r.choice(WORDS, 4500)) for _ in range(8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    ids = [i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != op7.HELD_OUT]
+
+    def weights(at=None):
+        own = [t if at is None or i != ids[0] else t[:at] + "%" * 250 + t[at + 250:] for i, t in enumerate(texts)]
+        return op7.fit(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), labels)
+
+    plain = weights()
+    for block in (0, 20, 33, 47):
+        other = weights(block * op7.BLOCK_BYTES)
+        assert any((plain[k] != other[k]).any() for k in plain)
+    raw, first = op7.laid_out(pa.array(texts))
+    y = np.arange(8) % 2.0
+    whole = op7.gradients(raw, first, y, plain)
+    monkeypatch.setattr(op7, "PIECE", 7)
+    parts = op7.gradients(raw, first, y, plain)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-5) for k in whole)
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
