@@ -2,15 +2,18 @@
 
 1. Local: each map task merges its own equal texts (the partial aggregation of a
    grouping by digest, salt and the whole normalised text; it spills when it must).
-2. Salted: the salt is the map task's number modulo `salts`, so the survivors of a
-   very large group meet in `salts` tasks, and each task sends one row of the group.
-3. Global: where a digest has more than one salted row, those (at most `salts` for a
-   text) are grouped by digest and whole text. A digest with one row is done.
-
-Grouping keys hold the text itself, so equal digests of different texts never merge.
-Documents then take their group's values by the digest alone, without their text;
-digests that turned out to stand for several texts (`clash`) are joined by digest and
-text instead.
+2. Salted: the digests of most rows (at most HOT of them, counted exactly from the
+   digests alone) are salted by the map task's number modulo `salts`, so the survivors
+   of a very large group meet in `salts` tasks. All others have one salt: without the
+   HOT largest groups, none has more than 1 / HOT of the rows.
+3. Global: the salted winners of a text, at most `salts` of them, are grouped by digest
+   and whole text. Where there is one salt, the salted group is the whole group.
+
+So a text crosses the network once for each map task that holds it, and no text twice
+but those of salted winners. Grouping keys hold the text itself, so equal digests of
+different texts never merge. Documents then take their group's values by the digest
+alone, without their text; digests that turned out to stand for several texts (`clash`)
+are grouped and joined by digest and text instead.
 
 A row's rank is one decimal number, code points first and then the smaller id, so that
 the winner is a plain maximum that hash aggregation keeps in place.
@@ -33,6 +36,7 @@ from corpuslint.llm.common import Scratch, documents
 
 WHITE = " \t\n\x0b\f\r"
 SALTS = 64
+HOT = 1000
 _STEP = "36893488147419103232BD"  # 2 ** 65, more than the number of ids
 _TOP = "9223372036854775808BD"  # 2 ** 63
 
@@ -72,26 +76,25 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = lambda sha
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(text, WHITE, "").alias("norm"), F.char_length(text).alias("points"))
     rows = rows.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", digest(F.col("text_sha256")))
 
-    local = rows.select("digest", (F.spark_partition_id() % salts).alias("salt"), "norm", rank("points", "doc_id").alias("best"))
-    salted = scratch.keep(local.groupBy("digest", "salt", "norm").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n")))
-    several = scratch.keep(salted.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest"))
-    merged = scratch.keep(salted.join(several, "digest", "left_semi").groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n")))
+    keys = scratch.keep(rows.select("doc_id", "points", "text_sha256", "digest", F.monotonically_increasing_id().alias("row")))
+    counts = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = F.col("digest").isin([r.digest for r in counts.orderBy(F.desc("n"), "digest").limit(HOT).collect()])
+
+    salt = F.when(hot, F.spark_partition_id() % salts).otherwise(0)
+    local = rows.select("digest", salt.alias("salt"), "norm", rank("points", "doc_id").alias("best"))
+    salted = local.groupBy("digest", "salt", "norm").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n"))
+    salted = scratch.keep(salted.select("digest", F.when(hot, F.col("norm")).alias("norm"), hot.alias("hot"), "best", "n"))
+    spread = salted.where("hot").groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    merged = scratch.keep(salted.where("not hot").select("digest", "best", "n").union(spread.select("digest", "best", "n")))
+    scratch.drop(salted)
     clash = scratch.keep(merged.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"))
-    alone = salted.join(several, "digest", "left_anti").select("digest", "best", "n")
     values = [*_winner("best"), F.col("n").alias("group_size")]
-
-    kept_rows = F.monotonically_increasing_id().alias("row")
-    keys = scratch.keep(rows.select("doc_id", "points", "text_sha256", "digest", kept_rows))
+    winners = merged.select("digest", *values)
     if clash.isEmpty():
-        winners = scratch.keep(alone.union(merged.select("digest", "best", "n")).select("digest", *values))
-        scratch.drop(salted, merged)
         return _placed(keys, winners, ["digest"], scratch)
-    single = merged.join(clash, "digest", "left_anti").select("digest", "best", "n")
-    winners = scratch.keep(alone.union(single).select("digest", *values))
-    out = _placed(keys.join(clash, "digest", "left_anti"), winners, ["digest"], scratch)
-    texts = scratch.keep(merged.join(clash, "digest", "left_semi").select("digest", "norm", *values))
+    out = _placed(keys.join(clash, "digest", "left_anti"), winners.join(clash, "digest", "left_anti"), ["digest"], scratch)
     odd = scratch.keep(rows.join(clash, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()))
-    scratch.drop(salted, merged)
+    texts = odd.groupBy("digest", "norm").agg(F.max(rank("points", "doc_id")).alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "norm", *values)
     return out.union(_placed(odd, texts, ["digest", "norm"], scratch))
 
 
