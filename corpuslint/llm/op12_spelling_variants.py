@@ -253,7 +253,8 @@ def near_words(words: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFr
     as_right = cut.select("side", "m", "state", F.col("o").alias("i"), F.col("own").alias("j"), F.lit(2).alias("role"), "word", "n")
     parts = whole.unionByName(as_left).unionByName(as_right)
     key = ["side", "m", "state", "i", "j"]
-    composed = parts.repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(_compose, "word string, k long, best_n long, best string")
+    tasks = 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes a part, but much work
+    composed = parts.repartition(tasks, *key).sortWithinPartitions(*key, "role").mapInArrow(_compose, "word string, k long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("less"), "best"))
     return composed.groupBy("word").agg(F.sum("k").alias("k"), best.alias("b")).select("word", "k", (-F.col("b.less")).alias("best_n"), F.col("b.best").alias("best"))
 
