@@ -6,7 +6,7 @@ constants (and folds whole union branches away under a severity filter).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # --------------------------------------------------------------------------
 # Fixed values (must stay byte-exact: fingerprints, sinks and oracles use them)
@@ -131,7 +131,6 @@ class Settings:
     families: tuple[str, ...] | None = None
     # Spread the parse over this many tasks first (for few, large input partitions).
     parse_partitions: int | None = None
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Settings":
         return replace(self, **kw)

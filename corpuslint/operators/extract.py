@@ -1,9 +1,15 @@
-"""Parse and extract (B1-B9): one Spark job turns accepted files into flat facts.
+"""Parse and extract (B1-B9, G8): one pass over content turns accepted files into flat facts.
 
-Strict UTF-8 decoding and hashing stay in the JVM. Python sources go through one
-``mapInArrow`` stage that parses each file once with the stdlib ``ast`` module
-and emits only the node kinds some rule reads, numbered so every later rule is a
-DataFrame join/aggregate:
+Every accepted file's bytes go once through one ``mapInArrow`` stage. It decodes them
+strictly, hashes the newline-normalised text, parses Python sources with the stdlib
+``ast`` module and emits rows tagged by ``node``:
+
+* ``Module`` for a parsed Python file, ``Text`` for a file of another language;
+* ``__undecodable__`` (not read, not UTF-8) and ``__error__`` (does not parse), with the reason;
+* the node kinds some rule reads; of string literals only that an SQL one stands there
+  (``SqlStr``), never its text; and a ``Secret`` row for each line that holds one.
+
+Nodes are numbered so that every later rule is a DataFrame sweep or aggregate:
 
 * ``pre``/``last``: nested-set numbering; x is inside y  <=>  y.pre <= x.pre <= y.last
 * ``bfs``: position in breadth-first (``ast.walk``) order
@@ -12,22 +18,24 @@ DataFrame join/aggregate:
 from __future__ import annotations
 
 import ast
+import hashlib
+import re
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from corpuslint.functions.columns import content_hash, normalize_newlines
+from corpuslint import config as C
 
 FACTS_SCHEMA = (
     "repo string, path string, pre int, last int, bfs int, idx int, node string, line int, end_line int, "
     "name string, call_name string, module string, n_params int, shell_true boolean, loader_name string, "
-    "text string, size_bytes bigint, content_hash string"
+    "text string, size_bytes bigint, content_hash string, language string"
 )
 FACT_COLUMNS = [c.split()[0] for c in FACTS_SCHEMA.split(", ")]
 
+_SECRET = re.compile("(?i)" + C.SECRET_KEYWORDS + r"\s*=\s*['\"][^'\"]+['\"]")
+
 _BRANCH = {ast.If: "If", ast.For: "For", ast.While: "While", ast.Try: "Try"}
 if hasattr(ast, "Match"):
     _BRANCH[ast.Match] = "Match"
@@ -75,7 +83,7 @@ def file_facts(repo: str, path: str, text: str, size_bytes: int, chash: str) ->
     def row(node_kind, pre=None, last=None, bfs=None, idx=None, line=None, end_line=None, name=None,
             cname=None, module=None, n_params=None, shell=None, loader=None, txt=None, size=None, h=None):
         return (repo, path, pre, last, bfs, idx, node_kind, line, end_line, name, cname, module, n_params,
-                shell, loader, txt, size, h)
+                shell, loader, txt, size, h, "python")
 
     try:
         tree = ast.parse(text, filename=path)
@@ -118,14 +126,39 @@ def file_facts(repo: str, path: str, text: str, size_bytes: int, chash: str) ->
         elif kind is ast.BinOp and isinstance(node.op, ast.Add):
             out.append(row("AddOp", p, l, b, line=node.lineno))
         elif kind is ast.Constant and isinstance(node.value, str):
-            out.append(row("Str", p, l, b, line=node.lineno, txt=node.value))
-    try:  # a literal may hold what no text column can (a lone surrogate)
-        "".join(v for r in out for v in r if isinstance(v, str)).encode("utf-8")
-    except UnicodeEncodeError as exc:
-        return [row("__error__", txt=str(exc), size=size_bytes, h=chash)]
+            try:  # a literal may hold what no text column can (a lone surrogate)
+                node.value.encode("utf-8")
+            except UnicodeEncodeError as exc:
+                return [row("__error__", txt=str(exc), size=size_bytes, h=chash)]
+            upper = node.value.upper()
+            if any(k in upper for k in C.SQL_KEYWORDS):
+                out.append(row("SqlStr", p, l, b, line=node.lineno))
+    for n, line in enumerate(text.splitlines(), start=1):
+        if _SECRET.search(line):
+            out.append(row("Secret", line=n, txt=line.strip()))
     return out
 
 
+def content_rows(repo: str, path: str, language: str, content: bytes | None, size_bytes: int | None,
+                 unread: str | None) -> list[tuple]:
+    """The rows of one accepted file; whatever is wrong with it, it fails alone and by one row."""
+    def alone(node: str, text: str | None = None, chash: str | None = None) -> list[tuple]:
+        return [(repo, path, None, None, None, None, node, None, None, None, None, None, None, None, None, text,
+                 size_bytes, chash, language)]
+
+    if content is None:
+        return alone("__undecodable__", unread or "content is null")
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError as exc:
+        return alone("__undecodable__", str(exc))
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    chash = hashlib.sha1(text.encode("utf-8")).hexdigest()
+    if language != "python":
+        return alone("Text", chash=chash)
+    return file_facts(repo, path, text, size_bytes, chash)
+
+
 _ARROW_TYPES = None
 
 
@@ -145,9 +178,8 @@ def _facts_batches(batches):
     for batch in batches:
         cols = batch.to_pydict()
         rows: list[tuple] = []
-        for repo, path, text, size, chash in zip(cols["repo"], cols["path"], cols["text"], cols["size_bytes"],
-                                                 cols["content_hash"]):
-            rows.extend(file_facts(repo, path, text, None if size is None else int(size), chash))
+        for args in zip(*(cols[c] for c in ("repo", "path", "language", "content", "size_bytes", "read_error"))):
+            rows.extend(content_rows(*args))
         if not rows:
             continue
         columns = list(zip(*rows))
@@ -155,59 +187,21 @@ def _facts_batches(batches):
             [pa.array(columns[i], type=schema.field(i).type) for i in range(len(schema))], schema=schema)
 
 
-def decode(accepted: DataFrame) -> DataFrame:
-    """B1/B2: strict UTF-8 decode, newline-normalised text and SHA-1; invalid rows keep text null."""
-    content = F.col("content")
-    if isinstance(accepted.schema["content"].dataType, BinaryType):
-        valid = F.coalesce(F.is_valid_utf8(content.cast("string")), F.lit(False))
-        text = F.when(valid, content.cast("string"))
-    else:
-        valid = content.isNotNull()
-        text = content
-    return (accepted.withColumn("utf8_ok", valid)
-            .withColumn("text", normalize_newlines(text))
-            .withColumn("content_hash", content_hash(F.col("text"))))
-
-
-def _decode_error_messages(batches):
-    for pdf in batches:
-        msgs = []
-        for raw in pdf["content"]:
-            if raw is None:
-                msgs.append("content is null")
-                continue
-            try:
-                bytes(raw).decode("utf-8")
-                msgs.append("invalid utf-8")
-            except UnicodeDecodeError as exc:
-                msgs.append(str(exc))
-        yield pd.DataFrame({"repo": pdf["repo"], "path": pdf["path"], "reason": msgs})
-
-
-def decode_failures(decoded: DataFrame) -> DataFrame:
-    """Undecodable files fail alone at stage `parse` with the decoder's message."""
-    bad = decoded.filter(~F.col("utf8_ok"))
-    if isinstance(decoded.schema["content"].dataType, BinaryType):
-        return bad.select("repo", "path", "content").mapInPandas(
-            _decode_error_messages, "repo string, path string, reason string").withColumn("stage", F.lit("parse"))
-    return bad.select("repo", "path", F.lit("content is null").alias("reason"), F.lit("parse").alias("stage"))
-
-
-def extract_facts(decoded: DataFrame, parse_partitions: int | None = None) -> DataFrame:
-    """One parse per Python file -> ast_facts (plus Module and __error__ rows).
+def extract_facts(accepted: DataFrame, parse_partitions: int | None = None) -> DataFrame:
+    """One pass over content -> ast_facts (with Module, Text and failure rows).
 
     A large file table arrives in many scan partitions and is parsed where it
     lies (no content shuffle). ``parse_partitions`` spreads a small table of
     large texts over more tasks first.
     """
-    py = decoded.filter(F.col("utf8_ok") & (F.col("language") == "python")).select(
-        "repo", "path", "text", "size_bytes", "content_hash")
+    unread = F.col("read_error") if "read_error" in accepted.columns else F.lit(None).cast("string").alias("read_error")
+    rows = accepted.select("repo", "path", "language", F.col("content").cast("binary").alias("content"), "size_bytes", unread)
     if parse_partitions:
-        py = py.repartition(parse_partitions, "repo", "path")
-    return py.mapInArrow(_facts_batches, FACTS_SCHEMA)
+        rows = rows.repartition(parse_partitions, "repo", "path")
+    return rows.mapInArrow(_facts_batches, FACTS_SCHEMA)
 
 
-def parsed_files(decoded: DataFrame, facts: DataFrame) -> DataFrame:
+def parsed_files(facts: DataFrame) -> DataFrame:
     """parsed_files: Python files that parsed (symbols from facts) plus text-mode files."""
     symbols = facts.filter(F.col("node").isin("FunctionDef", "ClassDef", "Import", "ImportFrom"))
     fn = F.struct(F.col("line").alias("line_start"), F.col("name"), F.lit("function").alias("kind"),
@@ -231,7 +225,7 @@ def parsed_files(decoded: DataFrame, facts: DataFrame) -> DataFrame:
         F.coalesce(F.expr(reorder.format(c="functions")), empty_sym).alias("functions"),
         F.coalesce(F.expr(reorder.format(c="classes")), empty_sym).alias("classes"),
     )
-    text = decoded.filter(F.col("utf8_ok") & (F.col("language") != "python")).select(
+    text = facts.filter(F.col("node") == "Text").select(
         "repo", "path", "language", F.lit("text").alias("parse_mode"), "size_bytes", "content_hash",
         F.expr("cast(array() as array<string>)").alias("imports"), empty_sym.alias("functions"),
         empty_sym.alias("classes"))
@@ -239,5 +233,6 @@ def parsed_files(decoded: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def parse_failures(facts: DataFrame) -> DataFrame:
-    return facts.filter(F.col("node") == "__error__").select(
+    """Files that could not be read, decoded or parsed: each one row at stage `parse`."""
+    return facts.filter(F.col("node").isin("__undecodable__", "__error__")).select(
         "repo", "path", F.col("text").alias("reason"), F.lit("parse").alias("stage"))

@@ -1,11 +1,18 @@
 """Import graph (C1-C4) and cycle detection (F1).
 
 Resolution is a left outer equi-join of exploded imports to a module index.
-Cycles are found as strongly connected components by iterative label
-propagation over DataFrames (no graph is ever collected): a forward
-min-label pass colours nodes, a backward pass restricted to each colour finds
-the component of the colour's root, found nodes leave, repeat. Each round is
-one join + aggregate; lineage is cut with reliable checkpoints.
+
+Cycles are strongly connected components (no graph is ever collected). A round gives each
+node the least label that reaches it (f) and the least label that it reaches (g), in an
+order of the nodes that is hashed anew each round. Where f = g, the nodes of that label
+are one component. An edge whose ends differ in f or in g lies in none and goes; with an
+order at random that cuts what is left about in half. Labels travel along edges, through
+the labels' own labels, and along one pointer a node, which is doubled each step, so a
+path of n nodes takes about log n steps. The shortest cycle of a component is searched over its branching nodes only:
+chains of nodes with one way in and one way out are first contracted by doubling.
+
+Each step is one written table; lineage is cut and nothing is recomputed when an executor
+is lost.
 """
 
 from __future__ import annotations
@@ -59,110 +66,120 @@ def file_edges(parsed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class _Rounds:
-    """Tables of an iterative graph job.
+    """Tables of an iterative graph job, each written once under the shared checkpoint folder and read back.
 
-    Every iterate reads the previous one exactly once, so plans stay linear, and
-    every iterate is written once as a table under the shared checkpoint folder
-    and read back: one job per round, a fresh small plan for the next round, and
-    a lost executor never recomputes earlier rounds. (Persisting instead leaves a
+    `release` deletes them once the job's result is written. (Persisting instead leaves a
     growing set of cache entries that every later query is matched against.)
-    `release` deletes the tables once the job's result is written.
     """
 
     def __init__(self, spark):
         self.spark = spark
         self.paths: list[str] = []
 
-    def settle(self, df: DataFrame, count_filter: str | None = None, count: bool = True) -> tuple[DataFrame, int]:
+    def settle(self, df: DataFrame) -> DataFrame:
         df, path = write_table(df)
         self.paths.append(path)
-        if not count:
-            return df, -1
-        counted = df.filter(count_filter) if count_filter else df
-        return df, counted.count()
+        return df
 
     def release(self) -> None:
         delete_tables(self.spark, self.paths)
         self.paths = []
 
 
-def _with_self_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edge list plus one (v, v) edge per node, flagged: a propagation round then reads
-    the previous labels exactly once and still sees each node's own label."""
-    return (edges.select("repo", "src", "dst", F.lit(False).alias("is_self"))
-            .unionByName(nodes.select("repo", F.col("node").alias("src"), F.col("node").alias("dst"),
-                                      F.lit(True).alias("is_self"))))
+def _labels(r: _Rounds, edges: DataFrame, turn: int) -> DataFrame:
+    """(repo, node, f, g) for the ends of the edges (repo, src, dst), in the order of this turn.
 
+    `back` points to one of the nodes that reach the node, `ahead` to one that it reaches;
+    after k steps they stand 2 ** k hops off, and f and g cover all nodes between.
+    """
+    def label(c: str):
+        return F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
+
+    def heard(df: DataFrame, node: str = "node", **given) -> DataFrame:
+        kinds = {c: "string" if c in ("back", "ahead") else "struct<h:bigint,v:string>" for c in ("f", "g", "f0", "g0", "back", "ahead")}
+        return df.select("repo", F.col(node).alias("node"), *[given.get(c, F.lit(None).cast(k)).alias(c) for c, k in kinds.items()])
+
+    ends = edges.groupBy("repo", F.col("dst").alias("node")).agg(F.min(label("src")).alias("least"))
+    into = heard(ends, back=F.col("least.v"))
+    ends = edges.groupBy("repo", F.col("src").alias("node")).agg(F.min(label("dst")).alias("least"))
+    first = into.unionByName(heard(ends, ahead=F.col("least.v"))).groupBy("repo", "node").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead"))
+    labels = r.settle(first.select("repo", "node", label("node").alias("f"), label("node").alias("g"), "back", "ahead", F.lit(True).alias("changed")))
+    while True:
+        told = heard(labels, f=F.col("f"), g=F.col("g"), f0=F.col("f"), g0=F.col("g"))
+        of_src = labels.select("repo", F.col("node").alias("src"), "f")
+        of_dst = labels.select("repo", F.col("node").alias("dst"), "g")
+        told = told.unionByName(heard(edges.join(of_src, ["repo", "src"]), "dst", f=F.col("f")))
+        told = told.unionByName(heard(edges.join(of_dst, ["repo", "dst"]), "src", g=F.col("g")))
+        for way, own in (("back", "f"), ("ahead", "g")):
+            asked = labels.select("repo", "node", F.explode(F.array(F.struct(F.lit(True).alias("far"), F.col(way).alias("at")),
+                                                                     F.struct(F.lit(False).alias("far"), F.col(f"{own}.v").alias("at")))).alias("q"))
+            there = labels.select("repo", F.col("node").alias("at"), own, F.col(way).alias("next"))
+            answers = asked.select("repo", "node", "q.far", "q.at").join(there, ["repo", "at"])
+            told = told.unionByName(heard(answers, **{own: F.col(own), way: F.when(F.col("far"), F.col("next"))}))
+        merged = told.groupBy("repo", "node").agg(*[F.min(c).alias(c) for c in ("f", "g", "f0", "g0", "back", "ahead")])
+        changed = (F.col("f") != F.col("f0")) | (F.col("g") != F.col("g0"))
+        labels = r.settle(merged.select("repo", "node", "f", "g", "back", "ahead", changed.alias("changed")))
+        if labels.filter("changed").isEmpty():
+            return labels
+
+
+def _peeled(r: _Rounds, edges: DataFrame) -> DataFrame:
+    """The edges without whole chains that come from nowhere or lead nowhere, found by doubling.
+
+    A node without an edge into it is in no cycle, nor is one whose only edge into it comes
+    from such a node, and so on; likewise outwards. A step doubles each chain node's pointer;
+    one that finds no further such node is the last.
+    """
+    into = edges.groupBy("repo", F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.first("src").alias("src"))
+    out = edges.groupBy("repo", F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.first("dst").alias("dst"))
+    state = r.settle(into.join(out, ["repo", "node"], "full").select(
+        "repo", "node", F.when(F.col("n_in") == 1, F.col("src")).alias("back"), F.when(F.col("n_out") == 1, F.col("dst")).alias("ahead"),
+        F.col("n_in").isNull().alias("first"), F.col("n_out").isNull().alias("last"), F.lit(False).alias("found")))
+    if state.filter("first or last").isEmpty():
+        return edges
+    while True:
+        before = state.select("repo", F.col("node").alias("back"), F.col("back").alias("back2"), F.col("first").alias("first2"))
+        behind = state.select("repo", F.col("node").alias("ahead"), F.col("ahead").alias("ahead2"), F.col("last").alias("last2"))
+        joined = state.join(before, ["repo", "back"], "left").join(behind, ["repo", "ahead"], "left")
+        first, last = (F.col(c) | F.coalesce(f"{c}2", F.lit(False)) for c in ("first", "last"))
+        state = r.settle(joined.select("repo", "node", F.col("back2").alias("back"), F.col("ahead2").alias("ahead"), first.alias("first"), last.alias("last"),
+                                       ((first & ~F.col("first")) | (last & ~F.col("last"))).alias("found")))
+        if state.filter("found").isEmpty():
+            break
+    alive = state.filter("not first and not last").select("repo", "node")
+    return (edges.join(alive.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
+            .join(alive.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst"))
 
-def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, node, comp) for every node in a non-trivial SCC (size > 1 or a self-loop).
 
-    Forward: colour = smallest node name that reaches the node (min-label
-    propagation). Backward: inside each colour, the nodes that reach the colour's
-    root form the root's component. Found components leave; repeat on the rest.
-    """
+def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, node, comp) for every node in a non-trivial SCC (size > 1 or a self-loop)."""
     spark = nodes.sparkSession
     r = _Rounds(spark)
-    e, _ = r.settle(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")).distinct(),
-                    count=False)
-    live = nodes.select("repo", F.col("path").alias("node"))
-    found = None
-    while True:
-        le = (e.join(live.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-                .join(live.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"))
-        # Trim: a node without a live incoming or outgoing edge is alone in its component.
-        live = (live.join(le.select("repo", F.col("src").alias("node")), ["repo", "node"], "left_semi")
-                    .join(le.select("repo", F.col("dst").alias("node")), ["repo", "node"], "left_semi"))
-        live, n_live = r.settle(live)
-        if n_live == 0:
-            break
-        le, _ = r.settle(le.join(live.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-                           .join(live.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"),
-                        count=False)
-        fwd, _ = r.settle(_with_self_edges(le, live), count=False)
-        colour = live.withColumn("colour", F.col("node"))
-        while True:
-            nxt = (fwd.join(colour.withColumnRenamed("node", "src"), ["repo", "src"])
-                      .groupBy("repo", F.col("dst").alias("node"))
-                      .agg(F.min("colour").alias("colour"),
-                           F.max(F.when(F.col("is_self"), F.col("colour"))).alias("own")))
-            nxt = nxt.select("repo", "node", "colour", (F.col("colour") < F.col("own")).alias("changed"))
-            nxt, n_changed = r.settle(nxt, "changed")
-            colour = nxt.drop("changed")
-            if n_changed == 0:
-                break
-        # Backward pass on reversed same-colour edges: reach = 1 once a node reaches its root.
-        same = (le.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), ["repo", "src"])
-                  .join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), ["repo", "dst"])
-                  .filter(F.col("cs") == F.col("cd"))
-                  .select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
-        bwd, _ = r.settle(_with_self_edges(same, live), count=False)
-        reach = colour.withColumn("reach", (F.col("node") == F.col("colour")).cast("int"))
-        while True:
-            nxt = (bwd.join(reach.withColumnRenamed("node", "src"), ["repo", "src"])
-                      .groupBy("repo", F.col("dst").alias("node"))
-                      .agg(F.max("reach").alias("reach"),
-                           F.max(F.when(F.col("is_self"), F.col("reach"))).alias("own"),
-                           F.max(F.when(F.col("is_self"), F.col("colour"))).alias("colour")))
-            nxt = nxt.select("repo", "node", "colour", "reach", (F.col("reach") > F.col("own")).alias("changed"))
-            nxt, n_changed = r.settle(nxt, "changed")
-            reach = nxt.drop("changed")
-            if n_changed == 0:
-                break
-        member = reach.filter(F.col("reach") == 1).select("repo", "node", "colour")
-        found = member if found is None else found.unionByName(member)
-        found, _ = r.settle(found, count=False)
-        live, _ = r.settle(live.join(member.select("repo", "node"), ["repo", "node"], "left_anti"),
-                           count=False)  # carried into the next outer iteration: store it
-    if found is None:
-        r.release()
-        return spark.createDataFrame([], "repo string, node string, comp string")
-    found = found.withColumnRenamed("colour", "comp")
-    # Keep components of size > 1, or a single node with a self-import.
-    sizes = found.groupBy("repo", "comp").agg(F.count("*").alias("n"))
-    self_loops = e.filter(F.col("src") == F.col("dst")).select("repo", F.col("src").alias("comp")).distinct()
-    keep = sizes.filter("n > 1").select("repo", "comp").unionByName(self_loops).distinct()
-    out = cut_lineage(found.join(keep, ["repo", "comp"], "left_semi"))
+    known = nodes.select("repo", "path")
+    all_edges = r.settle(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+                         .join(known.withColumnRenamed("path", "src"), ["repo", "src"], "left_semi")
+                         .join(known.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi"))
+
+    live, found, turn = all_edges.filter("src <> dst"), [], 0
+    if not live.isEmpty():
+        live = r.settle(_peeled(r, live))
+    while not live.isEmpty():
+        labels = _labels(r, live, turn)
+        found.append(labels.filter("f = g").select("repo", "node", F.col("f.v").alias("comp")))
+        left, right = (labels.filter("f <> g").select("repo", F.col("node").alias(end), F.col("f").alias(f"f_{end}"), F.col("g").alias(f"g_{end}"))
+                       for end in ("src", "dst"))
+        same = live.join(left, ["repo", "src"]).join(right, ["repo", "dst"]).filter("f_src = f_dst and g_src = g_dst")
+        live = r.settle(same.select("repo", "src", "dst"))
+        if not live.isEmpty():
+            live = r.settle(_peeled(r, live))
+        turn += 1
+    loops = all_edges.filter("src = dst").select("repo", F.col("src").alias("node"), F.col("src").alias("comp"))
+    if found:
+        members = union_frames(found)
+        several = members.groupBy("repo", "comp").agg(F.count("*").alias("n")).filter("n > 1").select("repo", "comp")
+        members = members.join(several, ["repo", "comp"], "left_semi").select("repo", "node", "comp")
+        loops = members.unionByName(loops.join(members.select("repo", "node"), ["repo", "node"], "left_anti"))
+    out = cut_lineage(loops)
     r.release()
     return out
 
@@ -175,6 +192,8 @@ def cycle_rows(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     """
     fe = file_edges(parsed, edges)
     comps = strongly_connected(parsed.select("repo", "path"), fe)
+    if comps.isEmpty():
+        return parsed.sparkSession.createDataFrame([], "repo string, path string, evidence string, n bigint")
     members = comps.select("repo", F.col("node").alias("path"), "comp")
     start = members.groupBy("repo", "comp").agg(F.min_by("path", path_key("path")).alias("start"),
                                                 F.count("*").alias("n"))
@@ -187,31 +206,67 @@ def cycle_rows(parsed: DataFrame, edges: DataFrame) -> DataFrame:
             .select("repo", F.col("start").alias("path"), F.array_join("ring", " -> ").alias("evidence"), "n"))
 
 
+def _chains(r: _Rounds, inner: DataFrame, start: DataFrame) -> DataFrame:
+    """(repo, comp, node, nxt, hops, last): each node with one way in and one way out (the start is none).
+
+    `nxt` is the branching node that its chain ends in, `hops` edges on, and `last` the
+    chain's last node. Doubling: a node takes over what the node it points to knows.
+    """
+    key = ["repo", "comp"]
+    out = inner.groupBy(*key, F.col("source").alias("node")).agg(F.count("*").alias("n_out"), F.first("target").alias("nxt")).filter("n_out = 1")
+    into = inner.groupBy(*key, F.col("target").alias("node")).agg(F.count("*").alias("n_in")).filter("n_in = 1")
+    through = (out.join(into, [*key, "node"]).join(start.select(*key, F.col("start").alias("node")), [*key, "node"], "left_anti")
+               .select(*key, "node", "nxt", F.lit(1).alias("hops"), F.col("node").alias("last")))
+    chains = r.settle(through)
+    while True:
+        ahead = chains.select(*key, F.col("node").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("hops").alias("hops2"), F.col("last").alias("last2"))
+        nxt = r.settle(chains.join(ahead, [*key, "nxt"], "left").select(
+            *key, "node", F.coalesce("nxt2", "nxt").alias("nxt"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"),
+            F.coalesce("last2", "last").alias("last"), F.col("nxt2").isNotNull().alias("moved")))
+        chains = nxt.drop("moved")
+        if nxt.filter("moved").isEmpty():
+            return chains
+
+
 def shortest_cycles(inner: DataFrame, start: DataFrame) -> DataFrame:
     """(repo, comp, ring): a shortest cycle from each component's start back to it.
 
-    Breadth-first over the in-component edges, all components together: a round
-    advances every open component by one hop and keeps one ring prefix per reached
-    node; a component leaves in the round that reaches its start again.
+    Over the branching nodes and the contracted chains between them, all components
+    together: a round extends every prefix that became shorter (or, at equal length,
+    string-smaller) in the round before; a prefix is the first node of each of its hops,
+    which fixes it and orders prefixes as the nodes on the way do.
     """
     r = _Rounds(inner.sparkSession)
-    step, _ = r.settle(inner.select("repo", "comp", F.col("source").alias("node"), F.col("target").alias("nxt")), count=False)
-    frontier, _ = r.settle(start.select("repo", "comp", "start", F.col("start").alias("node"), F.array("start").alias("ring")),
-                           count=False)
-    written, closed = [], []
+    key = ["repo", "comp"]
+    inner, start = r.settle(inner), r.settle(start.select(*key, "start"))
+    chains = _chains(r, inner, start)
+    through = chains.select(*key, F.col("node").alias("first"), F.col("nxt").alias("to"), F.col("hops"))
+    hop = (inner.join(chains.select(*key, F.col("node").alias("source")), [*key, "source"], "left_anti")
+           .select(*key, F.col("source").alias("node"), F.col("target").alias("first"))
+           .join(through, [*key, "first"], "left")
+           .select(*key, "node", "first", F.coalesce("to", "first").alias("to"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops")))
+    hop = r.settle(hop)
+    nothing = F.struct(F.lit(0).alias("length"), F.expr("cast(array() as array<string>)").alias("firsts"))
+    best = r.settle(start.select(*key, "start", F.col("start").alias("node"), F.lit(False).alias("closed"), nothing.alias("way"), F.lit(True).alias("fresh")))
     while True:
-        ring = F.concat(F.col("ring"), F.array(F.col("nxt")))
-        nxt = (frontier.join(step, ["repo", "comp", "node"]).withColumn("ring", ring)
-                       .groupBy("repo", "comp", "start", F.col("nxt").alias("node")).agg(F.min("ring").alias("ring")))
-        if written:
-            nxt = nxt.join(union_frames(written).select("repo", "comp", "node"), ["repo", "comp", "node"], "left_anti")
-        nxt, _ = r.settle(nxt.select("repo", "comp", "start", "node", "ring"), count=False)
-        closed.append(nxt.filter("node = start").select("repo", "comp", "ring"))
-        written.append(nxt)
-        frontier = nxt.filter("node <> start").join(closed[-1].select("repo", "comp"), ["repo", "comp"], "left_anti")
-        if frontier.isEmpty():
+        closed = best.filter("closed").select(*key, F.col("way.length").alias("shortest"))
+        longer = F.struct((F.col("way.length") + F.col("hops")).alias("length"), F.concat("way.firsts", F.array("first")).alias("firsts"))
+        ways = (best.filter("fresh and not closed").join(hop, [*key, "node"]).join(closed, key, "left")
+                .filter("shortest is null or way.length + hops <= shortest")
+                .select(*key, "start", F.col("to").alias("node"), (F.col("to") == F.col("start")).alias("closed"), longer.alias("way"), F.lit(None).cast(best.schema["way"].dataType).alias("was")))
+        merged = (best.select(*key, "start", "node", "closed", "way", F.col("way").alias("was")).unionByName(ways)
+                  .groupBy(*key, "start", "node", "closed").agg(F.min("way").alias("way"), F.min("was").alias("was")))
+        best = r.settle(merged.select(*key, "start", "node", "closed", "way", (F.col("was").isNull() | (F.col("way") < F.col("was"))).alias("fresh")))
+        if best.filter("fresh and not closed").isEmpty():
             break
-    out = cut_lineage(union_frames(closed))
+    rings = best.filter("closed").select(*key, "start", F.posexplode("way.firsts").alias("at", "first"))
+    ends = rings.join(through, [*key, "first"], "left").select(*key, "start", "at", F.lit(0).alias("before"), F.coalesce("to", "first").alias("node"))
+    on_way = (rings.join(chains.select(*key, F.col("node").alias("first"), "last"), [*key, "first"])
+              .join(chains.select(*key, "last", "node", "hops"), [*key, "last"])
+              .select(*key, "start", "at", (-F.col("hops")).alias("before"), "node"))
+    listed = ends.unionByName(on_way).groupBy(*key, "start").agg(F.array_sort(F.collect_list(F.struct("at", "before", "node"))).alias("steps"))
+    ring = F.concat(F.array("start"), F.transform("steps", lambda x: x["node"]))
+    out = cut_lineage(listed.select(*key, ring.alias("ring")))
     r.release()
     return out
 

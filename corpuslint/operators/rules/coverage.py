@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslint.config import TEST_SCAN_HEURISTIC
 from corpuslint.functions.columns import basename, expected_test_names, is_test_file, path_key
-from corpuslint.operators.issues import make_issues, seq, union_all
+from corpuslint.operators.issues import make_issues, seq
 
 
 def no_tests(t, cfg) -> DataFrame:
@@ -35,5 +35,7 @@ def missing_targeted_test(t, cfg) -> DataFrame:
                        order=seq("test", 1, F.col("path")))
 
 
-def test_issues(t, cfg) -> DataFrame:
-    return union_all([no_tests(t, cfg), missing_targeted_test(t, cfg)])
+RULES = [
+    (("test.no-tests-detected",), no_tests),
+    (("test.missing-targeted-test",), missing_targeted_test),
+]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuslint import config as C
 from corpuslint.functions.columns import SECRET_REGEX, SPLITLINES_REGEX, py_strip
-from corpuslint.operators.issues import catalogue_lookup, seq, union_all
+from corpuslint.operators.containment import points_inside
+from corpuslint.operators.issues import catalogue_lookup, seq
 
 # Detector order for one Call node (dispatch order of the AST rules).
 CALL_DETECTORS = (
@@ -47,38 +48,33 @@ def call_issues(t, cfg) -> DataFrame:
 
 
 def sql_concat(t, cfg) -> DataFrame:
-    facts = t.facts
-    adds = facts.filter(F.col("node") == "AddOp").select(
-        "repo", "path", F.col("pre").alias("a_pre"), F.col("last").alias("a_last"), F.col("bfs").alias("a_bfs"),
-        F.col("line").alias("a_line"))
-    upper = F.upper(F.col("text"))
-    sql_hit = F.lit(False)
-    for kw in C.SQL_KEYWORDS:
-        sql_hit = sql_hit | upper.contains(kw)
-    strs = facts.filter((F.col("node") == "Str") & sql_hit).select("repo", "path", F.col("pre").alias("s_pre"))
-    hit = adds.join(strs, (adds.repo == strs.repo) & (adds.path == strs.path)
-                    & strs.s_pre.between(adds.a_pre, adds.a_last), "left_semi")
+    """An addition with an SQL literal somewhere below it; in `'SELECT ' + a + b` both additions."""
+    adds = t.facts.filter(F.col("node") == "AddOp").select(
+        "repo", "path", "pre", "last", F.col("bfs").alias("a_bfs"), F.col("line").alias("a_line"))
+    literals = t.facts.filter(F.col("node") == "SqlStr").select("repo", "path", "pre")
+    hit = points_inside(adds, literals, ["a_bfs", "a_line"])
     rule = F.lit("security.sql-string-concat")
     return hit.select(*_issue_cols(rule, F.col("path"), F.col("a_line"), F.array(F.lit("sql_concat")),
                                    seq("security", 0, F.col("path"), 0, F.col("a_bfs") * 8 + 7)))
 
 
 def secret_lines(text_files: DataFrame) -> DataFrame:
-    """G8 over (repo, path, text): one row per matching line (line number, stripped line)."""
+    """G8 over texts of any table (repo, path, text), in the JVM: one row per matching line (line number, stripped line)."""
     lines = text_files.select("repo", "path", F.posexplode(F.split("text", SPLITLINES_REGEX)).alias("pos", "l"))
     hit = lines.filter(F.col("l").rlike(SECRET_REGEX))
     return hit.select("repo", "path", (F.col("pos") + 1).alias("line"), py_strip(F.col("l")).alias("evidence_line"))
 
 
 def hardcoded_secret(t, cfg) -> DataFrame:
-    py_text = t.decoded.filter(F.col("utf8_ok") & (F.col("language") == "python")).select("repo", "path", "text")
-    hits = secret_lines(py_text)
-    parsed_py = t.parsed.filter(F.col("language") == "python").select("repo", "path")
-    hits = hits.join(parsed_py, ["repo", "path"], "left_semi")  # the small side moves, never file text
+    """The parse stage has already found the lines."""
+    hits = t.facts.filter(F.col("node") == "Secret")
     rule = F.lit("security.hardcoded-secret")
-    return hits.select(*_issue_cols(rule, F.col("path"), F.col("line"), F.array("evidence_line"),
+    return hits.select(*_issue_cols(rule, F.col("path"), F.col("line"), F.array("text"),
                                     seq("security", 0, F.col("path"), 1, F.col("line"))))
 
 
-def security_issues(t, cfg) -> DataFrame:
-    return union_all([call_issues(t, cfg), sql_concat(t, cfg), hardcoded_secret(t, cfg)])
+RULES = [
+    (CALL_DETECTORS, call_issues),
+    (("security.sql-string-concat",), sql_concat),
+    (("security.hardcoded-secret",), hardcoded_secret),
+]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslint.config import CROSS_FILE_HEURISTIC, Settings
 from corpuslint.functions.columns import path_key
+from corpuslint.operators.containment import points_inside
 from corpuslint.operators.graph import cycle_rows
 from corpuslint.operators.issues import make_issues, seq, union_all
 
@@ -39,14 +40,9 @@ def large_function(t, cfg: Settings) -> DataFrame:
 def complex_function(t, cfg: Settings) -> DataFrame:
     facts = t.facts
     fn = facts.filter(F.col("node") == "FunctionDef").select(
-        "repo", "path", F.col("pre").alias("f_pre"), F.col("last").alias("f_last"), F.col("bfs").alias("f_bfs"),
-        F.col("line").alias("f_line"), F.col("name").alias("f_name"))
-    br = facts.filter(F.col("node").isin(*BRANCH_NODES)).select("repo", "path", F.col("pre").alias("b_pre"))
-    # Equi keys (repo, path) + range residual: a per-file sort-merge join, never a nested loop over files.
-    pairs = fn.join(br, (fn.repo == br.repo) & (fn.path == br.path)
-                    & br.b_pre.between(fn.f_pre, fn.f_last)).select(fn.repo, fn.path, "f_bfs", "f_line", "f_name")
-    counts = pairs.groupBy("repo", "path", "f_bfs", "f_line", "f_name").agg(F.count("*").alias("n"))
-    hit = counts.filter(F.col("n") > cfg.structure_max_branch_nodes)
+        "repo", "path", "pre", "last", F.col("bfs").alias("f_bfs"), F.col("line").alias("f_line"), F.col("name").alias("f_name"))
+    branches = facts.filter(F.col("node").isin(*BRANCH_NODES)).select("repo", "path", "pre")
+    hit = points_inside(fn, branches, ["f_bfs", "f_line", "f_name"]).filter(F.col("n") > cfg.structure_max_branch_nodes)
     return make_issues(hit, "structure.complex-function", path=F.col("path"), line=F.col("f_line"),
                        evidence=F.array(F.concat(F.lit("function="), "f_name"), F.concat(F.lit("branch_nodes="), "n")),
                        order=seq("structure", 2, F.col("path"), F.col("f_bfs")))
@@ -107,6 +103,11 @@ def large_review_scope(t, cfg: Settings) -> DataFrame:
                        order=seq("structure", 5, F.col("first")))
 
 
-def structure_issues(t, cfg: Settings) -> DataFrame:
-    return union_all([circular_dependency(t, cfg), large_function(t, cfg), complex_function(t, cfg),
-                      unused_import(t, cfg), unused_symbols(t, cfg), large_review_scope(t, cfg)])
+RULES = [
+    (("structure.circular-dependency",), circular_dependency),
+    (("structure.large-function",), large_function),
+    (("structure.complex-function",), complex_function),
+    (("structure.unused-import",), unused_import),
+    (("structure.unused-function", "structure.unused-class"), unused_symbols),
+    (("structure.large-review-scope",), large_review_scope),
+]

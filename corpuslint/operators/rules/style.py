@@ -30,3 +30,8 @@ def style_issues(t, cfg) -> DataFrame:
         make_issues(cl.filter(~F.col("name").rlike(C.PASCAL_CASE)), "style.class-name", path=F.col("path"),
                     line=F.col("line_start"), evidence=F.array("name"), order=seq("style", 0, F.col("path"), (1 << 40) + F.col("pos"), 0)),
     ])
+
+
+RULES = [
+    (("style.function-name", "style.function-length", "style.too-many-parameters", "style.class-name"), style_issues),
+]

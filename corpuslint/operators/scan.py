@@ -1,52 +1,18 @@
 """Admission of files (A2-A10): history-file drop, globs, size cap, count/byte budget.
 
-Everything but the budget is a per-row predicate that stays in Catalyst. The
-budget is a greedy, order-dependent fold (a file that would overflow is skipped
-and a later smaller file may still fit), so it runs as a streamed per-repo scan:
-only ``(repo, path, size)`` is shuffled - never content - rows arrive sorted by
-(repo, path order) and the Python side keeps two counters, so memory stays at one
-Arrow batch however large a repository is.
+Everything but the budget is a per-row predicate that stays in Catalyst. The budget is
+decided by ``operators.budget`` on ``(repo, path, size)`` alone - content never moves -
+and only for repositories that overflow.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslint.config import SKIP_REASON, Settings
-from corpuslint.functions.columns import language_of, matches_globs, path_key
-
-DECISION_SCHEMA = "repo string, path string, size_bytes bigint, skip_rule string"
-
-
-def _budget_fold(max_files: int | None, max_bytes: int | None):
-    cap_n = math.inf if max_files is None else max_files
-    cap_b = math.inf if max_bytes is None else max_bytes
-
-    def fold(batches):
-        repo, count, total = None, 0, 0
-        for pdf in batches:
-            repos = pdf["repo"].to_numpy()
-            sizes = pdf["size_bytes"].to_numpy()
-            out = np.empty(len(pdf), dtype=object)
-            for i in range(len(pdf)):
-                if repos[i] != repo:
-                    repo, count, total = repos[i], 0, 0
-                if count >= cap_n:
-                    out[i] = "max_files"
-                elif total + sizes[i] > cap_b:
-                    out[i] = "max_total_bytes"
-                else:
-                    total += int(sizes[i])
-                    count += 1
-                    out[i] = None
-            yield pd.DataFrame({"repo": pdf["repo"], "path": pdf["path"], "size_bytes": pdf["size_bytes"], "skip_rule": out})
-
-    return fold
+from corpuslint.functions.columns import language_of, matches_globs
+from corpuslint.operators.budget import budget_decisions
 
 
 def _row_rule(cfg: Settings):
@@ -55,6 +21,8 @@ def _row_rule(cfg: Settings):
         ~matches_globs(path, cfg.include_globs), F.lit("include"))
     if cfg.max_file_bytes is not None:
         rule = rule.when(size > F.lit(cfg.max_file_bytes), F.lit("max_file_bytes"))
+    if cfg.max_file_bytes is not None or cfg.max_total_bytes is not None:  # a byte cap cannot be held against no size
+        rule = rule.when(size.isNull(), F.lit("size_unknown"))
     return rule
 
 
@@ -65,11 +33,11 @@ def admit(files: DataFrame, cfg: Settings) -> DataFrame:
     path = F.col("path")
     rule = _row_rule(cfg)
     decided = base.withColumn("skip_rule", rule)
-    if needs_fold(cfg):
+    if has_budget(cfg):
         early = decided.filter(F.col("skip_rule").isNotNull())
         candidates = decided.filter(F.col("skip_rule").isNull()).select("repo", "path", "size_bytes")
         # A repo whose admissible files fit entirely accepts them all (sizes are >= 0, so every
-        # prefix fits too): only overflowing repos need the ordered fold. Totals combine map-side.
+        # prefix fits too): only overflowing repos need the phases. Totals combine map-side.
         totals = candidates.groupBy("repo").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
         fits = F.lit(True)
         if cfg.max_files is not None:
@@ -78,15 +46,12 @@ def admit(files: DataFrame, cfg: Settings) -> DataFrame:
             fits = fits & (F.col("b") <= cfg.max_total_bytes)
         fitting = totals.filter(fits).select("repo")
         whole = candidates.join(fitting, ["repo"], "left_semi").withColumn("skip_rule", F.lit(None).cast("string"))
-        overflowing = (candidates.join(fitting, ["repo"], "left_anti")
-                       .repartition("repo")
-                       .sortWithinPartitions("repo", path_key("path")))
-        folded = overflowing.mapInPandas(_budget_fold(cfg.max_files, cfg.max_total_bytes), DECISION_SCHEMA)
-        decided = early.unionByName(whole).unionByName(folded)
+        overflowing = candidates.join(fitting, ["repo"], "left_anti")
+        decided = early.unionByName(whole).unionByName(budget_decisions(overflowing, cfg.max_files, cfg.max_total_bytes))
     return decided.withColumn("language", language_of(path))
 
 
-def needs_fold(cfg: Settings) -> bool:
+def has_budget(cfg: Settings) -> bool:
     return cfg.max_files is not None or cfg.max_total_bytes is not None
 
 
@@ -94,16 +59,17 @@ def accepted_files(files: DataFrame, decisions: DataFrame, cfg: Settings) -> Dat
     """Accepted rows with their content.
 
     Without a count/byte budget every decision is a row predicate, so content
-    never moves (narrow filter). With a budget the fold decided on (path, size)
+    never moves (narrow filter). A budget was decided on (path, size)
     alone and content is joined once to the accepted keys.
     """
-    if not needs_fold(cfg):
-        return (files.select("repo", "path", "content", F.col("size_bytes").cast("bigint").alias("size_bytes"))
+    carried = ["content", *(c for c in ("read_error",) if c in files.columns)]
+    if not has_budget(cfg):
+        return (files.select("repo", "path", *carried, F.col("size_bytes").cast("bigint").alias("size_bytes"))
                 .filter(F.col("path") != F.lit(cfg.history_file_path))
                 .filter(_row_rule(cfg).isNull())
                 .withColumn("language", language_of(F.col("path"))))
     ok = decisions.filter(F.col("skip_rule").isNull()).select("repo", "path", "language", "size_bytes")
-    return files.select("repo", "path", "content").join(ok, ["repo", "path"], "inner")
+    return files.select("repo", "path", *carried).join(ok, ["repo", "path"], "inner")
 
 
 def skipped_files(decisions: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
-"""The whole review as one lazy plan over many repositories.
+"""The whole review as one plan over many repositories.
 
-``analyze(files, history, cfg)`` builds DataFrames only; nothing runs until a
-caller writes or collects. Content crosses into Python once (the parse job),
-the facts it yields are shared by every rule branch, and everything after is
+``analyze(files, history, cfg)`` builds DataFrames; what starts jobs while plans are
+built is a count or byte budget (its phases) and, when an issue table with
+``structure.circular-dependency`` is asked for, the cycle search. Rules are chosen
+before anything is planned: ``raw_issues(rules)``, ``issues(rules)`` and ``query(opts)``
+plan the rules asked for and no others. Content crosses into Python once (the parse
+stage), the facts it yields are shared by every rule branch, and everything after is
 joins, aggregates and ranking windows keyed by ``repo``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -17,29 +21,17 @@ from corpuslint.config import Settings
 from corpuslint.operators import context as ctx
 from corpuslint.operators import extract, scan
 from corpuslint.operators.graph import build_edges, dependencies_by_source
+from corpuslint.operators import report as rep
 from corpuslint.operators.issues import empty_issues, union_all
-from corpuslint.operators.rules.coverage import test_issues
-from corpuslint.operators.rules.performance import performance_issues
-from corpuslint.operators.rules.security import security_issues
-from corpuslint.operators.rules.structure import structure_issues
-from corpuslint.operators.rules.style import style_issues
+from corpuslint.operators.rules import registry
 from corpuslint.session import share
 
-FAMILY_BUILDERS = {
-    "structure": structure_issues,
-    "security": security_issues,
-    "style": style_issues,
-    "performance": performance_issues,
-    "test": test_issues,
-}
-
 
 @dataclass
 class Tables:
     cfg: Settings
     decisions: DataFrame
     repos: DataFrame
-    decoded: DataFrame
     facts: DataFrame
     parsed: DataFrame
     failed: DataFrame
@@ -55,16 +47,20 @@ class Tables:
     extra: dict = field(default_factory=dict)
 
     # Issue tables are built on first use so callers that only need the context pay nothing.
-    def raw_issues(self) -> DataFrame:
-        if "raw_issues" not in self.extra:
-            fams = [FAMILY_BUILDERS[f](self, self.cfg) for f in self.cfg.active_families]
-            self.extra["raw_issues"] = union_all(fams) if fams else empty_issues(self.facts.sparkSession)
-        return self.extra["raw_issues"]
+    def raw_issues(self, rules: Iterable[str] | None = None) -> DataFrame:
+        """Issues of the active families, of the given rules only if some are given."""
+        key = ("raw_issues", None if rules is None else frozenset(rules))
+        if key not in self.extra:
+            found = registry.built(self, self.cfg, rules)
+            self.extra[key] = union_all(found) if found else empty_issues(self.facts.sparkSession)
+        return self.extra[key]
+
+    def issues(self, rules: Iterable[str] | None = None) -> DataFrame:
+        return ctx.new_issues(self.raw_issues(rules), self.history, self.cfg)
 
-    def issues(self) -> DataFrame:
-        if "issues" not in self.extra:
-            self.extra["issues"] = ctx.new_issues(self.raw_issues(), self.history, self.cfg)
-        return self.extra["issues"]
+    def query(self, opts: rep.QueryOptions) -> DataFrame:
+        """L1-L8 over the new issues; severities and families that are filtered out are never planned."""
+        return rep.query_issues(self.issues(registry.select_rules(opts.severity_filter, opts.agent_filter)), opts)
 
     def next_history(self) -> DataFrame:
         return ctx.next_history(self.parsed, self.issues(), self.history, self.cfg)
@@ -81,19 +77,16 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
     decisions = scan.admit(files, cfg)
     repos = files.select("repo").distinct()
     accepted = scan.accepted_files(files, decisions, cfg)
-    decoded = extract.decode(accepted)
-    facts = extract.extract_facts(decoded, cfg.parse_partitions)
+    facts = extract.extract_facts(accepted, cfg.parse_partitions)
     persisted = []
     if persist_facts:
         facts = share(facts)  # one parse per file, read by every rule branch
         persisted.append(facts)
-    parsed = extract.parsed_files(decoded, facts)
+    parsed = extract.parsed_files(facts)
     if persist_facts:
         parsed = share(parsed)  # the hub table: graph, context and every family read it
         persisted.append(parsed)
-    failed = union_all([scan.skipped_files(decisions).drop("skip_rule"),
-                        extract.decode_failures(decoded),
-                        extract.parse_failures(facts)])
+    failed = union_all([scan.skipped_files(decisions).drop("skip_rule"), extract.parse_failures(facts)])
     edges = build_edges(parsed)
     if persist_facts:
         edges = share(edges)
@@ -110,7 +103,7 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
         highlighted = highlighted.limit(0)
         keys = keys.limit(0)
         focus = focus.limit(0)
-    return Tables(cfg=cfg, decisions=decisions, repos=repos, decoded=decoded, facts=facts, parsed=parsed,
+    return Tables(cfg=cfg, decisions=decisions, repos=repos, facts=facts, parsed=parsed,
                   failed=failed, edges=edges, file_contexts=file_contexts, highlighted=highlighted,
                   key_files=keys, focus=focus, budget=bud, changes=changes, targets=targets, history=history,
                   extra={"persisted": persisted})

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from corpuslint import config as C
 from corpuslint.config import Settings
+from corpuslint.functions.tables import register as register_table_functions
 from corpuslint.operators import context as ctx
 from corpuslint.operators import report as rep
 from corpuslint.operators.issues import union_all
-from corpuslint.operators.rules import coverage, performance, security, structure, style
+from corpuslint.operators.rules import performance, security, structure, style
 from corpuslint.plans.analyze import analyze
 from corpuslint.sources.corpus import corpus_files, corpus_oracle_cte
 from corpuslint.sources.files import read_table
@@ -159,12 +160,22 @@ def q_security_calls(spark, sf):
     return issue_view(security.call_issues(corpus_tables(spark, sf), CORPUS_SETTINGS))
 
 
+def q_sql_facts(spark, sf):
+    """O3: functions and branches per module, by SQL over the table function `ast_facts`."""
+    register_table_functions(spark)
+    files = corpus_files(read_table(spark, sf, "part")).filter("path like 'pkg%'")
+    return spark.sql("""
+        SELECT f.repo, f.path, count_if(a.node = 'FunctionDef') AS functions, count_if(a.node IN ('If', 'For', 'While')) AS branches,
+               count_if(a.node = '__error__') AS errors
+        FROM {files} f, LATERAL ast_facts(f.content) a GROUP BY f.repo, f.path""", files=files)
+
+
 def q_style(spark, sf):
     return issue_view(style.style_issues(corpus_tables(spark, sf), CORPUS_SETTINGS))
 
 
 def q_tests(spark, sf):
-    return issue_view(coverage.test_issues(corpus_tables(spark, sf), CORPUS_SETTINGS))
+    return issue_view(corpus_tables(spark, sf).raw_issues(FAMILY_RULES["test"]))
 
 
 # ------------------------------------------------------------------ oracle SQL
@@ -381,6 +392,12 @@ SELECT g.repo, g.agent, CAST(count(i.rule_id) AS BIGINT) AS issue_count,
 FROM grid g LEFT JOIN iss i ON i.repo = g.repo AND split_part(i.rule_id, '.', 1) = g.agent
 GROUP BY g.repo, g.agent"""
 
+_SQL_FACTS_SQL = _BASE + """
+SELECT repo, path, CAST(CASE WHEN ok THEN 1 + (k % 5 = 0)::INT ELSE 0 END AS BIGINT) AS functions,
+       CAST(CASE WHEN ok THEN z % 12 + CASE k % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS branches,
+       CAST(CASE WHEN ok THEN 0 ELSE 1 END AS BIGINT) AS errors
+FROM corpus"""
+
 _INCR_CHANGES_SQL = _BASE + """
 SELECT repo, path, CASE WHEN path LIKE 'pkg0/%' THEN 'changed' ELSE 'unchanged' END AS status FROM parsed"""
 
@@ -407,6 +424,7 @@ QUERIES = {
     "corpus_security_calls": q_security_calls,
     "corpus_sql_concat": _rule_query(security.sql_concat),
     "corpus_secrets": _rule_query(security.hardcoded_secret),
+    "corpus_sql_facts": q_sql_facts,
     "corpus_style": q_style,
     "corpus_loop_io": _rule_query(performance.loop_io),
     "corpus_repeated_len": _rule_query(performance.repeated_len),
@@ -439,6 +457,7 @@ ORACLES = {
                                       if r not in ("security.sql-string-concat", "security.hardcoded-secret")]),
     "corpus_sql_concat": _single(["security.sql-string-concat"]),
     "corpus_secrets": _single(["security.hardcoded-secret"]),
+    "corpus_sql_facts": _SQL_FACTS_SQL,
     "corpus_style": _single(FAMILY_RULES["style"]),
     "corpus_loop_io": _single(["performance.loop-io"]),
     "corpus_repeated_len": _single(["performance.repeated-len-call"]),

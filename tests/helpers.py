@@ -9,7 +9,7 @@ def rule_ids(tables):
 
 
 def issues_of(tables, rule_id):
-    return [r.asDict() for r in tables.raw_issues().filter(f"rule_id = '{rule_id}'").collect()]
+    return [r.asDict() for r in tables.raw_issues([rule_id]).collect()]
 
 
 def run(files, cfg=UNCAPPED, history=None):

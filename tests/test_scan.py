@@ -107,3 +107,41 @@ def test_fitting_repo_skips_fold_overflowing_repo_folds(spark):
 def test_nothing_is_dropped_by_default(spark):
     df = spark.createDataFrame([("r", f"m{i}.py", 300_000) for i in range(600)], "repo string, path string, size_bytes bigint")
     assert admit(df, Settings()).where("skip_rule is null").count() == 600
+
+
+def _greedy(rows, max_files, max_bytes):
+    out, by = {}, {}
+    for repo, path, size in rows:
+        by.setdefault(repo, []).append((path.split("/"), path, size))
+    for repo, files in by.items():
+        count = total = 0
+        for _, path, size in sorted(files):
+            if max_files is not None and count >= max_files:
+                out[repo, path] = "max_files"
+            elif max_bytes is not None and total + size > max_bytes:
+                out[repo, path] = "max_total_bytes"
+            else:
+                out[repo, path] = None
+                count, total = count + 1, total + size
+    return out
+
+
+def test_budget_phases_match_the_plain_fold(spark):
+    """Many repositories, one of them spread over many buckets, under byte and count caps."""
+    import random
+
+    from corpuslint.operators.budget import budget_decisions
+    rnd = random.Random(1)
+    rows = [(f"r{g}", f"d{rnd.randint(0, 9)}/f{i}.py", rnd.choice([0, rnd.randint(0, hi), rnd.randint(0, hi)]))
+            for g in range(40) for hi in [rnd.choice([1, 3, 10, 1000])] for i in range(rnd.randint(1, 40))]
+    rows += [("hot", f"d{i % 7}/f{i}.py", rnd.randint(0, 50)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "repo string, path string, size_bytes bigint").repartition(4)
+    for max_files, max_bytes, bits in ((None, 100, 3), (9, 150, 14), (400, 9000, 5), (0, 10, 14), (None, 0, 14)):
+        got = {(r.repo, r.path): r.skip_rule for r in budget_decisions(df, max_files, max_bytes, bits).collect()}
+        assert got == _greedy(rows, max_files, max_bytes)
+
+
+def test_a_size_that_is_not_known_is_a_skip_reason(spark):
+    d = decisions(spark, [("a.py", 3), ("b.py", None), ("c.py", 9)], Settings(max_total_bytes=6))
+    assert d == {"a.py": None, "b.py": "size_unknown", "c.py": "max_total_bytes"}
+    assert decisions(spark, [("a.py", None)], Settings()) == {"a.py": None}

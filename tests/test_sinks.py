@@ -15,7 +15,7 @@ from tests.helpers import run
 def reviewed(files, **options):
     """A run whose issues are written once, for the several documents read from them."""
     t = run(files, **options)
-    t.extra["raw_issues"] = cut_lineage(t.raw_issues())
+    t.extra["raw_issues", None] = cut_lineage(t.raw_issues())
     return t
 
 
