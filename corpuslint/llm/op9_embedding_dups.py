@@ -7,10 +7,12 @@ nearest ones (with the same label). Candidates are then verified by their cosine
 
 Lists are never expanded into pairs. Members of a list are first compared with the
 list's leader: vectors within half the linking angle of a leader form its ball, and
-all members of a ball are linked with each other (triangle inequality). A vector
-then meets each other ball of its lists once: by its angle to the centre all of
+all members of a ball are linked with each other (triangle inequality). Two balls
+that share a list meet, unless their centres are too far apart for a link; then each
+member of either is held against the other ball: by its angle to the centre all of
 the ball's members are linked, or none, or - between the two - they are compared
-one by one. Copies and dense groups thus cost in proportion to their size.
+one by one. Copies and dense groups thus cost in proportion to their size, and a link
+is found from both its ends or from neither.
 
 The reference points are REFERENCES vectors out of a hash sample of DRAWN; every
 vector is indexed. Recall against brute force is tested (about 0.97 at the
@@ -143,9 +145,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     kb = k.join(ball.select("rid", "ball"), "rid").select("key", "rid", "ball")
     open_ = kb.groupBy("key").agg(F.min("ball").alias("lo"), F.max("ball").alias("hi")).where("lo < hi").select("key")
-    kb = scratch.keep(kb.join(open_, "key"))
-    there = kb.select("key", F.col("ball").alias("other")).distinct()
-    meets = kb.join(there, "key").where("ball <> other").select("rid", F.col("other").alias("ball")).distinct()
+    listed = scratch.keep(kb.join(open_, "key").select("key", "ball").distinct())
+    # Balls meet if any of their members share a list; then all members of either are held against the other ball,
+    # so a link is found from both its ends or from neither.
+    two = listed.join(listed.select("key", F.col("ball").alias("other")), "key").where("ball < other").select("ball", "other").distinct()
+    radius = balls.select("ball", F.acos(F.least(F.lit(1.0), F.col("edge"))).alias("r"))
+    far = angle + F.col("r") + F.col("r2") + MARGIN
+    apart = (cosines(two.join(unit_of.select(F.col("rid").alias("ball"), "u"), "ball").join(centre_of.withColumnRenamed("ball", "other"), "other"))
+             .join(radius, "ball").join(radius.select(F.col("ball").alias("other"), F.col("r").alias("r2")), "other")
+             .where(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s")))) <= far))
+    near = scratch.keep(apart.select("ball", "other"))
+    both = near.unionByName(near.select(F.col("other").alias("ball"), F.col("ball").alias("other")))
+    meets = both.join(ball.select("ball", "rid"), "ball").select("rid", F.col("other").alias("ball"))
     meets = cosines(meets.join(unit_of, "rid").join(centre_of, "ball")).join(balls, "ball")
     a, r = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s")))), F.acos(F.least(F.lit(1.0), F.col("edge")))
     alone = F.col("n") == 1  # its centre is its member

@@ -369,6 +369,35 @@ def test_embedding_duplicates(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (200, 201, 202, 203)) and got[205].component_id == 204
 
 
+def test_embedding_links_are_found_from_both_ends(spark):
+    """Groups of copies scattered about the threshold: recall, no link below it, and every link counted twice."""
+    r = np.random.default_rng(12)
+    base = r.normal(size=(60, 16))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    x = (base[r.integers(0, 60, 2500)] + r.normal(size=(2500, 16)) * r.choice([0.01, 0.04, 0.07, 0.1], 2500)[:, None]).astype(np.float32)
+    label = r.integers(0, 2, len(x))
+    rows = [(int(i), v.tolist(), int(lb), 1, "k", 0.5) for i, (v, lb) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rid int, key string, s double").repartition(4)
+    got = {g.vec_id: g for g in op9.near_duplicates(df).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    linked = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    found = np.array([got[i].n_links for i in range(len(u))])
+    assert (found <= linked.sum(1)).all() and found.sum() >= 0.9 * linked.sum() and found.sum() % 2 == 0
+    if found.sum() == linked.sum():
+        assert [got[i].component_id for i in range(len(u))] == _components(len(u), list(zip(*np.nonzero(np.triu(linked)))))
+
+
+def test_embeddings_repeated_null_ids_and_none(spark):
+    kind = "vec_id long, embedding array<float>, label int, ball int, n string"
+    v = [1.0, 0.5, 0.25]
+    rows = [(5, v, 1, 1, ""), (5, v, 1, 1, ""), (None, v, 1, 2, ""), (7, v, None, 3, ""), (8, [0.0, 0.0, 1.0], 1, 4, "")]
+    got = sorted(((g.vec_id, g.n_links, g.component_id) for g in op9.near_duplicates(spark.createDataFrame(rows, kind)).collect()), key=repr)
+    assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (7, 0, 7), (8, 0, 8)], key=repr)
+    assert op9.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_ngram_join(docs, nothing):
     rows = docs.select("doc_id", "text").collect()
     sets = []
