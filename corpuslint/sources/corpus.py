@@ -76,7 +76,7 @@ def corpus_files(part: DataFrame) -> DataFrame:
     # The seed rows are tiny and the rendered text ~100x larger: spread the seeds
     # (not the text) so rendering and parsing start out parallel.
     seeds = part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
-    seeds = seeds.repartition(max(8, part.sparkSession.sparkContext.defaultParallelism * 4), "k")
+    seeds = seeds.repartition(max(8, part.sparkSession.sparkContext.defaultParallelism), "k")
     base = seeds.selectExpr(
         "k", "z", "k div 25 AS i",
         "CASE WHEN (k div 25) % 4 = 3 THEN CASE WHEN ((k div 25) div 4) % 3 = 0 THEN k - 75 END ELSE k + 25 END AS j",
