@@ -15,14 +15,17 @@ decided by cost:
 * Not enough even so: the set's prefix (its first n - ceil(t n) + 1 shingles in
   hash order) stands in the index as well; two such sets meet there.
 
+Entries are shuffled in PARTS turns, so that only a part of the index is on disk twice,
+and of entries with the same sets (the same number, least, largest and two equal sums of hashes) one is kept.
+
 Sets with an equal entry are candidates. An entry's sets are not expanded into
 pairs: they are first compared with two of them (the smallest and the largest id),
 and the links found give components. Where an entry's sets then still lie in several
-components, STAR_ROUNDS further rounds compare them with one of them, another one in
-each entry. What is left after that is resolved exactly: up to SMALL sets by the pairs across components,
-larger ones by a prefix filter in frequency order among their sets. In these rounds a
-pair is formed only if its sets' histograms (shingles counted into BUCKETS by hash)
-allow the threshold: the sum of the smaller counts bounds the intersection from above,
+components, up to SMALL sets are resolved exactly, by the pairs across components. For larger
+entries STAR_ROUNDS further rounds compare the sets with one of them, another one in
+each entry; those still open after that are resolved by a prefix filter in frequency order
+among their sets. Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
+must allow the threshold: the sum of the smaller counts bounds the intersection from above,
 so no link is lost. Every link reported is verified on the whole sets. Equal sets are one class from the start.
 
 Shingles are 64-bit hashes of their words; a class is a 64-bit hash of its set.
@@ -48,6 +51,7 @@ from corpuslint.llm.textnp import NON_SPACE, U, column_bytes, mix, row_bounds, s
 SHINGLE = 4
 PERCENT = 85
 GROWTH = 1.4
+PARTS = 4
 SMALL = 16
 STAR_ROUNDS = 4
 BUCKETS = 64
@@ -132,7 +136,10 @@ def entries(s: np.ndarray, table: list[tuple[int, int, int, int]], percent: int
 
 
 def indexed(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, tk, n_shingles, cid, sigs): size, class and index entries of every document; tk names the text."""
+    """(doc_id, tk, n_shingles, cid, sigs0..): size, class and index entries by part of every document; tk names the text.
+
+    Of equal sets that a task reads together only the first carries entries.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bands((1 << 16) * 100 // percent + 1, percent)
         with np.errstate(over="ignore"):
@@ -145,14 +152,40 @@ def indexed(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
                     table = bands(reach, percent)
                 total = np.concatenate([np.zeros(1, U), np.cumsum(mix(v ^ _SET))])
                 cid = mix((total[bounds[1:]] - total[bounds[:-1]]) + size.astype(U))
-                own = [entries(v[a:z], table, percent) if z > a else np.zeros(0, U) for a, z in zip(bounds, bounds[1:])]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-                sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(own))))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), pa.array(size.astype(np.int64)), pa.array(signed(cid), mask=size == 0), sigs],
-                                                 ["doc_id", "tk", "n_shingles", "cid", "sigs"])
-
+                first = np.zeros(b.num_rows, bool)
+                first[np.unique(cid, return_index=True)[1]] = True
+                own = [entries(v[a:z], table, percent) if z > a and f else np.zeros(0, U) for a, z, f in zip(bounds, bounds[1:], first)]
+                at = np.repeat(np.arange(b.num_rows), [len(x) for x in own])
+                sig = np.concatenate([np.zeros(0, U), *own])
+                cols = [b.column("doc_id"), b.column("tk"), pa.array(size.astype(np.int64)), pa.array(signed(cid), mask=size == 0)]
+                for part in range(PARTS):
+                    mine = sig % U(PARTS) == part
+                    ends = np.searchsorted(at[mine], np.arange(b.num_rows + 1))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(sig[mine]))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tk", "n_shingles", "cid", *(f"sigs{k}" for k in range(PARTS))])
+
+    lists = "".join(f", sigs{k} array<long>" for k in range(PARTS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").mapInArrow(
-        work, "doc_id long, tk long, n_shingles long, cid long, sigs array<long>")
+        work, "doc_id long, tk long, n_shingles long, cid long" + lists)
+
+
+def members_of(scratch: Scratch, index: DataFrame) -> DataFrame:
+    """(sig, cid, lo, hi): the entries that several classes share, one of those with the same classes; lo and hi are their ends."""
+    parts = []
+    for k in range(PARTS):
+        entry = index.where("cid is not null").select("cid", F.explode(f"sigs{k}").alias("sig"))
+        shared = scratch.keep(entry.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi"))
+        parts.append(scratch.keep(entry.join(shared.hint("shuffle_hash"), "sig").distinct()))
+        scratch.drop(shared)
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    same = [F.bit_xor(F.xxhash64("cid", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    like = found.groupBy("sig", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), *same)
+    chosen = scratch.keep(like.groupBy("lo", "hi", "n", "s1", "s2").agg(F.min("sig").alias("sig")).select("sig"))
+    out = scratch.keep(found.join(chosen, "sig", "left_semi"))
+    scratch.drop(chosen, *parts)
+    return out
 
 
 def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -189,12 +222,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of sets of one entry that lie in different components and may link."""
-    other = members.select("sig", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("hist").alias("hist2"))
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and histograms allow the threshold."""
+    left = sets.select(F.col("cid").alias("a"), "size", "hist")
+    right = sets.select(F.col("cid").alias("b"), F.col("size").alias("size2"), F.col("hist").alias("hist2"))
     may = _may_link(F.col("size"), F.col("hist"), F.col("size2"), F.col("hist2"), percent)
-    mine = members.select("sig", F.col("cid").alias("a"), "comp", "size", "hist")
-    return mine.join(other, (mine.sig == other.sig) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & may).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(may).select("a", "b")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs a < b of sets of one entry that lie in different components."""
+    mine = members.select("sig", F.col("cid").alias("a"), "comp")
+    other = members.select("sig", F.col("cid").alias("b"), F.col("comp").alias("comp2"))
+    return mine.join(other, "sig").where("a < b and comp <> comp2").select("a", "b").distinct()
 
 
 def _across_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,55 +252,63 @@ def _across_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataF
             .select(F.col("cid").alias("a"), "b").distinct())
 
 
-def _open(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cid, sig, comp, n, size, hist): the sets of entries whose sets lie in several components; n of them."""
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, cid, comp, n): the sets of entries whose sets lie in several components; n of them."""
     placed = members.select("sig", "cid").join(comps, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
     several = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    return placed.join(several.select("sig", "n"), "sig").join(sets.select("cid", "size", "hist"), "cid")
+    return placed.join(several.select("sig", "n"), "sig")
 
 
 def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tk, n_shingles, cid, group): `group` names the component of the document's class, null without words."""
     scratch = Scratch(docs.sparkSession, "ngrams")
-    index = scratch.keep(indexed(docs, words, percent))
-    entry = index.where("cid is not null").select("cid", F.explode("sigs").alias("sig"))
-    shared = scratch.keep(entry.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi"))
-    members = scratch.keep(entry.join(shared.hint("shuffle_hash"), "sig").distinct())
-    first = scratch.keep(members.select(F.col("lo").alias("p"), "cid").union(members.select(F.col("hi").alias("p"), "cid")).where("p <> cid")
-                         .select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
+    whole = scratch.keep(indexed(docs, words, percent))
+    index = scratch.keep(whole.select("doc_id", "tk", "n_shingles", "cid"))
+    members = members_of(scratch, whole)
+    scratch.drop(whole)
+    tested = scratch.keep(members.select(F.col("lo").alias("p"), "cid").union(members.select(F.col("hi").alias("p"), "cid")).where("p <> cid")
+                          .select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
     sets = scratch.keep(sets_of(docs, index, members.select("cid").distinct(), words))
-    comps = scratch.keep(connected_components(scratch, verified(first, sets, percent)))
-
-    tested, rest = first, None
-    for turn in range(STAR_ROUNDS + 1):
-        if rest is not None:
-            scratch.drop(rest)
-        rest = scratch.keep(_open(members, comps, sets))
-        if turn == STAR_ROUNDS or rest.isEmpty():
-            break
-        order = F.xxhash64("cid", "sig", F.lit(turn))
-        pivot = rest.groupBy("sig").agg(F.min_by(F.struct("cid", "comp", "size", "hist"), order).alias("p"))
-        may = _may_link(F.col("size"), F.col("hist"), F.col("p.size"), F.col("p.hist"), percent)
-        pairs = (rest.join(pivot, (rest.sig == pivot.sig) & (F.col("comp") != F.col("p.comp")) & may)
-                 .select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct())
+    comps = scratch.keep(connected_components(scratch, verified(_plausible(tested, sets, percent), sets, percent)))
+    rest = scratch.keep(_open(members, comps))
+    scratch.drop(members)
+
+    def compared(pairs: DataFrame) -> bool:
+        """Compare the pairs not compared yet and join the components that they link; whether any did."""
+        nonlocal comps, tested
         new = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = scratch.keep(verified(new, sets, percent))
+        found = scratch.keep(verified(_plausible(new, sets, percent), sets, percent))
         tested = tested.union(new)
         if found.isEmpty():
-            break
+            return False
         comps = scratch.keep(merged_components(scratch, comps, found))
-    more = _across(rest.where(F.col("n") <= SMALL), percent)
-    many = rest.where(F.col("n") > SMALL)
-    if not many.isEmpty():
-        more = more.union(_across_prefixes(many, sets, percent)).distinct()
-    late = scratch.keep(verified(more.join(tested, ["a", "b"], "left_anti"), sets, percent))
-    if not late.isEmpty():
-        comps = scratch.keep(merged_components(scratch, comps, late))
-    scratch.drop(shared, members, first, sets, rest)
-    return (index.drop("sigs").join(comps, F.col("cid") == F.col("node"), "left")
+        return True
+
+    compared(_across(rest.where(F.col("n") <= SMALL)))
+    rest = _narrowed(scratch, rest, rest.where(F.col("n") > SMALL), comps)
+    for turn in range(STAR_ROUNDS):
+        if rest.isEmpty():
+            break
+        order = F.xxhash64("cid", "sig", F.lit(turn))
+        pivot = rest.groupBy("sig").agg(F.min_by(F.struct("cid", "comp"), order).alias("p"))
+        pairs = rest.join(pivot, "sig").where("comp <> p.comp").select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
+        if not compared(pairs):
+            break
+        rest = _narrowed(scratch, rest, rest, comps)
+    if not rest.isEmpty():
+        compared(_across_prefixes(rest, sets, percent))
+    scratch.drop(sets, rest)
+    return (index.join(comps, F.col("cid") == F.col("node"), "left")
             .select("doc_id", "tk", "n_shingles", "cid", F.coalesce("component", "cid").alias("group")))
 
 
+def _narrowed(scratch: Scratch, old: DataFrame, kept: DataFrame, comps: DataFrame) -> DataFrame:
+    """What of `kept` is still open now; the table `old` that it comes from goes."""
+    new = scratch.keep(_open(kept, comps))
+    scratch.drop(old)
+    return new
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """One row per document: its set's size and the smallest id it is linked with, directly or not."""
     c = Scratch(docs.sparkSession, "ngram-classes").keep(classes(docs))

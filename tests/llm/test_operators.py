@@ -446,10 +446,34 @@ def test_large_pairs_meet_from_separate_tasks(spark, small, large):
     for i, n in enumerate((small, large)):
         r = op10.indexed(spark.createDataFrame([(i, text(n))], "doc_id long, text string")).first()
         assert r.n_shingles == n
-        found.append(set(r.sigs))
+        found.append({x for k in range(op10.PARTS) for x in r[f"sigs{k}"]})
     assert found[0] & found[1]
 
 
+def test_ngram_join_of_large_groups_that_share_passages(spark):
+    """Groups of many near copies, of chains and of texts that share half their words: entries small, large, open and closed."""
+    r = np.random.default_rng(11)
+    texts = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for k in range(40):
+            w = list(base)
+            for at in r.integers(0, 120, int(r.integers(0, 9))):
+                w[at] = f"n{r.integers(1 << 30)}"
+            texts.append(" ".join(w))
+    shared = [f"p{i}" for i in range(60)]
+    texts += [" ".join(shared + [f"own{k}x{i}" for i in range(int(r.integers(4, 40)))]) for k in range(60)]
+    long = [f"c{i}" for i in range(400)]
+    texts += [" ".join(long[k: k + 200]) for k in range(0, 200, 5)]  # each is near the next only
+    texts += texts[::9]
+    sets = [{tuple(w[i: i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    comps = _components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near(sets[i], sets[j])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in op10.ngram_join(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == comps
+
+
 def test_pipeline_joins_five_words_from_eighty_percent(spark):
     import corpus_pipeline
 
