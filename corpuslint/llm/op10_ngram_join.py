@@ -21,10 +21,10 @@ and of entries with the same sets (the same number, least, largest and two equal
 Sets with an equal entry are candidates. An entry's sets are not expanded into
 pairs: they are first compared with two of them (the smallest and the largest id),
 and the links found give components. Where an entry's sets then still lie in several
-components, up to SMALL sets are resolved exactly, by the pairs across components. For larger
+components, up to FEW sets are resolved exactly, by the pairs across components. For larger
 entries STAR_ROUNDS further rounds compare the sets with one of them, another one in
-each entry; those still open after that are resolved by a prefix filter in frequency order
-among their sets. Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
+each entry; what is still open after that is resolved exactly: up to SMALL sets by the pairs
+again, more by a prefix filter in frequency order among their sets. Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
 must allow the threshold: the sum of the smaller counts bounds the intersection from above,
 so no link is lost. Every link reported is verified on the whole sets. Equal sets are one class from the start.
 
@@ -52,6 +52,7 @@ SHINGLE = 4
 PERCENT = 85
 GROWTH = 1.4
 PARTS = 4
+FEW = 4
 SMALL = 16
 STAR_ROUNDS = 4
 BUCKETS = 64
@@ -170,13 +171,14 @@ def indexed(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
 
 
 def members_of(scratch: Scratch, index: DataFrame) -> DataFrame:
-    """(sig, cid, lo, hi): the entries that several classes share, one of those with the same classes; lo and hi are their ends."""
+    """(sig, cid, lo, hi): the entries that several classes share, one of those with the same classes; lo and hi are their ends. Drops `index`."""
     parts = []
     for k in range(PARTS):
         entry = index.where("cid is not null").select("cid", F.explode(f"sigs{k}").alias("sig"))
         shared = scratch.keep(entry.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi"))
         parts.append(scratch.keep(entry.join(shared.hint("shuffle_hash"), "sig").distinct()))
         scratch.drop(shared)
+    scratch.drop(index)
     found = parts[0]
     for more in parts[1:]:
         found = found.union(more)
@@ -230,6 +232,18 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(may).select("a", "b")
 
 
+def _found(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that reach the threshold, written; whole sets travel in PARTS turns."""
+    may = scratch.keep(_plausible(pairs, sets, percent))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS))
+    out = None
+    for k in range(PARTS):
+        some = scratch.keep(verified(may.where(part("a") == k), sets, percent))
+        out = some if out is None else out.union(some)
+    scratch.drop(may)
+    return out
+
+
 def _across(members: DataFrame) -> DataFrame:
     """Pairs a < b of sets of one entry that lie in different components."""
     mine = members.select("sig", F.col("cid").alias("a"), "comp")
@@ -265,11 +279,10 @@ def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
     whole = scratch.keep(indexed(docs, words, percent))
     index = scratch.keep(whole.select("doc_id", "tk", "n_shingles", "cid"))
     members = members_of(scratch, whole)
-    scratch.drop(whole)
     tested = scratch.keep(members.select(F.col("lo").alias("p"), "cid").union(members.select(F.col("hi").alias("p"), "cid")).where("p <> cid")
                           .select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
     sets = scratch.keep(sets_of(docs, index, members.select("cid").distinct(), words))
-    comps = scratch.keep(connected_components(scratch, verified(_plausible(tested, sets, percent), sets, percent)))
+    comps = scratch.keep(connected_components(scratch, _found(scratch, tested, sets, percent)))
     rest = scratch.keep(_open(members, comps))
     scratch.drop(members)
 
@@ -277,15 +290,15 @@ def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
         """Compare the pairs not compared yet and join the components that they link; whether any did."""
         nonlocal comps, tested
         new = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = scratch.keep(verified(_plausible(new, sets, percent), sets, percent))
+        found = _found(scratch, new, sets, percent)
         tested = tested.union(new)
         if found.isEmpty():
             return False
         comps = scratch.keep(merged_components(scratch, comps, found))
         return True
 
-    compared(_across(rest.where(F.col("n") <= SMALL)))
-    rest = _narrowed(scratch, rest, rest.where(F.col("n") > SMALL), comps)
+    compared(_across(rest.where(F.col("n") <= FEW)))
+    rest = _narrowed(scratch, rest, rest.where(F.col("n") > FEW), comps)
     for turn in range(STAR_ROUNDS):
         if rest.isEmpty():
             break
@@ -295,6 +308,9 @@ def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
         if not compared(pairs):
             break
         rest = _narrowed(scratch, rest, rest, comps)
+    if not rest.isEmpty():
+        compared(_across(rest.where(F.col("n") <= SMALL)))
+        rest = _narrowed(scratch, rest, rest.where(F.col("n") > SMALL), comps)
     if not rest.isEmpty():
         compared(_across_prefixes(rest, sets, percent))
     scratch.drop(sets, rest)
