@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpuslint import config as C
 from corpuslint.functions.columns import agent_of, severity_rank
+from corpuslint.operators.positions import numbered
 
 SORT_KEYS = ("severity", "path")
 
@@ -68,18 +69,18 @@ def query_issues(issues: DataFrame, opts: QueryOptions, tie: str = "seq") -> Dat
 
     The page is a ranking-window range, so with a limit Catalyst keeps only the
     top rows per repo on the map side (WindowGroupLimit) before the shuffle.
-    With a sort but no page every row is kept and `page_pos` is its position.
+    With a sort but no limit every row from the offset on is kept and `page_pos` is
+    its position, numbered over ranges of rows (which starts a job here).
     """
     out = filter_issues(issues, opts)
     start = opts.offset or 0
     if opts.limit is None and start == 0 and opts.sort_by is None:
         return out
-    w = Window.partitionBy("repo").orderBy(*sort_columns(opts, tie))
-    ranked = out.withColumn("page_pos", F.row_number().over(w))
-    cond = F.col("page_pos") > start
-    if opts.limit is not None:
-        cond = cond & (F.col("page_pos") <= start + opts.limit)
-    return ranked.filter(cond)
+    order = sort_columns(opts, tie)
+    if opts.limit is None:
+        return numbered(out, "repo", order, "page_pos").filter(F.col("page_pos") > start)
+    ranked = out.withColumn("page_pos", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
+    return ranked.filter((F.col("page_pos") > start) & (F.col("page_pos") <= start + opts.limit))
 
 
 def summary_counts(issues: DataFrame) -> DataFrame:

@@ -33,6 +33,29 @@ def test_filters_sort_and_page(spark):
     assert [r.rule_id for r in sev] == ["security.a", "structure.e"]
 
 
+def test_positions_over_ranges(spark):
+    from corpuslint.operators.positions import numbered
+    rows = [("big", (i * 37) % 500, i) for i in range(2000)] + [(None, 1, 5), (None, 0, 6), ("small", 3, 7)]
+    df = spark.createDataFrame(rows, "repo string, k int, seq long")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        out = numbered(df, "repo", [F.col("k"), F.col("seq")], "pos")
+        got = {(r.repo, r.seq): r.pos for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    want = {}
+    for repo in ("big", "small", None):
+        for pos, (_, _, seq) in enumerate(sorted((r for r in rows if r[0] == repo), key=lambda r: r[1:]), 1):
+            want[repo, seq] = pos
+    assert got == want and out.columns == ["repo", "k", "seq", "pos"]
+    assert numbered(df.where("false"), "repo", [F.col("seq")], "pos").count() == 0
+
+
+def test_offset_without_limit(spark):
+    out = rep.query_issues(_issues(spark), rep.QueryOptions(sort_by="path", offset=3)).orderBy("page_pos").collect()
+    assert [(r.path, r.page_pos) for r in out] == [("c.py", 4), ("x.py", 5)]
+
+
 def test_page_limited_summary(spark):
     page = rep.query_issues(_issues(spark), rep.QueryOptions(severity_filter=("low",), offset=1, limit=2))
     s = {(r.dimension, r.key): r.n for r in rep.summary_counts(page).collect()}
