@@ -7,6 +7,10 @@ are assembled with ``to_json``/``array_join`` over that repo's rows only.
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from corpuslint import config as C
 from corpuslint.functions.columns import path_key, sarif_level
 from corpuslint.operators import report as rep
 from corpuslint.operators.issues import SEQ_TYPE, union_all
+from corpuslint.session import delete_tables, write_table
 
 TOOL_NAME = "corpuslint"
 
@@ -184,28 +189,98 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def latest_history_version(spark: SparkSession, base: str) -> int | None:
+def _history_versions(spark: SparkSession, base: str) -> dict[int, bool]:
+    """Version numbers that are taken, and whether each is complete."""
     fs, p = _fs(spark, base)
     if not fs.exists(p):
-        return None
-    versions = [int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
-                if st.isDirectory() and st.getPath().getName().startswith("version=")
-                and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
-    return max(versions) if versions else None
+        return {}
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return {int(st.getPath().getName().split("=", 1)[1]): fs.exists(done(st.getPath(), "_SUCCESS"))
+            for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith("version=")}
+
+
+def latest_history_version(spark: SparkSession, base: str) -> int | None:
+    return max((v for v, complete in _history_versions(spark, base).items() if complete), default=None)
 
 
-def read_history(spark: SparkSession, base: str) -> DataFrame | None:
-    v = latest_history_version(spark, base)
+def read_history(spark: SparkSession, base: str, version: int | None = None) -> DataFrame | None:
+    v = latest_history_version(spark, base) if version is None else version
     return None if v is None else spark.read.parquet(f"{base.rstrip('/')}/version={v}")
 
 
-def write_history(history: DataFrame, base: str) -> int:
-    """Write the next version beside the one being read; readers switch on `_SUCCESS`."""
+def merge_history(own: DataFrame, theirs: DataFrame, both: bool) -> DataFrame:
+    """Rows of a run over the rows that stand: other repositories keep theirs, the run's own repositories
+    have its files. `both`: of a file in the two, all fingerprints stay, those that stand first."""
+    others = theirs.join(own.select("repo").distinct(), ["repo"], "left_anti")
+    if both:
+        old = theirs.select("repo", "path", F.col("issue_fingerprints").alias("old"))
+        all_of = F.when(F.col("old").isNull(), F.col("issue_fingerprints")).otherwise(
+            F.array_distinct(F.concat("old", F.coalesce("issue_fingerprints", F.expr("cast(array() as array<string>)")))))
+        own = own.join(old, ["repo", "path"], "left").select("repo", "path", "content_hash", all_of.alias("issue_fingerprints"))
+    return own.unionByName(others.select(*own.columns))
+
+
+def write_history(history: DataFrame, base: str, based_on: int | None = None) -> int:
+    """Commit the next version and return its number.
+
+    `based_on` is the version the run read (default: the latest one now). The
+    rows are written apart and published by a rename that fails if the number is
+    taken. A writer that loses merges its rows, which are not computed again, with
+    the version that won and tries the next number, so of writers at once all land.
+    Rows of repositories that the run does not cover stay. The rename is atomic on
+    HDFS and local file systems; object stores without one allow one writer at a time.
+    """
     spark = history.sparkSession
-    v = latest_history_version(spark, base)
-    nxt = 1 if v is None else v + 1
-    history.write.mode("errorifexists").parquet(f"{base.rstrip('/')}/version={nxt}")
-    return nxt
+    base = base.rstrip("/")
+    seen = latest_history_version(spark, base) if based_on is None else based_on
+    own, scratch = write_table(history.select("repo", "path", "content_hash", "issue_fingerprints"))
+    try:
+        while True:
+            taken = _history_versions(spark, base)
+            latest = max((v for v, complete in taken.items() if complete), default=None)
+            rows = own if latest is None else merge_history(own, read_history(spark, base, latest), both=latest != seen)
+            nxt = max(taken, default=0) + 1
+            staged = f"{base}/_staging/{uuid.uuid4().hex}"
+            rows.write.mode("errorifexists").parquet(staged)
+            if _renamed_if_absent(spark, staged, f"{base}/version={nxt}"):
+                return nxt
+            delete_tables(spark, [staged])
+    finally:
+        delete_tables(spark, [scratch])
+
+
+def _renamed_if_absent(spark: SparkSession, source: str, target: str) -> bool:
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    to = hadoop.Path(target)
+    files = hadoop.FileContext.getFileContext(_fs(spark, target)[0].getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(hadoop.Path(source), to, options)
+        return True
+    except Py4JJavaError:
+        if files.util().exists(to):
+            return False
+        raise
+
+
+def expire_history(spark: SparkSession, base: str, keep: int = 10, stale_hours: float = 24) -> list[int]:
+    """Delete all complete versions but the newest `keep`, and what writers left staged for `stale_hours`.
+
+    Returns the versions deleted. `keep` must cover the versions that running readers use.
+    """
+    if keep < 1:
+        raise ValueError("keep must be >= 1")
+    base = base.rstrip("/")
+    old = sorted(v for v, complete in _history_versions(spark, base).items() if complete)[:-keep]
+    delete_tables(spark, [f"{base}/version={v}" for v in old])
+    fs, staging = _fs(spark, f"{base}/_staging")
+    if fs.exists(staging):
+        before = (time.time() - stale_hours * 3600) * 1000
+        delete_tables(spark, [st.getPath().toString() for st in fs.listStatus(staging) if st.getModificationTime() < before])
+    return old
 
 
 def read_history_json(spark: SparkSession, path: str, repo: str) -> DataFrame:

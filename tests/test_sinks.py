@@ -6,8 +6,9 @@ import tempfile
 
 from corpuslint.operators import context as ctx
 from corpuslint.operators import report as rep
-from corpuslint.sinks.outputs import (json_reports, markdown_documents, read_history, read_history_json,
-                                      write_history)
+from corpuslint.sinks import outputs
+from corpuslint.sinks.outputs import (expire_history, json_reports, latest_history_version, markdown_documents, read_history,
+                                      read_history_json, write_history)
 from corpuslint.session import cut_lineage
 from tests.helpers import run
 
@@ -102,6 +103,58 @@ def test_versioned_history_round_trip(files_df, spark):
     assert write_history(t2.next_history(), base) == 2  # written beside the version it read
 
 
+HISTORY = "repo string, path string, content_hash string, issue_fingerprints array<string>"
+
+
+def rows_of(spark, base):
+    return {(r.repo, r.path): (r.content_hash, r.issue_fingerprints) for r in read_history(spark, base).collect()}
+
+
+def test_two_history_writers_at_once_both_land(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    base = os.path.join(tempfile.mkdtemp(prefix="corpuslint-hist-"), "history")
+    frames = [spark.createDataFrame([(f"r{i}", "a.py", str(i), [f"f{i}"]), ("shared", "b.py", "h", [f"f{i}"])], HISTORY) for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda df: write_history(df, base, based_on=0), frames))
+    assert sorted(versions) == [1, 2, 3, 4]
+    rows = rows_of(spark, base)
+    assert {k: rows[k] for k in rows if k[0] != "shared"} == {(f"r{i}", "a.py"): (str(i), [f"f{i}"]) for i in range(4)}
+    assert sorted(rows["shared", "b.py"][1]) == ["f0", "f1", "f2", "f3"] and len(rows) == 5
+    assert not os.listdir(os.path.join(base, "_staging"))
+
+
+def test_a_lost_race_is_merged_with_its_winner(spark, monkeypatch):
+    base = os.path.join(tempfile.mkdtemp(prefix="corpuslint-hist-"), "history")
+    assert write_history(spark.createDataFrame([("a", "x.py", "1", ["p"]), ("a", "gone.py", "1", [])], HISTORY), base) == 1
+    rename, other = outputs._renamed_if_absent, spark.createDataFrame([("a", "x.py", "2", ["q"]), ("b", "y.py", "1", None)], HISTORY)
+    raced = []
+
+    def late(session, source, target):
+        if not raced:
+            raced.append(target)
+            assert write_history(other, base) == 2
+        return rename(session, source, target)
+
+    monkeypatch.setattr(outputs, "_renamed_if_absent", late)
+    assert write_history(spark.createDataFrame([("a", "x.py", "3", ["p", "r"])], HISTORY), base) == 3
+    assert rows_of(spark, base) == {("a", "x.py"): ("3", ["q", "p", "r"]), ("b", "y.py"): ("1", None)}
+
+
+def test_an_incomplete_version_is_passed_over(spark):
+    base = os.path.join(tempfile.mkdtemp(prefix="corpuslint-hist-"), "history")
+    os.makedirs(os.path.join(base, "version=1"))
+    assert read_history(spark, base) is None
+    assert write_history(spark.createDataFrame([], HISTORY), base) == 2 and read_history(spark, base).count() == 0
+
+
+def test_history_expires(spark):
+    base = os.path.join(tempfile.mkdtemp(prefix="corpuslint-hist-"), "history")
+    for i in range(4):
+        write_history(spark.createDataFrame([("r", "a.py", str(i), [])], HISTORY), base)
+    assert expire_history(spark, base, keep=2) == [1, 2] and expire_history(spark, base, keep=2) == []
+    assert latest_history_version(spark, base) == 4 and read_history(spark, base, 3).first().content_hash == "2"
+
+
 def test_history_json_import_last_duplicate_wins(spark):
     d = tempfile.mkdtemp(prefix="corpuslint-hjson-")
     path = os.path.join(d, "h.json")
