@@ -147,6 +147,16 @@ def issues_per_file(issues: DataFrame) -> DataFrame:
                           F.transform("items", lambda x: x["issue"]["title"]).alias("suggestions"))
 
 
+def with_issues(file_contexts: DataFrame, issues: DataFrame, include_issue_lists: bool = True) -> DataFrame:
+    """K2: file contexts with the issues and suggestion titles of each file; a file without any has empty
+    lists, as all issue lists are where they are not wanted (suggestions stay)."""
+    per_file = issues_per_file(issues)
+    j = file_contexts.join(per_file, ["repo", "path"], "left")
+    empty = {c: F.array().cast(per_file.schema[c].dataType) for c in ("issues", "suggestions")}
+    lists = F.coalesce("issues", empty["issues"]) if include_issue_lists else empty["issues"]
+    return j.withColumn("issues", lists).withColumn("suggestions", F.coalesce("suggestions", empty["suggestions"]))
+
+
 def next_history(parsed: DataFrame, issues: DataFrame, history: DataFrame | None, cfg: Settings) -> DataFrame:
     """History rows of the current files; fingerprints from the reported issues.
 

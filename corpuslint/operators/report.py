@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslint import config as C
-from corpuslint.functions.columns import agent_of, severity_rank
+from corpuslint.functions.columns import agent_of, is_test_file, severity_rank
 from corpuslint.operators.positions import numbered
 
 SORT_KEYS = ("severity", "path")
@@ -164,31 +164,97 @@ def test_summary(task_results: DataFrame) -> DataFrame:
         "repo", F.coalesce("status", F.lit("not_run")).alias("status"), "detail")
 
 
-def family_reports(issues: DataFrame, repos: DataFrame, families: tuple[str, ...]) -> DataFrame:
-    """M4: one row per (repo, family): issue count and roll-up severity."""
+def family_reports(issues: DataFrame, repos: DataFrame, families: tuple[str, ...], evidence: DataFrame | None = None) -> DataFrame:
+    """M4: one row per (repo, family): issue count and roll-up severity, with the evidence rows of
+    ``family_evidence`` the tags of each family too (none: an empty list)."""
     grid = repos.select("repo", F.explode(F.array(*[F.lit(f) for f in families])).alias("agent"))
     counts = issues.groupBy("repo", "agent").agg(F.count("*").alias("n"))
     sev_map = F.create_map(*[x for k, v in C.FAMILY_ISSUE_SEVERITY.items() for x in (F.lit(k), F.lit(v))])
     j = grid.join(counts, ["repo", "agent"], "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
-    return j.select("repo", "agent", n.alias("issue_count"),
-                    F.when(n > 0, sev_map[F.col("agent")]).otherwise(F.lit("info")).alias("severity"))
+    out = j.select("repo", "agent", n.alias("issue_count"),
+                   F.when(n > 0, sev_map[F.col("agent")]).otherwise(F.lit("info")).alias("severity"))
+    if evidence is None:
+        return out
+    return out.join(evidence, ["repo", "agent"], "left").withColumn(
+        "evidence", F.coalesce("evidence", F.expr("cast(array() as array<string>)")))
+
+
+def family_evidence(t) -> DataFrame:
+    """F8, G10, H5, I4, J: (repo, agent, evidence) of the active families, one row each.
+
+    Every tag is a count per repository of a table that the review has anyway; the counts
+    combine map-side and meet at one row per repository.
+    """
+    count = lambda df, name: df.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
+    tests = t.file_contexts.filter(is_test_file(F.col("path")))
+    j = t.repos.join(t.budget.select("repo", "estimated_tokens"), ["repo"], "left")
+    for df, name in ((t.key_files, "key_files"), (t.focus, "focus_paths"), (t.highlighted, "highlighted_paths"),
+                     (t.changes.filter("status = 'changed'"), "changed_files"), (tests, "test_files")):
+        j = j.join(count(df, name), ["repo"], "left")
+
+    def tag(name: str) -> Column:
+        return F.concat(F.lit(f"{name}="), F.coalesce(F.col(name), F.lit(0)).cast("string"))
+
+    found = F.when(F.coalesce(F.col("test_files"), F.lit(0)) > 0, "True").otherwise("False")
+    tags = {"structure": [tag("key_files"), tag("focus_paths")], "security": [tag("changed_files")], "style": [tag("highlighted_paths")],
+            "performance": [tag("estimated_tokens")], "test": [F.concat(F.lit("has_test_file="), found), tag("test_files")]}
+    rows = [F.struct(F.lit(f).alias("agent"), F.array(*tags[f]).alias("evidence")) for f in t.cfg.active_families if f in tags]
+    return j.select("repo", F.explode(F.array(*rows)).alias("r")).select("repo", "r.agent", "r.evidence")
 
 
 def execution_rollup(task_results: DataFrame) -> DataFrame:
-    """M5: completed / failed counts and progress = done / total (1.0 without tasks)."""
+    """M5: completed / failed counts and progress = done / total (1.0 without tasks).
+
+    Where the results name their tasks (``task_id``, ``task_order``), the completed and the failed ones
+    are listed in the order they ended; a run has a task per family.
+    """
     done = F.col("status").isin("completed", "failed")
+    lists = []
+    if "task_id" in task_results.columns:
+        lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("task_order", "task_id")))),
+                             lambda x: x["task_id"]).alias(name)
+                 for status, name in (("completed", "completed_order"), ("failed", "failed_tasks"))]
     agg = task_results.groupBy("repo").agg(
         F.count("*").cast("bigint").alias("total"),
         F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).cast("bigint").alias("completed"),
         F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).cast("bigint").alias("failed"),
         F.sum(F.when(done, 1).otherwise(0)).cast("bigint").alias("done"),
         F.sum(F.col("degraded").cast("int")).cast("bigint").alias("degraded"),
+        *lists,
     )
     return agg.withColumn("progress", F.when(F.col("total") == 0, F.lit(1.0))
                           .otherwise(F.col("done").cast("double") / F.col("total")))
 
 
+def family_tasks(t) -> DataFrame:
+    """The run's tasks: one completed task per repository and active family, with its evidence."""
+    families = sorted(t.cfg.active_families, key=lambda f: C.FAMILY_RANK.get(f, len(C.FAMILY_RANK)))
+    tasks = F.array(*[F.struct(F.lit(i).alias("task_order"), F.lit(f).alias("agent")) for i, f in enumerate(families)])
+    grid = t.repos.select("repo", F.explode(tasks).alias("x")).select("repo", "x.*")
+    none = F.expr("cast(array() as array<string>)")
+    return grid.join(family_evidence(t), ["repo", "agent"], "left").select(
+        "repo", F.col("agent").alias("task_id"), F.col("agent").alias("agent_name"), "task_order", F.lit("completed").alias("status"),
+        F.coalesce("evidence", none).alias("evidence"), F.lit(False).alias("degraded"))
+
+
+def execution_record(t, task_results: DataFrame | None = None) -> DataFrame:
+    """M5 as one row per repo: ordered completed and failed tasks, all task results, progress.
+
+    Without task results of its own a run has those of its families. A repository
+    without tasks has empty lists and progress 1.
+    """
+    tasks = family_tasks(t) if task_results is None else task_results
+    result = F.struct("task_id", "agent_name", "status", "evidence", "degraded")
+    listed = tasks.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("task_order", "task_id", result.alias("r")))),
+                                                   lambda x: x["r"]).alias("task_results"))
+    roll = execution_rollup(tasks).select("repo", "completed_order", "failed_tasks", "progress")
+    j = t.repos.select("repo").join(roll, ["repo"], "left").join(listed, ["repo"], "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(j.schema[c].dataType)).alias(c)
+    return j.select("repo", empty("completed_order"), empty("failed_tasks"), empty("task_results"),
+                    F.coalesce("progress", F.lit(1.0)).alias("progress"))
+
+
 def run_metadata(t) -> DataFrame:
     """Per repo, files scanned (accepted + skipped), parsed and failed."""
     scanned = t.decisions.groupBy("repo").agg(F.count("*").alias("total_files_scanned"))

@@ -62,6 +62,10 @@ class Tables:
         """L1-L8 over the new issues; severities and families that are filtered out are never planned."""
         return rep.query_issues(self.issues(registry.select_rules(opts.severity_filter, opts.agent_filter)), opts)
 
+    def contexts_with_issues(self) -> DataFrame:
+        """K2: file contexts with their new issues; in summary mode with suggestions only."""
+        return ctx.with_issues(self.file_contexts, self.issues(), include_issue_lists=not self.cfg.summary_only)
+
     def next_history(self) -> DataFrame:
         return ctx.next_history(self.parsed, self.issues(), self.history, self.cfg)
 

@@ -124,6 +124,17 @@ def q_family_reports(spark, sf):
     return rep.family_reports(t.raw_issues(), t.repos, C.FULL_FAMILIES)
 
 
+def q_family_evidence(spark, sf):
+    t = corpus_tables(spark, sf)
+    return rep.family_evidence(t).select("repo", "agent", F.array_join("evidence", ";").alias("evidence"))
+
+
+def q_file_suggestions(spark, sf):
+    c = corpus_tables(spark, sf).contexts_with_issues()
+    return c.select("repo", "path", F.size("issues").cast("bigint").alias("issues"),
+                    F.array_join(F.array_sort("suggestions"), ";").alias("suggestions"))
+
+
 def _second_run(spark, sf):
     """Run 1 over the corpus, then run 2 over it with every `pkg0/` module edited (one call appended)."""
     from corpuslint.session import cut_lineage
@@ -350,7 +361,7 @@ _FOCUS_SQL = _BASE + _KEYS_CTE + "SELECT repo, path, CAST(rank AS BIGINT) AS ran
 
 _HIGHLIGHT_SQL = _BASE + _KEYS_CTE + "SELECT repo, path, CAST(rank AS BIGINT) AS rank FROM hl"
 
-_BUDGET_SQL = _BASE + _KEYS_CTE + """
+_BUDGET_ROWS = """
 SELECT n.repo,
        CAST((SELECT sum(length(path)) FROM hl WHERE hl.repo = n.repo)
             + coalesce((SELECT sum(length(path) + length(reason)) FROM keys k WHERE k.repo = n.repo), 0)
@@ -359,6 +370,8 @@ SELECT n.repo,
        CAST(12000 + 1000 * n.n AS BIGINT) AS budget_limit
 FROM nfiles n"""
 
+_BUDGET_SQL = _BASE + _KEYS_CTE + _BUDGET_ROWS
+
 _RUN_META_SQL = _BASE + """
 SELECT c.repo, CAST(count(*) + sum(CASE WHEN c.k % 3 = 0 THEN 1 ELSE 0 END) + sum(CASE WHEN c.k % 10 = 1 THEN 1 ELSE 0 END)
                     AS BIGINT) AS total_files_scanned,
@@ -392,6 +405,29 @@ SELECT g.repo, g.agent, CAST(count(i.rule_id) AS BIGINT) AS issue_count,
 FROM grid g LEFT JOIN iss i ON i.repo = g.repo AND split_part(i.rule_id, '.', 1) = g.agent
 GROUP BY g.repo, g.agent"""
 
+_SUGGESTIONS_SQL = _BASE + f""",
+iss AS ({_union(ALL_RULES)}),
+named AS (SELECT i.repo, i.path, t.title FROM iss i JOIN (VALUES {", ".join(f"('{r}', '{C.RULES[r][0]}')" for r in ALL_RULES)}) t(rule_id, title)
+          ON t.rule_id = i.rule_id)
+SELECT p.repo, p.path, CAST(count(n.title) AS BIGINT) AS issues, coalesce(string_agg(n.title, ';' ORDER BY n.title), '') AS suggestions
+FROM parsed p LEFT JOIN named n ON n.repo = p.repo AND n.path = p.path GROUP BY p.repo, p.path"""
+
+_EVIDENCE_SQL = _BASE + _KEYS_CTE + f""",
+tokens AS ({_BUDGET_ROWS}),
+per AS (
+  SELECT n.repo, n.n AS files,
+         (SELECT count(*) FROM keys k WHERE k.repo = n.repo) AS key_files,
+         (SELECT count(*) FROM focus f WHERE f.repo = n.repo) AS focus_paths,
+         (SELECT count(*) FROM hl WHERE hl.repo = n.repo) AS highlighted,
+         (SELECT count(*) FROM parsed p WHERE p.repo = n.repo AND (starts_with(p.path, 'tests/') OR starts_with(p.path, 'test_') OR contains(p.path, '/test_'))) AS tests,
+         (SELECT estimated_tokens FROM tokens b WHERE b.repo = n.repo) AS tokens
+  FROM nfiles n)
+SELECT repo, 'structure' AS agent, 'key_files=' || key_files || ';focus_paths=' || focus_paths AS evidence FROM per
+UNION ALL SELECT repo, 'security', 'changed_files=' || files FROM per
+UNION ALL SELECT repo, 'style', 'highlighted_paths=' || highlighted FROM per
+UNION ALL SELECT repo, 'performance', 'estimated_tokens=' || tokens FROM per
+UNION ALL SELECT repo, 'test', 'has_test_file=' || CASE WHEN tests > 0 THEN 'True' ELSE 'False' END || ';test_files=' || tests FROM per"""
+
 _SQL_FACTS_SQL = _BASE + """
 SELECT repo, path, CAST(CASE WHEN ok THEN 1 + (k % 5 = 0)::INT ELSE 0 END AS BIGINT) AS functions,
        CAST(CASE WHEN ok THEN z % 12 + CASE k % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS branches,
@@ -436,6 +472,8 @@ QUERIES = {
     "corpus_budget": q_budget,
     "corpus_run_metadata": q_run_metadata,
     "corpus_family_reports": q_family_reports,
+    "corpus_family_evidence": q_family_evidence,
+    "corpus_file_suggestions": q_file_suggestions,
     "corpus_incremental_changes": q_incremental_changes,
     "corpus_incremental_new_issues": q_incremental_new_issues,
 }
@@ -469,6 +507,8 @@ ORACLES = {
     "corpus_budget": _BUDGET_SQL,
     "corpus_run_metadata": _RUN_META_SQL,
     "corpus_family_reports": _FAMILY_SQL,
+    "corpus_family_evidence": _EVIDENCE_SQL,
+    "corpus_file_suggestions": _SUGGESTIONS_SQL,
     "corpus_incremental_changes": _INCR_CHANGES_SQL,
     "corpus_incremental_new_issues": _INCR_NEW_SQL,
 }

@@ -78,9 +78,11 @@ def _listed(df: DataFrame, order: list[Column], value: Column, name: str) -> Dat
                                               lambda x: x["v"]).alias(name))
 
 
-def json_reports(t, issues: DataFrame, opts=None) -> DataFrame:
+def json_reports(t, issues: DataFrame, opts=None, task_results: DataFrame | None = None) -> DataFrame:
     """One JSON document per repo; a section without rows is an empty array.
 
+    The execution section lists the given task results, else the run's families; a summary has none.
+
     L9: sections switched off in ``opts`` are left out of the projection, so
     their branches are never computed.
     """
@@ -113,8 +115,12 @@ def json_reports(t, issues: DataFrame, opts=None) -> DataFrame:
             _listed(t.changes.filter("status = 'changed'"), [path_key("path")], F.col("path"), "changed_files"), ["repo"], "left")
         fields.append(F.struct("total_files", "estimated_tokens", "within_budget", _or_empty(j, "key_files"),
                                _or_empty(j, "changed_files")).alias("review_context"))
+    if opts.include_execution and not t.cfg.summary_only:
+        run = rep.execution_record(t, task_results)
+        j = j.join(run.select("repo", F.struct(*[c for c in run.columns if c != "repo"]).alias("execution")), ["repo"], "left")
+        fields.append(F.col("execution"))
     if opts.include_feedback:
-        fb = rep.feedback_record(t)
+        fb = rep.feedback_record(t, task_results)
         j = j.join(fb.select("repo", F.struct(*[c for c in fb.columns if c != "repo"]).alias("feedback")), ["repo"], "left")
         fields.append(F.col("feedback"))
     return j.select("repo", F.to_json(F.struct(*fields)).alias("json"))
@@ -130,12 +136,16 @@ def _context_counts(t) -> DataFrame:
             .select("repo", z("total_files"), z("key_count"), z("changed_count"), "estimated_tokens", "within_budget"))
 
 
-def markdown_lines(t, issues: DataFrame) -> DataFrame:
+def markdown_lines(t, issues: DataFrame, opts=None, task_results: DataFrame | None = None) -> DataFrame:
     """N4 as rows: repo, pos, text; a report is its repo's lines in the order of `pos`.
 
     Every line is a row that is written in parallel. Sections without rows are left
-    out, but for the parsed files and the edges.
+    out, but for the parsed files and the edges. The sections of context, execution and
+    feedback can be switched off in ``opts``; the lines of files and edges as well,
+    whose headings stay.
     """
+    opts = opts or rep.QueryOptions()
+
     def order(section: int, part: int, c: Column | None = None, d=0, f: Column | None = None, seq: Column | None = None) -> Column:
         none = F.expr("cast(array() as array<string>)")
         own = F.struct(F.lit(0), F.lit(0), c if c is not None else none, F.lit(d), F.lit(0), f if f is not None else F.lit(""))
@@ -159,15 +169,25 @@ def markdown_lines(t, issues: DataFrame) -> DataFrame:
     frames = several(meta, 1, 0, ("# Code Review Report",), ("",), ("- Repo: `", col("repo"), "`"),
                      ("- Parsed files: `", text("total_files_parsed"), "`"), ("- Failed files: `", text("total_failed_files"), "`"))
     frames += heading(t.repos, 2, "Parsed Files")
-    frames.append(body(t.parsed, order(2, 1, path_key("path")), "- `", col("path"), "` (", col("language"), ", ", col("parse_mode"), ")"))
+    if opts.include_parsed_files:
+        frames.append(body(t.parsed, order(2, 1, path_key("path")), "- `", col("path"), "` (", col("language"), ", ", col("parse_mode"), ")"))
     frames += heading(t.repos, 3, "Dependency Edges")
-    frames.append(body(t.edges, order(3, 1, path_key("source"), f=col("module")), "- `", col("source"), "` -> `", col("target"),
-                       "` confidence=", F.format_string("%.1f", "resolution_confidence")))
-    frames += heading(t.repos, 4, "Review Context")
-    frames += several(_context_counts(t), 4, 1, ("- Total files: `", text("total_files"), "`"), ("- Key files: `", text("key_count"), "`"),
-                      ("- Changed files: `", text("changed_count"), "`"), ("- Estimated tokens: `", text("estimated_tokens"), "`"))
-    frames += heading(t.repos, 6, "Feedback")
-    frames += several(feedback, 6, 1, ("- Target files: `", col("names"), "`"), ("- Verification attempts: `1`",))
+    if opts.include_project_graph:
+        frames.append(body(t.edges, order(3, 1, path_key("source"), f=col("module")), "- `", col("source"), "` -> `", col("target"),
+                           "` confidence=", F.format_string("%.1f", "resolution_confidence")))
+    if opts.include_review_context:
+        frames += heading(t.repos, 4, "Review Context")
+        frames += several(_context_counts(t), 4, 1, ("- Total files: `", text("total_files"), "`"), ("- Key files: `", text("key_count"), "`"),
+                          ("- Changed files: `", text("changed_count"), "`"), ("- Estimated tokens: `", text("estimated_tokens"), "`"))
+    if opts.include_execution and not t.cfg.summary_only:
+        tasks = rep.execution_record(t, task_results)
+        names = lambda c: F.array_join(c, ", ")
+        frames += heading(t.repos, 5, "Execution")
+        frames += several(tasks, 5, 1, ("- Progress: `", F.format_string("%.2f", "progress"), "`"),
+                          ("- Completed tasks: `", names("completed_order"), "`"), ("- Failed tasks: `", names("failed_tasks"), "`"))
+    if opts.include_feedback:
+        frames += heading(t.repos, 6, "Feedback")
+        frames += several(feedback, 6, 1, ("- Target files: `", col("names"), "`"), ("- Verification attempts: `1`",))
     frames += heading(issues, 7, "Issues")
     frames.append(body(issues, order(7, 1, seq=col("seq")), "- `", col("rule_id"), "` ", col("severity"), " `", col("path"), "` ", col("title")))
     frames += heading(t.failed, 8, "Failed Files")
@@ -175,9 +195,9 @@ def markdown_lines(t, issues: DataFrame) -> DataFrame:
     return union_all(frames)
 
 
-def markdown_documents(t, issues: DataFrame) -> DataFrame:
+def markdown_documents(t, issues: DataFrame, opts=None, task_results: DataFrame | None = None) -> DataFrame:
     """Markdown report per repo, assembled from its lines."""
-    lines = _listed(markdown_lines(t, issues), [F.col("pos")], F.col("text"), "lines")
+    lines = _listed(markdown_lines(t, issues, opts, task_results), [F.col("pos")], F.col("text"), "lines")
     return lines.select("repo", F.array_join("lines", "\n").alias("markdown"))
 
 

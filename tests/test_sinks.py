@@ -7,8 +7,8 @@ import tempfile
 from corpuslint.operators import context as ctx
 from corpuslint.operators import report as rep
 from corpuslint.sinks import outputs
-from corpuslint.sinks.outputs import (expire_history, json_reports, latest_history_version, markdown_documents, read_history,
-                                      read_history_json, write_history)
+from corpuslint.sinks.outputs import (expire_history, json_reports, latest_history_version, markdown_documents, markdown_lines,
+                                      read_history, read_history_json, write_history)
 from corpuslint.session import cut_lineage
 from tests.helpers import run
 
@@ -65,6 +65,44 @@ def test_markdown_keeps_issue_order_and_sections(files_df):
     assert "- `main.py` -> `os` confidence=0.3" in md and "- Total files: `1`" in md
 
 
+def test_execution_section_and_its_switch(files_df, spark):
+    t = reviewed(files_df(TREE))
+    repo, none = t.repos.collect()[0].repo, t.issues().where("false")
+    doc = json.loads(json_reports(t, none).collect()[0].json)
+    families = ["structure", "performance", "security", "style", "test"]
+    assert doc["execution"]["completed_order"] == families and doc["execution"]["failed_tasks"] == []
+    assert doc["execution"]["progress"] == 1.0
+    evidence = {r["task_id"]: r["evidence"] for r in doc["execution"]["task_results"]}
+    assert evidence["test"] == ["has_test_file=False", "test_files=0"] and evidence["security"] == ["changed_files=1"]
+    assert evidence["structure"][0].startswith("key_files=") and evidence["style"] == ["highlighted_paths=1"]
+    off = rep.QueryOptions(include_execution=False)
+    assert set(doc) - set(json.loads(json_reports(t, none, off).collect()[0].json)) == {"execution"}
+    tasks = spark.createDataFrame(
+        [(repo, "b", "style", 2, "failed", [], False), (repo, "c", "test", 1, "completed", [], False), (repo, "a", "x", 3, "completed", [], True),
+         (repo, "d", "x", 4, "pending", [], False)],
+        "repo string, task_id string, agent_name string, task_order int, status string, evidence array<string>, degraded boolean")
+    got = rep.execution_record(t, tasks).collect()[0]
+    assert (got.completed_order, got.failed_tasks, got.progress) == (["c", "a"], ["b"], 0.75)
+    lines = [r.text for r in markdown_lines(t, none, task_results=tasks).orderBy("pos").collect()]
+    at = lines.index("## Execution")
+    assert lines[at + 2: at + 5] == ["- Progress: `0.75`", "- Completed tasks: `c, a`", "- Failed tasks: `b`"]
+    assert lines.index("## Review Context") < at < lines.index("## Feedback")
+    less = [r.text for r in markdown_lines(t, none, off).orderBy("pos").collect()]
+    assert "## Execution" not in less and "## Feedback" in less
+    fam = {r.agent: r for r in rep.family_reports(none, t.repos, ("test", "made_up"), rep.family_evidence(t)).collect()}
+    assert fam["test"].evidence == ["has_test_file=False", "test_files=0"] and fam["made_up"].evidence == []
+
+
+def test_file_contexts_carry_their_issues(files_df):
+    t = reviewed(files_df({"main.py": "import os\npassword = 'x'\n", "clean.js": "x"}))
+    by = {r.path: r for r in t.contexts_with_issues().collect()}
+    assert {i.rule_id for i in by["main.py"].issues} >= {"security.hardcoded-secret", "structure.unused-import"}
+    assert by["main.py"].suggestions == [i.title for i in by["main.py"].issues] and by["main.py"].dependencies
+    bare = {r.path: r for r in ctx.with_issues(t.file_contexts, t.issues(), include_issue_lists=False).collect()}
+    assert bare["main.py"].issues == [] and bare["main.py"].suggestions == by["main.py"].suggestions
+    assert all(r.issues == r.suggestions == [] for r in ctx.with_issues(t.file_contexts, t.issues().where("false")).collect())
+
+
 def test_feedback_reads_the_test_result(files_df, spark):
     t = reviewed(files_df(TREE))
     repo = t.repos.collect()[0].repo
