@@ -39,7 +39,8 @@ FREQUENT = 1 << 18
 SLOTS, CLASSES, DIM, HALF = 1024, 64, 16, 16
 ROUNDS = 2
 END_HASH = np.uint64(0x5BD1E9955BD1E995)
-PENDING = 1 << 21
+#: Distinct words a task holds before it gives them out.
+PENDING = 1 << 20
 
 
 def tokenizer_path() -> str:
@@ -62,6 +63,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             ids = ids.astype(np.uint16)
             own = pa.array([ids[a:z].tobytes() for a, z in zip(bounds, bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text"), b.column("held_out"), own], ["doc_id", "text", "held_out", "ids"])
+        words.clear()  # the later stages run in the same worker processes and need no words
 
     return docs.mapInArrow(work, "doc_id long, text string, held_out boolean, ids binary")
 
