@@ -20,7 +20,6 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +38,11 @@ _SECRET = re.compile("(?i)" + C.SECRET_KEYWORDS + r"\s*=\s*['\"][^'\"]+['\"]")
 _BRANCH = {ast.If: "If", ast.For: "For", ast.While: "While", ast.Try: "Try"}
 if hasattr(ast, "Match"):
     _BRANCH[ast.Match] = "Match"
+#: The kinds of nodes that make a row.
+_READ = {*_BRANCH, ast.FunctionDef, ast.ClassDef, ast.Call, ast.Import, ast.ImportFrom, ast.Name, ast.BinOp, ast.Constant}
+#: Per kind of node the fields that can hold nodes: all but names, numbers and literals.
+_CHILDREN = {kind: tuple(f for f in kind._fields if getattr(kind, "_field_types", {}).get(f) not in (str, str | None, int, int | None, object))
+             for kind in vars(ast).values() if isinstance(kind, type) and issubclass(kind, ast.AST) and ast.Constant not in kind.__bases__}
 
 
 def call_name(node: ast.AST) -> str | None:
@@ -54,28 +58,36 @@ def call_name(node: ast.AST) -> str | None:
     return ".".join(reversed(parts))
 
 
-def _number(tree: ast.AST):
-    """pre/last (iterative DFS) and bfs (ast.walk order) keyed by id(node)."""
-    pre: dict[int, int] = {}
-    last: dict[int, int] = {}
-    stack: list[tuple[ast.AST, bool]] = [(tree, False)]
-    counter = 0
-    while stack:
-        node, closing = stack.pop()
-        if closing:
-            last[id(node)] = counter - 1
+def _number(tree: ast.AST) -> tuple[list[int], list[int], list[ast.AST]]:
+    """pre, last and node at each place of breadth-first (ast.walk) order.
+
+    A node's children stand side by side in that order, so sizes of subtrees are summed
+    from the end and preorder numbers dealt from the start, both by place alone.
+    """
+    order: list[ast.AST] = [tree]
+    parent = [0]
+    for b, node in enumerate(order):
+        if not node._fields:  # a context or an operator
             continue
-        pre[id(node)] = counter
-        counter += 1
-        stack.append((node, True))
-        stack.extend((child, False) for child in reversed(list(ast.iter_child_nodes(node))))
-    order: list[ast.AST] = []
-    todo = deque([tree])
-    while todo:
-        node = todo.popleft()
-        order.append(node)
-        todo.extend(ast.iter_child_nodes(node))
-    return pre, last, order
+        known = len(order)
+        for name in _CHILDREN[type(node)]:
+            value = getattr(node, name, None)
+            if isinstance(value, list):
+                order.extend([item for item in value if isinstance(item, ast.AST)])
+            elif isinstance(value, ast.AST):
+                order.append(value)
+        parent.extend([b] * (len(order) - known))
+    size = [1] * len(order)
+    for b in range(len(order) - 1, 0, -1):
+        size[parent[b]] += size[b]
+    pre = [0] * len(order)
+    free = [1] * len(order)  # the number that a node's next child gets
+    for b in range(1, len(order)):
+        p = parent[b]
+        pre[b] = free[p]
+        free[b] = pre[b] + 1
+        free[p] += size[b]
+    return pre, [p + n - 1 for p, n in zip(pre, size)], order
 
 
 def file_facts(repo: str, path: str, text: str, size_bytes: int, chash: str) -> list[tuple]:
@@ -91,11 +103,13 @@ def file_facts(repo: str, path: str, text: str, size_bytes: int, chash: str) ->
     except Exception as exc:  # any failure isolates this file only
         return [row("__error__", txt=str(exc), size=size_bytes, h=chash)]
 
-    out = [row("Module", 0, last[id(tree)], 0, size=size_bytes, h=chash)]
+    out = [row("Module", 0, last[0], 0, size=size_bytes, h=chash)]
     seen_names: set[str] = set()
     for b, node in enumerate(order):
-        p, l = pre[id(node)], last[id(node)]
         kind = type(node)
+        if kind not in _READ:
+            continue
+        p, l = pre[b], last[b]
         if kind is ast.FunctionDef:
             out.append(row("FunctionDef", p, l, b, line=node.lineno, end_line=getattr(node, "end_lineno", node.lineno),
                            name=node.name, n_params=len(node.args.args)))
@@ -133,9 +147,10 @@ def file_facts(repo: str, path: str, text: str, size_bytes: int, chash: str) ->
             upper = node.value.upper()
             if any(k in upper for k in C.SQL_KEYWORDS):
                 out.append(row("SqlStr", p, l, b, line=node.lineno))
-    for n, line in enumerate(text.splitlines(), start=1):
-        if _SECRET.search(line):
-            out.append(row("Secret", line=n, txt=line.strip()))
+    if _SECRET.search(text):  # a line that matches does so within the text
+        for n, line in enumerate(text.splitlines(), start=1):
+            if _SECRET.search(line):
+                out.append(row("Secret", line=n, txt=line.strip()))
     return out
 
 

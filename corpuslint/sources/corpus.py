@@ -44,6 +44,9 @@ _CALLS = [
 ]
 
 
+SEEDS_PER_TASK = 10_000
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -74,21 +77,22 @@ def _module_text_sql() -> str:
 def corpus_files(part: DataFrame) -> DataFrame:
     """`files` table (repo, path, content STRING, size_bytes) rendered from `part`."""
     # The seed rows are tiny and the rendered text ~100x larger: spread the seeds
-    # (not the text) so rendering and parsing start out parallel.
-    seeds = part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
-    seeds = seeds.repartition(max(8, part.sparkSession.sparkContext.defaultParallelism), "k")
+    # (not the text) so rendering and parsing start out parallel, and over more tasks
+    # the more seeds there are, so that what a task parses and caches stays the same.
+    tasks = max(8, part.sparkSession.sparkContext.defaultParallelism, part.count() // SEEDS_PER_TASK)
+    seeds = part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z")).repartition(tasks, "k")
     base = seeds.selectExpr(
         "k", "z", "k div 25 AS i",
         "CASE WHEN (k div 25) % 4 = 3 THEN CASE WHEN ((k div 25) div 4) % 3 = 0 THEN k - 75 END ELSE k + 25 END AS j",
         "concat('r', k % 25) AS repo",
+        "explode(array_compact(array(0, CASE WHEN k % 3 = 0 THEN 1 END, CASE WHEN k % 10 = 1 THEN 2 END))) AS file",
     )
-    module = base.selectExpr("repo", "concat('pkg', k % 4, '/m', k, '.py') AS path", f"{_module_text_sql()} AS content")
-    tests = base.filter("k % 3 = 0").selectExpr(
-        "repo", "concat('tests/test_m', k, '.py') AS path",
-        "concat('def test_m', k, '():\\n    assert True\\n') AS content")
-    scripts = base.filter("k % 10 = 1").selectExpr(
-        "repo", "concat('web/app', k, '.js') AS path", "concat('const v', k, ' = 1;\\n') AS content")
-    out = module.unionByName(tests).unionByName(scripts)
+    out = base.selectExpr(
+        "repo",
+        "CASE file WHEN 0 THEN concat('pkg', k % 4, '/m', k, '.py') WHEN 1 THEN concat('tests/test_m', k, '.py') "
+        "ELSE concat('web/app', k, '.js') END AS path",
+        f"CASE file WHEN 0 THEN {_module_text_sql()} WHEN 1 THEN concat('def test_m', k, '():\\n    assert True\\n') "
+        "ELSE concat('const v', k, ' = 1;\\n') END AS content")
     return out.withColumn("size_bytes", F.octet_length("content").cast("bigint"))
 
 
