@@ -84,7 +84,9 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
     facts = extract.extract_facts(accepted, cfg.parse_partitions)
     persisted = []
     if persist_facts:
-        facts = share(facts)  # one parse per file, read by every rule branch
+        # One parse per file, read by every rule branch: sorted by node, a cached batch holds one
+        # or two kinds, and a branch reads only the batches whose least and largest node admit its kinds.
+        facts = share(facts.sortWithinPartitions("node"))
         persisted.append(facts)
     parsed = extract.parsed_files(facts)
     if persist_facts:

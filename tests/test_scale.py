@@ -5,6 +5,7 @@ import random
 
 from corpuslint.operators import extract
 from corpuslint.sources import corpus
+from tests.helpers import run
 
 
 def _partitions(df):
@@ -39,3 +40,10 @@ def test_numbers_are_those_of_two_walks():
 
     walk(tree, 0)
     assert sorted(spans) == sorted((type(n).__name__, p, l) for n, p, l in zip(order, pre, last))
+
+
+def test_cached_facts_lie_sorted_by_node(files_df):
+    t = run(files_df({f"m{i}.py": "import os\nfor i in x:\n    open(i)\n" for i in range(40)}))
+    for rows in t.facts.select("node").rdd.glom().collect():
+        nodes = [r.node for r in rows]
+        assert nodes == sorted(nodes)
