@@ -59,10 +59,15 @@ def dependencies_by_source(edges: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("target")).alias("dependencies"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A side of a join that never goes through the driver: a search joins tables of a few MB dozens of times."""
+    return df.hint("merge")
+
+
 def file_edges(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose target is itself a parsed file (the graph cycles are searched in)."""
     nodes = parsed.select("repo", F.col("path").alias("target"))
-    return edges.join(nodes, ["repo", "target"], "left_semi").select("repo", "source", "target")
+    return edges.join(_spread(nodes), ["repo", "target"], "left_semi").select("repo", "source", "target")
 
 
 class _Rounds:
@@ -108,13 +113,13 @@ def _labels(r: _Rounds, edges: DataFrame, turn: int) -> DataFrame:
         told = heard(labels, f=F.col("f"), g=F.col("g"), f0=F.col("f"), g0=F.col("g"))
         of_src = labels.select("repo", F.col("node").alias("src"), "f")
         of_dst = labels.select("repo", F.col("node").alias("dst"), "g")
-        told = told.unionByName(heard(edges.join(of_src, ["repo", "src"]), "dst", f=F.col("f")))
-        told = told.unionByName(heard(edges.join(of_dst, ["repo", "dst"]), "src", g=F.col("g")))
+        told = told.unionByName(heard(edges.join(_spread(of_src), ["repo", "src"]), "dst", f=F.col("f")))
+        told = told.unionByName(heard(edges.join(_spread(of_dst), ["repo", "dst"]), "src", g=F.col("g")))
         for way, own in (("back", "f"), ("ahead", "g")):
             asked = labels.select("repo", "node", F.explode(F.array(F.struct(F.lit(True).alias("far"), F.col(way).alias("at")),
                                                                      F.struct(F.lit(False).alias("far"), F.col(f"{own}.v").alias("at")))).alias("q"))
             there = labels.select("repo", F.col("node").alias("at"), own, F.col(way).alias("next"))
-            answers = asked.select("repo", "node", "q.far", "q.at").join(there, ["repo", "at"])
+            answers = asked.select("repo", "node", "q.far", "q.at").join(_spread(there), ["repo", "at"])
             told = told.unionByName(heard(answers, **{own: F.col(own), way: F.when(F.col("far"), F.col("next"))}))
         merged = told.groupBy("repo", "node").agg(*[F.min(c).alias(c) for c in ("f", "g", "f0", "g0", "back", "ahead")])
         changed = (F.col("f") != F.col("f0")) | (F.col("g") != F.col("g0"))
@@ -132,7 +137,7 @@ def _peeled(r: _Rounds, edges: DataFrame) -> DataFrame:
     """
     into = edges.groupBy("repo", F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.first("src").alias("src"))
     out = edges.groupBy("repo", F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.first("dst").alias("dst"))
-    state = r.settle(into.join(out, ["repo", "node"], "full").select(
+    state = r.settle(into.join(_spread(out), ["repo", "node"], "full").select(
         "repo", "node", F.when(F.col("n_in") == 1, F.col("src")).alias("back"), F.when(F.col("n_out") == 1, F.col("dst")).alias("ahead"),
         F.col("n_in").isNull().alias("first"), F.col("n_out").isNull().alias("last"), F.lit(False).alias("found")))
     if state.filter("first or last").isEmpty():
@@ -140,15 +145,15 @@ def _peeled(r: _Rounds, edges: DataFrame) -> DataFrame:
     while True:
         before = state.select("repo", F.col("node").alias("back"), F.col("back").alias("back2"), F.col("first").alias("first2"))
         behind = state.select("repo", F.col("node").alias("ahead"), F.col("ahead").alias("ahead2"), F.col("last").alias("last2"))
-        joined = state.join(before, ["repo", "back"], "left").join(behind, ["repo", "ahead"], "left")
+        joined = state.join(_spread(before), ["repo", "back"], "left").join(_spread(behind), ["repo", "ahead"], "left")
         first, last = (F.col(c) | F.coalesce(f"{c}2", F.lit(False)) for c in ("first", "last"))
         state = r.settle(joined.select("repo", "node", F.col("back2").alias("back"), F.col("ahead2").alias("ahead"), first.alias("first"), last.alias("last"),
                                        ((first & ~F.col("first")) | (last & ~F.col("last"))).alias("found")))
         if state.filter("found").isEmpty():
             break
     alive = state.filter("not first and not last").select("repo", "node")
-    return (edges.join(alive.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-            .join(alive.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst"))
+    return (edges.join(_spread(alive.withColumnRenamed("node", "src")), ["repo", "src"], "left_semi")
+            .join(_spread(alive.withColumnRenamed("node", "dst")), ["repo", "dst"], "left_semi").select("repo", "src", "dst"))
 
 
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -157,8 +162,8 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     r = _Rounds(spark)
     known = nodes.select("repo", "path")
     all_edges = r.settle(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
-                         .join(known.withColumnRenamed("path", "src"), ["repo", "src"], "left_semi")
-                         .join(known.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi"))
+                         .join(_spread(known.withColumnRenamed("path", "src")), ["repo", "src"], "left_semi")
+                         .join(_spread(known.withColumnRenamed("path", "dst")), ["repo", "dst"], "left_semi"))
 
     live, found, turn = all_edges.filter("src <> dst"), [], 0
     if not live.isEmpty():
@@ -168,7 +173,7 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found.append(labels.filter("f = g").select("repo", "node", F.col("f.v").alias("comp")))
         left, right = (labels.filter("f <> g").select("repo", F.col("node").alias(end), F.col("f").alias(f"f_{end}"), F.col("g").alias(f"g_{end}"))
                        for end in ("src", "dst"))
-        same = live.join(left, ["repo", "src"]).join(right, ["repo", "dst"]).filter("f_src = f_dst and g_src = g_dst")
+        same = live.join(_spread(left), ["repo", "src"]).join(_spread(right), ["repo", "dst"]).filter("f_src = f_dst and g_src = g_dst")
         live = r.settle(same.select("repo", "src", "dst"))
         if not live.isEmpty():
             live = r.settle(_peeled(r, live))
@@ -177,8 +182,8 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if found:
         members = union_frames(found)
         several = members.groupBy("repo", "comp").agg(F.count("*").alias("n")).filter("n > 1").select("repo", "comp")
-        members = members.join(several, ["repo", "comp"], "left_semi").select("repo", "node", "comp")
-        loops = members.unionByName(loops.join(members.select("repo", "node"), ["repo", "node"], "left_anti"))
+        members = members.join(_spread(several), ["repo", "comp"], "left_semi").select("repo", "node", "comp")
+        loops = members.unionByName(loops.join(_spread(members.select("repo", "node")), ["repo", "node"], "left_anti"))
     out = cut_lineage(loops)
     r.release()
     return out
@@ -198,11 +203,11 @@ def cycle_rows(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     start = members.groupBy("repo", "comp").agg(F.min_by("path", path_key("path")).alias("start"),
                                                 F.count("*").alias("n"))
     inner = (fe.distinct()
-               .join(members.withColumnRenamed("path", "source"), ["repo", "source"])
-               .join(members.withColumnRenamed("path", "target").withColumnRenamed("comp", "comp_t"), ["repo", "target"])
+               .join(_spread(members.withColumnRenamed("path", "source")), ["repo", "source"])
+               .join(_spread(members.withColumnRenamed("path", "target").withColumnRenamed("comp", "comp_t")), ["repo", "target"])
                .filter(F.col("comp") == F.col("comp_t"))
                .select("repo", "comp", "source", "target"))
-    return (start.join(shortest_cycles(inner, start), ["repo", "comp"])
+    return (start.join(_spread(shortest_cycles(inner, start)), ["repo", "comp"])
             .select("repo", F.col("start").alias("path"), F.array_join("ring", " -> ").alias("evidence"), "n"))
 
 
@@ -215,12 +220,12 @@ def _chains(r: _Rounds, inner: DataFrame, start: DataFrame) -> DataFrame:
     key = ["repo", "comp"]
     out = inner.groupBy(*key, F.col("source").alias("node")).agg(F.count("*").alias("n_out"), F.first("target").alias("nxt")).filter("n_out = 1")
     into = inner.groupBy(*key, F.col("target").alias("node")).agg(F.count("*").alias("n_in")).filter("n_in = 1")
-    through = (out.join(into, [*key, "node"]).join(start.select(*key, F.col("start").alias("node")), [*key, "node"], "left_anti")
+    through = (out.join(_spread(into), [*key, "node"]).join(_spread(start.select(*key, F.col("start").alias("node"))), [*key, "node"], "left_anti")
                .select(*key, "node", "nxt", F.lit(1).alias("hops"), F.col("node").alias("last")))
     chains = r.settle(through)
     while True:
         ahead = chains.select(*key, F.col("node").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("hops").alias("hops2"), F.col("last").alias("last2"))
-        nxt = r.settle(chains.join(ahead, [*key, "nxt"], "left").select(
+        nxt = r.settle(chains.join(_spread(ahead), [*key, "nxt"], "left").select(
             *key, "node", F.coalesce("nxt2", "nxt").alias("nxt"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"),
             F.coalesce("last2", "last").alias("last"), F.col("nxt2").isNotNull().alias("moved")))
         chains = nxt.drop("moved")
@@ -241,9 +246,9 @@ def shortest_cycles(inner: DataFrame, start: DataFrame) -> DataFrame:
     inner, start = r.settle(inner), r.settle(start.select(*key, "start"))
     chains = _chains(r, inner, start)
     through = chains.select(*key, F.col("node").alias("first"), F.col("nxt").alias("to"), F.col("hops"))
-    hop = (inner.join(chains.select(*key, F.col("node").alias("source")), [*key, "source"], "left_anti")
+    hop = (inner.join(_spread(chains.select(*key, F.col("node").alias("source"))), [*key, "source"], "left_anti")
            .select(*key, F.col("source").alias("node"), F.col("target").alias("first"))
-           .join(through, [*key, "first"], "left")
+           .join(_spread(through), [*key, "first"], "left")
            .select(*key, "node", "first", F.coalesce("to", "first").alias("to"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops")))
     hop = r.settle(hop)
     nothing = F.struct(F.lit(0).alias("length"), F.expr("cast(array() as array<string>)").alias("firsts"))
@@ -251,7 +256,7 @@ def shortest_cycles(inner: DataFrame, start: DataFrame) -> DataFrame:
     while True:
         closed = best.filter("closed").select(*key, F.col("way.length").alias("shortest"))
         longer = F.struct((F.col("way.length") + F.col("hops")).alias("length"), F.concat("way.firsts", F.array("first")).alias("firsts"))
-        ways = (best.filter("fresh and not closed").join(hop, [*key, "node"]).join(closed, key, "left")
+        ways = (best.filter("fresh and not closed").join(_spread(hop), [*key, "node"]).join(_spread(closed), key, "left")
                 .filter("shortest is null or way.length + hops <= shortest")
                 .select(*key, "start", F.col("to").alias("node"), (F.col("to") == F.col("start")).alias("closed"), longer.alias("way"), F.lit(None).cast(best.schema["way"].dataType).alias("was")))
         merged = (best.select(*key, "start", "node", "closed", "way", F.col("way").alias("was")).unionByName(ways)
@@ -260,9 +265,9 @@ def shortest_cycles(inner: DataFrame, start: DataFrame) -> DataFrame:
         if best.filter("fresh and not closed").isEmpty():
             break
     rings = best.filter("closed").select(*key, "start", F.posexplode("way.firsts").alias("at", "first"))
-    ends = rings.join(through, [*key, "first"], "left").select(*key, "start", "at", F.lit(0).alias("before"), F.coalesce("to", "first").alias("node"))
-    on_way = (rings.join(chains.select(*key, F.col("node").alias("first"), "last"), [*key, "first"])
-              .join(chains.select(*key, "last", "node", "hops"), [*key, "last"])
+    ends = rings.join(_spread(through), [*key, "first"], "left").select(*key, "start", "at", F.lit(0).alias("before"), F.coalesce("to", "first").alias("node"))
+    on_way = (rings.join(_spread(chains.select(*key, F.col("node").alias("first"), "last")), [*key, "first"])
+              .join(_spread(chains.select(*key, "last", "node", "hops")), [*key, "last"])
               .select(*key, "start", "at", (-F.col("hops")).alias("before"), "node"))
     listed = ends.unionByName(on_way).groupBy(*key, "start").agg(F.array_sort(F.collect_list(F.struct("at", "before", "node"))).alias("steps"))
     ring = F.concat(F.array("start"), F.transform("steps", lambda x: x["node"]))

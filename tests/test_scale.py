@@ -3,7 +3,7 @@
 import ast
 import random
 
-from corpuslint.operators import extract
+from corpuslint.operators import extract, graph
 from corpuslint.sources import corpus
 from tests.helpers import run
 
@@ -47,3 +47,19 @@ def test_cached_facts_lie_sorted_by_node(files_df):
     for rows in t.facts.select("node").rdd.glom().collect():
         nodes = [r.node for r in rows]
         assert nodes == sorted(nodes)
+
+
+def test_cycle_search_broadcasts_nothing(spark, monkeypatch):
+    plans = []
+    write = graph.write_table
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(graph, "write_table", recorded)
+    edges = [(f"m{i}.py", f"m{(i + 1) % 6}.py") for i in range(6)] + [("m6.py", "m0.py"), ("m2.py", "m0.py")]
+    nodes = spark.createDataFrame([("r", f"m{i}.py") for i in range(7)], "repo string, path string")
+    table = spark.createDataFrame([("r", a, b) for a, b in edges], "repo string, source string, target string")
+    assert [r.evidence for r in graph.cycle_rows(nodes, table).collect()] == ["m0.py -> m1.py -> m2.py -> m0.py"]
+    assert plans and not any("Broadcast" in p for p in plans)
