@@ -11,7 +11,7 @@ from corpuslint.operators.issues import make_issues, seq
 
 
 def no_tests(t, cfg) -> DataFrame:
-    per_repo = t.file_contexts.groupBy("repo").agg(
+    per_repo = t.parsed.groupBy("repo").agg(
         F.max(is_test_file(F.col("path")).cast("int")).alias("has_test"),
         F.min_by("path", path_key("path")).alias("first"))
     repos = t.repos.join(per_repo, ["repo"], "left")
@@ -22,7 +22,7 @@ def no_tests(t, cfg) -> DataFrame:
 
 
 def missing_targeted_test(t, cfg) -> DataFrame:
-    tests = (t.file_contexts.filter(is_test_file(F.col("path")))
+    tests = (t.parsed.filter(is_test_file(F.col("path")))
              .select("repo", basename(F.col("path")).alias("expected")).distinct())
     targets = t.targets.filter(~is_test_file(F.col("path")) & (F.col("path") != "__init__.py")
                                & ~F.col("path").endswith("/__init__.py"))

@@ -73,7 +73,7 @@ def unused_symbols(t, cfg: Settings) -> DataFrame:
                   .groupBy("repo", "name").agg(F.count("*").alias("n_files"),
                                                F.min("path").alias("only_path")))
     local = facts.filter(F.col("node") == "Name").select("repo", "path", "name", F.lit(True).alias("local_use"))
-    file_counts = t.file_contexts.groupBy("repo").agg(F.count("*").alias("repo_files"))
+    file_counts = t.parsed.groupBy("repo").agg(F.count("*").alias("repo_files"))
     py = t.parsed.filter(F.col("language") == "python")
     fns = explode_symbols(py, "function").filter(
         ~F.col("name").startswith("test_") & (F.col("name") != "run")).withColumn("kind_rank", F.lit(0))
@@ -95,8 +95,8 @@ def unused_symbols(t, cfg: Settings) -> DataFrame:
 
 
 def large_review_scope(t, cfg: Settings) -> DataFrame:
-    agg = t.file_contexts.groupBy("repo").agg(F.count("*").alias("n"),
-                                             F.min_by("path", path_key("path")).alias("first"))
+    agg = t.parsed.groupBy("repo").agg(F.count("*").alias("n"),
+                                       F.min_by("path", path_key("path")).alias("first"))
     hit = agg.filter(F.col("n") > cfg.large_scope_files)
     return make_issues(hit, "structure.large-review-scope", path=F.col("first"), line=None,
                        evidence=F.array(F.concat(F.lit("file_count="), "n")),

@@ -2,10 +2,12 @@
 
 import ast
 import random
+from types import SimpleNamespace
 
 from corpuslint.operators import extract, graph
+from corpuslint.operators.rules import coverage, structure
 from corpuslint.sources import corpus
-from tests.helpers import run
+from tests.helpers import UNCAPPED, run
 
 
 def _partitions(df):
@@ -63,3 +65,12 @@ def test_cycle_search_broadcasts_nothing(spark, monkeypatch):
     table = spark.createDataFrame([("r", a, b) for a, b in edges], "repo string, source string, target string")
     assert [r.evidence for r in graph.cycle_rows(nodes, table).collect()] == ["m0.py -> m1.py -> m2.py -> m0.py"]
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_rules_that_count_files_read_no_import_graph(files_df):
+    t = run(files_df({"a.py": "import b\n", "b.py": "", "tests/test_a.py": "def test_a():\n    pass\n"}))
+    only = SimpleNamespace(parsed=t.parsed, repos=t.repos, targets=t.targets)
+    cfg = SimpleNamespace(large_scope_files=2)
+    assert [(r.path, r.evidence) for r in structure.large_review_scope(only, cfg).collect()] == [("a.py", ["file_count=3"])]
+    assert coverage.no_tests(only, UNCAPPED).count() == 0
+    assert [r.path for r in coverage.missing_targeted_test(only, UNCAPPED).collect()] == ["b.py"]
