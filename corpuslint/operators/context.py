@@ -32,21 +32,24 @@ def first_paths(df: DataFrame, n: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """+1 for the source of every edge, +1 for the target of a resolved edge."""
+def degrees(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """+1 for the source of every edge, +1 for the target of a resolved edge; over `tasks` tasks if given."""
     src = edges.select("repo", F.col("source").alias("path"))
     dst = edges.filter("resolved").select("repo", F.col("target").alias("path"))
-    return src.unionByName(dst).groupBy("repo", "path").agg(F.count("*").alias("degree"))
+    ends = src.unionByName(dst)
+    if tasks:
+        ends = ends.repartition(tasks, "repo", "path")
+    return ends.groupBy("repo", "path").agg(F.count("*").alias("degree"))
 
 
-def key_file_scores(parsed: DataFrame, edges: DataFrame) -> DataFrame:
+def key_file_scores(parsed: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """score = degree + 5 entry point + 4 config + 1 top level; reasons in fixed order."""
     name = basename(F.col("path"))
     deg = F.coalesce(F.col("degree"), F.lit(0))
     entry = name.isin(*C.ENTRYPOINT_NAMES)
     conf = name.isin(*C.CONFIG_NAMES)
     top = ~F.col("path").contains("/")
-    scored = parsed.select("repo", "path").join(degrees(edges), ["repo", "path"], "left").select(
+    scored = parsed.select("repo", "path").join(degrees(edges, tasks), ["repo", "path"], "left").select(
         "repo", "path",
         (deg + F.when(entry, 5).otherwise(0) + F.when(conf, 4).otherwise(0) + F.when(top, 1).otherwise(0))
         .cast("int").alias("score"),
@@ -57,10 +60,10 @@ def key_file_scores(parsed: DataFrame, edges: DataFrame) -> DataFrame:
         "reason", F.when(F.col("reason") == "", F.lit("scored")).otherwise(F.col("reason")))
 
 
-def key_files(parsed: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def key_files(parsed: DataFrame, edges: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
     """Top-k by (score desc, path asc) per repo."""
     w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("path"))
-    return key_file_scores(parsed, edges).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return key_file_scores(parsed, edges, tasks).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def focus_paths(edges: DataFrame, keys: DataFrame, edge_cap: int) -> DataFrame:

@@ -333,20 +333,27 @@ _SUMMARY_PAGE_SQL = _SUMMARY_SQL.replace(f"FROM ({_EVENT_ISSUES_SQL}))", f"""FRO
 _EDGE_REPO = "concat('r', l_suppkey % 8)"
 
 
+EDGES_PER_TASK = 500_000
+
+
 def _lineitem_graph(spark, sf):
-    li = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    """(nodes, edges, tasks). Key pairs compress so well that partitions sized by their bytes would hold tens
+    of millions of them; so rows are dealt to a number of tasks that grows with the table."""
+    li = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
+    tasks = max(spark.sparkContext.defaultParallelism, li.count() // EDGES_PER_TASK)
+    li = li.repartition(tasks, "l_suppkey", "l_partkey").distinct()
     edges = li.select(F.expr(_EDGE_REPO).alias("repo"),
                       F.concat(F.lit("supp/s"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("source"),
                       F.concat(F.lit("part/p"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("target"),
                       F.lit(True).alias("resolved"), F.col("l_partkey").cast("string").alias("module"))
     nodes = edges.select("repo", F.col("source").alias("path")).unionByName(
-        edges.select("repo", F.col("target").alias("path"))).distinct()
-    return nodes, edges
+        edges.select("repo", F.col("target").alias("path"))).repartition(tasks, "repo", "path").distinct()
+    return nodes, edges, tasks
 
 
 def q_degree_topk(spark, sf):
-    nodes, edges = _lineitem_graph(spark, sf)
-    k = ctx.key_files(nodes, edges, Settings().key_files_cap)
+    nodes, edges, tasks = _lineitem_graph(spark, sf)
+    k = ctx.key_files(nodes, edges, Settings().key_files_cap, tasks)
     return k.select("repo", "path", F.col("score").cast("bigint").alias("score"), "reason",
                     F.col("rank").cast("bigint").alias("rank"))
 

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 from corpuslint.operators import extract, graph
 from corpuslint.operators.rules import coverage, structure
+from corpuslint.plans import lane_d
 from corpuslint.sources import corpus
 from tests.helpers import UNCAPPED, run
 
@@ -74,3 +75,14 @@ def test_rules_that_count_files_read_no_import_graph(files_df):
     assert [(r.path, r.evidence) for r in structure.large_review_scope(only, cfg).collect()] == [("a.py", ["file_count=3"])]
     assert coverage.no_tests(only, UNCAPPED).count() == 0
     assert [r.path for r in coverage.missing_targeted_test(only, UNCAPPED).collect()] == ["b.py"]
+
+
+def test_degree_tasks_grow_with_lineitem(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 400, 1, 1).selectExpr("cast(id % 20 AS bigint) AS l_suppkey", "cast(id % 97 AS bigint) AS l_partkey")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(lane_d, "EDGES_PER_TASK", 20, raising=False)
+    nodes, edges = lane_d._lineitem_graph(spark, str(tmp_path))[:2]
+    assert _partitions(edges) == _partitions(nodes) == 20
+    plan = lane_d.q_degree_topk(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    by_path = [line for line in plan.splitlines() if "Exchange hashpartitioning(repo" in line and "path" in line]
+    assert by_path and all("REPARTITION_BY_NUM" in line for line in by_path)
