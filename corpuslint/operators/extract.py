@@ -234,7 +234,7 @@ def parsed_files(facts: DataFrame) -> DataFrame:
     empty_sym = F.expr("cast(array() as array<struct<name:string,kind:string,line_start:int,line_end:int,parameter_count:int>>)")
     modules = facts.filter(F.col("node") == "Module").select(
         "repo", "path", F.lit("python").alias("language"), F.lit("ast").alias("parse_mode"), "size_bytes", "content_hash")
-    py = modules.join(per_file, ["repo", "path"], "left").select(
+    py = modules.join(per_file.hint("merge"), ["repo", "path"], "left").select(  # both grow with the files: never through the driver
         "repo", "path", "language", "parse_mode", "size_bytes", "content_hash",
         F.coalesce("imports", F.expr("cast(array() as array<string>)")).alias("imports"),
         F.coalesce(F.expr(reorder.format(c="functions")), empty_sym).alias("functions"),

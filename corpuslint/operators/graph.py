@@ -41,7 +41,7 @@ def build_edges(parsed: DataFrame) -> DataFrame:
     """Edges (repo, source, target, edge_type, resolution_confidence, resolved, source_key, module)."""
     imports = parsed.select("repo", F.col("path").alias("source"), F.explode("imports").alias("module"))
     idx = module_index(parsed)
-    joined = imports.join(idx, ["repo", "module"], "left")
+    joined = imports.join(_spread(idx), ["repo", "module"], "left")
     resolved = F.col("target_path").isNotNull()
     return joined.select(
         "repo", "source",

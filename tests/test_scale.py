@@ -7,6 +7,7 @@ from types import SimpleNamespace
 from corpuslint.operators import extract, graph
 from corpuslint.operators.rules import coverage, structure
 from corpuslint.plans import lane_d
+from corpuslint.plans.analyze import analyze
 from corpuslint.sources import corpus
 from tests.helpers import UNCAPPED, run
 
@@ -86,3 +87,10 @@ def test_degree_tasks_grow_with_lineitem(spark, tmp_path, monkeypatch):
     plan = lane_d.q_degree_topk(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     by_path = [line for line in plan.splitlines() if "Exchange hashpartitioning(repo" in line and "path" in line]
     assert by_path and all("REPARTITION_BY_NUM" in line for line in by_path)
+
+
+def test_parsed_files_and_edges_broadcast_nothing(files_df):
+    files = files_df({"a.py": "import b\n", "b.py": "def f():\n    pass\n"})
+    t = analyze(files, None, UNCAPPED, persist_facts=False)
+    assert [(r.source, r.target) for r in t.edges.collect()] == [("a.py", "b.py")]
+    assert "Broadcast" not in t.edges._jdf.queryExecution().executedPlan().toString()
