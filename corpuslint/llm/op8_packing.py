@@ -17,7 +17,6 @@ task gives the same rows again.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,23 +49,21 @@ def cut(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> list[int]
     cost(i, j) = length - (pos[j] - pos[i]) + penalty[j], for windows no longer
     than `length`; neighbours in `pos` are never further apart than that.
     """
-    p, c = pos.tolist(), penalty.tolist()
+    p, c = pos.tolist(), (penalty + length).tolist()
     n = len(p)
-    best, back = [0] * n, [0] * n
-    queue: deque[int] = deque([0])
-    value = [0] * n
+    value, back = [0] * n, [0] * n  # value: the cost up to a cut and its position
+    queue, front, end = [0] * n, 0, 1
     value[0] = p[0]
     for j in range(1, n):
         low = p[j] - length
-        while p[queue[0]] < low:
-            queue.popleft()
-        i = queue[0]
-        best[j] = value[i] + length - p[j] + c[j]
-        back[j] = i
-        value[j] = v = best[j] + p[j]
-        while queue and value[queue[-1]] >= v:
-            queue.pop()
-        queue.append(j)
+        while p[queue[front]] < low:
+            front += 1
+        back[j] = i = queue[front]
+        value[j] = v = value[i] + c[j]
+        while end > front and value[queue[end - 1]] >= v:
+            end -= 1
+        queue[end] = j
+        end += 1
     out, j = [], n - 1
     while j:
         out.append(j)
@@ -76,15 +73,17 @@ def cut(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> list[int]
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may end: positions and penalties, position 0 first, the run's end last."""
-    sentence = np.flatnonzero(ends[ids]) + 1
-    pos = np.union1d(np.concatenate([[0], doc_ends]), sentence)
+    cost = np.zeros(len(ids) + 1, np.int64)  # by position; 0: no window ends there
+    cost[1:][ends[ids]] = SENTENCE_PENALTY
+    cost[0] = cost[doc_ends] = INSIDE_PENALTY
+    pos = np.flatnonzero(cost)
     gap = np.diff(pos)
     wide = np.flatnonzero(gap > INSIDE_EVERY)
-    if len(wide):
-        more = [np.arange(pos[k] + INSIDE_EVERY, pos[k + 1], INSIDE_EVERY) for k in wide]
-        pos = np.union1d(pos, np.concatenate(more))
-    penalty = np.full(len(pos), INSIDE_PENALTY, np.int64)
-    penalty[np.searchsorted(pos, sentence)] = SENTENCE_PENALTY
+    more = -(-gap[wide] // INSIDE_EVERY) - 1
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    cost[np.repeat(pos[wide], more) + nth * INSIDE_EVERY] = INSIDE_PENALTY
+    pos = np.flatnonzero(cost)
+    penalty = cost[pos]
     penalty[np.searchsorted(pos, doc_ends)] = 0
     return pos, penalty
 

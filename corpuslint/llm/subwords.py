@@ -7,7 +7,7 @@ works on single characters, so a text's ids are those of its words in order.
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,21 @@ def _apart(raw: bytes, off: np.ndarray) -> tuple[bytes, np.ndarray]:
     return np.insert(data, at, 32).tobytes(), off + np.searchsorted(at, off)
 
 
+def _words(raw: bytes, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all rows in order, where each row's begin and the last end)."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = ~_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    here = off[:-1][off[:-1] < len(data)]
+    first[here] |= inside[here]
+    start = np.flatnonzero(first)
+    packed = data[inside]  # the words without what stands between them
+    ends = np.append((np.cumsum(inside) - 1)[start], len(packed)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    return words, np.searchsorted(start, off)
+
+
 class Subwords:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,19 +98,22 @@ class Subwords:
         if b"<|" not in raw:  # else a special token's name in capitals would come to count as one
             raw = raw.translate(_LOWER)
         # a stop or comma after a letter and before white space is a piece of its own
-        raw, off = _apart(raw, off)
-        rows = [raw[off[i]: off[i + 1]].split() for i in range(len(off) - 1)]
-        flat = list(chain.from_iterable(rows))
-        missing = set(flat).difference(self.known)
-        if missing:
-            self._add(sorted(missing))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        words, first = _words(*_apart(raw, off))
+        each = words.dictionary_encode()  # only the distinct words of a block become Python objects
+        own = each.dictionary.to_pylist()
+        at = np.fromiter(map(self.known.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = [own[k] for k in new.tolist()]
+            self._add(missing)
+            at[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+        of = each.indices.to_numpy(zero_copy_only=False)
         begin = self.start[at]
-        length = self.start[at + 1] - begin
+        length = (self.start[at + 1] - begin)[of]
+        begin = begin[of]
         total = np.concatenate([[0], np.cumsum(length)])
         source = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
-        words = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return self.ids[source], total[words]
+        return self.ids[source], total[first]
 
 
 _OPEN: dict[str, Subwords] = {}

@@ -549,3 +549,39 @@ def test_stops_stand_apart_inside_their_text():
         rows = [bytes(r.choice(list(b"ab.,. \t\n3\xc3"), r.integers(0, 12)).astype(np.uint8)) for _ in range(r.integers(0, 5))]
         raw, off = _apart(b"".join(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64))
         assert [raw[a:z] for a, z in zip(off, off[1:])] == [re.sub(rb"(?<=[a-z])([.,])(?=[ \t-\r])", rb" \1", x) for x in rows]
+
+
+def test_words_are_looked_up_once_a_block():
+    from corpuslint.llm.subwords import Subwords
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.asked += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            Counted.asked += 1
+            return super().__contains__(k)
+
+    words = Subwords(op8.tokenizer_path())
+    texts = [None, "", "one two one, one.", " \n", "Two. \x01 one\x01two <|x", "one two " * 3000]
+    want = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    words.known = Counted()
+    ids, first = words.encode(pa.array(texts, pa.string()))
+    assert [ids[a:z].tolist() for a, z in zip(first, first[1:])] == want
+    assert Counted.asked < 60
+
+
+def test_where_windows_may_end():
+    ends = np.zeros(10, bool)
+    ends[7] = True
+    ids = np.ones(200, np.int64)
+    ids[[4, 150]] = 7
+    pos, penalty = op8.candidates(ids, np.array([70, 134, 200]), ends)
+    assert dict(zip(pos.tolist(), penalty.tolist())) == {0: 32, 5: 4, 37: 32, 69: 32, 70: 0, 102: 32, 134: 0, 151: 4, 183: 32, 200: 0}
