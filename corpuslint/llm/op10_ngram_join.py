@@ -19,12 +19,13 @@ Entries are shuffled in PARTS turns, so that only a part of the index is on disk
 and of entries with the same sets (the same number, least, largest and two equal sums of hashes) one is kept.
 
 Sets with an equal entry are candidates. An entry's sets are not expanded into
-pairs: they are first compared with two of them (the smallest and the largest id),
-and the links found give components. Where an entry's sets then still lie in several
+pairs: each entry names one of its sets (the smallest id), and each set is compared with the one
+that most of its entries name; the links found give components. Where an entry's sets then still lie in several
 components, up to FEW sets are resolved exactly, by the pairs across components. For larger
-entries STAR_ROUNDS further rounds compare the sets with one of them, another one in
-each entry; what is still open after that is resolved exactly: up to SMALL sets by the pairs
-again, more by a prefix filter in frequency order among their sets. Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
+entries up to STAR_ROUNDS further rounds do the same, with another order of the sets in each,
+as long as a FRUITFUL share of the pairs links;
+what is still open after that is resolved exactly: up to SMALL sets by the pairs
+again, more by a prefix filter in frequency order among their sets, whose pairs are first taken one a set, too. Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
 must allow the threshold: the sum of the smaller counts bounds the intersection from above,
 so no link is lost. Every link reported is verified on the whole sets. Equal sets are one class from the start.
 
@@ -51,10 +52,13 @@ from corpuslint.llm.textnp import NON_SPACE, U, column_bytes, mix, row_bounds, s
 SHINGLE = 4
 PERCENT = 85
 GROWTH = 1.4
-PARTS = 4
+PARTS = 8
+SENT = 1 << 14  # pairs that are sent to every task
+TURN = 1 << 16
 FEW = 4
 SMALL = 16
 STAR_ROUNDS = 4
+FRUITFUL = 0.02  # rounds end when fewer of their pairs link
 BUCKETS = 64
 FULL = 127  # a bucket's count stops here and then bounds nothing
 
@@ -224,6 +228,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def verified_few(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same for at most SENT pairs: only the sets that they name cross the network."""
+    few = F.broadcast(pairs)
+    left = few.join(sets.select(F.col("cid").alias("a"), F.col("sh").alias("x")), "a")
+    right = few.join(sets.select(F.col("cid").alias("b"), F.col("sh").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    return left.join(right.hint("merge"), ["a", "b"]).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and histograms allow the threshold."""
     left = sets.select(F.col("cid").alias("a"), "size", "hist")
@@ -233,14 +246,20 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _found(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the threshold, written; whole sets travel in PARTS turns."""
+    """The pairs that reach the threshold, written. Few pairs are sent to where the sets lie; of many,
+    the sets travel, in turns of at most TURN pairs or half as many as there are sets."""
     may = scratch.keep(_plausible(pairs, sets, percent))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS))
-    out = None
-    for k in range(PARTS):
-        some = scratch.keep(verified(may.where(part("a") == k), sets, percent))
-        out = some if out is None else out.union(some)
+    n = may.count()
+    if n <= SENT:
+        found = [scratch.keep(verified_few(may, sets, percent))]
+    else:
+        turns = -(-n // max(TURN, sets.count() // 2))
+        part = F.pmod(F.xxhash64("a"), F.lit(turns))
+        found = [scratch.keep(verified(may.where(part == k), sets, percent)) for k in range(turns)]
     scratch.drop(may)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
     return out
 
 
@@ -266,6 +285,19 @@ def _across_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataF
             .select(F.col("cid").alias("a"), "b").distinct())
 
 
+def _still_across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets lie in different components."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def _met_most(met: DataFrame) -> DataFrame:
+    """Pairs a < b: each set `cid` with the one of its `p` that most of its entries name, the smallest of these."""
+    votes = met.groupBy("cid", "p").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("cid").agg(F.min(F.struct((-F.col("n")).alias("n"), "p")).alias("x")).select("cid", F.col("x.p").alias("p"))
+    return best.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct()
+
+
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(sig, cid, comp, n): the sets of entries whose sets lie in several components; n of them."""
     placed = members.select("sig", "cid").join(comps, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("comp"))
@@ -279,40 +311,52 @@ def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
     whole = scratch.keep(indexed(docs, words, percent))
     index = scratch.keep(whole.select("doc_id", "tk", "n_shingles", "cid"))
     members = members_of(scratch, whole)
-    tested = scratch.keep(members.select(F.col("lo").alias("p"), "cid").union(members.select(F.col("hi").alias("p"), "cid")).where("p <> cid")
-                          .select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
+    tested = scratch.keep(_met_most(members.where("lo < cid").select("cid", F.col("lo").alias("p"))))
     sets = scratch.keep(sets_of(docs, index, members.select("cid").distinct(), words))
     comps = scratch.keep(connected_components(scratch, _found(scratch, tested, sets, percent)))
     rest = scratch.keep(_open(members, comps))
     scratch.drop(members)
 
-    def compared(pairs: DataFrame) -> bool:
-        """Compare the pairs not compared yet and join the components that they link; whether any did."""
+    def compared(pairs: DataFrame) -> float:
+        """Compare the pairs not compared yet and join the components that they link; the share of them that did."""
         nonlocal comps, tested
         new = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
         found = _found(scratch, new, sets, percent)
         tested = tested.union(new)
-        if found.isEmpty():
-            return False
+        links = found.count()
+        if not links:
+            return 0.0
         comps = scratch.keep(merged_components(scratch, comps, found))
-        return True
+        return links / new.count()
 
     compared(_across(rest.where(F.col("n") <= FEW)))
     rest = _narrowed(scratch, rest, rest.where(F.col("n") > FEW), comps)
     for turn in range(STAR_ROUNDS):
         if rest.isEmpty():
             break
-        order = F.xxhash64("cid", "sig", F.lit(turn))
-        pivot = rest.groupBy("sig").agg(F.min_by(F.struct("cid", "comp"), order).alias("p"))
-        pairs = rest.join(pivot, "sig").where("comp <> p.comp").select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
-        if not compared(pairs):
+        order = F.xxhash64("cid", F.lit(turn))  # the same in all entries, so like entries choose the same set
+        pivot = rest.groupBy("sig").agg(F.min(F.struct(order.alias("order"), "cid", "comp")).alias("p"))
+        share = compared(_met_most(rest.join(pivot, "sig").where("comp <> p.comp").select("cid", F.col("p.cid").alias("p"))))
+        if share:
+            rest = _narrowed(scratch, rest, rest, comps)
+        if share < FRUITFUL:  # sets that are alike, but not enough
             break
-        rest = _narrowed(scratch, rest, rest, comps)
     if not rest.isEmpty():
         compared(_across(rest.where(F.col("n") <= SMALL)))
         rest = _narrowed(scratch, rest, rest.where(F.col("n") > SMALL), comps)
     if not rest.isEmpty():
-        compared(_across_prefixes(rest, sets, percent))
+        pairs = scratch.keep(_across_prefixes(rest, sets, percent))
+        for turn in range(STAR_ROUNDS - 1):  # one pair a set first, so that fewer lie across components
+            ends = pairs.select(F.col("a").alias("cid"), F.col("b").alias("p")).union(pairs.select("b", "a"))
+            one = ends.groupBy("cid").agg(F.min_by("p", F.xxhash64("p", F.lit(turn))).alias("p"))
+            share = compared(one.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
+            if not share:
+                break
+            old, pairs = pairs, scratch.keep(_still_across(pairs, comps))
+            scratch.drop(old)
+            if share < FRUITFUL:
+                break
+        compared(pairs)
     scratch.drop(sets, rest)
     return (index.join(comps, F.col("cid") == F.col("node"), "left")
             .select("doc_id", "tk", "n_shingles", "cid", F.coalesce("component", "cid").alias("group")))

@@ -585,3 +585,32 @@ def test_where_windows_may_end():
     ids[[4, 150]] = 7
     pos, penalty = op8.candidates(ids, np.array([70, 134, 200]), ends)
     assert dict(zip(pos.tolist(), penalty.tolist())) == {0: 32, 5: 4, 37: 32, 69: 32, 70: 0, 102: 32, 134: 0, 151: 4, 183: 32, 200: 0}
+
+
+def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
+    """Near copies and texts with a common passage: each is compared a few times, whatever its number of entries."""
+    r = np.random.default_rng(12)
+    base, passage = [f"b{i}" for i in range(140)], [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for at in r.integers(0, 140, 3):
+            w[at] = f"n{k}x{at}"
+        texts.append(" ".join(w))
+        texts.append(" ".join(passage + [f"o{k}x{i}" for i in range(90)]))
+    found, pairs = op10._plausible, []
+    monkeypatch.setattr(op10, "_plausible", lambda p, *a: pairs.append(p.count()) or found(p, *a))
+    sets = [{tuple(w[i: i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    comps = _components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near(sets[i], sets[j])])
+    got = {d.doc_id: d.component_id for d in op10.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == comps
+    assert max(pairs[:1]) <= len(texts) and sum(pairs) <= 12 * len(texts), pairs
+
+
+def test_few_pairs_leave_the_sets_where_they_lie(spark):
+    sets = spark.createDataFrame([(1, list(range(10))), (2, list(range(1, 10))), (3, list(range(5)))], "cid long, sh array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    few = op10.verified_few(pairs, sets, 85)
+    assert few.collect() == op10.verified(pairs, sets, 85).collect() == [(1, 2)]
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
