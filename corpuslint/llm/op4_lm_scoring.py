@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslint.llm.common import Scratch
+from corpuslint.llm.common import Scratch, settings
 from corpuslint.llm.subwords import subwords
 from corpuslint.llm.textnp import NON_SPACE, column_bytes, row_bounds, signed, slices, word_table
 
@@ -41,6 +41,10 @@ ROUNDS = 2
 END_HASH = np.uint64(0x5BD1E9955BD1E995)
 #: Distinct words a task holds before it gives them out.
 PENDING = 1 << 20
+#: Words that a worker remembers while it tokenizes and writes texts.
+KNOWN_WORDS = 300_000
+#: Rows of a batch on its way to or from a worker: the batches of a task lie in its JVM and in its worker at once.
+BATCH_ROWS = "1000"
 
 
 def tokenizer_path() -> str:
@@ -59,7 +63,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = subwords(path)
         for b in slices(batches, "text"):
-            ids, bounds = words.encode(b.column("text"))
+            ids, bounds = words.encode(b.column("text"), KNOWN_WORDS)
             ids = ids.astype(np.uint16)
             own = pa.array([ids[a:z].tobytes() for a, z in zip(bounds, bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text"), b.column("held_out"), own], ["doc_id", "text", "held_out", "ids"])
@@ -282,6 +286,11 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     end = subwords(path).size
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+        return _scored(docs, path, spark, scratch, end)
+
+
+def _scored(docs: DataFrame, path: str, spark: SparkSession, scratch: Scratch, end: int) -> DataFrame:
     d = scratch.keep(tokenized(docs.select("doc_id", "text").withColumn("held_out", held_out()), path))
     learn = d.where(~F.col("held_out"))
     ids = id_counts(learn, end)

@@ -89,9 +89,9 @@ class Subwords:
     def _one(self, word: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, where each row's begin and the last end)."""
-        if len(self.known) > REMEMBERED:
+    def encode(self, column: pa.Array, most: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row's begin and the last end); at most `most` words are known before."""
+        if len(self.known) > most:
             self.clear()
         off, data = column_bytes(column)
         raw = data.tobytes()

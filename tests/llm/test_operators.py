@@ -614,3 +614,10 @@ def test_few_pairs_leave_the_sets_where_they_lie(spark):
     few = op10.verified_few(pairs, sets, 85)
     assert few.collect() == op10.verified(pairs, sets, 85).collect() == [(1, 2)]
     assert few._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+
+
+def test_lm_worker_remembers_few_words(spark, docs, monkeypatch):
+    want = sorted(op4.lm_scores(docs).collect(), key=repr)
+    monkeypatch.setattr(op4, "KNOWN_WORDS", 3)
+    assert sorted(op4.lm_scores(docs).collect(), key=repr) == want
+    assert op4.KNOWN_WORDS < op4.PENDING
