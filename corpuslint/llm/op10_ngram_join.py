@@ -25,7 +25,7 @@ components, up to FEW sets are resolved exactly, by the pairs across components.
 entries up to STAR_ROUNDS further rounds do the same, with another order of the sets in each,
 as long as a FRUITFUL share of the pairs links;
 what is still open after that is resolved exactly: up to SMALL sets by the pairs
-again, more by a prefix filter in frequency order among their sets, whose pairs are first taken one a set, too. Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
+again, more by a prefix filter in frequency order among their sets, of whose pairs, if many, a share is compared first (SHARES). Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
 must allow the threshold: the sum of the smaller counts bounds the intersection from above,
 so no link is lost. Every link reported is verified on the whole sets. Equal sets are one class from the start.
 
@@ -39,6 +39,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslint.llm.common import Scratch, connected_components, merged_components
+from corpuslint.llm.common import Scratch, connected_components, merged_components, settings
 from corpuslint.llm.textnp import NON_SPACE, U, column_bytes, mix, row_bounds, signed, slices, word_table
 
 SHINGLE = 4
@@ -54,7 +55,12 @@ PERCENT = 85
 GROWTH = 1.4
 PARTS = 8
 SENT = 1 << 14  # pairs that are sent to every task
+SENT_TURNS = 8
 TURN = 1 << 16
+TEXT_TURNS = 4
+#: A Bloom filter of the smaller side of a join, of at most 8 MB, goes before the shuffle of the other, however small the other is.
+FILTERED = {"spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0", "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g"}
+SHARES = (32, 4, 1)  # of many pairs of prefixes, one in 32 is compared first, then one in 4, then all; only those still across components
 FEW = 4
 SMALL = 16
 STAR_ROUNDS = 4
@@ -194,10 +200,25 @@ def members_of(scratch: Scratch, index: DataFrame) -> DataFrame:
     return out
 
 
-def sets_of(docs: DataFrame, index: DataFrame, needed: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(cid, sh, size, hist): the whole sets of the needed classes, from one text of each; hist counts their shingles by bucket."""
-    one = index.join(needed, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "tk")).alias("x")).select("cid", F.col("x.doc_id").alias("d"), F.col("x.tk").alias("t"))
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tk", F.xxhash64("text"))
+def sets_of(scratch: Scratch, docs: DataFrame, index: DataFrame, needed: DataFrame, words: int = SHINGLE) -> list[DataFrame]:
+    """(cid, sh, size, hist): the whole sets of the needed classes, from one text of each; hist counts their shingles by bucket.
+
+    Written in TEXT_TURNS tables: each takes the texts of its share of the ids, so that only this share crosses the network at a time,
+    and of this, Spark's Bloom filter on the joined keys leaves out most texts that no class needs.
+    """
+    one = scratch.keep(index.join(needed, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "tk")).alias("x"))
+                       .select("cid", F.col("x.doc_id").alias("d"), F.col("x.tk").alias("t")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(TEXT_TURNS))
+    with settings(docs.sparkSession, **FILTERED):
+        out = [scratch.keep(_sets(rows.where(share("doc_id") == k), one.where(share("d") == k), words)) for k in range(TEXT_TURNS)]
+    scratch.drop(one)
+    return out
+
+
+def _sets(rows: DataFrame, one: DataFrame, words: int) -> DataFrame:
+    """The sets of the texts (doc_id d, tk t) that `one` names for its classes."""
+    texts = (rows.withColumn("tk", F.xxhash64("text"))
              .join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))).groupBy("cid").agg(F.first("text").alias("text")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +241,10 @@ def _may_link(size: Column, hist: Column, size2: Column, hist2: Column, percent:
     return (100 + percent) * most >= percent * (size + size2)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, compared as whole sets."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, others: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, compared as whole sets; those of b stand in `others` if given."""
     left = sets.select(F.col("cid").alias("a"), F.col("sh").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("sh").alias("y"))
+    right = (sets if others is None else others).select(F.col("cid").alias("b"), F.col("sh").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
@@ -246,16 +267,20 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _found(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the threshold, written. Few pairs are sent to where the sets lie; of many,
-    the sets travel, in turns of at most TURN pairs or half as many as there are sets."""
+    """The pairs that reach the threshold, written. Few pairs are sent to where the sets lie, SENT in a turn, and only
+    their sets travel; of more than SENT_TURNS turns, the sets travel, in turns that take a share of the sets on
+    each side and hold at most TURN pairs or half as many as there are sets."""
     may = scratch.keep(_plausible(pairs, sets, percent))
     n = may.count()
-    if n <= SENT:
-        found = [scratch.keep(verified_few(may, sets, percent))]
+    if n <= SENT * SENT_TURNS:
+        turns = max(1, -(-n // SENT))
+        part = F.pmod(F.xxhash64("a", "b"), F.lit(turns))
+        found = [scratch.keep(verified_few(may.where(part == k), sets, percent)) for k in range(turns)]
     else:
-        turns = -(-n // max(TURN, sets.count() // 2))
-        part = F.pmod(F.xxhash64("a"), F.lit(turns))
-        found = [scratch.keep(verified(may.where(part == k), sets, percent)) for k in range(turns)]
+        sides = max(2, math.isqrt(-(-n // max(TURN, sets.count() // 2)) - 1) + 1)
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+        found = [scratch.keep(verified(may.where((part("a") == i) & (part("b") == j)), sets.where(part("cid") == i), percent, sets.where(part("cid") == j)))
+                 for i in range(sides) for j in range(sides)]
     scratch.drop(may)
     out = found[0]
     for more in found[1:]:
@@ -270,27 +295,29 @@ def _across(members: DataFrame) -> DataFrame:
     return mine.join(other, "sig").where("a < b and comp <> comp2").select("a", "b").distinct()
 
 
-def _across_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b across components that share a shingle among the n - ceil(t n) + 1 of each that are rarest among the members, early enough."""
-    tokens = members.select("cid", "comp").distinct().join(sets, "cid").select("cid", "comp", F.size("sh").alias("n"), F.explode("sh").alias("token"))
+def _prefixes(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, cid, n, rank): the n - ceil(t n) + 1 shingles of each member that are rarest among the members, those of one member only left out."""
+    own = scratch.keep(members.select("cid").distinct())
+    few = own.count() <= SENT * SENT_TURNS  # then the other sets stay where they lie
+    tokens = (F.broadcast(own) if few else own).join(sets, "cid").select("cid", F.size("sh").alias("n"), F.explode("sh").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("often", "token"))
     ranked = tokens.join(often.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
-    ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
-    other = ranked.select("token", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"))
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1").select("token", "cid", "n", "rank")
+
+
+def _across_prefixes(prefixes: DataFrame, comps: DataFrame, percent: int, share: int = 1) -> DataFrame:
+    """Pairs a < b across components that share a token of their prefixes, early enough; of these one in `share`, chosen by hash."""
+    mine = prefixes.join(comps, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "rank", F.coalesce("component", "cid").alias("comp"))
+    other = mine.select("token", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"))
     # the first shared shingle of a linked pair leaves room for all they must share
     room = F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + 1
-    return (ranked.join(other, "token")
-            .where((F.col("cid") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (room * (100 + percent) >= percent * (F.col("n") + F.col("n2"))))
+    chosen = F.pmod(F.xxhash64("cid", "b"), F.lit(share)) == 0
+    return (mine.join(other, "token")
+            .where((F.col("cid") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (room * (100 + percent) >= percent * (F.col("n") + F.col("n2"))) & chosen)
             .select(F.col("cid").alias("a"), "b").distinct())
 
 
-def _still_across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets lie in different components."""
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-
 def _met_most(met: DataFrame) -> DataFrame:
     """Pairs a < b: each set `cid` with the one of its `p` that most of its entries name, the smallest of these."""
     votes = met.groupBy("cid", "p").agg(F.count(F.lit(1)).alias("n"))
@@ -312,7 +339,8 @@ def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
     index = scratch.keep(whole.select("doc_id", "tk", "n_shingles", "cid"))
     members = members_of(scratch, whole)
     tested = scratch.keep(_met_most(members.where("lo < cid").select("cid", F.col("lo").alias("p"))))
-    sets = scratch.keep(sets_of(docs, index, members.select("cid").distinct(), words))
+    turns = sets_of(scratch, docs, index, members.select("cid").distinct(), words)
+    sets = scratch.together(*turns)
     comps = scratch.keep(connected_components(scratch, _found(scratch, tested, sets, percent)))
     rest = scratch.keep(_open(members, comps))
     scratch.drop(members)
@@ -345,19 +373,12 @@ def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
         compared(_across(rest.where(F.col("n") <= SMALL)))
         rest = _narrowed(scratch, rest, rest.where(F.col("n") > SMALL), comps)
     if not rest.isEmpty():
-        pairs = scratch.keep(_across_prefixes(rest, sets, percent))
-        for turn in range(STAR_ROUNDS - 1):  # one pair a set first, so that fewer lie across components
-            ends = pairs.select(F.col("a").alias("cid"), F.col("b").alias("p")).union(pairs.select("b", "a"))
-            one = ends.groupBy("cid").agg(F.min_by("p", F.xxhash64("p", F.lit(turn))).alias("p"))
-            share = compared(one.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
-            if not share:
-                break
-            old, pairs = pairs, scratch.keep(_still_across(pairs, comps))
-            scratch.drop(old)
-            if share < FRUITFUL:
-                break
-        compared(pairs)
-    scratch.drop(sets, rest)
+        prefixes = scratch.keep(_prefixes(scratch, rest, sets, percent))
+        meetings = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+        for share in SHARES if meetings > SENT else SHARES[-1:]:
+            compared(_across_prefixes(prefixes, comps, percent, share))
+        scratch.drop(prefixes)
+    scratch.drop(rest, *turns)
     return (index.join(comps, F.col("cid") == F.col("node"), "left")
             .select("doc_id", "tk", "n_shingles", "cid", F.coalesce("component", "cid").alias("group")))
 

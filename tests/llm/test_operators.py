@@ -608,6 +608,64 @@ def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
     assert max(pairs[:1]) <= len(texts) and sum(pairs) <= 12 * len(texts), pairs
 
 
+def test_the_texts_that_no_class_needs_do_not_travel(spark, tmp_path):
+    """The needed sets come from texts in turns, each class once; a Bloom filter goes before the shuffle of the texts."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(40)]
+    spark.createDataFrame(list(enumerate(texts)) + [(None, texts[3]), (5, texts[5])], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    scratch = op10.Scratch(spark, "sets")
+    index = scratch.keep(op10.indexed(docs).select("doc_id", "tk", "n_shingles", "cid"))
+    needed = index.where("doc_id % 5 = 0 or doc_id is null").select("cid").distinct()
+    names = {k.replace("__", "."): v for k, v in op10.FILTERED.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        one = scratch.keep(index.join(needed, "cid").select("cid", F.col("doc_id").alias("d"), F.col("tk").alias("t")))
+        plan = op10._sets(docs, one.where("d >= 0"), 4)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "might_contain" in plan
+    turns = op10.sets_of(scratch, docs, index, needed)
+    got = [(r.cid, r.size) for r in scratch.together(*turns).collect()]
+    assert sorted(got) == sorted((r.cid, 5) for r in needed.collect()) and len(turns) == op10.TEXT_TURNS
+
+
+def test_pairs_of_prefixes_come_by_shares_and_only_across_components(spark):
+    """Once a share of the pairs has linked sets, the pairs inside a component are not made again."""
+    r = np.random.default_rng(3)
+    rows = [(i, sorted(r.choice(60, 50, replace=False).tolist()), 50) for i in range(30)]
+    sets = spark.createDataFrame(rows, "cid long, sh array<long>, size long")
+    members = spark.createDataFrame([(7, i, i, 30) for i in range(30)], "sig long, cid long, comp long, n long")
+    prefixes = op10._prefixes(op10.Scratch(spark, "prefixes"), members, sets, 80)
+    alone = spark.createDataFrame([], "node long, component long")
+    pairs = lambda comps, share=1: {tuple(x) for x in op10._across_prefixes(prefixes, comps, 80, share).collect()}
+    every = pairs(alone)
+    linked = {(a, b) for a in range(30) for b in range(a + 1, 30) if 9 * len(set(rows[a][1]) & set(rows[b][1])) >= 8 * 50}
+    assert linked and linked <= every
+    some = pairs(alone, 4)
+    assert some < every and 0 < len(some) < len(every) / 2
+    joined = spark.createDataFrame([(i, i % 2) for i in range(30)], "node long, component long")
+    assert pairs(joined) == {(a, b) for a, b in every if a % 2 != b % 2}
+
+
+def test_many_pairs_are_verified_by_shares_of_the_sets(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, r.choice(24, 20, replace=False).tolist(), 20, [20] * op10.BUCKETS) for i in range(25)]
+    sets = spark.createDataFrame(rows, "cid long, sh array<long>, size long, hist array<tinyint>")
+    pairs = spark.createDataFrame([(i, j) for i in range(25) for j in range(i + 1, 25)], "a long, b long")
+    want = sorted((i, j) for i in range(25) for j in range(i + 1, 25) if 185 * len(set(rows[i][1]) & set(rows[j][1])) >= 85 * 40)
+    made, verified, few = [], op10.verified, op10.verified_few
+    monkeypatch.setattr(op10, "verified", lambda *a: made.append("sets") or verified(*a))
+    monkeypatch.setattr(op10, "verified_few", lambda *a: made.append("pairs") or few(*a))
+    for sent, turn, how in ((1 << 14, 1 << 16, ["pairs"]), (100, 1 << 16, ["pairs"] * 3), (10, 40, ["sets"] * 9)):
+        made.clear()
+        monkeypatch.setattr(op10, "SENT", sent)
+        monkeypatch.setattr(op10, "TURN", turn)
+        assert sorted(tuple(x) for x in op10._found(op10.Scratch(spark, "found"), pairs, sets, 85).collect()) == want and made == how
+
+
 def test_few_pairs_leave_the_sets_where_they_lie(spark):
     sets = spark.createDataFrame([(1, list(range(10))), (2, list(range(1, 10))), (3, list(range(5)))], "cid long, sh array<long>")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
