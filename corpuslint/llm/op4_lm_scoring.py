@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpuslint.llm.common import Scratch, settings
 from corpuslint.llm.subwords import subwords
-from corpuslint.llm.textnp import NON_SPACE, column_bytes, row_bounds, signed, slices, word_table
+from corpuslint.llm.textnp import NON_SPACE, column_bytes, release, row_bounds, signed, slices, word_table
 
 HELD_OUT = 0
 FREQUENT = 1 << 18
@@ -68,6 +68,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             own = pa.array([ids[a:z].tobytes() for a, z in zip(bounds, bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text"), b.column("held_out"), own], ["doc_id", "text", "held_out", "ids"])
         words.clear()  # the later stages run in the same worker processes and need no words
+        release()
 
     return docs.mapInArrow(work, "doc_id long, text string, held_out boolean, ids binary")
 
@@ -248,8 +249,10 @@ def gathered(docs: DataFrame, end: int, slot: np.ndarray, cls: np.ndarray) -> Da
         if parts:
             key, n = _merged(parts)
             yield from out(WORD, signed(key), n)
+        parts = []
         at = np.flatnonzero(after)
         yield from out(AFTER, at, after[at])
+        release()
 
     return docs.select("text", "ids").mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -269,6 +272,7 @@ def trained(docs: DataFrame, end: int, slot: np.ndarray, cls: np.ndarray, table:
             flat = np.concatenate([own.net[k].ravel() for k in names]).astype(np.float64)
             if own.seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.full(len(flat), float(own.seen))), pa.array(flat)], ["i", "w", "x"])
+            release()
 
         mean = F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 9)
         rows = docs.select("ids").mapInArrow(work, "i int, w double, x double").groupBy("i").agg(mean.alias("x")).collect()  # one row per weight

@@ -608,6 +608,28 @@ def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
     assert max(pairs[:1]) <= len(texts) and sum(pairs) <= 12 * len(texts), pairs
 
 
+def test_lm_workers_give_memory_back(monkeypatch):
+    """A worker lives on after its task: the words and what was freed go before the next stage."""
+    class Rows:
+        def mapInArrow(self, work, schema):
+            self.work = work
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    rows, said, path = Rows(), [], op4.tokenizer_path()
+    monkeypatch.setattr(op4, "release", lambda: said.append(len(op4.subwords(path).known)))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["one two", "three"]), pa.array([False, False])], ["doc_id", "text", "held_out"])
+    op4.tokenized(rows, path)
+    out = list(rows.work(iter([batch])))
+    assert said == [0] and sum(b.num_rows for b in out) == 2
+    end = op4.subwords(path).size
+    slot, cls = op4.assigned(np.ones(end + 1))
+    op4.gathered(rows, end, slot, cls)
+    assert list(rows.work(iter(out))) and len(said) == 2
+
+
 def test_the_texts_that_no_class_needs_do_not_travel(spark, tmp_path):
     """The needed sets come from texts in turns, each class once; a Bloom filter goes before the shuffle of the texts."""
     texts = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(40)]
