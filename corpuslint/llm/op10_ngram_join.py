@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslint.llm.common import Scratch, connected_components, merged_components, settings
+from corpuslint.llm.common import Scratch, connected_components, merged_components
 from corpuslint.llm.textnp import NON_SPACE, U, column_bytes, mix, row_bounds, signed, slices, word_table
 
 SHINGLE = 4
@@ -58,8 +58,6 @@ SENT = 1 << 14  # pairs that are sent to every task
 SENT_TURNS = 8
 TURN = 1 << 16
 TEXT_TURNS = 4
-#: A Bloom filter of the smaller side of a join, of at most 8 MB, goes before the shuffle of the other, however small the other is.
-FILTERED = {"spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0", "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g"}
 SHARES = (32, 4, 1)  # of many pairs of prefixes, one in 32 is compared first, then one in 4, then all; only those still across components
 FEW = 4
 SMALL = 16
@@ -203,14 +201,16 @@ def members_of(scratch: Scratch, index: DataFrame) -> DataFrame:
 def sets_of(scratch: Scratch, docs: DataFrame, index: DataFrame, needed: DataFrame, words: int = SHINGLE) -> list[DataFrame]:
     """(cid, sh, size, hist): the whole sets of the needed classes, from one text of each; hist counts their shingles by bucket.
 
-    Written in TEXT_TURNS tables: each takes the texts of its share of the ids, so that only this share crosses the network at a time,
-    and of this, Spark's Bloom filter on the joined keys leaves out most texts that no class needs.
+    The names of few needed texts are sent to where the texts lie, and no other text travels. For many, TEXT_TURNS tables
+    are written: each takes the texts of its share of the ids, so that only this share crosses the network at a time.
     """
     one = scratch.keep(index.join(needed, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "tk")).alias("x"))
                        .select("cid", F.col("x.doc_id").alias("d"), F.col("x.tk").alias("t")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     share = lambda c: F.pmod(F.xxhash64(c), F.lit(TEXT_TURNS))
-    with settings(docs.sparkSession, **FILTERED):
+    if one.count() <= SENT * SENT_TURNS:
+        out = [scratch.keep(_sets(rows, F.broadcast(one), words))]
+    else:
         out = [scratch.keep(_sets(rows.where(share("doc_id") == k), one.where(share("d") == k), words)) for k in range(TEXT_TURNS)]
     scratch.drop(one)
     return out

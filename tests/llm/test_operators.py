@@ -630,28 +630,21 @@ def test_lm_workers_give_memory_back(monkeypatch):
     assert list(rows.work(iter(out))) and len(said) == 2
 
 
-def test_the_texts_that_no_class_needs_do_not_travel(spark, tmp_path):
-    """The needed sets come from texts in turns, each class once; a Bloom filter goes before the shuffle of the texts."""
+def test_the_texts_that_no_class_needs_do_not_travel(spark, monkeypatch):
+    """Few needed texts are named where the texts lie, more come in turns; each class has its set once."""
     texts = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(40)]
-    spark.createDataFrame(list(enumerate(texts)) + [(None, texts[3]), (5, texts[5])], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
-    docs = spark.read.parquet(f"{tmp_path}/docs")
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[3]), (5, texts[5])], "doc_id long, text string")
     scratch = op10.Scratch(spark, "sets")
     index = scratch.keep(op10.indexed(docs).select("doc_id", "tk", "n_shingles", "cid"))
     needed = index.where("doc_id % 5 = 0 or doc_id is null").select("cid").distinct()
-    names = {k.replace("__", "."): v for k, v in op10.FILTERED.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1"}
-    before = {k: spark.conf.get(k) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        one = scratch.keep(index.join(needed, "cid").select("cid", F.col("doc_id").alias("d"), F.col("tk").alias("t")))
-        plan = op10._sets(docs, one.where("d >= 0"), 4)._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    assert "might_contain" in plan
-    turns = op10.sets_of(scratch, docs, index, needed)
-    got = [(r.cid, r.size) for r in scratch.together(*turns).collect()]
-    assert sorted(got) == sorted((r.cid, 5) for r in needed.collect()) and len(turns) == op10.TEXT_TURNS
+    made, sets = [], op10._sets
+    monkeypatch.setattr(op10, "_sets", lambda *a: made.append(sets(*a)) or made[-1])
+    for sent, turns in ((1 << 14, 1), (0, op10.TEXT_TURNS)):
+        made.clear()
+        monkeypatch.setattr(op10, "SENT", sent)
+        got = scratch.together(*op10.sets_of(scratch, docs, index, needed)).collect()
+        assert sorted((r.cid, r.size) for r in got) == sorted((r.cid, 5) for r in needed.collect()) and len(made) == turns
+        assert ("strategy=broadcast" in made[0]._jdf.queryExecution().optimizedPlan().toString()) == (turns == 1)
 
 
 def test_pairs_of_prefixes_come_by_shares_and_only_across_components(spark):
