@@ -24,10 +24,11 @@ that most of its entries name; the links found give components. Where an entry's
 components, up to FEW sets are resolved exactly, by the pairs across components. For larger
 entries up to STAR_ROUNDS further rounds do the same, with another order of the sets in each,
 as long as a FRUITFUL share of the pairs links;
-what is still open after that is resolved exactly: up to SMALL sets by the pairs
-again, more by a prefix filter in frequency order among their sets, of whose pairs, if many, a share is compared first (SHARES). Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
-must allow the threshold: the sum of the smaller counts bounds the intersection from above,
-so no link is lost. Every link reported is verified on the whole sets. Equal sets are one class from the start.
+what is still open after that is resolved exactly by a prefix filter in frequency order among
+their sets, of whose pairs, if many, a share is compared first (SHARES). Before sets are compared, their histograms (shingles counted into BUCKETS by hash)
+must allow the threshold: the sum of the smaller counts bounds the intersection from above. So must their
+parities (one bit for each of 64 * WORDS_ODD hash buckets: whether it holds an odd number of shingles): each bit
+that differs takes at least one shingle that only one of the sets has. No link is lost by either. Every link reported is verified on the whole sets. Equal sets are one class from the start.
 
 Shingles are 64-bit hashes of their words; a class is a 64-bit hash of its set.
 
@@ -60,11 +61,11 @@ TURN = 1 << 16
 TEXT_TURNS = 4
 SHARES = (32, 4, 1)  # of many pairs of prefixes, one in 32 is compared first, then one in 4, then all; only those still across components
 FEW = 4
-SMALL = 16
 STAR_ROUNDS = 4
 FRUITFUL = 0.02  # rounds end when fewer of their pairs link
 BUCKETS = 64
 FULL = 127  # a bucket's count stops here and then bounds nothing
+WORDS_ODD = 64  # 64-bit words of a set's parities; a power of two
 
 
 def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
@@ -199,7 +200,7 @@ def members_of(scratch: Scratch, index: DataFrame) -> DataFrame:
 
 
 def sets_of(scratch: Scratch, docs: DataFrame, index: DataFrame, needed: DataFrame, words: int = SHINGLE) -> list[DataFrame]:
-    """(cid, sh, size, hist): the whole sets of the needed classes, from one text of each; hist counts their shingles by bucket.
+    """(cid, sh, size, hist, odd): the whole sets of the needed classes, from one text of each; hist counts their shingles by bucket, odd has their parities.
 
     The names of few needed texts are sent to where the texts lie, and no other text travels. For many, TEXT_TURNS tables
     are written: each takes the texts of its share of the ids, so that only this share crosses the network at a time.
@@ -228,10 +229,22 @@ def _sets(rows: DataFrame, one: DataFrame, words: int) -> DataFrame:
             at = row.astype(np.int64) * BUCKETS + (v % U(BUCKETS)).astype(np.int64)
             count = np.minimum(np.bincount(at, minlength=b.num_rows * BUCKETS), FULL).astype(np.int8)
             hist = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BUCKETS, pa.int32()), pa.array(count))
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * WORDS_ODD, pa.int32()), pa.array(signed(parities(row, v, b.num_rows))))
             sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(v)))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), sets, pa.array(np.diff(ends).astype(np.int64)), hist], ["cid", "sh", "size", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), sets, pa.array(np.diff(ends).astype(np.int64)), hist, odd], ["cid", "sh", "size", "hist", "odd"])
 
-    return texts.mapInArrow(work, "cid long, sh array<long>, size long, hist array<tinyint>")
+    return texts.mapInArrow(work, "cid long, sh array<long>, size long, hist array<tinyint>, odd array<long>")
+
+
+def parities(row: np.ndarray, v: np.ndarray, rows: int) -> np.ndarray:
+    """WORDS_ODD words for each row, whose shingles are sorted: a bit is set where its bucket holds an odd number of them."""
+    out = np.zeros(rows * WORDS_ODD, U)
+    if len(v):
+        high = U(65 - WORDS_ODD.bit_length())  # the word is named by the highest bits, so shingles stand by word
+        at = row.astype(np.int64) * WORDS_ODD + (v >> high).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[first]] = np.bitwise_xor.reduceat(U(1) << ((v >> (high - U(6))) & U(63)), first)
+    return out
 
 
 def _may_link(size: Column, hist: Column, size2: Column, hist2: Column, percent: int) -> Column:
@@ -251,11 +264,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, others:
 
 def verified_few(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The same for at most SENT pairs: only the sets that they name cross the network."""
+    both = F.size(F.array_intersect("sh", "sh2")).cast("long")
+    return _met_few(pairs, sets, "sh").where(100 * both >= percent * (F.size("sh") + F.size("sh2") - both)).select("a", "b")
+
+
+def _met_few(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Few pairs (a, b), sent to where the sets lie, with the columns of a's set and, as column2, those of b's."""
     few = F.broadcast(pairs)
-    left = few.join(sets.select(F.col("cid").alias("a"), F.col("sh").alias("x")), "a")
-    right = few.join(sets.select(F.col("cid").alias("b"), F.col("sh").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return left.join(right.hint("merge"), ["a", "b"]).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    left = few.join(sets.select(F.col("cid").alias("a"), *columns), "a")
+    right = few.join(sets.select(F.col("cid").alias("b"), *[F.col(c).alias(f"{c}2") for c in columns]), "b")
+    return left.join(right.hint("merge"), ["a", "b"])
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,11 +284,25 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(may).select("a", "b")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int, few: bool) -> DataFrame:
+    """The pairs (a, b) whose parities allow the threshold."""
+    if few:
+        both = _met_few(pairs, sets, "size", "odd")
+    else:
+        both = (pairs.join(sets.select(F.col("cid").alias("a"), "size", "odd"), "a")
+                .join(sets.select(F.col("cid").alias("b"), F.col("size").alias("size2"), F.col("odd").alias("odd2")), "b"))
+    differ = F.aggregate(F.zip_with("odd", "odd2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x).cast("long")
+    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size2"))).select("a", "b")
+
+
 def _found(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the threshold, written. Few pairs are sent to where the sets lie, SENT in a turn, and only
+    """The pairs that reach the threshold, written; where the sets have parities, only pairs that these allow are compared. Few pairs are sent to where the sets lie, SENT in a turn, and only
     their sets travel; of more than SENT_TURNS turns, the sets travel, in turns that take a share of the sets on
     each side and hold at most TURN pairs or half as many as there are sets."""
     may = scratch.keep(_plausible(pairs, sets, percent))
+    if "odd" in sets.columns:
+        rough, may = may, scratch.keep(_alike(may, sets, percent, may.count() <= SENT * SENT_TURNS))
+        scratch.drop(rough)
     n = may.count()
     if n <= SENT * SENT_TURNS:
         turns = max(1, -(-n // SENT))
@@ -300,10 +332,12 @@ def _prefixes(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: in
     own = scratch.keep(members.select("cid").distinct())
     few = own.count() <= SENT * SENT_TURNS  # then the other sets stay where they lie
     tokens = (F.broadcast(own) if few else own).join(sets, "cid").select("cid", F.size("sh").alias("n"), F.explode("sh").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy("often", "token"))
-    ranked = tokens.join(often.where("often > 1"), "token", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1").select("token", "cid", "n", "rank")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    own = Window.partitionBy("cid")
+    # those of one member only are the rarest and come first: they have ranks but need no rows
+    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "token"))
+    ranked = tokens.join(often, "token").withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "cid", "n", "rank")
 
 
 def _across_prefixes(prefixes: DataFrame, comps: DataFrame, percent: int, share: int = 1) -> DataFrame:
@@ -369,9 +403,6 @@ def classes(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> Da
             rest = _narrowed(scratch, rest, rest, comps)
         if share < FRUITFUL:  # sets that are alike, but not enough
             break
-    if not rest.isEmpty():
-        compared(_across(rest.where(F.col("n") <= SMALL)))
-        rest = _narrowed(scratch, rest, rest.where(F.col("n") > SMALL), comps)
     if not rest.isEmpty():
         prefixes = scratch.keep(_prefixes(scratch, rest, sets, percent))
         meetings = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0

@@ -694,3 +694,32 @@ def test_lm_worker_remembers_few_words(spark, docs, monkeypatch):
     monkeypatch.setattr(op4, "KNOWN_WORDS", 3)
     assert sorted(op4.lm_scores(docs).collect(), key=repr) == want
     assert op4.KNOWN_WORDS < op4.PENDING
+
+
+def test_parities_leave_few_pairs_to_compare_and_lose_no_link(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    base = r.integers(0, 2**64, 900, dtype=np.uint64)
+    own = [np.unique(np.concatenate([base[: 900 - 25 * i], r.integers(0, 2**64, 25 * i, dtype=np.uint64)])) for i in range(8)]
+    row, v = np.repeat(np.arange(8, dtype=np.uint64), [len(x) for x in own]), np.concatenate(own)
+    odd = op10.parities(row, v, 8).view(np.int64).reshape(8, -1).tolist()
+    rows = [(i, x.view(np.int64).tolist(), len(x), [op10.FULL] * op10.BUCKETS, o) for i, (x, o) in enumerate(zip(own, odd))]
+    sets = spark.createDataFrame(rows, "cid long, sh array<long>, size long, hist array<tinyint>, odd array<long>")
+    every = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+    both = lambda i, j: len(np.intersect1d(own[i], own[j]))
+    want = [(i, j) for i, j in every if 100 * both(i, j) >= 85 * (len(own[i]) + len(own[j]) - both(i, j))]
+    compared, few = [], op10.verified_few
+    monkeypatch.setattr(op10, "verified_few", lambda pairs, *a: compared.append(pairs.count()) or few(pairs, *a))
+    got = op10._found(op10.Scratch(spark, "parities"), spark.createDataFrame(every, "a long, b long"), sets, 85)
+    assert sorted(tuple(x) for x in got.collect()) == want and 0 < len(want) < len(every) // 2
+    assert len(want) <= sum(compared) < len(every) // 2
+    shuffled = op10._alike(spark.createDataFrame(every, "a long, b long"), sets, 85, False)
+    assert {tuple(x) for x in shuffled.collect()} >= set(want) and shuffled.count() == sum(compared)
+
+
+def test_prefixes_join_only_the_shingles_of_several_members(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3, 10, 11]), (2, [1, 2, 3, 20, 21]), (3, [1, 30, 31, 32, 33])], "cid long, sh array<long>")
+    members = spark.createDataFrame([(9, c) for c in (1, 2, 3)], "sig long, cid long")
+    prefixes = op10._prefixes(op10.Scratch(spark, "joined"), members, sets, 40)
+    # four of five shingles: those of one set first, then 2 and 3, of two sets, then 1, of all
+    assert sorted(tuple(x) for x in prefixes.collect()) == [(2, 1, 5, 3), (2, 2, 5, 3), (3, 1, 5, 4), (3, 2, 5, 4)]
+    assert "LeftOuter" not in prefixes._jdf.queryExecution().toString()
