@@ -19,6 +19,10 @@ ISSUE_COLUMNS = ["repo", "agent", "rule_id", "title", "description", "severity",
 
 SEQ_TYPE = "struct<a:int,b:int,c:array<string>,d:bigint,e:bigint,f:string>"
 
+ISSUE_TYPES = ["string"] * 7 + ["int", "double", "array<string>", SEQ_TYPE]
+
+ISSUE_SCHEMA = ", ".join(f"{c} {kind}" for c, kind in zip(ISSUE_COLUMNS, ISSUE_TYPES))
+
 
 def seq(agent: str, b: int | Column, path: Column | None, d: Column | int = 0, e: Column | int = 0,
         f: Column | str = "") -> Column:
@@ -67,6 +71,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def empty_issues(spark) -> DataFrame:
-    return spark.createDataFrame([], (
-        "repo string, agent string, rule_id string, title string, description string, severity string, "
-        f"path string, line int, confidence double, evidence array<string>, seq {SEQ_TYPE}"))
+    return spark.createDataFrame([], ISSUE_SCHEMA)
+
+
+def as_issues(df: DataFrame) -> DataFrame:
+    """The issue columns of ``df`` in their order and types, as tables of several rules share them."""
+    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in zip(ISSUE_COLUMNS, ISSUE_TYPES)])

@@ -4,9 +4,10 @@
 built is a count or byte budget (its phases) and, when an issue table with
 ``structure.circular-dependency`` is asked for, the cycle search. Rules are chosen
 before anything is planned: ``raw_issues(rules)``, ``issues(rules)`` and ``query(opts)``
-plan the rules asked for and no others. Content crosses into Python once (the parse
-stage), the facts it yields are shared by every rule branch, and everything after is
-joins, aggregates and ranking windows keyed by ``repo``.
+plan the rules asked for and no others. ``write_issues()`` writes the issues of every rule,
+builder by builder, for callers that go on with all of them. Content crosses into Python
+once (the parse stage), the facts it yields are shared by every rule branch, and everything
+after is joins, aggregates and ranking windows keyed by ``repo``.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from corpuslint.operators import context as ctx
 from corpuslint.operators import extract, scan
 from corpuslint.operators.graph import build_edges, dependencies_by_source
 from corpuslint.operators import report as rep
-from corpuslint.operators.issues import empty_issues, union_all
+from corpuslint.operators.issues import as_issues, empty_issues, union_all
 from corpuslint.operators.rules import registry
-from corpuslint.session import share
+from corpuslint.session import delete_tables, share, write_table
 
 
 @dataclass
@@ -55,6 +56,25 @@ class Tables:
             self.extra[key] = union_all(found) if found else empty_issues(self.facts.sparkSession)
         return self.extra[key]
 
+    def write_issues(self) -> DataFrame:
+        """`raw_issues()` once written, one job for each builder of rules; later calls of it read the tables.
+
+        One plan over all rules has thousands of nodes, planned anew after each of its stages, and
+        each task brings the metrics of every rule back to the driver; a builder's plan has some hundred.
+        The tables stay for what reads them until `drop_written`.
+        """
+        if "written" not in self.extra:
+            spark = self.facts.sparkSession
+            self.extra["written"] = paths = [write_table(as_issues(df))[1] for df in registry.built(self, self.cfg)]
+            none = empty_issues(spark)
+            self.extra["raw_issues", None] = spark.read.schema(none.schema).parquet(*paths) if paths else none
+        return self.extra["raw_issues", None]
+
+    def drop_written(self) -> None:
+        """Delete the tables of `write_issues` once nothing reads them any more."""
+        delete_tables(self.facts.sparkSession, self.extra.pop("written", []))
+        self.extra.pop(("raw_issues", None), None)
+
     def issues(self, rules: Iterable[str] | None = None) -> DataFrame:
         return ctx.new_issues(self.raw_issues(rules), self.history, self.cfg)
 

@@ -164,7 +164,7 @@ def q_all_issues(spark, sf):
 
 
 def q_issue_summary(spark, sf):
-    return rep.summary_counts(corpus_tables(spark, sf).raw_issues())
+    return rep.summary_counts(corpus_tables(spark, sf).write_issues())
 
 
 def q_security_calls(spark, sf):

@@ -2,11 +2,13 @@
 
 import ast
 import random
+from collections import Counter
 from types import SimpleNamespace
 
 from corpuslint.operators import extract, graph
-from corpuslint.operators.rules import coverage, structure
-from corpuslint.plans import lane_d
+from corpuslint.operators.issues import union_all
+from corpuslint.operators.rules import coverage, registry, structure
+from corpuslint.plans import lane_c, lane_d
 from corpuslint.plans.analyze import analyze
 from corpuslint.sources import corpus
 from tests.helpers import UNCAPPED, run
@@ -94,3 +96,24 @@ def test_parsed_files_and_edges_broadcast_nothing(files_df):
     t = analyze(files, None, UNCAPPED, persist_facts=False)
     assert [(r.source, r.target) for r in t.edges.collect()] == [("a.py", "b.py")]
     assert "Broadcast" not in t.edges._jdf.queryExecution().executedPlan().toString()
+
+
+def _small_part(spark, tmp_path):
+    spark.range(0, 60, 1, 2).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def _plan(df):
+    """The plan as the driver holds it, what persisted tables were made by included."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_issue_summary_reads_issues_written_rule_by_rule(spark, tmp_path):
+    sf = _small_part(spark, tmp_path)
+    out = lane_c.q_issue_summary(spark, sf)
+    assert "InMemoryTableScan" not in _plan(out) and len(_plan(out).splitlines()) < 40
+    t = lane_c.corpus_tables(spark, sf)
+    built = union_all(registry.built(t, t.cfg)).collect()
+    assert sorted(map(str, t.raw_issues().collect())) == sorted(map(str, built))
+    expected = Counter(x for r in built for x in ((r.repo, "agent", r.agent), (r.repo, "severity", r.severity), (r.repo, "total", "")))
+    assert {(r.repo, r.dimension, r.key): r.n for r in out.collect()} == expected
