@@ -9,7 +9,7 @@ from corpuslint.config import CROSS_FILE_HEURISTIC, Settings
 from corpuslint.functions.columns import path_key
 from corpuslint.operators.containment import points_inside
 from corpuslint.operators.graph import cycle_rows
-from corpuslint.operators.issues import make_issues, seq, union_all
+from corpuslint.operators.issues import catalogue_lookup, make_issues, seq
 
 BRANCH_NODES = ("If", "For", "While", "Try", "Match")
 
@@ -85,13 +85,14 @@ def unused_symbols(t, cfg: Settings) -> DataFrame:
     used_elsewhere = (F.col("n_files") >= 2) | ((F.col("n_files") == 1) & (F.col("only_path") != F.col("path")))
     exempt = (F.col("repo_files") == 1) & F.coalesce(F.col("local_use"), F.lit(False))
     hit = j.filter(~F.coalesce(used_elsewhere, F.lit(False)) & ~exempt)
-    order = seq("structure", 4, F.col("path"), F.col("kind_rank"), F.col("pos"))
-    out = []
-    for kind, rule in ((0, "structure.unused-function"), (1, "structure.unused-class")):
-        out.append(make_issues(hit.filter(F.col("kind_rank") == kind), rule, path=F.col("path"),
-                               line=F.col("line_start"), evidence=F.array("name", F.lit(CROSS_FILE_HEURISTIC)),
-                               order=order))
-    return union_all(out)
+    # One select for both rules, so the joins above are made once.
+    rule = F.when(F.col("kind_rank") == 0, "structure.unused-function").otherwise("structure.unused-class")
+    return hit.withColumn("rule", rule).select(
+        "repo", F.lit("structure").alias("agent"), F.col("rule").alias("rule_id"),
+        catalogue_lookup(F.col("rule"), 0).alias("title"), catalogue_lookup(F.col("rule"), 1).alias("description"),
+        catalogue_lookup(F.col("rule"), 2).alias("severity"), "path", F.col("line_start").cast("int").alias("line"),
+        catalogue_lookup(F.col("rule"), 3).cast("double").alias("confidence"), F.array("name", F.lit(CROSS_FILE_HEURISTIC)).alias("evidence"),
+        seq("structure", 4, F.col("path"), F.col("kind_rank"), F.col("pos")).alias("seq"))
 
 
 def large_review_scope(t, cfg: Settings) -> DataFrame:

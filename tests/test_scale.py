@@ -2,14 +2,18 @@
 
 import ast
 import random
+import re
 from collections import Counter
 from types import SimpleNamespace
 
+from corpuslint.config import RULES
 from corpuslint.operators import extract, graph
 from corpuslint.operators.issues import union_all
 from corpuslint.operators.rules import coverage, registry, structure
+from corpuslint.plans import analyze as analyze_module
 from corpuslint.plans import lane_c, lane_d
 from corpuslint.plans.analyze import analyze
+from corpuslint.session import delete_tables
 from corpuslint.sources import corpus
 from tests.helpers import UNCAPPED, run
 
@@ -117,3 +121,22 @@ def test_issue_summary_reads_issues_written_rule_by_rule(spark, tmp_path):
     assert sorted(map(str, t.raw_issues().collect())) == sorted(map(str, built))
     expected = Counter(x for r in built for x in ((r.repo, "agent", r.agent), (r.repo, "severity", r.severity), (r.repo, "total", "")))
     assert {(r.repo, r.dimension, r.key): r.n for r in out.collect()} == expected
+
+
+def test_second_run_reads_issues_written_rule_by_rule(spark, tmp_path, monkeypatch):
+    dropped = []
+    monkeypatch.setattr(analyze_module, "delete_tables", lambda s, paths: dropped.extend(paths) or delete_tables(s, paths))
+    out = lane_c.q_incremental_new_issues(spark, _small_part(spark, tmp_path))
+    assert "InMemoryTableScan" not in _plan(out) and len(_plan(out).splitlines()) < 100
+    assert len(dropped) > 10  # the first run's issues go once its history is written
+    edited = [k for k in range(0, 60, 4) if k % 97 and k % 11 not in (1, 7)]
+    assert sorted((r.path, r.rule_id) for r in out.collect()) == sorted((f"pkg0/m{k}.py", "security.dynamic-execution") for k in edited)
+
+
+def test_unused_symbols_are_joined_once(files_df):
+    t = run(files_df({"a.py": "import b\ndef F():\n    pass\nclass c:\n    pass\n", "b.py": "def used():\n    pass\n", "d.py": "used\n"}))
+    found = structure.unused_symbols(t, UNCAPPED)
+    assert [(r.rule_id, r.path, r.line, r.evidence[0], r.title) for r in found.orderBy("seq").collect()] == [
+        ("structure.unused-function", "a.py", 2, "F", RULES["structure.unused-function"][0]),
+        ("structure.unused-class", "a.py", 4, "c", RULES["structure.unused-class"][0])]
+    assert len(re.findall(r"\bJoin LeftOuter,", found._jdf.queryExecution().optimizedPlan().toString())) == 3
