@@ -13,7 +13,7 @@ after is joins, aggregates and ranking windows keyed by ``repo``.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +64,15 @@ class Tables:
         The tables stay for what reads them until `drop_written`.
         """
         if "written" not in self.extra:
-            spark = self.facts.sparkSession
-            self.extra["written"] = paths = [write_table(as_issues(df))[1] for df in registry.built(self, self.cfg)]
+            spark, t, aside = self.facts.sparkSession, self, []
+            if "performance" in self.cfg.active_families:  # the budget reads the key files twice
+                highlighted, keys = self.extra["ranked"]
+                keys, path = write_table(keys)
+                aside.append(path)
+                focus = ctx.focus_paths(self.edges, keys, self.cfg.dependency_edge_cap)
+                t = replace(self, budget=ctx.budget(self.repos, self.parsed, highlighted, keys, focus, self.cfg))
+            self.extra["written"] = paths = [write_table(as_issues(df))[1] for df in registry.built(t, self.cfg)]
+            delete_tables(spark, aside)
             none = empty_issues(spark)
             self.extra["raw_issues", None] = spark.read.schema(none.schema).parquet(*paths) if paths else none
         return self.extra["raw_issues", None]
@@ -122,6 +129,7 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
     highlighted = ctx.first_paths(parsed.select("repo", "path"), cfg.structure_summary_max_paths)
     keys = ctx.key_files(parsed, edges, cfg.key_files_cap)
     focus = ctx.focus_paths(edges, keys, cfg.dependency_edge_cap)
+    ranked = (highlighted, keys)
     bud = ctx.budget(repos, parsed, highlighted, keys, focus, cfg)
     changes = ctx.file_changes(parsed, history)
     targets = ctx.target_files(changes, cfg)
@@ -132,4 +140,4 @@ def analyze(files: DataFrame, history: DataFrame | None = None, cfg: Settings |
     return Tables(cfg=cfg, decisions=decisions, repos=repos, facts=facts, parsed=parsed,
                   failed=failed, edges=edges, file_contexts=file_contexts, highlighted=highlighted,
                   key_files=keys, focus=focus, budget=bud, changes=changes, targets=targets, history=history,
-                  extra={"persisted": persisted})
+                  extra={"persisted": persisted, "ranked": ranked})

@@ -130,7 +130,9 @@ def q_family_evidence(spark, sf):
 
 
 def q_file_suggestions(spark, sf):
-    c = corpus_tables(spark, sf).contexts_with_issues()
+    t = corpus_tables(spark, sf)
+    t.write_issues()
+    c = t.contexts_with_issues()
     return c.select("repo", "path", F.size("issues").cast("bigint").alias("issues"),
                     F.array_join(F.array_sort("suggestions"), ";").alias("suggestions"))
 
